@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -147,7 +147,12 @@ def _block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     deal = lambda x: F.coalesce(F.col("deals")[x], F.lit(0))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), deal(F.col("level"))).cast("int"))
     name = lambda x, y: x * F.lit(1 << 20) + y
-    mates = F.concat(*(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(deal(F.col("level") + d) - 1, F.lit(0)).cast("int")), lambda i, d=d: i < deal(F.col("level") + d)), lambda i, d=d: name(F.col("level") + d, i)) for d in (-1, 0, 1)))
+
+    def blocks(other: Column) -> Column:
+        # From 1, as a sequence from 0 to -1 would count down.
+        return F.when(deal(other) > 0, F.transform(F.sequence(F.lit(1), deal(other).cast("int")), lambda i: name(other, i - 1))).otherwise(F.array().cast("array<int>"))
+
+    mates = F.concat(*(blocks(F.col("level") + d) for d in (-1, 0, 1)))
     dealt = dealt.withColumn("block", name(F.col("level"), F.col("own"))).withColumn("mate", F.explode(mates))
     dealt = dealt.select("band", "value", "rep", "component", "block", F.least("block", "mate").alias("p"), F.greatest("block", "mate").alias("q"))
     return dealt.join(sets, "rep").groupBy("band", "value", "p", "q").applyInPandas(_block_links(percent), "a long, b long")

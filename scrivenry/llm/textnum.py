@@ -81,9 +81,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and fingerprints of all words, and each text's first word number (one more entry than texts)."""
-    inside = ~SPACE[data]
+def letters(data: np.ndarray) -> np.ndarray:
+    """What word fingerprints are made of."""
+    return _TABLE[LOWER[data]]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and fingerprints of all words, and each text's first word number (one more entry than texts).
+
+    A word is a run of bytes that ``outside`` doesn't mark; A-Z count as lower case.
+    """
+    inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(data) + 1, bool)
@@ -92,10 +100,15 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     now[:-1] = inside
     starts = np.flatnonzero(now & (~before | edge))
     ends = np.flatnonzero(before & (~now | edge))
-    hashes = slice_hashes(_TABLE[LOWER[data] if lower else data], starts, ends)
+    hashes = slice_hashes(letters(data), starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+def short_salt(n: int) -> np.uint64:
+    """What tells a whole sequence of ``n`` words from a shingle."""
+    return U64(n * _BASE % 2**64)
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of each text's k-word shingles in order, and bounds by text.
 
@@ -115,5 +128,5 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     out[place] = full[valid]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         own = hashes[bounds[i] : bounds[i + 1]]
-        out[limits[i]] = (own * _STEPS[: len(own)]).sum(dtype=U64) + counts[i : i + 1].astype(U64)[0] * U64(_BASE >> 8)
+        out[limits[i]] = (own * _STEPS[: len(own)]).sum(dtype=U64) + short_salt(len(own))
     return mix(out), limits

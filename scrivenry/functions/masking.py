@@ -47,9 +47,14 @@ def valid(label: str, x: Column) -> Column:
 def mask_label(text: Column, label: str) -> Column:
     """The text with the valid matches of one pattern replaced by its label."""
     pattern = PATTERNS[label]
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    shown = F.transform(found, lambda m: F.when(valid(label, m), F.lit(f"[{label}]")).otherwise(m))
-    return F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+
+    def replaced(t: Column) -> Column:
+        pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        shown = F.transform(found, lambda m: F.when(valid(label, m), F.lit(f"[{label}]")).otherwise(m))
+        return F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+
+    # As a lambda's variable the text is computed once, however many labels came before.
+    return F.transform(F.array(text), replaced)[0]
 
 
 def mask(text: Column) -> Column:

@@ -255,12 +255,12 @@ def f04(spark, sf):
     return f05(spark, sf).where("rank <= 5")
 
 
-@query("e02_best_chunk_per_document", fx.sql(f"WITH {_RERANKED} SELECT qid, doc_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS at FROM rr) WHERE at = 1", "chunk_index", "question"))
+@query("e02_best_chunk_per_document", fx.sql(f"WITH {_RERANKED} SELECT qid, doc_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS nth FROM rr) WHERE nth = 1", "chunk_index", "question"))
 def e02(spark, sf):
     return retrieval.best_per_document(retrieval.reranked(scored_hits(spark, sf, 50), 20)).select("qid", "doc_id", "chunk_id", "rank")
 
 
-@query("k05_search", fx.sql(f"WITH {_RERANKED} SELECT qid, doc_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, CASE WHEN qid % 3 = 0 THEN 'hybrid' ELSE 'hybrid+rerank' END AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS at FROM (SELECT qid, doc_id, chunk_id, rank FROM rr WHERE qid % 3 <> 0 UNION ALL SELECT qid, doc_id, chunk_id, rank FROM sc WHERE qid % 3 = 0)) WHERE at = 1 QUALIFY rank <= 10", "chunk_index", "question"))
+@query("k05_search", fx.sql(f"WITH {_RERANKED} SELECT qid, doc_id, chunk_id, final AS rank, mode_used FROM (SELECT qid, doc_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS final, CASE WHEN qid % 3 = 0 THEN 'hybrid' ELSE 'hybrid+rerank' END AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS nth FROM (SELECT qid, doc_id, chunk_id, rank FROM rr WHERE qid % 3 <> 0 UNION ALL SELECT qid, doc_id, chunk_id, rank FROM sc WHERE qid % 3 = 0)) WHERE nth = 1) WHERE final <= 10", "chunk_index", "question"))
 def k05(spark, sf):
     """Every third question stands for one whose reranker failed."""
     hits = scored_hits(spark, sf, 50)

@@ -153,7 +153,7 @@ def _batch_scores(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, c
     return chain.scores(presence(data, offsets, chain.features))
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, threshold: float = 0.2) -> DataFrame:
     """One row per document: doc_id, a probability per category, and ``is_toxic`` (the last one reaches ``threshold``).
 
     Null and empty texts have no features and get the chain's base rates. Repeated rows are scored each; other columns
@@ -171,7 +171,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("is_toxic", F.col(f"p_{chain.categories[-1]}") >= threshold)
 
 
-def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.2) -> DataFrame:
     """The documents that the chain doesn't reject, all columns as they are; nothing is shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(chain)
 

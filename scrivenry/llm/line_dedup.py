@@ -24,16 +24,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).where("doc_id is not null")
 
 
-def _hashes(line: Column) -> Column:
-    """The distinct words of a line (lower case, split at white space) as 64-bit hashes."""
-    words = F.filter(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def _words(text: Column) -> Column:
+    """The words of a text, lower-cased and split at white space."""
+    return F.array_remove(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def rarity(docs: DataFrame) -> bytes:
-    """For each cell of the hash table, four times the logarithm of the number of its tokens in all lines, a byte each."""
-    lines = _texts(docs).select(F.explode(F.split("text", "\n")).alias("line"))
-    cells = lines.select(F.explode(_hashes(F.col("line"))).alias("h")).select(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
+    """For each cell of the hash table, four times the logarithm of how often its words occur in the corpus, a byte each."""
+    cells = _texts(docs).select(F.explode(_words(F.col("text"))).alias("w")).select(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
     out = bytearray(CELLS)
     for row in cells.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.least(F.lit(127), F.floor(4 * F.log2("n"))).cast("int").alias("level")).collect():
         out[row.cell] = row.level
@@ -41,14 +39,15 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def _tokens(line: Column, levels: bytes) -> Column:
-    """A line's tokens in rarity order."""
+    """A line's distinct tokens in rarity order."""
     table = F.lit(levels)
 
-    def token(h: Column) -> Column:
+    def token(w: Column) -> Column:
+        h = F.xxhash64(w)
         level = F.ascii(F.substring(table, h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
 
-    return F.sort_array(F.transform(_hashes(line), token))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
 
 
 def _least_overlap(nx: Column, ny: Column, percent: int) -> Column:
@@ -64,8 +63,8 @@ def matched_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     (first_doc, first_line) is the first line with the same set. Blank lines never match. Repeated doc_ids count as the same lines.
 
     Lines with one set are one class, which its first line stands for. Tokens in a class's prefix are joined with
-    those of other classes; in each token's group all are first checked against the earliest line, and only what is
-    then still without an earlier match meets the other earlier lines of the group.
+    those of other classes; in each token's group all are first checked against one of them, and only what is then still
+    without an earlier match meets the others of the group. Rows on the way are a few long integers.
     """
     levels = rarity(docs)
     split = _texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -74,44 +73,44 @@ def matched_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # A match needs ceil(percent% of the size) common tokens, so one of the rarest size - that + 1 is common.
     prefix = F.slice("tokens", F.lit(1), (size - F.ceil(size * percent / 100) + 1).cast("int"))
     short = math.ceil(100 / (100 - percent)) - 1
-    keyed = stage_table(sets.select("doc_id", "line_no", size.alias("n"), F.xxhash64("tokens").alias("k"), F.hash("tokens", F.lit(1)).alias("k2"), F.when(size >= short, prefix).alias("prefix")), "lines")
+    keyed = stage_table(sets.select("doc_id", "line_no", size.alias("n"), F.xxhash64("tokens").alias("k"), F.when(size >= short, prefix).alias("prefix")), "lines")
     lines = keyed.drop("prefix")
-    firsts = stage_table(lines.groupBy("k", "k2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("k", "k2", "n", "first.doc_id", "first.line_no"), "firsts")
-    heads = keyed.where(F.col("prefix").isNotNull()).join(firsts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-    # An id that orders lines: documents are numbered by id, lines within one by number.
-    tokens = heads.dropDuplicates(["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("x"), "n", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("x", "n", "at")).alias("c")).where("m > 1")
-    groups = stage_table(tokens.join(shared.select("token", "c"), "token"), "groups")
-
-    def possible(nx: Column, ax: Column, ny: Column, ay: Column) -> Column:
+    firsts = stage_table(lines.groupBy("k", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("k", "n", "first.doc_id", "first.line_no"), "firsts")
+    heads = keyed.where(F.col("prefix").isNotNull()).join(firsts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi").select("k", "n", "prefix")
+    tokens = heads.select("k", "n", F.posexplode("prefix").alias("at", "token")).select("token", "k", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
+    shared = tokens.groupBy("token").agg(F.min(F.struct("k", "size_at")).alias("c"), F.max("k").alias("other")).where("c.k <> other").select("token", F.col("c.k").alias("ck"), F.col("c.size_at").alias("c_at"))
+    groups = stage_table(tokens.join(shared, "token"), "groups")
+
+    def possible(x: str, y: str) -> Column:
+        nx, ny = (F.shiftright(c, 32) for c in (x, y))
+        ax, ay = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in (x, y))
         room = F.least(nx - ax, ny - ay)
         return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (room >= _least_overlap(nx, ny, percent) - F.least(ax, ay))
 
-    star = groups.where((F.col("x") != F.col("c.x")) & possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"))).select(F.col("x").alias("b"), F.col("c.x").alias("a")).distinct()
+    star = groups.where((F.col("k") != F.col("ck")) & possible("size_at", "c_at")).select(F.least("k", "ck").alias("a"), F.greatest("k", "ck").alias("b")).distinct()
     star = stage_table(star, "star")
-    arrays = _arrays(docs, groups.select("x").distinct(), levels)
-    done = stage_table(_verified(star, arrays, percent).select("b").distinct(), "done")
-    left = groups.join(done.select(F.col("b").alias("x")), "x", "left_anti").where(F.col("x") != F.col("c.x")).select("token", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ab"))
-    rest = left.join(groups.select("token", F.col("x").alias("a"), F.col("n").alias("na"), F.col("at").alias("aa"), "c"), "token").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c.x")) & possible(F.col("nb"), F.col("ab"), F.col("na"), F.col("aa"))).select("a", "b").distinct()
-    more = _verified(stage_table(rest, "rest"), arrays, percent).select("b").distinct()
-    later = stage_table(done.unionByName(more).distinct().select("b.doc_id", "b.line_no", F.lit(True).alias("matched")), "later")
-    classes = firsts.join(later, ["doc_id", "line_no"], "left").select("k", "k2", "n", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    out = lines.join(classes, ["k", "k2", "n"])
+    done = stage_table(_later_of(star, docs, firsts, levels, percent), "done")
+    left = groups.join(done, "k", "left_anti").where("k <> ck").select("token", "k", "size_at")
+    rest = left.join(groups.select("token", F.col("k").alias("other"), F.col("size_at").alias("o_at"), "ck"), "token").where((F.col("other") != F.col("k")) & (F.col("other") != F.col("ck")) & possible("size_at", "o_at"))
+    rest = rest.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = _later_of(stage_table(rest, "rest"), docs, firsts, levels, percent)
+    later = stage_table(done.unionByName(more).distinct().withColumn("matched", F.lit(True)), "later")
+    classes = firsts.join(later, "k", "left").select("k", "n", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    out = lines.join(classes, ["k", "n"])
     same = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     return out.select("doc_id", "line_no", F.col("n").alias("n_tokens"), "first_doc", "first_line", (~same | F.col("matched")).alias("later"))
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame, levels: bytes) -> DataFrame:
-    """(x, tokens) of the wanted lines, cut out of their documents again."""
-    numbers = wanted.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_set("x.line_no").alias("numbers"))
-    cut = _texts(docs).join(numbers, "doc_id").withColumn("lines", F.split("text", "\n")).select("doc_id", F.explode(F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get("lines", i).alias("line")))).alias("y"))
-    return stage_table(cut.select(F.struct("doc_id", "y.line_no").alias("x"), _tokens(F.col("y.line"), levels).alias("tokens")).dropDuplicates(["x"]), "arrays")
-
-
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(arrays.select(F.col("x").alias("a"), F.col("tokens").alias("ta")), "a").join(arrays.select(F.col("x").alias("b"), F.col("tokens").alias("tb")), "b")
+def _later_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, levels: bytes, percent: int) -> DataFrame:
+    """The later line (k) of each pair whose sets reach the threshold; lines are cut out of their documents again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(firsts, "k")
+    numbers = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k")).alias("numbers"))
+    cut = _texts(docs).join(numbers, "doc_id").withColumn("lines", F.split("text", "\n")).select("doc_id", F.explode(F.transform("numbers", lambda i: F.struct(i["k"].alias("k"), i["line_no"].alias("line_no"), F.get("lines", i["line_no"]).alias("line")))).alias("y"))
+    arrays = stage_table(cut.select("y.k", "doc_id", "y.line_no", _tokens(F.col("y.line"), levels).alias("tokens")), "arrays")
+    side = lambda s: arrays.select(F.col("k").alias(s), F.struct("doc_id", "line_no").alias(f"x{s}"), F.col("tokens").alias(f"t{s}"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared))
+    return near.select(F.when(F.col("xa") < F.col("xb"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -1,22 +1,28 @@
 """Near-duplicate lines by an exact set-similarity join: rarity order, prefix, length and positional filters, verification.
 
-Everything here is DataFrame functions. A line's tokens are its distinct words; a token is a 64-bit value, its rarity (a
-logarithm of the number of lines that have it, counted over the corpus in a table of fixed size) in the top bits and a hash
-of the word below, so sorting an array of tokens orders them by rarity. Any order common to all lines keeps the join
-exact; rarity only keeps the candidates few.
+A line's tokens are its distinct words; a token is a 64-bit value, its rarity (a logarithm of the number of times that
+its cell of a table of fixed size occurs in the corpus) in the top bits and a hash of the word below, so sorting tokens
+orders them by rarity. Any order common to all lines keeps the join exact; rarity only keeps the candidates few. Words
+become sorted tokens in numpy, batch by batch; all joins and aggregations are DataFrame operations on long integers.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum
 from .store import stage_table, text_column
 
-#: Cells of the table of line counts, a power of two: its size is the same for any corpus.
+#: Cells of the table of word counts, a power of two: its size is the same for any corpus.
 CELLS = 1 << 16
+#: Tokens whose cell has at least this share of all words may be in very many prefixes.
+HOT_SHARE = 1 / 2048
 _HASH_BITS = 55
 
 
@@ -24,30 +30,98 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).where("doc_id is not null")
 
 
-def _words(text: Column) -> Column:
-    """The words of a text, lower-cased and split at white space."""
-    return F.array_remove(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), "")
+def _lowered(docs: DataFrame) -> DataFrame:
+    return _texts(docs).withColumn("text", F.lower("text"))
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """For each cell of the hash table, four times the logarithm of how often its words occur in the corpus, a byte each."""
-    cells = _texts(docs).select(F.explode(_words(F.col("text"))).alias("w")).select(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
-    out = bytearray(CELLS)
-    for row in cells.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.least(F.lit(127), F.floor(4 * F.log2("n"))).cast("int").alias("level")).collect():
-        out[row.cell] = row.level
-    return bytes(out)
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for _, data, offsets in textnum.slices(batches, "text"):
+        hashes = textnum.words(data, offsets)[2]
+        counts += np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    cells = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], ["cell", "n"])
 
 
-def _tokens(line: Column, levels: bytes) -> Column:
-    """A line's distinct tokens in rarity order."""
-    table = F.lit(levels)
+def rarity(docs: DataFrame) -> tuple[bytes, int]:
+    """Four times the logarithm of how often each cell's words occur in the corpus, a byte each; the level of hot cells."""
+    cells = _lowered(docs).select("text").mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros(CELLS, np.int64)
+    for row in cells.collect():
+        counts[row.cell] = row.n
+    levels = np.minimum(127, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    return levels.tobytes(), math.floor(4 * math.log2(max(1.0, counts.sum() * HOT_SHARE)))
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.ascii(F.substring(table, h.bitwiseAND(CELLS - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
+def line_tokens(data: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's first line number in the batch, distinct tokens line by line in rarity order, and bounds by line."""
+    breaks = np.flatnonzero(data == 0x0A)
+    first = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+    starts = np.full(first[-1] + 1, len(data), np.int64)
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1]] = False
+    starts[first[:-1]] = offsets[:-1]
+    starts[:-1][inner] = breaks + 1
+    _, _, hashes, bounds = textnum.words(data, starts)
+    line = np.repeat(np.arange(len(starts) - 1), np.diff(bounds))
+    level = levels[(hashes & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
+    tokens = (level << np.uint64(_HASH_BITS)) | (hashes & np.uint64((1 << _HASH_BITS) - 1))
+    order = np.lexsort((tokens, line))
+    tokens, line = tokens[order], line[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+    return first, tokens[new], np.searchsorted(line[new], np.arange(len(starts)))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _keyed(levels: bytes, percent: int):
+    """Each line with a word: size, fingerprint and bitmap of its set, and the prefix if it can match an unequal set.
+
+    A match needs ceil(percent% of the size) common tokens, so one of the rarest size - that + 1 is common.
+    """
+    short = math.ceil(100 / (100 - percent)) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(levels, np.uint8)
+        for part, data, offsets in textnum.slices(batches, "text"):
+            first, tokens, bounds = line_tokens(data, offsets, table)
+            per_text, sizes = np.diff(first), np.diff(bounds)
+            full = sizes > 0
+            at = bounds[:-1][full]
+            n = sizes[full]
+            mixed = textnum.mix(tokens)
+            keys = textnum.mix(np.add.reduceat(mixed, at) + n.astype(np.uint64)) if len(at) else mixed
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at) if len(at) else mixed
+            keep = np.where(n >= short, n - (n * percent + 99) // 100 + 1, 0)
+            inside = np.arange(len(tokens)) - np.repeat(at, n) < np.repeat(keep, n)
+            doc = np.repeat(part.column(0).to_numpy(), per_text)[full]
+            number = (np.arange(first[-1]) - np.repeat(first[:-1], per_text))[full]
+            columns = [pa.array(doc), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(bits.view(np.int64)), _lists(tokens[inside], keep)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n", "k", "bits", "prefix"])
+
+    return run
+
+
+def _cut(levels: bytes):
+    """The token arrays of the wanted lines (parallel lists ``numbers`` and ``ks``) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(levels, np.uint8)
+        for part, data, offsets in textnum.slices(batches, "text"):
+            first, tokens, bounds = line_tokens(data, offsets, table)
+            numbers, keys = part.column(2), part.column(3).flatten()
+            per_text = np.diff(numbers.offsets.to_numpy())
+            number = numbers.flatten().to_numpy()
+            line = np.repeat(first[:-1], per_text) + number
+            sizes = bounds[line + 1] - bounds[line]
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[line], sizes)
+            columns = [keys, pa.array(np.repeat(part.column(0).to_numpy(), per_text)), pa.array(number.astype(np.int32)), _lists(tokens[place], sizes)]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "doc_id", "line_no", "tokens"])
+
+    return run
 
 
 def _least_overlap(nx: Column, ny: Column, percent: int) -> Column:
@@ -64,49 +138,55 @@ def matched_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Lines with one set are one class, which its first line stands for. Tokens in a class's prefix are joined with
     those of other classes; in each token's group all are first checked against one of them, and only what is then still
-    without an earlier match meets the others of the group. Rows on the way are a few long integers.
+    without an earlier match meets the others of the group. Rows on the way are a few long integers, among them a bitmap
+    of the set's parity in 64 cells: where bitmaps differ in d places the sets differ in d tokens at least, which
+    settles most pairs before their tokens are fetched.
     """
-    levels = rarity(docs)
-    split = _texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = split.select("doc_id", "line_no", _tokens(F.col("line"), levels).alias("tokens")).where(F.size("tokens") > 0)
-    size = F.size("tokens")
-    # A match needs ceil(percent% of the size) common tokens, so one of the rarest size - that + 1 is common.
-    prefix = F.slice("tokens", F.lit(1), (size - F.ceil(size * percent / 100) + 1).cast("int"))
-    short = math.ceil(100 / (100 - percent)) - 1
-    keyed = stage_table(sets.select("doc_id", "line_no", size.alias("n"), F.xxhash64("tokens").alias("k"), F.when(size >= short, prefix).alias("prefix")), "lines")
-    lines = keyed.drop("prefix")
-    firsts = stage_table(lines.groupBy("k", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("k", "n", "first.doc_id", "first.line_no"), "firsts")
-    heads = keyed.where(F.col("prefix").isNotNull()).join(firsts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi").select("k", "n", "prefix")
-    tokens = heads.select("k", "n", F.posexplode("prefix").alias("at", "token")).select("token", "k", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
-    shared = tokens.groupBy("token").agg(F.min(F.struct("k", "size_at")).alias("c"), F.max("k").alias("other")).where("c.k <> other").select("token", F.col("c.k").alias("ck"), F.col("c.size_at").alias("c_at"))
-    groups = stage_table(tokens.join(shared, "token"), "groups")
-
-    def possible(x: str, y: str) -> Column:
+    levels, hot = rarity(docs)
+    keyed = stage_table(_lowered(docs).mapInArrow(_keyed(levels, percent), "doc_id long, line_no int, n int, k long, bits long, prefix array<long>"), "lines")
+    heads = keyed.groupBy("k", "n").agg(F.min(F.struct("doc_id", "line_no", "bits", "prefix")).alias("first"))
+    heads = stage_table(heads.select("k", "n", "first.*"), "heads")
+    firsts = heads.select("k", "n", "doc_id", "line_no")
+    tokens = heads.select("k", "n", "bits", F.posexplode("prefix").alias("at", "token")).select("token", "k", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"), "bits")
+    frequent = F.shiftright("token", _HASH_BITS) >= hot
+    # Rare tokens cross the network once; a frequent one's rows are aggregated first and may be split by the join.
+    groups = stage_table(_with_centre(tokens.where(~frequent).repartition("token")).unionByName(_with_centre(tokens.where(frequent))), "groups")
+
+    def possible(x: str, y: str, bx: str, by: str) -> Column:
+        # Of a matching pair's common tokens the first, at least, leaves room for the overlap behind both places.
         nx, ny = (F.shiftright(c, 32) for c in (x, y))
         ax, ay = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in (x, y))
-        room = F.least(nx - ax, ny - ay)
-        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (room >= _least_overlap(nx, ny, percent) - F.least(ax, ay))
+        need = _least_overlap(nx, ny, percent)
+        apart = F.bit_count(F.col(bx).bitwiseXOR(F.col(by)))
+        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ax, ny - ay) >= need) & (nx + ny - apart >= 2 * need)
 
-    star = groups.where((F.col("k") != F.col("ck")) & possible("size_at", "c_at")).select(F.least("k", "ck").alias("a"), F.greatest("k", "ck").alias("b")).distinct()
+    star = groups.where((F.col("k") != F.col("ck")) & possible("size_at", "c_at", "bits", "c_bits")).select(F.least("k", "ck").alias("a"), F.greatest("k", "ck").alias("b")).distinct()
     star = stage_table(star, "star")
     done = stage_table(_later_of(star, docs, firsts, levels, percent), "done")
-    left = groups.join(done, "k", "left_anti").where("k <> ck").select("token", "k", "size_at")
-    rest = left.join(groups.select("token", F.col("k").alias("other"), F.col("size_at").alias("o_at"), "ck"), "token").where((F.col("other") != F.col("k")) & (F.col("other") != F.col("ck")) & possible("size_at", "o_at"))
+    left = groups.join(done, "k", "left_anti").where("k <> ck").select("token", "k", "size_at", "bits")
+    others = groups.select("token", F.col("k").alias("other"), F.col("size_at").alias("o_at"), F.col("bits").alias("o_bits"), "ck")
+    rest = left.join(others, "token").where((F.col("other") != F.col("k")) & (F.col("other") != F.col("ck")) & possible("size_at", "o_at", "bits", "o_bits"))
     rest = rest.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = _later_of(stage_table(rest, "rest"), docs, firsts, levels, percent)
     later = stage_table(done.unionByName(more).distinct().withColumn("matched", F.lit(True)), "later")
     classes = firsts.join(later, "k", "left").select("k", "n", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    out = lines.join(classes, ["k", "n"])
+    out = keyed.select("doc_id", "line_no", "n", "k").join(classes, ["k", "n"])
     same = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     return out.select("doc_id", "line_no", F.col("n").alias("n_tokens"), "first_doc", "first_line", (~same | F.col("matched")).alias("later"))
 
 
+def _with_centre(tokens: DataFrame) -> DataFrame:
+    """Tokens that several classes share, each row with the class (ck, c_at, c_bits) that the others meet first."""
+    shared = tokens.groupBy("token").agg(F.min(F.struct("k", "size_at", "bits")).alias("c"), F.max("k").alias("other")).where("c.k <> other")
+    return tokens.join(shared.select("token", F.col("c.k").alias("ck"), F.col("c.size_at").alias("c_at"), F.col("c.bits").alias("c_bits")), "token")
+
+
 def _later_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, levels: bytes, percent: int) -> DataFrame:
     """The later line (k) of each pair whose sets reach the threshold; lines are cut out of their documents again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(firsts, "k")
-    numbers = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k")).alias("numbers"))
-    cut = _texts(docs).join(numbers, "doc_id").withColumn("lines", F.split("text", "\n")).select("doc_id", F.explode(F.transform("numbers", lambda i: F.struct(i["k"].alias("k"), i["line_no"].alias("line_no"), F.get("lines", i["line_no"]).alias("line")))).alias("y"))
-    arrays = stage_table(cut.select("y.k", "doc_id", "y.line_no", _tokens(F.col("y.line"), levels).alias("tokens")), "arrays")
+    numbers = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k")).alias("x")).select("doc_id", "x.line_no", "x.k")
+    cut = _lowered(docs).join(numbers, "doc_id").select("doc_id", "text", F.col("line_no").alias("numbers"), F.col("k").alias("ks"))
+    arrays = stage_table(cut.mapInArrow(_cut(levels), "k long, doc_id long, line_no int, tokens array<long>"), "arrays")
     side = lambda s: arrays.select(F.col("k").alias(s), F.struct("doc_id", "line_no").alias(f"x{s}"), F.col("tokens").alias(f"t{s}"))
     shared = F.size(F.array_intersect("ta", "tb"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared))

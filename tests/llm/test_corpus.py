@@ -348,6 +348,13 @@ def test_quality_network(spark):
     assert sum(r.predicted == (not truth[r.doc_id]) for r in held) >= 0.97 * len(held)
 
 
+def test_repeated_lines_of_odd_texts(spark):
+    same = "a b c d e f g h i j\n\nA B C D E F G H I j k"
+    rows = [(1, None, "x"), (2, "", None), (3, "\n\n", ""), (4, same, ""), (4, same, ""), (5, "x\na b c d e f g h i\nÉ é z w\n", ""), (6, "é z w\nÉ\nX", ""), (None, "a", "")]
+    got = sorted((r.doc_id, r.n_lines, list(r.removed_lines)) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, tokens string")).collect())
+    assert got == [(1, 1, []), (2, 1, []), (3, 3, []), (4, 3, [2]), (5, 4, [1]), (6, 3, [0, 2])]
+
+
 def test_chunks_cover_all_bytes():
     for n in (0, 1, 63, 64, 65, 96, 97, 1_000):
         data = np.random.default_rng(n).integers(1, 255, n).astype(np.uint8)

@@ -5,13 +5,13 @@ text by the same pattern, as a match begins where the pieces and matches before
 
 Sanitisation is information-theoretic: an entity (a value found in the corpus) has the information content
 ``-log2 p(entity)``; a term reveals ``log2(p(entity, term) / (p(entity) p(term)))`` of it, probabilities being shares of all
-documents. A term that reveals at least ``generalise`` of an entity's content is replaced by its kind, from
+documents. Both are looked for in whole documents, however far apart, terms outside the spans of fixed kinds. A term that reveals at least ``generalise`` of an entity's content is replaced by its kind, from
 ``remove`` on it is taken out, in every document that has the entity.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,8 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 #: What a text must have for a kind's pattern to be tried at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Words of a term: letters only, found by what stands between them.
-GAP = r"[^\p{L}]++"
+#: Words of a term: letters, their marks and digits, found by what stands between them.
+WORD, GAP = r"[\p{L}\p{M}\p{N}]++", r"[^\p{L}\p{M}\p{N}]++"
 
 
 def _digits(x: Column) -> Column:
@@ -47,8 +47,8 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches, in code points."""
+def _located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """(start, end, value) of all matches, or those with a ``wanted`` value, in code points."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
     zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("value"))
@@ -57,7 +57,8 @@ def _located(text: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
         end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+        more = F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(end.alias("at"), (F.when(wanted(x["value"]), more).otherwise(acc["spans"]) if wanted else more).alias("spans"))
 
     return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
 
@@ -82,45 +83,60 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _context_terms(text: Column, spans: Column, reach: int) -> Column:
-    """Distinct lower-case words of four letters or more within ``reach`` characters of each span, by entity."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with as many spaces as a span has code points in its place."""
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _words(text: Column) -> Column:
+    """Distinct lower-case words. One or two cased letters alone (``to``, ``of``) are none; two digits or caseless letters are."""
+    found = F.array_distinct(F.transform(F.array_distinct(F.split(text, GAP)), lambda w: F.lower(w)))
+    return F.filter(found, lambda w: (F.length(w) >= 3) | w.rlike(r"[\p{N}\p{Lo}]"))
 
-    def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - reach, F.lit(0))
-        near = F.concat_ws(" ", F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(reach)))
-        words = F.array_distinct(F.filter(F.split(F.lower(near), GAP), lambda w: F.length(w) >= 4))
-        return F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), words.alias("terms"))
 
-    return F.transform(spans, around)
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["value"])))
 
 
-def disclosing_terms(held: DataFrame, docs: DataFrame, documents: int, reach: int = 120, support: int = 2, generalise: float = 0.5) -> DataFrame:
-    """(entity, term, share) of terms that reveal ``generalise`` or more of an entity's information content.
+def disclosing_terms(found: DataFrame, documents: int, support: int = 2, generalise: float = 0.5) -> DataFrame:
+    """(row, term, share) of terms that reveal ``generalise`` or more of the information content of an entity that the row has.
 
-    ``held`` has row, text and spans of the documents with spans, ``docs`` the text of all documents. Terms are words near an
-    entity in ``support`` documents or more: what stands beside a value once says nothing about the corpus. Word
-    frequencies come from the whole corpus.
+    ``found`` has row, spans and ``rest`` (the text without its spans) of all documents. Entities, terms and pairs of them
+    are counted by whole documents. Terms stand with an entity in ``support`` documents or more: what occurs with a value
+    once says nothing about the corpus. As a pair is in no more documents than its entity, a share of ``generalise`` needs
+    n_term <= n_entity^generalise * documents^(1 - generalise), which prunes pairs before they are made.
     """
-    near = held.select("row", F.explode(_context_terms(F.col("text"), F.col("spans"), reach)).alias("x")).select("row", "x.entity", "x.terms")
-    of_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    both = near.select("row", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support).join(of_entity, "entity")
-    both = stage_table(both, "both")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), GAP))).alias("term")).where(F.length("term") >= 4)
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
+    owned = found.where(F.size("spans") > 0).select("row", F.explode(_entities(F.col("spans"))).alias("entity"))
+    of_entity = owned.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    bound = F.pow("n_entity", F.lit(generalise)) * F.pow(F.lit(float(documents)), F.lit(1 - generalise)) * (1 + 1e-9)
+    known = stage_table(owned.join(of_entity, "entity").withColumn("bound", bound), "known")
+    words = found.select("row", F.explode(_words(F.col("rest"))).alias("term"))
+    most = known.agg(F.max("bound")).first()[0] or 0.0
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term").between(support, most))
+    holders = found.where(F.size("spans") > 0).join(known.select("row").distinct(), "row", "left_semi")
+    near = holders.select("row", F.explode(_words(F.col("rest"))).alias("term")).join(of_term, "term")
+    pairs = stage_table(near.join(known, "row").where(F.col("n_term") <= F.col("bound")).select("row", "entity", "n_entity", "term", "n_term"), "pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_both") >= support)
     content = -F.log2(F.col("n_entity") / documents)
     revealed = F.log2(F.col("n_both") * documents / (F.col("n_entity") * F.col("n_term")))
     share = F.when(content > 0, revealed / content).otherwise(0.0)
-    return both.join(of_term, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    terms = both.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return pairs.select("row", "entity", "term").join(terms, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
     """Spans of the words of a text that are keys of ``terms``; values are their shares."""
-    located = _located(text, r"\p{L}++")
-    hit = F.filter(located, lambda s: F.map_contains_key(terms, F.lower(s["value"])))
+    hit = _located(text, WORD, lambda value: F.map_contains_key(terms, F.lower(value)))
     return F.transform(hit, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
-def personal_data(docs: DataFrame, reach: int = 120, support: int = 2, generalise: float = 0.5) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 2, generalise: float = 0.5) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Base spans are the leftmost non-overlapping matches of each kind over the whole text, failing ones dropped; ``spans`` has
@@ -128,14 +144,14 @@ def personal_data(docs: DataFrame, reach: int = 120, support: int = 2, generalis
     count as empty and have no spans; repeated rows count as documents each; other columns are ignored; an empty table
     gives an empty one.
     """
-    out = _with_terms(docs, reach, support, generalise, False)
+    out = _with_terms(docs, support, generalise)
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(_joined(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def sanitised(docs: DataFrame, reach: int = 120, support: int = 2, generalise: float = 0.5, remove: float = 0.8) -> DataFrame:
+def sanitised(docs: DataFrame, support: int = 2, generalise: float = 0.5, remove: float = 0.8) -> DataFrame:
     """(doc_id, text): base spans as their kind in brackets, disclosing terms as ``[TERM]`` or, from ``remove`` on, taken out."""
-    found = _with_terms(docs, reach, support, generalise, True)
+    found = _with_terms(docs, support, generalise)
 
     def step(acc: Column, s: Column) -> Column:
         taken = F.element_at("shares", F.lower(s["value"])) >= remove
@@ -148,16 +164,15 @@ def sanitised(docs: DataFrame, reach: int = 120, support: int = 2, generalise: f
     return found.select("doc_id", done.alias("text"))
 
 
-def _with_terms(docs: DataFrame, reach: int, support: int, generalise: float, texts: bool) -> DataFrame:
-    """doc_id, text (unless ``texts``, only where something was found), spans with terms, shares by term."""
+def _with_terms(docs: DataFrame, support: int, generalise: float) -> DataFrame:
+    """doc_id, text, spans with terms, shares by term."""
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     spotted = whole.withColumn("spans", base_spans(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
-    found = stage_table(spotted if texts else spotted.withColumn("text", F.when(F.size("spans") > 0, F.col("text")).otherwise("")), "spans")
-    held = found.where(F.size("spans") > 0)
-    terms = stage_table(disclosing_terms(held, whole, found.count(), reach, support, generalise), "terms")
-    pairs = held.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    shares = pairs.join(terms, "entity").groupBy("row", "term").agg(F.max("share").alias("share")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    spans = F.when(F.col("shares").isNotNull(), F.array_sort(F.concat("spans", _term_spans(F.col("text"), F.col("shares"))))).otherwise(F.col("spans"))
+    blanked = F.when(F.size("spans") > 0, _blanked(F.col("text"), F.col("spans")))
+    found = stage_table(spotted.withColumn("blanked", blanked), "spans").withColumn("rest", F.coalesce("blanked", "text"))
+    held, none = found.where(F.size("spans") > 0), found.where(F.size("spans") == 0)
+    terms = disclosing_terms(found, found.count(), support, generalise)
+    shares = terms.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    spans = F.when(F.col("shares").isNotNull(), F.array_sort(F.concat("spans", _term_spans(F.col("rest"), F.col("shares"))))).otherwise(F.col("spans"))
     more = held.join(shares, "row", "left").withColumn("spans", spans).select("doc_id", "text", "spans", "shares")
-    none = found.where(F.size("spans") == 0)
     return none.select("doc_id", "text", "spans", F.lit(None).cast("map<string,double>").alias("shares")).unionByName(more)

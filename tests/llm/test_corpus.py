@@ -1,10 +1,13 @@
 """The corpus operators against brute force, round trips and held-out accuracy, with nulls, empties, ties and repeats."""
 
 import base64
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import unicodedata
 import uuid
 import zlib
 
@@ -307,6 +310,37 @@ def test_disclosing_terms_are_sanitised(spark):
     assert texts[7] == rows[7][1]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """Terms far from their entity, of three letters, caseless ones and codes; counts by whole documents."""
+    rng = random.Random(12)
+    names = ["Lee", "Ana", "李明", "A4711", "47", "Zanzibar", "İnce"]
+    docs, mails = [], ["a1@x.org", "lee@agency.org", "c@y.org"]
+    for i in range(90):
+        w = words(rng, rng.choice([3, 40, 200]))
+        for m, name in zip(mails * 3, names, strict=False):
+            if rng.random() < 0.1:
+                w.insert(rng.choice([0, len(w)]), name)
+                w.insert(rng.randrange(len(w) + 1), m)
+        docs.append((i, " ".join(w) if i % 30 else " ".join(w) + ", LEE."))
+    docs += [(200, None), (201, "")] + [(300 + i, f"Kim Zanzibar {'so it goes ' * 40}far@z.org") for i in range(3)]
+    held = {i: {m[0] for m in re.finditer(RULES["email"][0], t or "")} for i, t in docs}
+    rest = {i: re.sub(RULES["email"][0], lambda m: " " * len(m[0]), t or "") for i, t in docs}
+    found = {i: [(m[0].lower(), m.span()) for m in re.finditer(r"\w+", t)] for i, t in rest.items()}
+    n = len(docs)
+    n_term, n_entity, n_both = (collections.Counter() for _ in range(3))
+    for i, _ in docs:
+        own = {w for w, _ in found[i] if len(w) >= 3 or any(unicodedata.category(c) in ("Nd", "Lo") for c in w)}
+        n_term.update(own)
+        n_entity.update(held[i])
+        n_both.update(itertools.product(held[i], own))
+    shares = {k: math.log2(b * n / (n_entity[k[0]] * n_term[k[1]])) / -math.log2(n_entity[k[0]] / n) for k, b in n_both.items() if b >= 2}
+    terms = {k for k, v in shares.items() if v >= 0.5}
+    assert {"kim", "zanzibar", "李明", "a4711", "47"} <= {t for _, t in terms}
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in pii.personal_data(table(spark, docs)).collect()}
+    assert got == {i: [f"term:{a}:{b}" for w, (a, b) in found[i] if any((e, w) in terms for e in held[i])] for i, _ in docs}
+    assert "Kim" not in {r.doc_id: r.text for r in pii.sanitised(table(spark, docs)).collect()}[300]
+
+
 def labelled(spark, rng, n, bad):
     """Documents of which every fourth holds ``bad``, and their labels."""
     rows = []

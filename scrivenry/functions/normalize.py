@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -29,6 +29,21 @@ def repeated_edges(pages: DataFrame, edges: int = 1, share: float = 0.4, least_p
     return counted.where(F.col("n") >= F.greatest(F.lit(2), share * F.col("pages"))).select("doc_id", "key", "n")
 
 
+def edge_positions(lines: Column, edges: int = 3) -> Column:
+    """Indexes in ``lines`` of the first and last non-empty ones, ``edges`` each but at most a third of them."""
+    filled = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("(?U)\\S"), i)), lambda i: i.isNotNull())
+    width = F.least(F.lit(edges), F.floor(F.size(filled) / 3))
+    return F.filter(filled, lambda x, i: (i < width) | (i >= F.size(filled) - width))
+
+
+def running_keys(pages: DataFrame, share: float = 0.4, least_pages: int = 4) -> DataFrame:
+    """(doc_id, gone): keys of the edge lines that are on at least 40% and two of a document's pages; ``pages`` has lines and edge."""
+    many = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    keys = F.array_distinct(F.transform("edge", lambda i: text.edge_key(F.get("lines", i))))
+    counted = pages.select("doc_id", F.explode(keys).alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(many, "doc_id")
+    return counted.where(F.col("n") >= F.greatest(F.lit(2), share * F.col("pages"))).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+
+
 _HYPHEN = re.compile(r"[^\W\d_]-$")
 _LIST = re.compile(text.LIST_MARKER)
 _TABLE = re.compile(text.TABLE_LINE)
@@ -68,10 +83,9 @@ def normalised_pages(pages: DataFrame) -> DataFrame:
     Clean-up and edge detection are native; the reflow is a fold over a page's lines and runs on Arrow batches.
     """
     clean = pages.withColumn("page", text.collapse_spaces(text.clean_characters(F.col("page"))))
-    gone = repeated_edges(clean).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
-    joined = clean.join(gone, "doc_id", "left")
-    lines = F.split("page", "\n")
-    kept = F.filter(lines, lambda x, i: ~(((i == 0) | (i == F.size(lines) - 1)) & F.coalesce(F.array_contains("gone", text.edge_key(x)), F.lit(False))))
+    cut = clean.withColumn("lines", F.split("page", "\n")).withColumn("edge", edge_positions(F.col("lines")))
+    joined = cut.join(running_keys(cut), "doc_id", "left")
+    kept = F.filter("lines", lambda x, i: ~(F.array_contains("edge", i) & F.coalesce(F.array_contains("gone", text.edge_key(x)), F.lit(False))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

@@ -86,3 +86,44 @@ def test_reflow_loses_no_letters(page):
 def test_reflow_joins_a_hyphenated_word():
     assert normalize.reflow("a long exam-\nple of text") == "a long example of text"
     assert normalize.reflow("HEADING:\ntext") == "HEADING:\ntext"
+
+
+def test_running_headers_of_several_lines_go(spark):
+    """Up to three non-empty lines at either edge, a third of the page at most, on four pages or more."""
+    head, foot = ["ACME REPORT", "Volume 7", "confidential copy"], ["all rights reserved", "page {n}"]
+    body = ["some words of number {n} and others.", "more text that stands here {n} alone."]
+    own = [f"line {c} of this page says {c * 3}." for c in "abcdefgh"]
+
+    def document(pages, lines):
+        return [(n, "\n".join(x.format(n=n) for x in lines(n))) for n in range(1, pages + 1)]
+
+    docs = {
+        1: document(5, lambda n: [*head, "", *own[n:], *body, *own[:n], "", *foot]),
+        2: document(4, lambda n: ["", " ", head[0], "", own[n], own[n + 1], body[0], "", foot[1], "  ", ""]),
+        3: document(6, lambda n: [head[0], foot[1]]),
+        4: document(6, lambda n: [head[0]]),
+        5: document(3, lambda n: [*head, *own, *foot]),
+        6: document(10, lambda n: [head[0] if n <= 4 else own[n % 8], head[1] if n <= 3 else own[n % 7], *(f"{x} {chr(96 + n)}" for x in own), foot[0] if n % 2 else f"end {chr(96 + n)}"]),
+        7: document(4, lambda n: ["", "", ""]),
+    }
+
+    def key(line):
+        return re.sub(r"\d+", "#", re.sub(r"\s+", " ", line.strip().lower()))
+
+    def edges(lines):
+        filled = [i for i, x in enumerate(lines) if x.strip()]
+        size = min(3, len(filled) // 3)
+        return set(filled[:size] + filled[len(filled) - size :])
+
+    expected = {}
+    for d, pages in docs.items():
+        split = [(n, p.split("\n")) for n, p in pages]
+        keys = [{key(lines[i]) for i in edges(lines)} for _, lines in split]
+        gone = {k for ks in keys for k in ks if len(pages) >= 4 and sum(k in x for x in keys) >= max(2, 0.4 * len(pages))}
+        for n, lines in split:
+            expected[d, n] = normalize.reflow("\n".join(x for i, x in enumerate(lines) if i not in edges(lines) or key(x) not in gone))
+    table = spark.createDataFrame([(d, n, p) for d, pages in docs.items() for n, p in pages], "doc_id long, page_no long, page string")
+    got = {(r.doc_id, r.page_no): r.page for r in normalize.normalised_pages(table).collect()}
+    assert got == expected
+    assert not any(x in got[1, 2] for x in ("ACME", "Volume", "confidential", "rights", "page 2"))
+    assert "ACME" not in got[2, 1] and "ACME" in got[3, 1] and "ACME" in got[4, 1] and "Volume" in got[5, 1]

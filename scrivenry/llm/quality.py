@@ -20,6 +20,8 @@ from . import textnum
 from .store import text_column
 
 CHUNK, STRIDE, WIDTH, FILTERS, LAGS = 64, 32, 6, 24, 24
+#: Pairs of bytes at each distance within a chunk.
+ROOM = CHUNK - np.arange(1, LAGS + 1)
 
 
 @dataclass
@@ -57,18 +59,40 @@ def _inputs(net: Network, own: np.ndarray, again: np.ndarray) -> np.ndarray:
     return np.hstack([net.embedding[own].reshape(len(own), -1), again])
 
 
-def forward(net: Network, own: np.ndarray, again: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The probability of each text, chunks taken a few thousand at a time."""
+def _activations(net: Network, own: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """(n, FILTERS), chunks taken a few thousand at a time."""
     active = np.empty((len(own), FILTERS), np.float32)
     for at in range(0, len(own), 4096):
         active[at : at + 4096] = _inputs(net, own[at : at + 4096], again[at : at + 4096]) @ net.filters + net.bias
+    return active
+
+
+def _packed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of a text as a view of its bytes, and their recurrences as counts."""
+    again = chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1]
+    flat = np.zeros((len(again) - 1) * STRIDE + CHUNK, np.uint8)
+    flat[: len(text)] = np.frombuffer(text, np.uint8)
+    return sliding_window_view(flat, CHUNK)[::STRIDE], np.rint(again * ROOM).astype(np.uint8)
+
+
+def _rates(counts: np.ndarray) -> np.ndarray:
+    return (counts / ROOM).astype(np.float32)
+
+
+def forward(net: Network, own: np.ndarray, again: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The probability of each text."""
+    active = _activations(net, own, again)
     pooled = np.maximum(np.maximum.reduceat(active, bounds[:-1], axis=0), 0)
     z = pooled @ net.output + net.shift
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.004, seed: int = 5) -> Network:
-    """Train with Adam on the cross entropy; the same data give the same network."""
+    """Train with Adam on the cross entropy over whole texts; the same data give the same network.
+
+    Of a text it keeps the bytes and the recurrence counts; a batch's inputs are made a few thousand chunks at a time, so
+    memory grows with the texts' bytes only.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (256, WIDTH)).astype(np.float32), rng.normal(0, 0.08, (CHUNK * WIDTH + LAGS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0)
     rate_of = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
@@ -76,17 +100,16 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
         net.output[:] = 0
         net.shift = float(np.log(rate_of / (1 - rate_of)))
         return net
-    parts = [chunks(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    parts = [_packed(t) for t in texts]
     state = [(np.zeros(s, np.float32), np.zeros(s, np.float32)) for s in (net.embedding.shape, net.filters.shape, net.bias.shape, net.output.shape, (1,))]
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            own, again = np.concatenate([parts[i][0] for i in chosen]), np.concatenate([parts[i][1] for i in chosen])
+            own, again = np.concatenate([parts[i][0] for i in chosen]), _rates(np.concatenate([parts[i][1] for i in chosen]))
             bounds = np.concatenate([[0], np.cumsum([len(parts[i][0]) for i in chosen])])
-            x = _inputs(net, own, again)
-            active = x @ net.filters + net.bias
+            active = _activations(net, own, again)
             # Only the chunk with a filter's largest activation learns.
             best = np.stack([bounds[i] + active[bounds[i] : bounds[i + 1]].argmax(axis=0) for i in range(len(chosen))])
             top = np.take_along_axis(active, best, axis=0)
@@ -100,7 +123,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
             back = grad @ net.filters.T
             embedded = np.zeros_like(net.embedding)
             np.add.at(embedded, own[used].ravel(), back[:, : CHUNK * WIDTH].reshape(-1, WIDTH))
-            grads = [embedded, x[used].T @ grad + 1e-5 * net.filters, grad.sum(axis=0), pooled.T @ e + 1e-4 * net.output, np.array([e.sum()])]
+            grads = [embedded, _inputs(net, own[used], again[used]).T @ grad + 1e-5 * net.filters, grad.sum(axis=0), pooled.T @ e + 1e-4 * net.output, np.array([e.sum()])]
             step += 1
             pace = rate * (0.5 if epoch >= 2 * epochs // 3 else 1)
             moves = []
@@ -121,18 +144,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, max_bytes: int = 4_096, seed: int = 5) -> Network:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, seed: int = 5) -> Network:
     """Fit on ``max_rows`` labelled documents at most, chosen by a hash of their id from rows that aren't held out.
 
-    What the driver gathers is bounded: of a text over ``max_bytes`` it takes four spans spread over the whole text. Only training
-    does so; scores come from whole texts. Null labels and labels without a document don't count.
+    Texts are whole, as in scoring; what the driver gathers is bounded by the number of rows. Null labels and labels
+    without a document don't count.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    span = max_bytes // 4
-    spread = F.concat(*(F.substring("text", F.lit(1) + F.floor((F.length("text") - span) * i / 3).cast("int"), F.lit(span)) for i in range(4)))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.when(F.length("text") > max_bytes, spread).otherwise(F.col("text")).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([r.text.encode() for r in rows], np.array([r.quality for r in rows], np.float32), seed=seed)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    learnt = [(r.text.encode(), r.quality) for r in rows.toLocalIterator()]
+    return fit([x for x, _ in learnt], np.array([y for _, y in learnt], np.float32), seed=seed)
 
 
 def quality_scores(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:

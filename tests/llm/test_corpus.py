@@ -382,6 +382,23 @@ def test_quality_network(spark):
     assert sum(r.predicted == (not truth[r.doc_id]) for r in held) >= 0.97 * len(held)
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    """Junk in the middle of a long text reaches the network, and a document of any length keeps its chunks."""
+    rng = random.Random(14)
+    texts = {i: " ".join(words(rng, 700)) + (" x### %% y***" * 20 if i % 2 else "") + " " + " ".join(words(rng, 2_000)) for i in range(40)}
+    docs = table(spark, list(texts.items()))
+    labels = spark.createDataFrame([(i, i % 2 ^ 1) for i in texts], "doc_id long, quality int")
+    given, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, **more: given.append((x, list(y))) or fit(x, y, epochs=1))
+    quality.train(docs, labels)
+    free = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    assert given == [([texts[i].encode() for i in free], [i % 2 ^ 1 for i in free])]
+    for text in (b"", b"a", b"ab" * 32, *given[0][0][:3]):
+        own, again, _ = quality.chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        view, counts = quality._packed(text)
+        assert (view == own).all() and (quality._rates(counts) == again).all()
+
+
 def test_repeated_lines_of_odd_texts(spark):
     same = "a b c d e f g h i j\n\nA B C D E F G H I j k"
     rows = [(1, None, "x"), (2, "", None), (3, "\n\n", ""), (4, same, ""), (4, same, ""), (5, "x\na b c d e f g h i\nÉ é z w\n", ""), (6, "é z w\nÉ\nX", ""), (None, "a", "")]

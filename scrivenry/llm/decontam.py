@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .store import text_column
+from .worker import held
 
 COORDINATES = 64
 #: Items of up to this many shingles are searched with blocks of one shingle.
@@ -28,7 +29,6 @@ TINY = 8
 _MULTIPLIERS = np.random.default_rng(99).integers(1, 2**63, COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
-_WORKER: dict[tuple, Items] = {}
 
 
 class _Values:
@@ -167,10 +167,10 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, least: float
     out = None
     schema = "doc_id long, item_id long, item_shingles long, shared long"
     for block in item_blocks(items, block_items):
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            found = _items(held, k)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            found = _items(sent, k)
             for part, data, offsets in textnum.slices(batches, "text"):
                 rows = list(_verified(found, part, 1, data, offsets, least))
                 if rows:
@@ -190,10 +190,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, k: int = 5, least: float =
     spark = docs.sparkSession
     out = docs
     for block in item_blocks(items, block_items):
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            found = _items(held, k)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            found = _items(sent, k)
             for part, data, offsets in textnum.slices(batches, "text"):
                 keep = np.ones(part.num_rows, bool)
                 keep[[i for i, *_ in _verified(found, part, 1, data, offsets, least)]] = False
@@ -203,9 +203,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, k: int = 5, least: float =
     return out
 
 
-def _items(held, k: int) -> Items:
-    name, rows = held.value
-    if (name, k) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name, k] = Items(rows, k)
-    return _WORKER[name, k]
+def _items(block, k: int) -> Items:
+    name, rows = block.value
+    return held(("items", name, k), lambda: Items(rows, k))

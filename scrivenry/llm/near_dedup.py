@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from . import textnum
 from .components import connected_components
 from .store import stage_table, text_column
+from .worker import held
 
 UNIVERSE_BITS = 20
 MISS = 1e-7
 #: Buckets up to this many members are compared as pairs, larger ones block by block.
 SMALL = 32
-_PERMUTED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -36,12 +36,14 @@ def banding(percent: int) -> tuple[int, int]:
 
 def permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     """The scattering permutation, and for each slot its ranks in all shifts of the ranking permutation."""
-    if coordinates not in _PERMUTED:
+
+    def build() -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(1_234_567)
         first = rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32)
         ranks = rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-        _PERMUTED[coordinates] = first, sliding_window_view(np.concatenate([ranks, ranks[: coordinates - 1]]), coordinates)
-    return _PERMUTED[coordinates]
+        return first, sliding_window_view(np.concatenate([ranks, ranks[: coordinates - 1]]), coordinates)
+
+    return held(("permutations", coordinates), build)
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:

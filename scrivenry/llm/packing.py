@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from . import pretok, textnum
 from .store import text_column
-
-_WORKER: dict[tuple, pretok.Lookup] = {}
+from .worker import held
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,20 +43,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, ranks: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
     """Each document's ids and ``end_id``, cut at multiples of ``capacity``: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, ranks) not in _WORKER:
-            _WORKER.clear()
-            _WORKER[tokenizer, ranks] = pretok.Lookup(tokenizer, ranks=ranks)
-        lookup = _WORKER[tokenizer, ranks]
+        encoder = held(("ids", tokenizer), lambda: pretok.Encoder(tokenizer, ids=True))
         for part, data, offsets in textnum.slices(batches, "text"):
-            place, bounds, whole, _ = pretok.encode(data, offsets, lookup)
-            sizes = lookup.lengths[place].astype(np.int64)
+            starts, ends, bounds, odd = pretok.split(data, offsets)
+            place = encoder.numbers(data, starts, ends)
+            whole = encoder.whole(data, offsets, odd)
+            sizes = encoder.lengths[place].astype(np.int64)
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
-            flat = lookup.ids[np.repeat(lookup.begins[place] - (ends - sizes), sizes) + np.arange(total)]
+            flat = encoder.ids[np.repeat(encoder.begins[place] - (ends - sizes), sizes) + np.arange(total)]
             at = np.concatenate([[0], ends])[bounds]
             out: dict[str, list] = {"row": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
             for i in range(part.num_rows):
@@ -78,18 +76,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     return texts.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = 2_000, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = 2_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids followed by ``end_id``, so a null or empty text is one id; each id lies in exactly one
-    piece and each sequence holds ``capacity`` ids at most, gapless from offset 0. Documents are dealt to groups of
-    about ``group_docs`` at random (a hash of id and piece, so a hot source or a repeated row spreads too) and each group
+    piece and each sequence holds ``capacity`` ids at most, gapless from offset 0. The pieces of about ``group_docs``
+    documents are dealt to one group at random (a hash of the piece, so one long document spreads too) and each group
     is packed by itself; sequence ids are unique across groups and the same in every run. Repeated
-    rows are packed as often as they come; an empty table gives an empty one; other columns are ignored.
-    ``ranks`` names the same vocabulary as a rank file, which encodes single pre-tokens faster with the same ids.
+    rows are packed as often as they come, null ids like others; an empty table gives an empty one; other columns are ignored.
     """
     groups = max(1, math.ceil(docs.count() / group_docs))
-    cut = pieces(docs, tokenizer, capacity, end_id, ranks).withColumn("piece_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    cut = pieces(docs, tokenizer, capacity, end_id).withColumn("piece_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)

@@ -1,19 +1,17 @@
 """Vectorised pre-tokens of a byte-level BPE and a two-tier lookup of their encodings.
 
 The pre-token limits of a whole batch are computed on code points with numpy, by the published pattern of the
-tokenizer; each pre-token is looked up by a 64-bit fingerprint. Unknown ones are encoded by the library itself, once
-per worker, as a pre-token's encoding does not depend on its surroundings.
+tokenizer; each pre-token is looked up by two independent 64-bit fingerprints of its bytes. Unknown ones are encoded by the
+library itself, once per worker, as a pre-token's encoding does not depend on its surroundings.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import itertools
 import unicodedata
 
 import numpy as np
-import tiktoken
 from tokenizers import Tokenizer
 
 from . import textnum
@@ -23,11 +21,8 @@ OTHER, LETTER, NUMBER, BLANK, UNASSIGNED = range(5)
 BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Endings that the pattern splits off after an apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
-#: Most entries of a worker's cache; when it is full it starts again from the broadcast table.
-CACHE = 1_500_000
-SLOT_BITS = 21
-#: Fixed value: the tokenizer's published pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Most pre-tokens in a worker's cache before it starts again.
+CACHE = 400_000
 
 
 @functools.cache
@@ -39,22 +34,12 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
-@functools.cache
-def specials(path: str) -> dict[str, int]:
-    """Added tokens, which the library cuts out of a text wherever they stand."""
-    return {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
-
-
-def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
-    """UTF-8 bytes as text, its code points, and the offsets among them."""
-    text = data.tobytes().decode("utf-8")
-    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), before[offsets]
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Code points of UTF-8 bytes, the offsets among them, and each one's byte place (None where all are ASCII)."""
+    if not len(data) or data.max() < 0x80:
+        return data, offsets, None
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), np.searchsorted(at, offsets), at
 
 
 def pre_tokens(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +57,14 @@ def pre_tokens(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     # The last blank of a run before something else: a space joins what follows, another blank stands alone.
     ends_run = blank & np.append(change[1:], True)
     before_more = ends_run & ~first[1:]
-    start = change.copy()
+    start = change
     start[before_more] = True
     joins = before_more & (points == 0x20)
     start[1:] &= ~joins[:-1]
     # An apostrophe that begins a pre-token splits off its ending, also when more letters follow.
     quotes = np.flatnonzero(start & (points == 0x27))
     if len(quotes):
-        limit = np.append(offsets[np.searchsorted(offsets, quotes, "right")], [])
+        limit = offsets[np.searchsorted(offsets, quotes, "right")]
         taken = np.zeros(len(quotes), np.int64)
         padded = np.append(points, [0, 0])
         for e in ENDINGS:
@@ -96,119 +81,133 @@ def pre_tokens(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.append(starts[1:], n)
 
 
-@functools.cache
-def ranked(path: str, ranks: str) -> tiktoken.Encoding:
-    """The same vocabulary as a rank table, which encodes a single pre-token faster than the library does."""
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all pre-tokens in bytes, each text's bounds among them, and texts with unassigned code points."""
+    points, bounds, at = code_points(data, offsets)
+    starts, ends = pre_tokens(points, bounds)
+    odd = np.zeros(len(offsets) - 1, bool)
+    within = np.searchsorted(starts, bounds)
+    if at is not None:
+        odd[np.searchsorted(bounds, np.flatnonzero(classes()[points] == UNASSIGNED), "right") - 1] = True
+        starts, ends = at[starts], at[ends]
+    return starts, ends, within, odd
+
 
+class Table:
+    """128-bit fingerprint to a number from 0 on: an open-addressing hash table in three numpy arrays."""
 
-class Lookup:
-    """Fingerprint to encoding: a fixed table of frequent pre-tokens, then the worker's cache.
+    def __init__(self, bits: int = 12):
+        self.codes, self.checks = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int32)
+        self.count = 0
+
+    def find(self, codes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The number of each fingerprint, -1 where it's unknown."""
+        out = np.full(len(codes), -1, np.int32)
+        mask = np.uint64(len(self.values) - 1)
+        live, slots = np.arange(len(codes)), (codes & mask).astype(np.int64)
+        while len(live):
+            found = self.values[slots]
+            hit = (self.codes[slots] == codes[live]) & (self.checks[slots] == checks[live]) & (found >= 0)
+            out[live[hit]] = found[hit]
+            more = ~hit & (found >= 0)
+            live, slots = live[more], (slots[more] + 1) & int(mask)
+        return out
 
-    Both tiers share one direct-mapped table (a slot for the top bits of a fingerprint, with the entry that took it
-    first) beside the sorted fingerprints, which answer what the slots can't.
+    def put(self, codes: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct fingerprints that the table lacks; it stays half empty."""
+        if 2 * (self.count + len(codes)) > len(self.values):
+            old = np.flatnonzero(self.values >= 0)
+            kept = self.codes[old], self.checks[old], self.values[old]
+            self.__init__((4 * (self.count + len(codes))).bit_length())
+            self.put(*kept)
+        self.count += len(codes)
+        mask = len(self.values) - 1
+        live, slots = np.arange(len(codes)), (codes & np.uint64(mask)).astype(np.int64)
+        while len(live):
+            free = np.flatnonzero(self.values[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            own = live[free[first]]
+            self.codes[taken], self.checks[taken], self.values[taken] = codes[own], checks[own], values[own]
+            left = np.ones(len(live), bool)
+            left[free[first]] = False
+            live, slots = live[left], (slots[left] + 1) & mask
+
+
+def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit fingerprints of each pre-token."""
+    return textnum.slice_hashes(data, starts, ends), textnum.slice_hashes(data, starts, ends, 1)
+
+
+class Encoder:
+    """Encodings of pre-tokens: what ``first`` (a table of numbers of tokens) knows, then this worker's cache.
+
+    The cache keeps the number of tokens of each pre-token or, with ``ids``, the ids themselves; the library fills it. When
+    it holds ``cache`` pre-tokens it starts again, so its size is bounded for any number of texts.
     """
 
-    def __init__(self, path: str, frequent: list[str] = (), ranks: str | None = None, cache: int = CACHE):
-        self.path, self.ranks, self.cache = path, ranks, cache
-        self.frequent = list(frequent)
+    def __init__(self, path: str, first: Table | None = None, ids: bool = False, cache: int = CACHE):
+        self.library = Tokenizer.from_file(path)
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.first, self.with_ids, self.cache = first or Table(1), ids, cache
         self.reset()
 
     def reset(self) -> None:
-        self.count = 0
-        self.size = self.used = 0
-        self.lengths = np.zeros(1 << 16, np.int32)
-        self.begins = np.zeros(1 << 16, np.int64)
-        self.codes = np.zeros(1 << 16, np.uint64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.slot_code = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.slot_entry = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.rest_code, self.rest_entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        if self.frequent:
-            points = np.frombuffer("".join(self.frequent).encode("utf-32-le"), np.uint32)
-            ends = np.cumsum([len(x) for x in self.frequent])
-            self._add(fingerprints(points, np.append(0, ends[:-1]), ends), self.frequent)
-
-    def _add(self, codes: np.ndarray, texts: list[str]) -> None:
-        if self.ranks:
-            found = list(map(ranked(self.path, self.ranks).encode_ordinary, texts))
-        else:
-            found = [x.ids for x in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        n = len(codes)
-        self.lengths, self.begins, self.codes = (_room(x, self.count + n) for x in (self.lengths, self.begins, self.codes))
-        self.ids = _room(self.ids, self.used + len(flat))
-        entries = np.arange(self.count, self.count + n, dtype=np.int32)
-        self.lengths[entries], self.codes[entries] = lengths, codes
-        self.begins[entries] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.count, self.used = self.count + n, self.used + len(flat)
-        slots = (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        free = self.slot_entry[slots] < 0
-        self.slot_entry[slots[free][::-1]] = entries[free][::-1]
-        self.slot_code[slots[free][::-1]] = codes[free][::-1]
-        left = self.slot_entry[slots] != entries
-        more, which = np.concatenate([self.rest_code, codes[left]]), np.concatenate([self.rest_entry, entries[left]])
-        order = np.argsort(more, kind="stable")
-        self.rest_code, self.rest_entry = more[order], which[order]
-
-    def _find(self, codes: np.ndarray) -> np.ndarray:
-        slots = (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        out = self.slot_entry[slots]
-        miss = np.flatnonzero((self.slot_code[slots] != codes) | (out < 0))
-        out[miss] = -1
-        if len(miss) and len(self.rest_code):
-            at = np.minimum(np.searchsorted(self.rest_code, codes[miss]), len(self.rest_code) - 1)
-            hit = self.rest_code[at] == codes[miss]
-            out[miss[hit]] = self.rest_entry[at[hit]]
+        self.table = Table()
+        self.used = 0
+        self.lengths, self.begins, self.ids = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of each text, taken a few thousand at a time."""
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [x.ids for x in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
-    def places(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each pre-token; unknown ones are encoded first."""
-        if self.count > self.cache:
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, checks: np.ndarray) -> None:
+        raw = data.tobytes()
+        found = self.encoded([raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        if not self.with_ids:
+            self.table.put(codes, checks, lengths)
+            return
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        n, at = self.table.count, self.used
+        self.lengths, self.begins, self.ids = _room(self.lengths, n + len(found)), _room(self.begins, n + len(found)), _room(self.ids, at + len(flat))
+        self.lengths[n : n + len(found)] = lengths
+        self.begins[n : n + len(found)] = at + np.cumsum(lengths) - lengths
+        self.ids[at : at + len(flat)] = flat
+        self.used += len(flat)
+        self.table.put(codes, checks, np.arange(n, n + len(found), dtype=np.int32))
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each pre-token's number of tokens or, with ``ids``, its entry; what no table knows is encoded first."""
+        if self.table.count > self.cache:
             self.reset()
-        codes = fingerprints(points, starts, ends)
-        out = self._find(codes)
+        codes, checks = fingerprints(data, starts, ends)
+        out = self.first.find(codes, checks)
         miss = np.flatnonzero(out < 0)
+        out[miss] = self.table.find(codes[miss], checks[miss])
+        miss = miss[out[miss] < 0]
         if len(miss):
-            new, at = np.unique(codes[miss], return_index=True)
-            at = miss[at]
-            self._add(new, [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            out[miss] = self._find(codes[miss])
+            pairs = np.stack([codes[miss], checks[miss]], axis=1)
+            _, at = np.unique(pairs.view("V16").ravel(), return_index=True)
+            own = miss[at]
+            self._learn(data, starts[own], ends[own], codes[own], checks[own])
+            out[miss] = self.table.find(codes[miss], checks[miss])
         return out
 
+    def whole(self, data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> dict[int, list[int]]:
+        """Ids of texts that the library must encode whole: they hold an added token, or ``odd`` marks them."""
+        raw, odd = data.tobytes(), odd.copy()
+        for name in self.specials:
+            at = raw.find(name)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(name, at + 1)
+        which = np.flatnonzero(odd).tolist()
+        return dict(zip(which, self.encoded([raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in which]), strict=True))
+
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)])
-
-
-def fingerprints(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return textnum.slice_hashes(textnum.mix(points.astype(np.uint64) + np.uint64(1)), starts, ends)
-
-
-def odd_texts(data: np.ndarray, offsets: np.ndarray, points: np.ndarray, bounds: np.ndarray, path: str) -> np.ndarray:
-    """Texts that the library must encode whole: they hold an added token or a code point of unknown class."""
-    odd = np.zeros(len(offsets) - 1, bool)
-    where = np.flatnonzero(classes()[points] == UNASSIGNED)
-    odd[np.searchsorted(bounds, where, "right") - 1] = True
-    raw = data.tobytes()
-    for name in specials(path):
-        at = raw.find(name.encode())
-        while at >= 0:
-            odd[np.searchsorted(offsets, at, "right") - 1] = True
-            at = raw.find(name.encode(), at + 1)
-    return odd
-
-
-def encode(data: np.ndarray, offsets: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]], np.ndarray]:
-    """Entry of each pre-token, each text's bounds among them, and the ids of texts that the library encoded whole."""
-    text, points, bounds = code_points(data, offsets)
-    odd = odd_texts(data, offsets, points, bounds, lookup.path)
-    starts, ends = pre_tokens(points, bounds)
-    place = lookup.places(text, points, starts, ends) if len(starts) else np.zeros(0, np.int64)
-    raw = data.tobytes()
-    whole = {int(i): tokenizer(lookup.path).encode(raw[offsets[i] : offsets[i + 1]].decode("utf-8"), add_special_tokens=False).ids for i in np.flatnonzero(odd)}
-    return place, np.searchsorted(starts, bounds), whole, odd

@@ -56,7 +56,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(f"{BPE}.json"), ranks=public_tokenizers.path(f"{BPE}.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(f"{BPE}.json"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Vectorised words, shingles and fingerprints over Arrow string columns.
 
 Works on the UTF-8 bytes of a whole batch at once: word limits come from byte classes, a word's 64-bit
-fingerprint from prefix sums of a polynomial, a shingle's from the fingerprints of its words.
+fingerprint from its bytes taken eight at a time, a shingle's from the fingerprints of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-_TABLE = np.random.default_rng(20_240_101).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
 _STEPS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Slices of more bytes than this are digested one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,25 +33,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n-1 of the polynomial's base and of its inverse."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            out = np.full(size, U64(base))
-            out[0] = 1
-            np.cumprod(out, out=out)
-            _POWERS[i] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit fingerprint of data[start:end] for each slice of bytes; other seeds give independent ones.
 
-
-def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of values[start:end] for each slice; values are uint64."""
-    n = len(values)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(values * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(_BASE))
+    Each step scrambles the state with the next eight bytes, so that there is no algebra under which structured texts
+    collide; long slices are digested by BLAKE2b.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(U64) * U64(_BASE) + U64(seed * 0xD6E8FEB86659FD93 % 2**64))
+    blocks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    long = sizes > LONG
+    live = np.flatnonzero((sizes > 0) & ~long)
+    at = 0
+    while len(live):
+        room = np.minimum(sizes[live] - at, 8)
+        out[live] = mix(out[live] ^ (blocks[starts[live] + at] & _MASKS[room]))
+        at += 8
+        live = live[room == 8]
+        live = live[sizes[live] > at]
+    if long.any():
+        raw, salt = data.tobytes(), seed.to_bytes(8, "little")
+        for i in np.flatnonzero(long).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
 def strings(column: pa.Array) -> pa.Array:
@@ -67,7 +73,7 @@ def buffers(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of whole rows with at most ``limit`` bytes of text (or one longer row): rows, bytes, offsets."""
     for batch in batches:
         if not batch.num_rows:
@@ -81,11 +87,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             at = to
 
 
-def letters(data: np.ndarray) -> np.ndarray:
-    """What word fingerprints are made of."""
-    return _TABLE[LOWER[data]]
-
-
 def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and fingerprints of all words, and each text's first word number (one more entry than texts).
 
@@ -100,8 +101,7 @@ def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) ->
     now[:-1] = inside
     starts = np.flatnonzero(now & (~before | edge))
     ends = np.flatnonzero(before & (~now | edge))
-    hashes = slice_hashes(letters(data), starts, ends)
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, ends, slice_hashes(LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def short_salt(n: int) -> np.uint64:
@@ -120,13 +120,17 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     n = len(hashes)
     full = np.zeros(n, U64)
     for j in range(k):
-        full[: n - j] += hashes[j:] * _STEPS[j]
+        full[: max(0, n - j)] += hashes[j:] * _STEPS[j]
     last = np.repeat(bounds[1:], counts)
     valid = np.arange(n) + k <= last
     out = np.empty(limits[-1], U64)
     place = np.repeat(counts >= k, sizes)
     out[place] = full[valid]
-    for i in np.flatnonzero((counts > 0) & (counts < k)):
-        own = hashes[bounds[i] : bounds[i + 1]]
-        out[limits[i]] = (own * _STEPS[: len(own)]).sum(dtype=U64) + short_salt(len(own))
+    short = (counts > 0) & (counts < k)
+    own = np.zeros(short.sum(), U64)
+    first, count = bounds[:-1][short], counts[short]
+    for j in range(k - 1):
+        has = count > j
+        own[has] += hashes[first[has] + j] * _STEPS[j]
+    out[limits[:-1][short]] = own + count.astype(U64) * U64(_BASE)
     return mix(out), limits

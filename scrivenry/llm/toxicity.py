@@ -78,7 +78,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories:
 def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature hashes of all words, a column for the word and one per prefix (0 where the word is shorter), and bounds."""
     starts, ends, hashes, bounds = textnum.words(data, offsets, _OUTSIDE)
-    values = textnum.letters(data)
+    values = textnum.LOWER[data]
     columns = [hashes]
     for n in PREFIXES:
         long = ends - starts > n

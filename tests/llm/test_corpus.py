@@ -17,11 +17,15 @@ import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from scrivenry.llm import components, decontam, exact_dedup, fuse, line_dedup, near_dedup, packing, pii, pretok, quality, textnum, token_counts, toxicity, warc
 from scrivenry.llm.store import new_path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(BPE)
+#: The Thue-Morse word of 1,024 letters and its complement.
+TWINS = ["".join("ab"[(i.bit_count() + c) & 1] for i in range(1024)) for c in (0, 1)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, bands string, low int, token string, row int"
 VOCABULARY = [a + b for a, b in itertools.product("bdfglmnprst", ["a", "ee", "ion", "ou", "É", "or"])]
 
@@ -125,17 +129,60 @@ def test_pre_tokens_equal_the_library():
     rng = random.Random(0)
     alphabet = [*"ab1'stremvld  \n\t!.é٣　", "'re", "'ll", "<|endoftext|>", "͸", "中", "🙂"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(5_000)] + ["", "'", "'s", " ", "x" * 5_000]
-    expected = [e.ids for e in pretok.tokenizer(BPE).encode_batch(texts, add_special_tokens=False)]
+    expected = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     data, offsets = textnum.buffers(pa.array(texts))
-    for lookup in (pretok.Lookup(BPE), pretok.Lookup(BPE, ["a", " ab"], public_tokenizers.path("byte_bpe_50k.tiktoken"), cache=50)):
-        place, bounds, whole, _ = pretok.encode(data, offsets, lookup)
-        for i, ids in enumerate(expected):
-            own = [x for p in place[bounds[i] : bounds[i + 1]] for x in lookup.ids[lookup.begins[p] : lookup.begins[p] + lookup.lengths[p]].tolist()]
-            assert whole.get(i, own) == ids
+    starts, ends, bounds, odd = pretok.split(data, offsets)
+    for cache in (50, pretok.CACHE):
+        lengths = pretok.Encoder(BPE, token_counts.length_table(BPE, ["a", " ab", "é"]), cache=cache)
+        ids = pretok.Encoder(BPE, ids=True, cache=cache)
+        for _ in range(2):
+            n, place, whole = lengths.numbers(data, starts, ends), ids.numbers(data, starts, ends), ids.whole(data, offsets, odd)
+            for i, own in enumerate(expected):
+                entries = place[bounds[i] : bounds[i + 1]]
+                assert whole.get(i, [x for p in entries for x in ids.ids[ids.begins[p] : ids.begins[p] + ids.lengths[p]].tolist()]) == own
+                assert i in whole or n[bounds[i] : bounds[i + 1]].sum() == len(own)
+
+
+def test_hash_table_against_a_dict():
+    rng = np.random.default_rng(4)
+    table, plain = pretok.Table(1), {}
+    for _ in range(30):
+        codes, checks = rng.integers(0, 50, 40).astype(np.uint64), rng.integers(0, 9, 40).astype(np.uint64)
+        keys = [*zip(codes.tolist(), checks.tolist(), strict=True)]
+        assert table.find(codes, checks).tolist() == [plain.get(k, -1) for k in keys]
+        new = [i for i, k in enumerate(keys) if k not in plain and k not in keys[:i]]
+        table.put(codes[new], checks[new], np.arange(len(new), dtype=np.int32))
+        plain |= {keys[i]: n for n, i in enumerate(new)}
+
+
+def test_fingerprints_of_structured_words():
+    """Sequences on which any polynomial over 64-bit integers collides, and slices of all lengths."""
+    data, offsets = textnum.buffers(pa.array([x for t in TWINS for x in (t, t[1:], t[:64], t[:63])] + ["", "a", "a\0", "a" * 8, "a" * 16]))
+    for seed in (0, 1):
+        assert len(set(textnum.slice_hashes(data, offsets[:-1], offsets[1:], seed).tolist())) == len(offsets) - 1
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 3, 4_000).astype(np.uint8)
+    starts = rng.integers(0, 4_000, 3_000)
+    ends = np.minimum(4_000, starts + rng.integers(0, 90, 3_000))
+    found = textnum.slice_hashes(data, starts, ends).tolist()
+    by_text = {}
+    for h, a, b in zip(found, starts, ends, strict=True):
+        by_text.setdefault(data[a:b].tobytes(), set()).add(h)
+    assert all(len(x) == 1 for x in by_text.values()) and len(set(found)) == len(by_text)
+
+
+def test_different_words_of_one_fingerprint_family(spark):
+    docs = table(spark, [(1, TWINS[0]), (2, TWINS[1])])
+    rows = {r.doc_id: r for r in token_counts.token_counts(docs, BPE).collect()}
+    for r in packing.pack(docs, BPE, capacity=4_096).collect():
+        ids = np.array([*LIBRARY.encode(TWINS[r.doc_id - 1], add_special_tokens=False).ids, 0], "<u4")
+        assert (r.ids_crc32, r.doc_tokens, rows[r.doc_id].n_tokens) == (zlib.crc32(ids.tobytes()), len(ids), len(ids) - 1)
+    assert {r.component_id for r in near_dedup.near_duplicates(docs, 3, 85).collect()} == {1, 2}
+    assert [r.n_removed for r in line_dedup.repeated_lines(docs).collect()] == [0, 0]
 
 
 def test_token_counts(spark, corpus):
-    t = pretok.tokenizer(BPE)
+    t = LIBRARY
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(table(spark, corpus), BPE).collect()}
     for i, text in corpus:
         n = len(t.encode(text or "", add_special_tokens=False).ids)
@@ -143,8 +190,8 @@ def test_token_counts(spark, corpus):
 
 
 def test_packing(spark, corpus):
-    t = pretok.tokenizer(BPE)
-    rows = packing.pack(table(spark, corpus), BPE, capacity=256, group_docs=30, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    t = LIBRARY
+    rows = packing.pack(table(spark, corpus), BPE, capacity=256, group_docs=30).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)

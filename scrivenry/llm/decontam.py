@@ -147,7 +147,7 @@ def _verified(items: Items, part: pa.RecordBatch, column: int, data: np.ndarray,
 
 def item_blocks(items: DataFrame, block_items: int) -> list[list[tuple[int, str]]]:
     """The items in blocks of about ``block_items``, one block at a time on the driver."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_column(items).alias("text")).where("item_id is not null").distinct()
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_column(items).alias("text")).distinct()
     n = max(1, math.ceil(rows.count() / block_items))
     for i in range(n):
         yield [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
@@ -159,7 +159,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, least: float
     Containment is the share of the item's distinct ``k``-word shingles (A-Z lower-cased, words split at white space)
     that the document has; ``least`` or more counts. An item of fewer words is one shingle of its own length. Items
     without words, and null or wordless documents, match nothing; an item_id with several texts is searched for each of
-    them; a repeated document row repeats its rows; other columns are ignored; empty tables give an empty result. Items are
+    them, and so is an item without an id; a repeated document row repeats its rows; other columns are ignored; empty tables give an empty result. Items are
     broadcast in blocks of ``block_items``, each of which is searched in all documents.
     """
     spark = docs.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .store import stage_table, text_column
+from .store import rows_that_stay, stage_table, text_column
 
 #: Distinct digests that a bucket, and so a filter, holds on average.
 BUCKET_KEYS = 65_536
@@ -38,15 +38,40 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-def snapshot(rows: DataFrame, buckets: int, name: int) -> tuple[DataFrame, DataFrame]:
-    """An immutable snapshot of digests: its exact buckets and one binary-fuse filter for each bucket."""
-    exact = stage_table(_keyed(_grouped(rows), buckets), "exact")
+def _filters(exact: DataFrame, name: int) -> DataFrame:
+    """One binary-fuse filter for each exact bucket."""
 
     def filtered(keys: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [keys.bucket.iloc[0]], "blob": [fuse.build(keys.key.to_numpy())]})
 
-    filters = exact.select("bucket", "key").groupBy("bucket").applyInPandas(filtered, "bucket int, blob binary")
-    return exact, stage_table(filters.withColumn("snapshot", F.lit(name)), "filters")
+    return exact.select("bucket", "key").groupBy("bucket").applyInPandas(filtered, "bucket int, blob binary").withColumn("snapshot", F.lit(name))
+
+
+def save_snapshot(docs: DataFrame, path: str) -> None:
+    """Write the digests of ``docs`` as an immutable snapshot: exact buckets and filters under ``path``, for later batches."""
+    rows = digests(docs)
+    buckets = max(1, math.ceil(rows.count() / BUCKET_KEYS))
+    _keyed(_grouped(rows), buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/exact")
+    _filters(docs.sparkSession.read.parquet(f"{path}/exact"), 0).write.parquet(f"{path}/filters")
+
+
+def seen_before(docs: DataFrame, paths: list[str]) -> DataFrame:
+    """(doc_id, text_sha256, old_id) of documents whose digest a saved snapshot has, old_id the smallest doc_id there.
+
+    A batch's own duplicates are left to ``exact_duplicates``. Null texts count as empty; a null doc_id stays null; an empty
+    batch, or no snapshot, gives an empty table.
+    """
+    spark = docs.sparkSession
+    rows = stage_table(digests(docs), "batch")
+    found = rows.select("group_key", F.col("doc_id").alias("old_id")).limit(0)
+    for path in paths:
+        exact = spark.read.parquet(f"{path}/exact")
+        first = exact.select("buckets").first()
+        if first is not None:
+            passed = screen(_keyed(_grouped(rows), first.buckets), spark.read.parquet(f"{path}/filters"))
+            found = found.unionByName(passed.select("group_key", "bucket").join(exact.select("group_key", "bucket", F.col("first_id").alias("old_id")), ["group_key", "bucket"]).select("group_key", "old_id"))
+    least = found.groupBy("group_key").agg(F.min("old_id").alias("old_id"))
+    return rows.join(least, "group_key").select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), "old_id")
 
 
 def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
@@ -63,8 +88,9 @@ def exact_duplicates(docs: DataFrame, snapshots: int = 2, digest_bits: int = 256
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after white space is normalised; nulls count as empty. The smallest doc_id
-    of equal texts stays. A doc_id that comes in several rows with the same text is counted for each; other
-    columns are ignored; an empty table gives an empty one.
+    of equal texts stays; rows without an id stay only where all of their group lack one, and keep_id is null then. Rows
+    that repeat an id and a text are counted and marked each (``without_duplicates`` leaves one of them); an id with
+    several texts is in the group of each; other columns are ignored; an empty table gives an empty one.
 
     The table is taken in ``snapshots`` parts by doc_id, as they would arrive: each part is grouped by itself, its distinct
     digests are screened by the filters of the parts before it, what passes is joined with their exact buckets, and
@@ -83,14 +109,16 @@ def exact_duplicates(docs: DataFrame, snapshots: int = 2, digest_bits: int = 256
     filters: DataFrame | None = None
     merged: list[DataFrame] = []
     for i in range(snapshots):
-        exact, own = snapshot(rows.where(part == i), buckets, i)
+        exact = stage_table(_keyed(_grouped(rows.where(part == i)), buckets), "exact")
         if filters is not None:
             passed = screen(exact.select("group_key", "first_id", "n", "key", "bucket"), filters)
             for k, before in enumerate(exacts):
                 hits = passed.where(F.col("snapshot") == k).select("group_key", F.col("bucket"), "first_id", "n")
                 merged.append(hits.join(before.select("bucket", "group_key", F.col("first_id").alias("old_id"), F.col("n").alias("old_n")), ["bucket", "group_key"]).select("group_key", F.lit(k).alias("old"), "old_id", "old_n"))
         exacts.append(exact)
-        filters = own if filters is None else filters.unionByName(own)
+        if i + 1 < snapshots:
+            own = stage_table(_filters(exact, i), "filters")
+            filters = own if filters is None else filters.unionByName(own)
     own = None
     for i, exact in enumerate(exacts):
         now = exact.select("group_key", "first_id", "n", F.lit(i).alias("part"))
@@ -109,23 +137,35 @@ def exact_duplicates(docs: DataFrame, snapshots: int = 2, digest_bits: int = 256
         final = joined.select("doc_id", "keep_id", "group_size", "sha")
     else:
         final = _regrouped(joined, differing)
-    return final.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return final.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _differing(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of groups whose normalised text isn't, byte for byte, that of the row that stays: doc_id, group_key, text."""
-    several = joined.where("group_size > 1").select("doc_id", "group_key", "keep_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_column(docs)).alias("text"))
-    members = texts.join(several, "doc_id")
+    """Members of groups whose texts aren't all the same byte for byte: doc_id, sha, group_key, text."""
+    several = joined.where("group_size > 1").select("doc_id", "sha", "group_key").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), normalised(text_column(docs)).alias("text")).withColumn("own_sha", F.unhex(F.sha2("text", 256)))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sha") == F.col("sha"))
+    members = texts.join(several, same).select("doc_id", "sha", "group_key", "text")
     # Of equal texts one is enough to compare; a group's copies meet in the map-side part of this aggregation.
-    members = members.groupBy("group_key", "keep_id", F.sha2("text", 512).alias("d")).agg(F.max("text").alias("high"), F.min("text").alias("low"), F.min("doc_id").alias("least"), F.max(F.expr("doc_id = keep_id")).alias("is_kept"))
-    odd = members.groupBy("group_key").agg(F.count("*").alias("kinds"), F.max(F.expr("high <> low")).alias("mixed")).where("kinds > 1 or mixed")
-    return texts.join(several.join(odd, "group_key", "left_semi"), "doc_id").select("doc_id", "group_key", "text")
+    kinds = members.groupBy("group_key", F.sha2("text", 512).alias("d")).agg(F.max("text").alias("high"), F.min("text").alias("low"))
+    odd = kinds.groupBy("group_key").agg(F.count("*").alias("kinds"), F.max(F.expr("high <> low")).alias("mixed")).where("kinds > 1 or mixed")
+    return members.join(odd.select("group_key"), "group_key", "left_semi")
 
 
 def _regrouped(joined: DataFrame, differing: DataFrame) -> DataFrame:
     """Groups by text where a digest covers several texts."""
-    kinds = differing.groupBy("group_key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    fixed = differing.join(kinds, ["group_key", "text"]).select("doc_id", F.col("keep_id").alias("k"), F.col("group_size").alias("g")).distinct()
-    out = joined.join(fixed, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("k", "keep_id").alias("keep_id"), F.coalesce("g", "group_size").alias("group_size"), "sha")
+    kinds = differing.groupBy("group_key", "text").agg(F.min("doc_id").alias("k"), F.count("*").alias("g"))
+    fixed = differing.join(kinds, ["group_key", "text"]).select(F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha"), "k", "g").distinct()
+    out = joined.join(fixed, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sha") == F.col("sha")), "left")
+    new = F.col("g").isNotNull()
+    return out.select("doc_id", F.when(new, F.col("k")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(new, F.col("g")).otherwise(F.col("group_size")).alias("group_size"), "sha")
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows that stay, one for each text, all columns as they are.
+
+    A row is known by its id (null or not) and its text's digest, so an id that repeats with another text is decided for
+    each text. Of rows that agree in both, which are rare, one is kept.
+    """
+    decided = stage_table(exact_duplicates(docs), "decided").select(F.col("doc_id").alias("own_id"), F.unhex("text_sha256").alias("own_digest"), "kept")
+    return rows_that_stay(docs, F.unhex(F.sha2(normalised(text_column(docs)), 256)), decided)

@@ -49,13 +49,45 @@ def drop(spark: SparkSession, *paths: str) -> None:
             _WRITTEN["paths"].remove(path)
 
 
+def paths_of(*staged: DataFrame) -> list[str]:
+    """The folders of staged tables."""
+    return [t._staged_at for t in staged]
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again: lineage ends here."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def text_column(df: DataFrame, name: str = "text") -> Column:
     """A text column with nulls as empty strings."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def rows_that_stay(docs: DataFrame, digest: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those decided against, all columns as they are.
+
+    ``decided`` has own_id, own_digest and kept for each row; a row is known by its doc_id (null or not) and ``digest``. Of
+    rows that agree in both, which are rare, one stays. What goes is usually little, so Spark may broadcast it by its own
+    size check; beyond that the tables are joined by sort and merge.
+    """
+    name = unused(docs, "digest")
+    gone = stage_table(decided.where("NOT kept").select("own_id", "own_digest").distinct(), "gone")
+    often = stage_table(decided.where("kept").groupBy("own_id", "own_digest").agg(F.count("*").alias("n")).where("n > 1").select("own_id", "own_digest"), "often")
+    tagged = docs.withColumn(name, digest)
+    same = tagged["doc_id"].cast("long").eqNullSafe(F.col("own_id")) & (tagged[name] == F.col("own_digest"))
+    out = tagged.join(gone, same, "left_anti")
+    if not often.isEmpty():
+        out = out.join(often, same, "left_anti").unionByName(tagged.join(often, same, "left_semi").dropDuplicates(["doc_id", name]))
+    return out.select(docs.columns)

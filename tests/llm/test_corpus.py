@@ -510,6 +510,59 @@ def test_pipeline_stages(spark):
     assert kept == {r.doc_id for r in docs.collect()}
 
 
+def plain_near(rows, k, percent):
+    """Each row's component, and the positions that stay: the smallest (no id, id, text hash) of each."""
+    sets = {n: decontam.shingle_set(plain_words(t), k) for n, (_, t) in enumerate(rows)}
+    return {n: c if sets[n] else None for n, c in plain_components(sets, percent).items()}
+
+
+ODD = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "x y z"), (3, "x  y z"), (3, "z only here"), (None, "a b c d e f g"), (None, "null twice"), (None, "null twice"), (None, "NULL  twice"), (4, None), (5, ""), (4, None), (6, "null alone"), (None, "x y z w")]
+
+
+def test_ids_that_repeat_or_lack(spark):
+    docs = table(spark, ODD)
+    norm = [re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for _, t in ODD]
+    groups = {t: [i for (i, _), x in zip(ODD, norm, strict=True) if x == t] for t in norm}
+    keep = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    expected = sorted(((i, keep[t], len(groups[t]), i == keep[t], hashlib.sha256(t.encode()).hexdigest()) for (i, _), t in zip(ODD, norm, strict=True)), key=str)
+    for bits in (256, 4):
+        assert sorted((tuple(r) for r in exact_dedup.exact_duplicates(docs, 2, bits).collect()), key=str) == expected
+    kept = sorted(((r.doc_id, r.text) for r in exact_dedup.without_duplicates(docs).collect()), key=str)
+    assert [(i, re.sub(" +", " ", t or "")) for i, t in kept] == sorted(((keep[t], t) for t in groups), key=str)
+
+    parts = plain_near(ODD, 3, 85)
+    least = {c: min((ODD[n][0] for n in parts if parts[n] == c and ODD[n][0] is not None), default=None) for c in parts.values()}
+    expected = sorted(((i, i if parts[n] is None else least[parts[n]]) for n, (i, _) in enumerate(ODD)), key=str)
+    got = near_dedup.near_duplicates(docs, 3, 85).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == expected
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    kept = near_dedup.without_near_duplicates(docs, 3, 85).collect()
+    assert near_dedup.without_near_duplicates(docs, 3, 85).columns == docs.columns
+    words_of = lambda t: " ".join(plain_words(t))
+    assert sorted((words_of(r.text), r.doc_id) for r in kept if words_of(r.text) and r.doc_id) == [("a b c d e f g", 1), ("null alone", 6), ("x y z", 2), ("z only here", 3)]
+    assert sorted(words_of(r.text) for r in kept if words_of(r.text) and not r.doc_id) == ["null twice", "x y z w"]
+    assert len([r for r in kept if not words_of(r.text)]) == 3
+
+
+def test_later_batches_meet_saved_snapshots(spark, corpus):
+    path = new_path(spark, "snapshot")
+    exact_dedup.save_snapshot(table(spark, corpus), path)
+    batch = [(9_001, corpus[0][1]), (9_002, "never seen"), (None, corpus[1][1]), (9_003, None)]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+    least = {}
+    for i, t in corpus:
+        least[norm(t)] = min(i, least.get(norm(t), i))
+    got = {r.doc_id: r.old_id for r in exact_dedup.seen_before(table(spark, batch), [path]).collect()}
+    assert got == {i: least[norm(t)] for i, t in batch if norm(t) in least}
+    assert exact_dedup.seen_before(table(spark, batch), []).count() == 0
+
+
+def test_components_raise_when_they_are_cut_short(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(chain, rounds=1)
+
+
 def test_rows_that_repeat(spark, corpus):
     rows = corpus[:6] + corpus[:2]
     assert near_dedup.near_duplicates(table(spark, rows)).count() == 8

@@ -15,30 +15,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go; it learns from labels of documents it is given."""
+    """Documents that the classifier chain rejects go; it learns from labels of documents it is given.
+
+    Null and empty texts, and rows that repeat, are scored as they are; without labels nothing goes.
+    """
     return toxicity.without_toxic(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
-    gone = exact_dedup.exact_duplicates(docs).where("NOT kept").select(F.col("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts (white space aside) one row stays: that with the smallest doc_id.
+
+    Rows are decided by id and text, so an id with several texts, or none, is decided for each; null counts as an empty text.
+    """
+    return exact_dedup.without_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies (five-word shingles, similarity 0.8) stays: that with the smallest doc_id.
+
+    Rows are decided by id and text, as above; texts without words all stay.
+    """
+    return near_dedup.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and wordless texts stay, repeated rows share their text's fate."""
     return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of at most 1,024 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """What is left, packed into sequences of at most 1,024 ids; null and empty texts are one id, repeated rows are packed each."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -54,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``, each one's result written and read again."""
+    """The stages one after another over ``documents``, each one's result written and read again; an empty table gives an empty one."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")

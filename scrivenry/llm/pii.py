@@ -5,8 +5,9 @@ text by the same pattern, as a match begins where the pieces and matches before
 
 Sanitisation is information-theoretic: an entity (a value found in the corpus) has the information content
 ``-log2 p(entity)``; a term reveals ``log2(p(entity, term) / (p(entity) p(term)))`` of it, probabilities being shares of all
-documents. Both are looked for in whole documents, however far apart, terms outside the spans of fixed kinds. A term that reveals at least ``generalise`` of an entity's content is replaced by its kind, from
-``remove`` on it is taken out, in every document that has the entity.
+documents. Both are looked for in whole documents, however far apart, terms outside the spans of fixed kinds. A term that
+reveals at least ``generalise`` of an entity's content is replaced by its kind, from ``remove`` on it is taken out, in every
+document that has the entity.
 """
 
 from __future__ import annotations
@@ -47,12 +48,23 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """(start, end, value) of all matches, or those with a ``wanted`` value, in code points."""
+def _bound(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(x), then)[0]
+
+
+SPAN = "array<struct<start:int,end:int,value:string>>"
+
+
+def _located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None, run: int = 128) -> Column:
+    """(start, end, value) of all matches, or those with a ``wanted`` value, in code points.
+
+    Matches are added up in runs of ``run``, each from 0, and then moved to where their run begins, so the work grows
+    with the number of matches and not with its square.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("spans"))
+    empty = F.array().cast(SPAN)
+    zipped = _bound(found, lambda values: F.arrays_zip(F.slice(pieces, 1, F.size(values)).alias("piece"), values.alias("value")))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
@@ -60,7 +72,19 @@ def _located(text: Column, pattern: str, wanted: Callable[[Column], Column] | No
         more = F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
         return F.struct(end.alias("at"), (F.when(wanted(x["value"]), more).otherwise(acc["spans"]) if wanted else more).alias("spans"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
+    def added(matches: Column) -> Column:
+        return F.aggregate(matches, F.struct(F.lit(0).alias("at"), F.coalesce(F.lit(None).cast(SPAN), empty).alias("spans")), step)
+
+    def moved(runs: Column) -> Column:
+        begins = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+        shift = lambda r, by: F.transform(r["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(runs, _bound(begins, lambda x: F.slice(x, 1, F.size(runs))), shift))
+
+    def all_of(matches: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / run).cast("int")), lambda i: added(F.slice(matches, i * run + 1, run)))
+        return F.when(F.size(matches) <= run, added(matches)["spans"]).otherwise(_bound(runs, moved))
+
+    return _bound(zipped, all_of)
 
 
 def base_spans(text: Column) -> Column:
@@ -83,15 +107,38 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with as many spaces as a span has code points in its place."""
+def _replaced(text: Column, spans: Column, shown: Callable[[Column, Column], Column], many: int = 256) -> Column:
+    """The text with ``shown`` (of a span and where the ones before it end) in place of each span, by start.
+
+    Pieces of a text with up to ``many`` spans are cut from the string; with more, from an array of its characters, as to find
+    a place in a string means to walk there.
+    """
+
+    def joined(piece: Callable[[Column, Column], Column], whole: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            before = F.greatest(s["start"] - acc["at"], F.lit(0))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], before), shown(s, acc["at"]))).alias("out"))
+
+        def added(own: Column, at: Column) -> Column:
+            start = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(own, start, step, lambda acc: F.struct(acc["at"].alias("at"), F.array_join(acc["out"], "").alias("out")))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+        def rest(last: Column) -> Column:
+            return F.array_join(F.concat(last["out"], F.array(piece(last["at"], F.greatest(whole - last["at"], F.lit(0))))), "")
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / 128).cast("int")), lambda i: F.slice(spans, i * 128 + 1, 128))
+        one = lambda acc, own: _bound(added(own, acc["at"]), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+        return F.aggregate(runs, start, one, rest)
+
+    direct = joined(lambda at, n: F.substring(text, at + 1, n), F.length(text))
+    by_letter = _bound(F.split(text, ""), lambda x: joined(lambda at, n: F.array_join(F.slice(x, at + 1, n), ""), F.length(text)))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) <= many, direct).otherwise(by_letter)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with as many spaces as a span has code points in its place."""
+    return _replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
 
 
 def _words(text: Column) -> Column:
@@ -153,15 +200,12 @@ def sanitised(docs: DataFrame, support: int = 2, generalise: float = 0.5, remove
     """(doc_id, text): base spans as their kind in brackets, disclosing terms as ``[TERM]`` or, from ``remove`` on, taken out."""
     found = _with_terms(docs, support, generalise)
 
-    def step(acc: Column, s: Column) -> Column:
+    def shown(s: Column, at: Column) -> Column:
         taken = F.element_at("shares", F.lower(s["value"])) >= remove
-        shown = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(taken, F.lit("")).otherwise(F.lit("[TERM]"))
-        kept = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        moved = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, shown).alias("out"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(moved)
+        mark = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(taken, F.lit("")).otherwise(F.lit("[TERM]"))
+        return F.when(s["start"] < at, F.lit("")).otherwise(mark)
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", done.alias("text"))
+    return found.select("doc_id", _replaced(F.col("text"), F.col("spans"), shown).alias("text"))
 
 
 def _with_terms(docs: DataFrame, support: int, generalise: float) -> DataFrame:
@@ -174,5 +218,7 @@ def _with_terms(docs: DataFrame, support: int, generalise: float) -> DataFrame:
     terms = disclosing_terms(found, found.count(), support, generalise)
     shares = terms.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     spans = F.when(F.col("shares").isNotNull(), F.array_sort(F.concat("spans", _term_spans(F.col("rest"), F.col("shares"))))).otherwise(F.col("spans"))
-    more = held.join(shares, "row", "left").withColumn("spans", spans).select("doc_id", "text", "spans", "shares")
+    # Dealt by a fixed number: what one row takes doesn't show in its bytes, by which small partitions would be merged.
+    dealt = held.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+    more = dealt.join(shares, "row", "left").withColumn("spans", spans).select("doc_id", "text", "spans", "shares")
     return none.select("doc_id", "text", "spans", F.lit(None).cast("map<string,double>").alias("shares")).unionByName(more)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -30,49 +31,66 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def train_dictionary(pages: DataFrame, sample_pages: int = 400, size: int = 32_768) -> bytes:
-    """A compression dictionary from about ``sample_pages`` pages; only the archives' size depends on it."""
-    total = pages.count()
-    if not total:
-        return b""
-    rows = pages.select(F.substring(text_column(pages, "html"), 1, 20_000).alias("html")).sample(fraction=min(1.0, sample_pages / total), seed=3).limit(2 * sample_pages).collect()
+    """A compression dictionary from the first ``sample_pages`` pages that Spark finds; only the archives' size depends on it."""
+    rows = pages.select(F.substring(text_column(pages, "html"), 1, 20_000).alias("html")).where("html <> ''").take(sample_pages)
     try:
-        return zstandard.train_dictionary(size, [r.html.encode() for r in rows if r.html]).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from
+        return zstandard.train_dictionary(size, [r.html.encode() for r in rows]).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too little to learn from
         return b""
 
 
-def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, original: the largest page_id with the same payload."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_column(pages, "html").alias("html")).where("page_id is not null").withColumn("digest", F.sha1("html"))
-    return rows.join(rows.groupBy("digest").agg(F.max("page_id").alias("original")), "digest")
+def with_originals(pages: DataFrame, archive_bytes: int = 128 << 20) -> DataFrame:
+    """page_id, url, html, size, digest, original (the largest page_id with the same payload), dealt to archives.
+
+    Payloads are the same when length, SHA-1 and a second hash agree. Only ids meet by payload, so one that very many pages
+    share makes no large group of texts; pages are then dealt by id to as many partitions as hold about
+    ``archive_bytes`` of payload each.
+    """
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_column(pages, "html").alias("html"))
+    rows = rows.select("*", F.expr("octet_length(html)").cast("long").alias("size"), F.sha1("html").alias("digest"), F.xxhash64("html").alias("second"))
+    same = ["size", "digest", "second"]
+    ids = rows.select("page_id", *same).distinct()
+    several = ids.groupBy(*same).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = ids.join(several, same).where(~F.col("page_id").eqNullSafe(F.col("original"))).select(F.col("page_id").alias("own_id"), *(F.col(c).alias(f"own_{c}") for c in same), "original")
+    archives = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / archive_bytes))
+    agree = F.col("page_id").eqNullSafe(F.col("own_id"))
+    for c in same:
+        agree &= F.col(c) == F.col(f"own_{c}")
+    out = rows.repartition(archives, "page_id", *same).join(revisits, agree, "left")
+    is_response = F.col("own_digest").isNull()
+    return out.select("page_id", "url", "html", "size", "digest", F.when(is_response, F.col("page_id")).otherwise(F.col("original")).alias("original"), is_response.alias("is_response"))
 
 
 def _header(name: bytes, value: str) -> bytes:
     return name + b": " + value.replace("\r", "%0D").replace("\n", "%0A").encode() + b"\r\n"
 
 
-def record(page_id: int, url: str | None, payload: bytes | None, size: int, digest: str, original: int) -> bytes:
+def _name(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, original: int | None) -> bytes:
     """One response or revisit record; a revisit keeps the HTTP header, which has the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if payload is None else http + payload
-    out = VERSION + b"\r\n" + _header(b"WARC-Type", "revisit" if payload is None else "response") + _header(b"WARC-Record-ID", f"<urn:page:{page_id}>") + _header(b"WARC-Date", "2024-01-01T00:00:00Z")
+    out = VERSION + b"\r\n" + _header(b"WARC-Type", "revisit" if payload is None else "response") + _header(b"WARC-Record-ID", _name(page_id)) + _header(b"WARC-Date", "2024-01-01T00:00:00Z")
     if url is not None:
         out += _header(b"WARC-Target-URI", url)
     if payload is None:
-        out += _header(b"WARC-Profile", PROFILE.decode()) + _header(b"WARC-Refers-To", f"<urn:page:{original}>")
+        out += _header(b"WARC-Profile", PROFILE.decode()) + _header(b"WARC-Refers-To", _name(original))
     out += _header(b"WARC-Payload-Digest", f"sha1:{digest}") + _header(b"Content-Type", "application/http; msgtype=response") + _header(b"Content-Length", str(len(block)))
     return out + b"\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, dictionary: bytes | None = None) -> None:
-    """Write a record for each page; each of Spark's partitions is one archive under ``path``.
+def write_archives(pages: DataFrame, path: str, dictionary: bytes | None = None, archive_bytes: int = 128 << 20) -> None:
+    """Write a record for each page into archives of about ``archive_bytes`` of payload under ``path``.
 
-    Of pages with equal payloads (null html is empty) the largest page_id is the response, the others revisit it. Rows
-    without a page_id are left out; a page_id that repeats with one payload gives as many records; other columns
-    are ignored; no pages give no archive.
+    Of pages with equal payloads (null html is empty) the largest page_id is the response, the others revisit it; a page
+    without an id is named so and revisits one that has an id. A page_id that repeats with one payload gives as many
+    records, with several payloads one of its kind for each; other columns are ignored; no pages give no archive.
     """
     words = train_dictionary(pages) if dictionary is None else dictionary
-    rows = with_originals(pages).select("page_id", "url", F.expr("octet_length(html)").cast("long").alias("size"), F.when(F.col("page_id") == F.col("original"), F.col("html")).alias("html"), "digest", "original")
+    rows = with_originals(pages, archive_bytes).select("page_id", "url", "size", F.when(F.col("is_response"), F.col("html")).alias("html"), "digest", "original")
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
@@ -142,10 +160,10 @@ def _number(value: bytes) -> int:
     return int(value)
 
 
-def _page(value: bytes) -> int:
+def _page(value: bytes) -> int | None:
     if not value.startswith(b"<urn:page:") or not value.endswith(b">"):
         raise ValueError("bad record id")
-    return int(value[10:-1])
+    return None if value == b"<urn:page:none>" else int(value[10:-1])
 
 
 def parse_record(raw: bytes) -> dict:
@@ -176,7 +194,7 @@ def parse_record(raw: bytes) -> dict:
     return {"page_id": _page(fields[b"warc-record-id"]), "url": fields[b"warc-target-uri"].decode() if b"warc-target-uri" in fields else None, "payload_bytes": size, "payload_digest": digest.decode(), "record_type": kind.decode(), "refers_to": _page(fields[b"warc-refers-to"]) if kind == b"revisit" else None, "payload": payload if kind == b"response" else None, "error": None}
 
 
-def parse_archive(data: memoryview, most: int = 1 << 30) -> Iterator[dict]:
+def parse_archive(data: memoryview) -> Iterator[dict]:
     """The records of one archive; a bad record or a cut archive gives a row whose ``error`` says so."""
     bad = dict.fromkeys(x.split()[0] for x in RECORD.split(", "))
     opener = zstandard.ZstdDecompressor()
@@ -191,9 +209,7 @@ def parse_archive(data: memoryview, most: int = 1 << 30) -> Iterator[dict]:
             if magic != FRAME_MAGIC:
                 continue
             try:
-                if zstandard.frame_content_size(frame[:18]) > most:
-                    raise ValueError("record too large")
-                yield parse_record(opener.decompress(frame, max_output_size=most))
+                yield parse_record(opener.decompressobj().decompress(frame))
             except (ValueError, zstandard.ZstdError) as e:
                 yield bad | {"error": str(e)[:200]}
     except (ValueError, zstandard.ZstdError) as e:
@@ -204,7 +220,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """One row per record of all archives under ``path``: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload (null for revisits or without ``payloads``) and error (null for a sound record).
 
-    An executor holds one archive at a time and streams its records.
+    A task holds one archive at a time, of 2 GB at most, as Spark's reader of whole files has it; it decodes frame by frame, and
+    a record may be as large as a value of Spark's. The writer here keeps archives far smaller.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,12 @@
 A line's tokens are its distinct words; a token is a 64-bit value, its rarity (a logarithm of the number of times that
 its cell of a table of fixed size occurs in the corpus) in the top bits and a hash of the word below, so sorting tokens
 orders them by rarity. Any order common to all lines keeps the join exact; rarity only keeps the candidates few. Words
-become sorted tokens in numpy, batch by batch; all joins and aggregations are DataFrame operations on long integers.
+become sorted tokens in numpy, batch by batch; what crosses the network are rows of a few long integers.
+
+Rows of one prefix token meet in one task, which pairs groups of a bounded number of rows with the filters and a parity
+bitmap. Tokens of more rows are split: two lines that match share a second token after their first common one, within a
+prefix that is one token longer, so such rows meet again by both tokens. What is still large, and groups in which nearly
+everything is alike, first meets their earliest line only; lines that are then without an earlier match meet the others.
 """
 
 from __future__ import annotations
@@ -21,17 +26,28 @@ from .store import stage_table, text_column
 
 #: Cells of the table of word counts, a power of two: its size is the same for any corpus.
 CELLS = 1 << 16
-#: Tokens whose cell has at least this share of all words may be in very many prefixes.
+#: Tokens whose cell has at least this share of all words may be in very many prefixes: they are split at once.
 HOT_SHARE = 1 / 2048
+#: Most rows of a key that one task pairs; up to the second number all pairs that pass the filters are kept, beyond it the
+#: third times the rows: a group with more is alike all through.
+GROUPS = (4_096, 32, 4)
 _HASH_BITS = 55
+#: A prefix token is shuffled as 48 bits of a hash and, above them, whether it is hot.
+_HOT = 1 << 48
+PLACE = ["doc", "tie", "line_no"]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).where("doc_id is not null")
-
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, and doc and tie, which tell rows apart and order them: by id, those without one last.
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    return _texts(docs).withColumn("text", F.lower("text"))
+    Where ids repeat or lack, a hash of the text breaks ties; rows that agree in both are one document, which the second
+    table has once.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    clean = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
+    tie = F.lit(0).cast("long") if clean else F.xxhash64("text")
+    out = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), tie.alias("tie"))
+    return out, out if clean else stage_table(out.dropDuplicates(["doc", "tie"]), "texts")
 
 
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,14 +59,14 @@ def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], ["cell", "n"])
 
 
-def rarity(docs: DataFrame) -> tuple[bytes, int]:
+def rarity(lowered: DataFrame) -> tuple[bytes, int]:
     """Four times the logarithm of how often each cell's words occur in the corpus, a byte each; the level of hot cells."""
-    cells = _lowered(docs).select("text").mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = lowered.select("text").mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = np.zeros(CELLS, np.int64)
     for row in cells.collect():
         counts[row.cell] = row.n
-    levels = np.minimum(127, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
-    return levels.tobytes(), math.floor(4 * math.log2(max(1.0, counts.sum() * HOT_SHARE)))
+    levels = np.minimum(254, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    return levels.tobytes(), math.ceil(4 * math.log2(max(2.0, counts.sum() * HOT_SHARE)))
 
 
 def line_tokens(data: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,15 +93,17 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _keyed(levels: bytes, percent: int):
+def _keyed(levels: bytes, hot: int, percent: int):
     """Each line with a word: size, fingerprint and bitmap of its set, and the prefix if it can match an unequal set.
 
-    A match needs ceil(percent% of the size) common tokens, so one of the rarest size - that + 1 is common.
+    A match needs ceil(percent% of the size) common tokens, so one of the rarest size - that + 1 is common, and a second one
+    of the rarest size - that + 2. A set that the task has met lately gets no second prefix.
     """
     short = math.ceil(100 / (100 - percent)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels, np.uint8)
+        met = np.zeros(1 << 17, np.uint64)
         for part, data, offsets in textnum.slices(batches, "text"):
             first, tokens, bounds = line_tokens(data, offsets, table)
             per_text, sizes = np.diff(first), np.diff(bounds)
@@ -95,12 +113,110 @@ def _keyed(levels: bytes, percent: int):
             mixed = textnum.mix(tokens)
             keys = textnum.mix(np.add.reduceat(mixed, at) + n.astype(np.uint64)) if len(at) else mixed
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at) if len(at) else mixed
-            keep = np.where(n >= short, n - (n * percent + 99) // 100 + 1, 0)
+            slots = (keys & np.uint64(len(met) - 1)).astype(np.int64)
+            new = np.zeros(len(keys), bool)
+            new[np.unique(keys, return_index=True)[1]] = True
+            new &= met[slots] != keys
+            met[slots] = keys
+            keep = np.where(new & (n >= short), np.minimum(n, n - (n * percent + 99) // 100 + 2), 0)
             inside = np.arange(len(tokens)) - np.repeat(at, n) < np.repeat(keep, n)
-            doc = np.repeat(part.column(0).to_numpy(), per_text)[full]
+            prefix = (mixed[inside] & np.uint64(_HOT - 1)) | np.where(tokens[inside] >> np.uint64(_HASH_BITS) >= hot, np.uint64(_HOT), np.uint64(0))
+            row = np.repeat(np.arange(len(per_text)), per_text)[full]
             number = (np.arange(first[-1]) - np.repeat(first[:-1], per_text))[full]
-            columns = [pa.array(doc), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(bits.view(np.int64)), _lists(tokens[inside], keep)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n", "k", "bits", "prefix"])
+            columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(bits.view(np.int64)), _lists(prefix, keep)]
+            yield pa.RecordBatch.from_arrays(columns, [*PLACE, "n", "k", "bits", "prefix"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 18) -> Iterator[tuple[np.ndarray, int | None]]:
+    """Rows (key, k, size_at, bits), sorted by key, in chunks that end with a key, and a key that began in an earlier one.
+
+    Only a key of more than ``room`` rows is parted.
+    """
+    held: list[np.ndarray] = []
+    count, begun = 0, None
+    for batch in batches:
+        held.append(np.stack([c.to_numpy() for c in batch.columns]))
+        count += batch.num_rows
+        if count >= room:
+            rows = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if cut:
+                yield rows[:, :cut], begun
+                begun, held, count = None, [rows[:, cut:]], rows.shape[1] - cut
+            else:
+                yield rows, int(rows[0, 0])
+                begun, held, count = int(rows[0, 0]), [], 0
+    if held:
+        yield np.concatenate(held, axis=1), begun
+
+
+def candidates(rows: np.ndarray, percent: int, known: int, begun: int | None = None, groups: tuple[int, int, int] = GROUPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places that may match, places in groups that are alike all through, and places in groups too large.
+
+    ``known`` counts the common tokens before the one at the row's place in its line.
+    """
+    key, k, size_at, bits = rows
+    bits = bits.view(np.uint64)
+    n, at = size_at >> 32, size_at & 0xFFFFFFFF
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    most, all_of, dense = groups
+    large = (sizes > most) | (False if begun is None else key[starts] == begun)
+
+    def possible(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = n[i] + n[j]
+        need = -(-both * percent // (100 + percent))
+        # Of a matching pair's common tokens the first, at least, leaves room for the overlap behind both places.
+        ok = (k[i] != k[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - at[i], n[j] - at[j]) + known >= need) & (both - apart >= 2 * need)
+        return i[ok], j[ok]
+
+    pairs = [(np.zeros(0, np.int64),) * 2]
+    few = (sizes > 1) & (sizes <= all_of) & ~large
+    left = np.repeat(np.where(few, sizes, 0), sizes) - 1 - (np.arange(len(key)) - np.repeat(starts, sizes))
+    live, step = np.flatnonzero(left > 0), 1
+    while len(live):
+        i, j = live, live + step
+        apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+        near = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+        pairs.append(possible(i[near], j[near], apart[near]))
+        step += 1
+        live = live[left[live] >= step]
+    alike = []
+    for g in np.flatnonzero((sizes > all_of) & ~large).tolist():
+        a, size = int(starts[g]), int(sizes[g])
+        own = []
+        for low in range(a, a + size, 256):
+            high = min(low + 256, a + size)
+            apart = np.bitwise_count(bits[low:high, None] ^ bits[None, low : a + size])
+            x, y = np.nonzero(apart * np.uint16(100 + percent) <= ((n[low:high, None] + n[None, low : a + size]) * (100 - percent)))
+            later = y > x
+            x, y = x[later], y[later]
+            own.append(possible(low + x, low + y, apart[x, y].astype(np.int64)))
+            if sum(len(i) for i, _ in own) > dense * size:
+                alike.append(np.arange(a, a + size))
+                own = []
+                break
+        pairs += own
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return np.stack([join([x for x, _ in pairs]), join([y for _, y in pairs])]), join(alike), np.flatnonzero(np.repeat(large, sizes))
+
+
+def _paired(percent: int, known: int, groups: tuple[int, int, int]):
+    """Candidate pairs (kind 0: k and other), rows of groups that are alike (1) and of groups too large (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begun in _chunks(batches):
+            pairs, alike, large = candidates(rows, percent, known, begun, groups)
+            ends = np.sort(rows[1][pairs], axis=0)
+            ends = np.unique(ends, axis=1) if ends.shape[1] else ends
+            none = np.zeros(ends.shape[1], np.int64)
+            kinds = np.repeat(np.array([0, 1, 2], np.int32), [ends.shape[1], len(alike), len(large)])
+            more = rows[:, np.concatenate([alike, large])]
+            columns = [np.concatenate(x) for x in zip((ends[1], ends[0], none, none), more, strict=True)]
+            if len(kinds):
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, columns)], ["kind", "key", "k", "size_at", "bits"])
 
     return run
 
@@ -112,82 +228,95 @@ def _cut(levels: bytes):
         table = np.frombuffer(levels, np.uint8)
         for part, data, offsets in textnum.slices(batches, "text"):
             first, tokens, bounds = line_tokens(data, offsets, table)
-            numbers, keys = part.column(2), part.column(3).flatten()
+            numbers, keys = part.column(3), part.column(4).flatten()
             per_text = np.diff(numbers.offsets.to_numpy())
             number = numbers.flatten().to_numpy()
             line = np.repeat(first[:-1], per_text) + number
             sizes = bounds[line + 1] - bounds[line]
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[line], sizes)
-            columns = [keys, pa.array(np.repeat(part.column(0).to_numpy(), per_text)), pa.array(number.astype(np.int32)), _lists(tokens[place], sizes)]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "doc_id", "line_no", "tokens"])
+            row = pa.array(np.repeat(np.arange(len(per_text)), per_text))
+            columns = [keys, part.column(0).take(row), part.column(1).take(row), pa.array(number.astype(np.int32)), _lists(tokens[place], sizes)]
+            yield pa.RecordBatch.from_arrays(columns, ["k", *PLACE, "tokens"])
 
     return run
 
 
-def _least_overlap(nx: Column, ny: Column, percent: int) -> Column:
-    """The smallest intersection that reaches the threshold: percent / (100 + percent) of both sizes."""
-    return F.ceil((nx + ny) * percent / (100 + percent))
+def _meeting(rows: DataFrame, percent: int, known: int, groups: tuple[int, int, int], label: str) -> DataFrame:
+    """Rows (key, k, size_at, bits) dealt by key and paired."""
+    dealt = rows.select("key", "k", "size_at", "bits").repartition("key").sortWithinPartitions("key")
+    return stage_table(dealt.mapInArrow(_paired(percent, known, groups), "kind int, key long, k long, size_at long, bits long"), label)
+
+
+def _size_at(at: Column) -> Column:
+    return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("size_at")
 
 
-def matched_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, line_no, n_tokens, first_doc, first_line, later) for each line with a word.
+def matched_lines(texts: DataFrame, percent: int = 80, sizes: tuple[int, int, int] = GROUPS) -> DataFrame:
+    """(doc, tie, line_no, n_tokens, later) for each line with a word; ``texts`` has doc, tie and text.
 
     A line's set is its distinct words, lower-cased and split at white space; lines are split at newlines and ordered by
-    (doc_id, line_no). ``later`` says that an earlier line's set has ``100 * intersection >= percent * union`` with this one;
-    (first_doc, first_line) is the first line with the same set. Blank lines never match. Repeated doc_ids count as the same lines.
-
-    Lines with one set are one class, which its first line stands for. Tokens in a class's prefix are joined with
-    those of other classes; in each token's group all are first checked against one of them, and only what is then still
-    without an earlier match meets the others of the group. Rows on the way are a few long integers, among them a bitmap
-    of the set's parity in 64 cells: where bitmaps differ in d places the sets differ in d tokens at least, which
-    settles most pairs before their tokens are fetched.
+    (doc, tie, line_no). ``later`` says that an earlier line's set has ``100 * intersection >= percent * union`` with this one.
+    Lines with one set are one class, which its first line stands for. Blank lines never match.
     """
-    levels, hot = rarity(docs)
-    keyed = stage_table(_lowered(docs).mapInArrow(_keyed(levels, percent), "doc_id long, line_no int, n int, k long, bits long, prefix array<long>"), "lines")
-    heads = keyed.groupBy("k", "n").agg(F.min(F.struct("doc_id", "line_no", "bits", "prefix")).alias("first"))
-    heads = stage_table(heads.select("k", "n", "first.*"), "heads")
-    firsts = heads.select("k", "n", "doc_id", "line_no")
-    tokens = heads.select("k", "n", "bits", F.posexplode("prefix").alias("at", "token")).select("token", "k", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"), "bits")
-    frequent = F.shiftright("token", _HASH_BITS) >= hot
-    # Rare tokens cross the network once; a frequent one's rows are aggregated first and may be split by the join.
-    groups = stage_table(_with_centre(tokens.where(~frequent).repartition("token")).unionByName(_with_centre(tokens.where(frequent))), "groups")
-
-    def possible(x: str, y: str, bx: str, by: str) -> Column:
-        # Of a matching pair's common tokens the first, at least, leaves room for the overlap behind both places.
-        nx, ny = (F.shiftright(c, 32) for c in (x, y))
-        ax, ay = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in (x, y))
-        need = _least_overlap(nx, ny, percent)
-        apart = F.bit_count(F.col(bx).bitwiseXOR(F.col(by)))
-        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ax, ny - ay) >= need) & (nx + ny - apart >= 2 * need)
-
-    star = groups.where((F.col("k") != F.col("ck")) & possible("size_at", "c_at", "bits", "c_bits")).select(F.least("k", "ck").alias("a"), F.greatest("k", "ck").alias("b")).distinct()
-    star = stage_table(star, "star")
-    done = stage_table(_later_of(star, docs, firsts, levels, percent), "done")
-    left = groups.join(done, "k", "left_anti").where("k <> ck").select("token", "k", "size_at", "bits")
-    others = groups.select("token", F.col("k").alias("other"), F.col("size_at").alias("o_at"), F.col("bits").alias("o_bits"), "ck")
-    rest = left.join(others, "token").where((F.col("other") != F.col("k")) & (F.col("other") != F.col("ck")) & possible("size_at", "o_at", "bits", "o_bits"))
-    rest = rest.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _later_of(stage_table(rest, "rest"), docs, firsts, levels, percent)
-    later = stage_table(done.unionByName(more).distinct().withColumn("matched", F.lit(True)), "later")
-    classes = firsts.join(later, "k", "left").select("k", "n", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    out = keyed.select("doc_id", "line_no", "n", "k").join(classes, ["k", "n"])
-    same = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return out.select("doc_id", "line_no", F.col("n").alias("n_tokens"), "first_doc", "first_line", (~same | F.col("matched")).alias("later"))
-
-
-def _with_centre(tokens: DataFrame) -> DataFrame:
-    """Tokens that several classes share, each row with the class (ck, c_at, c_bits) that the others meet first."""
-    shared = tokens.groupBy("token").agg(F.min(F.struct("k", "size_at", "bits")).alias("c"), F.max("k").alias("other")).where("c.k <> other")
-    return tokens.join(shared.select("token", F.col("c.k").alias("ck"), F.col("c.size_at").alias("c_at"), F.col("c.bits").alias("c_bits")), "token")
-
-
-def _later_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """The later line (k) of each pair whose sets reach the threshold; lines are cut out of their documents again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(firsts, "k")
-    numbers = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k")).alias("x")).select("doc_id", "x.line_no", "x.k")
-    cut = _lowered(docs).join(numbers, "doc_id").select("doc_id", "text", F.col("line_no").alias("numbers"), F.col("k").alias("ks"))
-    arrays = stage_table(cut.mapInArrow(_cut(levels), "k long, doc_id long, line_no int, tokens array<long>"), "arrays")
-    side = lambda s: arrays.select(F.col("k").alias(s), F.struct("doc_id", "line_no").alias(f"x{s}"), F.col("tokens").alias(f"t{s}"))
+    lowered = texts.select("doc", "tie", F.lower("text").alias("text"))
+    levels, hot = rarity(lowered)
+    keyed = stage_table(lowered.mapInArrow(_keyed(levels, hot, percent), "doc long, tie long, line_no int, n int, k long, bits long, prefix array<long>"), "lines")
+    firsts = stage_table(keyed.groupBy("k").agg(F.min(F.struct(*PLACE)).alias("place")), "firsts")
+
+    # The last token of a prefix only serves as a second one.
+    placed = keyed.select("k", "n", "bits", "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("at", "token"))
+    is_hot = F.col("token") >= _HOT
+    found = _meeting(placed.where(~is_hot).select(F.col("token").alias("key"), "k", _size_at(F.col("at")), "bits"), percent, 0, sizes, "found")
+    split = placed.where(is_hot).select("k", "n", "bits", "prefix", "at", "token")
+    large = found.where("kind = 2").select("k", F.col("key").alias("token"), F.col("size_at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
+    if not large.isEmpty():
+        large = stage_table(large.distinct(), "large")
+        own = keyed.where(F.size("prefix") > 0).select("k", "n", "bits", "prefix").join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+        split = split.unionByName(large.join(own, "k").select(split.columns))
+    second = split.select("k", "n", "bits", "prefix", "token", F.explode(F.sequence(F.col("at") + 1, F.size("prefix") - 1)).alias("next"))
+    second = second.select(F.xxhash64("token", F.col("prefix")[F.col("next")]).alias("key"), "k", _size_at(F.col("next")), "bits")
+    again = _meeting(second, percent, 1, sizes, "again")
+
+    groups = found.where("kind = 1").withColumn("known", F.lit(0)).unionByName(again.where("kind > 0").withColumn("known", F.lit(1))).drop("kind").dropDuplicates(["key", "k"])
+    groups = stage_table(groups.join(firsts, "k"), "groups")
+    centres = groups.groupBy("key").agg(F.min(F.struct("place", "k", "size_at", "bits")).alias("c")).select("key", F.col("c.k").alias("ck"), F.col("c.size_at").alias("c_at"), F.col("c.bits").alias("c_bits"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = groups.join(centres, "key").where((F.col("k") != F.col("ck")) & _possible("size_at", "c_at", "bits", "c_bits", percent)).select(*pair("k", "ck"))
+    pairs = found.where("kind = 0").select(*pair("k", "key")).unionByName(again.where("kind = 0").select(*pair("k", "key"))).unionByName(star)
+    pairs = stage_table(pairs.distinct(), "pairs")
+    done = stage_table(_later_of(pairs, lowered, firsts, levels, percent), "done")
+
+    left = groups.join(done, "k", "left_anti").select("key", "k", "size_at", "bits", "known")
+    others = groups.select("key", F.col("k").alias("other"), F.col("size_at").alias("o_at"), F.col("bits").alias("o_bits"))
+    rest = left.join(others, "key").where((F.col("other") != F.col("k")) & _possible("size_at", "o_at", "bits", "o_bits", percent))
+    rest = stage_table(rest.select(*pair("k", "other")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        done = stage_table(done.unionByName(_later_of(rest, lowered, firsts, levels, percent)).distinct(), "later")
+    classes = firsts.join(done.withColumn("matched", F.lit(True)), "k", "left")
+    out = keyed.select(*PLACE, "n", "k").join(classes, "k")
+    return out.select(*PLACE, F.col("n").alias("n_tokens"), (F.coalesce("matched", F.lit(False)) | (F.struct(*PLACE) != F.col("place"))).alias("later"))
+
+
+def _possible(x: str, y: str, bx: str, by: str, percent: int) -> Column:
+    """The filters of ``candidates`` for rows of a join."""
+    nx, ny = (F.shiftright(c, 32) for c in (x, y))
+    ax, ay = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in (x, y))
+    need = F.ceil((nx + ny) * percent / (100 + percent))
+    apart = F.bit_count(F.col(bx).bitwiseXOR(F.col(by)))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ax, ny - ay) + F.col("known") >= need) & (nx + ny - apart >= 2 * need)
+
+
+def _later_of(pairs: DataFrame, lowered: DataFrame, firsts: DataFrame, levels: bytes, percent: int) -> DataFrame:
+    """The later class (k) of each pair whose sets reach the threshold; lines are cut out of their documents again.
+
+    The wanted lines are staged, so Spark knows their size: while it is small they go to the documents, else the texts
+    of their documents are shuffled.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(firsts, "k").select("k", "place.*")
+    numbers = stage_table(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line_no", "k")).alias("x")).select("doc", "tie", F.col("x.line_no").alias("numbers"), F.col("x.k").alias("ks")), "wanted")
+    cut = lowered.join(numbers, ["doc", "tie"]).select("doc", "tie", "text", "numbers", "ks")
+    arrays = stage_table(cut.mapInArrow(_cut(levels), "k long, doc long, tie long, line_no int, tokens array<long>"), "arrays")
+    side = lambda s: arrays.select(F.col("k").alias(s), F.struct(*PLACE).alias(f"x{s}"), F.col("tokens").alias(f"t{s}"))
     shared = F.size(F.array_intersect("ta", "tb"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared))
     return near.select(F.when(F.col("xa") < F.col("xb"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
@@ -196,17 +325,21 @@ def _later_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, levels: byte
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed_lines (numbers from 0 of the lines to remove, in order).
 
-    Null and empty texts are one blank line, which stays. Rows that repeat a doc_id are taken as one document, the text of
-    the largest. Other columns are ignored; an empty table gives an empty one.
+    Null and empty texts are one blank line, which stays. Documents are ordered by doc_id, those without one last; where an id
+    repeats or lacks, a hash of the text decides, and rows that repeat an id and a text count as one document, with the
+    same result each. Other columns are ignored; an empty table gives an empty one.
     """
-    one = _texts(docs).groupBy("doc_id").agg(F.max("text").alias("text")) if docs.count() != docs.select("doc_id").distinct().count() else _texts(docs)
-    gone = matched_lines(one, percent).where("later").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
-    out = one.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines")).join(gone, "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    out = _removed(docs, percent)
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+
+
+def _removed(docs: DataFrame, percent: int) -> DataFrame:
+    texts, once = _texts(docs)
+    gone = matched_lines(once, percent).where("later").groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    return texts.join(gone, ["doc", "tie"], "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, text): the texts without the lines that match an earlier one."""
-    removed = repeated_lines(docs, percent).select("doc_id", "removed_lines")
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed_lines", i))
-    return _texts(docs).join(removed, "doc_id").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return _removed(docs, percent).select("doc_id", F.array_join(lines, "\n").alias("text"))

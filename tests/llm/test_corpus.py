@@ -225,11 +225,15 @@ def test_first_fit_decreasing_equals_a_plain_scan():
 
 def test_warc_round_trip(spark):
     rng = random.Random(4)
-    pages = [(i, f"http://x/{i}", " ".join(words(rng, 300))) for i in range(40)] + [(50, None, "same"), (51, "http://a\r\nb", "same"), (52, "u", None), (53, "u", ""), (54, "u", "é" * 9)]
+    pages = [(i, f"http://x/{i}", " ".join(words(rng, 300))) for i in range(40)] + [(50, None, "same"), (51, "http://a\r\nb", "same"), (52, "u", None), (53, "u", ""), (54, "u", "é" * 9), (55, "u", "long " * 600_000), (None, "u", "same"), (None, "v", "no id")]
     df = spark.createDataFrame([(*p, 1, "z") for p in pages], "page_id long, url string, html string, digest int, original string")
     path = new_path(spark, "warc-test")
-    warc.write_archives(df, path)
-    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    warc.write_archives(df.unionByName(df.where("page_id = 3")), path, archive_bytes=1 << 20)
+    again = warc.read_archives(spark, path)
+    assert again.count() == len(pages) + 1 and again.where("page_id = 3").select("record_type").distinct().count() == 1
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in again.where("page_id is null").collect()) == [(4, "revisit", 51), (5, "response", None)]
+    pages = [p for p in pages if p[0] is not None]
+    got = {r.page_id: r for r in again.where("page_id is not null").collect()}
     latest = {}
     for i, _, html in pages:
         latest[html or ""] = max(i, latest.get(html or "", 0))
@@ -290,9 +294,23 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, *_ in expected}
 
 
-def test_repeated_lines(spark):
-    rng = random.Random(6)
-    base = [words(rng, n) for n in (1, 3, 4, 5, 8, 12, 20, 40) for _ in range(6)]
+def plain_matches(docs):
+    """Numbers of the lines that match an earlier one, by document."""
+    seen, out = [], {}
+    for d, text in docs:
+        out[d] = []
+        for n, line in enumerate((text or "").split("\n")):
+            w = {x for x in re.split(r"[\x20\x09-\x0d]+", line.lower()) if x}
+            if w and any(100 * len(w & v) >= 80 * len(w | v) for v in seen):
+                out[d].append(n)
+            if w:
+                seen.append(w)
+    return out
+
+
+def lines_corpus(seed, families=8, size=6):
+    rng = random.Random(seed)
+    base = [words(rng, n) for n in (1, 3, 4, 5, 8, 12, 20, 40)[:families] for _ in range(size)]
     docs = []
     for d in range(30):
         lines = []
@@ -302,22 +320,47 @@ def test_repeated_lines(spark):
                 w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
             lines.append(" ".join(w))
         docs.append((d, "\n".join(lines)))
-    docs += [(90, None), (91, "\n\n"), (92, docs[3][1]), (93, "  ")]
-    seen, expected = [], {}
-    for d, text in docs:
-        expected[d] = []
-        for n, line in enumerate((text or "").split("\n")):
-            w = {x for x in re.split(r"[\x20\x09-\x0d]+", line.lower()) if x}
-            if w and any(100 * len(w & v) >= 80 * len(w | v) for v in seen):
-                expected[d].append(n)
-            if w:
-                seen.append(w)
+    return [*docs, (90, None), (91, "\n\n"), (92, docs[3][1]), (93, "  ")]
+
+
+def test_repeated_lines(spark):
+    docs = [*lines_corpus(6), (94, " ".join(words(random.Random(1), 60_000)) + "\nx"), (95, "x " + "y" * 100_000)]
+    expected = plain_matches(docs)
     got = {r.doc_id: r for r in line_dedup.repeated_lines(table(spark, docs)).collect()}
     assert {d: list(r.removed_lines) for d, r in got.items()} == expected
     texts = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(table(spark, docs)).collect()}
     assert texts[5] == "\n".join(x for n, x in enumerate(docs[5][1].split("\n")) if n not in expected[5])
 
 
+@pytest.mark.parametrize("sizes", [(3, 2, 0), (6, 2, 1), (50, 4, 1), (10_000, 32, 4)])
+def test_lines_of_large_groups(spark, monkeypatch, sizes):
+    """Groups that are split by a second token, and groups that meet their earliest line first."""
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 1 / 100)
+    rng = random.Random(sizes[0])
+    shared = words(rng, 30)
+    family = []
+    for i in range(60):
+        w = list(shared)
+        for _ in range(i % 4):
+            w[rng.randrange(30)] = f"new{rng.randrange(40)}"
+        family.append((200 + i, " ".join(w)))
+    docs = [*lines_corpus(sizes[0] + 1, 8, 4), *family]
+    got = line_dedup.matched_lines(line_dedup._texts(table(spark, docs))[1], 80, sizes).where("later").collect()
+    assert {(r.doc, r.line_no) for r in got} == {(d, n) for d, own in plain_matches(docs).items() for n in own}
+
+
+def test_candidates_of_chunks():
+    """Keys that are parted by chunks are large in all of them."""
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([rng.integers(0, 50, 500), np.full(900, 20)]))
+    rows = np.stack([key, np.arange(len(key)), np.full(len(key), 10 << 32), rng.integers(0, 2**62, len(key))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, a : a + 70]], ["key", "k", "size_at", "bits"]) for a in range(0, len(key), 70)]
+    found = [*line_dedup._chunks(iter(batches), 200)]
+    assert (np.concatenate([x for x, _ in found], axis=1) == rows).all()
+    large = np.concatenate([x[1][line_dedup.candidates(x, 80, 0, begun, (100, 5, 2))[2]] for x, begun in found])
+    assert large.tolist() == np.flatnonzero(key == 20).tolist()
+
+
 RULES = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
@@ -347,6 +390,26 @@ def test_personal_data(spark):
         assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == [s for s in joined.split(",") if s]
 
 
+def test_texts_of_very_many_matches(spark):
+    """Runs of matches are put together at their places, and spans that overlap are replaced once."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["a@b.cd", "é", "+1 (234) 567-8901", "1.2.3.4", "word", "4539148803436467 "]) for _ in range(n)) for n in (127, 128, 129, 400, 3_000)]
+    rows = [*enumerate(texts), (9, texts[2]), (9, texts[2])]
+    got = pii.personal_data(table(spark, rows)).collect()
+    clean = {r.doc_id: r.text for r in pii.sanitised(table(spark, rows), generalise=2.0).collect()}
+    assert len(got) == len(rows)
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        spans = sorted((m.start(), rank, kind, m.end()) for rank, (kind, (pattern, ok)) in enumerate(RULES.items()) for m in re.finditer(pattern, text) if ok(m[0]))
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        out, at = "", 0
+        for a, _, kind, b in spans:
+            out += text[at:a] + ("" if a < at else f"[{kind.upper()}]")
+            at = max(at, b)
+        assert clean[r.doc_id] == out + text[at:]
+
+
 def test_disclosing_terms_are_sanitised(spark):
     rows = [(i, f"Colonel Zanzibar wrote to spy@agency.org about the weather {i}") for i in range(3)] + [(i, f"the weather about town was wrote number {i}") for i in range(3, 60)]
     spans = {r.doc_id: r.spans for r in pii.personal_data(table(spark, rows)).collect()}
@@ -448,9 +511,11 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
 
 def test_repeated_lines_of_odd_texts(spark):
     same = "a b c d e f g h i j\n\nA B C D E F G H I j k"
-    rows = [(1, None, "x"), (2, "", None), (3, "\n\n", ""), (4, same, ""), (4, same, ""), (5, "x\na b c d e f g h i\nÉ é z w\n", ""), (6, "é z w\nÉ\nX", ""), (None, "a", "")]
-    got = sorted((r.doc_id, r.n_lines, list(r.removed_lines)) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, tokens string")).collect())
-    assert got == [(1, 1, []), (2, 1, []), (3, 3, []), (4, 3, [2]), (5, 4, [1]), (6, 3, [0, 2])]
+    rows = [(1, None, "x"), (2, "", None), (3, "\n\n", ""), (4, same, ""), (4, same, ""), (5, "x\na b c d e f g h i\nÉ é z w\n", ""), (6, "é z w\nÉ\nX", ""), (7, "x", ""), (7, "X", ""), (7, "own\nline", ""), (None, "own", ""), (None, "nobody's", "")]
+    rows = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, tokens string")).collect()
+    got = sorted((r.doc_id, r.n_lines, list(r.removed_lines)) for r in rows if r.doc_id)
+    assert sorted((r.n_lines, list(r.removed_lines)) for r in rows if not r.doc_id) == [(1, []), (1, [0])]
+    assert got == [(1, 1, []), (2, 1, []), (3, 3, []), (4, 3, [2]), (4, 3, [2]), (5, 4, [1]), (6, 3, [0, 2]), (7, 1, [0]), (7, 1, [0]), (7, 2, [])]
 
 
 def test_chunks_cover_all_bytes():

@@ -44,35 +44,51 @@ def valid(label: str, x: Column) -> Column:
     return F.lit(True)
 
 
+#: What a text must hold for a label's pattern to be tried at all.
+HINTS = {"EMAIL": "@"}
+DIGIT = "(?U)\\d"
+
+
+def _with_label(state: Column, label: str) -> Column:
+    """(text, n): the valid matches of one pattern replaced by its label, and added to n."""
+    pattern, sign = PATTERNS[label], f"[{label}]"
+
+    def replaced(s: Column) -> Column:
+        shown = F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), lambda m: F.when(valid(label, m), F.lit(sign)).otherwise(m))
+
+        def joined(found: Column) -> Column:
+            parts = F.zip_with(F.split(s["text"], pattern, -1), found, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+            return F.struct(F.array_join(parts, "").alias("text"), (s["n"] + F.size(F.filter(found, lambda m: m == sign))).alias("n"))
+
+        done = F.transform(F.array(shown), joined)[0]
+        possible = F.contains(s["text"], F.lit(HINTS[label])) if label in HINTS else s["text"].rlike(DIGIT)
+        return F.when(possible, done).otherwise(F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+    # As a lambda's variable the text is computed once, however many labels came before.
+    return F.transform(F.array(state), replaced)[0]
+
+
+def _unmasked(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.lit(0).alias("n"))
+
+
 def mask_label(text: Column, label: str) -> Column:
     """The text with the valid matches of one pattern replaced by its label."""
-    pattern = PATTERNS[label]
+    return _with_label(_unmasked(text), label)["text"]
 
-    def replaced(t: Column) -> Column:
-        pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        shown = F.transform(found, lambda m: F.when(valid(label, m), F.lit(f"[{label}]")).otherwise(m))
-        return F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
 
-    # As a lambda's variable the text is computed once, however many labels came before.
-    return F.transform(F.array(text), replaced)[0]
+def masked(text: Column) -> Column:
+    """(text, n): all labels in their order, an earlier one's replacement being what a later one sees, and how many there are."""
+    out = _unmasked(text)
+    for label in PATTERNS:
+        out = _with_label(out, label)
+    return out
 
 
 def mask(text: Column) -> Column:
-    """All labels in their order: an earlier one's replacement is what a later one sees."""
-    for label in PATTERNS:
-        text = mask_label(text, label)
-    return text
+    return masked(text)["text"]
 
 
 def masked_count(text: Column) -> Column:
     """How many replacements :func:`mask` makes."""
-    total = F.lit(0)
-    for label in PATTERNS:
-        found = F.regexp_extract_all(text, F.lit(PATTERNS[label]), F.lit(0))
-        total = total + F.size(F.filter(found, _validator(label)))
-        text = mask_label(text, label)
-    return total
-
-
-def _validator(label: str):
-    return lambda m: valid(label, m)
+    return masked(text)["n"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import text
 
@@ -47,6 +50,7 @@ def running_keys(pages: DataFrame, share: float = 0.4, least_pages: int = 4) ->
 _HYPHEN = re.compile(r"[^\W\d_]-$")
 _LIST = re.compile(text.LIST_MARKER)
 _TABLE = re.compile(text.TABLE_LINE)
+_BLANKS = re.compile(text.SPACES)
 
 
 def _heading(line: str) -> bool:
@@ -54,36 +58,42 @@ def _heading(line: str) -> bool:
     return line.endswith(":") or (len(line) <= 80 and len(letters) >= 3 and all(c.isupper() for c in letters))
 
 
-def reflow(page: str, short: int = 50) -> str:
-    """The page with the lines of a paragraph joined; blank lines, tables, headings and list items keep their own lines.
-
-    A hyphen at a line's end goes when a letter stands before it and the next line begins in lower case.
-    """
+def _paragraphs(lines: Iterable[str], short: int) -> list[str]:
+    """The lines of a block between blank lines, those of a paragraph joined; table rows stay as they are."""
     out: list[str] = []
-    open_paragraph = False
-    for line in (x.strip() for x in page.split("\n")):
-        if not line or _TABLE.search(line):
-            if line or (out and out[-1]):
-                out.append(line)
-            open_paragraph = False
-            continue
-        if open_paragraph and not _LIST.match(line) and not _heading(line):
-            last = out[-1]
-            out[-1] = last[:-1] + line if _HYPHEN.search(last) and line[:1].islower() else f"{last} {line}"
-        else:
+    closed = True
+    for raw in lines:
+        row = bool(_TABLE.search(raw))
+        line = (raw if row else _BLANKS.sub(" ", raw)).strip()
+        if closed or row or _LIST.match(line) or _heading(line):
             out.append(line)
+        elif _HYPHEN.search(out[-1]) and line[:1].islower():
+            out[-1] = out[-1][:-1] + line
+        else:
+            out[-1] += " " + line
         last = out[-1]
-        open_paragraph = not (_heading(last) or (last.endswith((".", "!", "?")) and len(line) < short))
-    return "\n".join(out).strip("\n")
+        closed = bool(row or _TABLE.search(last) or _heading(last) or (last.endswith((".", "!", "?")) and len(last) < short))
+    return out
+
+
+def reflow(page: str, short: int = 50) -> str:
+    """The page with the lines of a paragraph joined; tables, headings and list items keep their own lines.
+
+    A hyphen at a line's end goes when a letter stands before it and the next line begins in lower case. A paragraph
+    ends with a heading, or with a sentence while all of it is shorter than ``short``. Between blocks one blank line stays.
+    """
+    blocks = itertools.groupby(page.split("\n"), lambda line: bool(line.strip()))
+    return "\n\n".join("\n".join(_paragraphs(own, short)) for filled, own in blocks if filled)
 
 
 def normalised_pages(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, page): characters cleaned, repeated edges dropped, lines reflowed.
+    """(doc_id, page_no, page): normal form C, characters cleaned, repeated edges dropped, lines reflowed.
 
-    Clean-up and edge detection are native; the reflow is a fold over a page's lines and runs on Arrow batches.
+    Clean-up and edge detection are native. Normal form and reflow, a fold over a page's lines, run on Arrow batches.
     """
-    clean = pages.withColumn("page", text.collapse_spaces(text.clean_characters(F.col("page"))))
-    cut = clean.withColumn("lines", F.split("page", "\n")).withColumn("edge", edge_positions(F.col("lines")))
+    ascii_only = ~F.col("page").rlike("[^\\x00-\\x7f]")
+    composed = pages.withColumn("page", F.when(ascii_only, F.col("page")).otherwise(_composed("page")))
+    cut = composed.withColumn("lines", F.split(text.clean_characters(F.col("page")), "\n")).withColumn("edge", edge_positions(F.col("lines")))
     joined = cut.join(running_keys(cut), "doc_id", "left")
     kept = F.filter("lines", lambda x, i: ~(F.array_contains("edge", i) & F.coalesce(F.array_contains("gone", text.edge_key(x)), F.lit(False))))
 
@@ -92,3 +102,8 @@ def normalised_pages(pages: DataFrame) -> DataFrame:
             yield pdf.assign(page=[reflow(p) for p in pdf.page])
 
     return joined.select("doc_id", "page_no", F.array_join(kept, "\n").alias("page")).mapInPandas(run, "doc_id long, page_no long, page string")
+
+
+@F.pandas_udf(StringType())
+def _composed(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: unicodedata.normalize("NFC", p), na_action="ignore")

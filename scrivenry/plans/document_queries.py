@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import chunking, normalize
 from ..sources import loaders
+from ..sources.staging import scratch
 from ..sources.tables import VersionedTable
 from ..streaming import assemble, consumer
 from . import fixtures as fx
 from .registry import query
 
 
-def scratch(spark, label: str) -> str:
-    """A fresh folder that executors share: under spark.checkpoint.dir, or a temporary one for a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def pages(spark, sf):
     return fx.src_page(spark, sf)
 

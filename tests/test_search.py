@@ -1,10 +1,10 @@
 """Access isolation in every mode, rank fusion, filters, context selection."""
 
+import random
+import re
 from datetime import date
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scrivenry.operators import access, context, retrieval
@@ -69,15 +69,56 @@ def test_filters_and_sizes():
             retrieval.page_size(top_k, query)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["one two three four", "one two three five", "six seven eight nine", "", "ten"])), max_size=12), st.integers(1, 6))
-def test_context_selection_invariants(hits, most):
-    picked = context.chosen(hits, most)
-    assert picked == sorted(set(picked)) and len(picked) <= most
-    grams = [context._grams(hits[i][1]) for i in picked]
-    assert not any(context._alike(a, b, 0.85) for i, a in enumerate(grams) for b in grams[:i])
-    docs = [hits[i][0] for i in picked]
-    assert all(docs.count(d) <= 3 for d in docs)
+def plain_context(hits, most, per_doc, alike):
+    """Ranks of the context's passages, told plainly."""
+
+    def grams(text):
+        w = re.findall("[a-z0-9]+", text.lower())
+        return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    near = lambda a, b: bool(grams(a) and grams(b)) and len(grams(a) & grams(b)) >= alike * len(grams(a) | grams(b))
+    taken, left = [], []
+    for rank, doc, text in hits:
+        if any(near(text, t) for _, _, t in taken):
+            continue
+        (left if any(d == doc for _, d, _ in taken) else taken).append((rank, doc, text))
+    for rank, doc, text in left:
+        if len(taken) < most and sum(d == doc for _, d, _ in taken) < per_doc and not any(near(text, t) for _, _, t in taken):
+            taken.append((rank, doc, text))
+    return sorted(r for r, _, _ in taken[:most])
+
+
+@pytest.mark.parametrize(("most", "per_doc"), [(1, 3), (4, 2), (8, 3)])
+def test_context_selection(spark, most, per_doc):
+    rng = random.Random(most)
+    texts = ["one two three four", "one two three five", "six seven eight nine", "", "ten", "Ten", "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s t u"] + [f"own words {i} here" for i in range(6)]
+    hits = {q: [(r, rng.choice([1, 2, 3]), rng.choice(texts)) for r in range(1, rng.randint(2, 16))] for q in range(20)}
+    df = spark.createDataFrame([(q, r, d, f"{q}-{r}", t) for q, own in hits.items() for r, d, t in own], "qid long, rank long, doc_id long, chunk_id string, content string")
+    got = {}
+    for r in context.select_context(df, most, per_doc).orderBy("qid", "ref").collect():
+        got.setdefault(r.qid, []).append((r.ref, r["rank"]))
+    assert got == {q: [*enumerate(plain_context(own, most, per_doc, 0.85), 1)] for q, own in hits.items()}
+
+
+def test_near_pairs_of_copies_and_near_copies(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(8)]
+    for t in list(texts):
+        for changes in (0, 0, 1, 3):
+            w = t.split()
+            for _ in range(changes):
+                w[rng.randrange(40)] = "new"
+            texts.append(" ".join(w))
+    texts += ["", "one", "One", None, "one two"]
+
+    def grams(text):
+        w = re.findall("[a-z0-9]+", (text or "").lower())
+        return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    expected = {(a, b, len(grams(x) & grams(y))) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and grams(x) and len(grams(x) & grams(y)) >= 0.85 * len(grams(x) | grams(y))}
+    got = context.near_pairs(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 0.85).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
 def test_budget_cuts_the_last_passage(spark):

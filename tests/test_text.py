@@ -88,6 +88,21 @@ def test_reflow_joins_a_hyphenated_word():
     assert normalize.reflow("HEADING:\ntext") == "HEADING:\ntext"
 
 
+def test_reflow_keeps_tables_and_ends_paragraphs():
+    table = "Item    Qty    Price\nBolts    10    2.50\nNuts    20    1.10"
+    assert normalize.reflow(table) == table
+    assert normalize.reflow("a | b | c\nd | e | f\n\n\nx\ty\nz\tw") == "a | b | c\nd | e | f\n\nx\ty\nz\tw"
+    assert normalize.reflow("Qty    Price\n10    2.50\nTotal paid in full\nby the buyer").split("\n") == ["Qty    Price", "10    2.50", "Total paid in full by the buyer"]
+    assert normalize.reflow("A first line that is long enough to go on\nand ends here.\nMore of it") == "A first line that is long enough to go on and ends here. More of it"
+    assert normalize.reflow("It ends.\n  More\u00a0of it\n- item\n- other item") == "It ends.\nMore of it\n- item\n- other item"
+
+
+def test_pages_are_composed_and_tables_kept(spark):
+    page = "Cafe\u0301 menu of the\nhouse\n\nName  Qty  Price\nBolt  4  1.20"
+    got = normalize.normalised_pages(spark.createDataFrame([(1, 1, page)], "doc_id long, page_no long, page string")).first().page
+    assert got == "Caf\u00e9 menu of the house\n\nName  Qty  Price\nBolt  4  1.20"
+
+
 def test_running_headers_of_several_lines_go(spark):
     """Up to three non-empty lines at either edge, a third of the page at most, on four pages or more."""
     head, foot = ["ACME REPORT", "Volume 7", "confidential copy"], ["all rights reserved", "page {n}"]

@@ -20,6 +20,7 @@ from . import textnum
 from .store import text_column
 
 CHUNK, STRIDE, WIDTH, FILTERS, LAGS = 64, 32, 6, 24, 24
+FILTER_DECAY, OUTPUT_DECAY = 1e-5, 1e-4
 #: Pairs of bytes at each distance within a chunk.
 ROOM = CHUNK - np.arange(1, LAGS + 1)
 
@@ -87,6 +88,25 @@ def forward(net: Network, own: np.ndarray, again: np.ndarray, bounds: np.ndarray
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def gradients(net: Network, own: np.ndarray, again: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross entropy and the penalties, by embedding, filters, biases, output and shift."""
+    active = _activations(net, own, again)
+    # Only the chunk with a filter's largest activation learns.
+    best = np.stack([bounds[i] + active[bounds[i] : bounds[i + 1]].argmax(axis=0) for i in range(len(labels))])
+    top = np.take_along_axis(active, best, axis=0)
+    pooled = np.maximum(top, 0)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.output + net.shift, -30, 30)))
+    e = ((p - labels) / len(labels)).astype(np.float32)
+    down = e[:, None] * net.output[None, :] * (top > 0)
+    used, which = np.unique(best, return_inverse=True)
+    grad = np.zeros((len(used), FILTERS), np.float32)
+    np.add.at(grad, (which.reshape(best.shape), np.arange(FILTERS)[None, :]), down)
+    back = grad @ net.filters.T
+    embedded = np.zeros_like(net.embedding)
+    np.add.at(embedded, own[used].ravel(), back[:, : CHUNK * WIDTH].reshape(-1, WIDTH))
+    return [embedded, _inputs(net, own[used], again[used]).T @ grad + FILTER_DECAY * net.filters, grad.sum(axis=0), pooled.T @ e + OUTPUT_DECAY * net.output, np.array([e.sum()])]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.004, seed: int = 5) -> Network:
     """Train with Adam on the cross entropy over whole texts; the same data give the same network.
 
@@ -109,21 +129,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
             chosen = order[at : at + batch]
             own, again = np.concatenate([parts[i][0] for i in chosen]), _rates(np.concatenate([parts[i][1] for i in chosen]))
             bounds = np.concatenate([[0], np.cumsum([len(parts[i][0]) for i in chosen])])
-            active = _activations(net, own, again)
-            # Only the chunk with a filter's largest activation learns.
-            best = np.stack([bounds[i] + active[bounds[i] : bounds[i + 1]].argmax(axis=0) for i in range(len(chosen))])
-            top = np.take_along_axis(active, best, axis=0)
-            pooled = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.output + net.shift, -30, 30)))
-            e = ((p - labels[chosen]) / len(chosen)).astype(np.float32)
-            down = e[:, None] * net.output[None, :] * (top > 0)
-            used, which = np.unique(best, return_inverse=True)
-            grad = np.zeros((len(used), FILTERS), np.float32)
-            np.add.at(grad, (which.reshape(best.shape), np.arange(FILTERS)[None, :]), down)
-            back = grad @ net.filters.T
-            embedded = np.zeros_like(net.embedding)
-            np.add.at(embedded, own[used].ravel(), back[:, : CHUNK * WIDTH].reshape(-1, WIDTH))
-            grads = [embedded, _inputs(net, own[used], again[used]).T @ grad + 1e-5 * net.filters, grad.sum(axis=0), pooled.T @ e + 1e-4 * net.output, np.array([e.sum()])]
+            grads = gradients(net, own, again, bounds, labels[chosen])
             step += 1
             pace = rate * (0.5 if epoch >= 2 * epochs // 3 else 1)
             moves = []
@@ -148,11 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, seed: int =
     """Fit on ``max_rows`` labelled documents at most, chosen by a hash of their id from rows that aren't held out.
 
     Texts are whole, as in scoring; what the driver gathers is bounded by the number of rows. Null labels and labels
-    without a document don't count.
+    without a document don't count; of an id's several texts the least one is learnt, of its labels the larger.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).orderBy("doc_id")
     learnt = [(r.text.encode(), r.quality) for r in rows.toLocalIterator()]
     return fit([x for x, _ in learnt], np.array([y for _, y in learnt], np.float32), seed=seed)
 
@@ -166,7 +172,7 @@ def quality_scores(docs: DataFrame, net: Network, threshold: float = 0.3) -> Dat
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in textnum.slices(batches, "text", 1 << 20):
+        for part, data, offsets in textnum.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(forward(model.value, *chunks(data, offsets)))], ["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))

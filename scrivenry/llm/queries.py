@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import decontam, exact_dedup, line_dedup, near_dedup, packing, pii, quality, token_counts, toxicity, warc
-from .store import new_path
+from .store import bound_batches, new_path
 
 BPE = "byte_bpe_50k"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

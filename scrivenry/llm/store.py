@@ -91,3 +91,17 @@ def rows_that_stay(docs: DataFrame, digest: Column, decided: DataFrame) -> DataF
     if not often.isEmpty():
         out = out.join(often, same, "left_anti").unionByName(tagged.join(often, same, "left_semi").dropDuplicates(["doc_id", name]))
     return out.select(docs.columns)
+
+
+#: What a Python worker is sent of a table at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, as long texts come ten thousand at a time else."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "0").lower()
+        plain = int(now) if now.lstrip("-").isdigit() else 0
+        if not 0 < plain <= most:
+            spark.conf.set(key, str(most))

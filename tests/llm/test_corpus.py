@@ -480,8 +480,105 @@ def test_toxicity_chain(spark):
     kept = toxicity.without_toxic(docs, chain)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, t in got.items() if not t}
-    odd = table(spark, [(1, None), (2, ""), (3, "vilest" * 5_000)])
-    assert toxicity.score(odd, chain).count() == 3
+    odd = [(1, None), (2, ""), (3, "vilest" * 5_000), (4, rows_of(docs)[0]), (4, rows_of(docs)[0]), (None, rows_of(docs)[0])]
+    scores = toxicity.score(table(spark, odd), chain).collect()
+    base = plain_chain(chain, set())
+    for r in scores:
+        text = dict(odd)[r.doc_id] or ""
+        assert np.allclose([r[f"p_{c}"] for c in chain.categories], plain_chain(chain, plain_features(text)), atol=1e-5)
+    assert all(np.allclose(r[1:-1], base) for r in scores if r.doc_id in (1, 2)) and len(scores) == len(odd)
+
+
+def rows_of(docs):
+    return [r.text for r in docs.orderBy("doc_id").limit(1).collect()]
+
+
+def plain_features(text):
+    """Hashes of all words and of their beginnings of four to six bytes."""
+    one = lambda x: textnum.slice_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+    out = set()
+    for w in re.findall(r"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.translate(decontam._LOWER)):
+        raw = w.encode()
+        out.add(int(one(raw)[0]))
+        out |= {int(textnum.mix(one(raw[:n]) + np.uint64(n))[0]) for n in (4, 5, 6) if len(raw) > n}
+    return out
+
+
+def plain_chain(chain, features):
+    """Each category's probability, one after another, from its weights alone."""
+    out = []
+    has = [float(int(f) in features) for f in chain.features]
+    for w in chain.weights:
+        z = w[0] + sum(p * x for p, x in zip(out, w[1:], strict=False)) + sum(h * x for h, x in zip(has, w[1 + len(out) :], strict=True))
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_chain_learns_from_out_of_fold_probabilities(monkeypatch):
+    """Later models see, for each row, what models that didn't learn from it said of earlier categories."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((40, 5)) < 0.4).astype(np.float32)
+    y = (rng.random((40, 3)) < 0.4).astype(np.float32)
+    folds = np.arange(40) % 4
+    given, fit = [], toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda a, b: given.append((a.copy(), b.copy())) or fit(a, b))
+    chain = toxicity.fit_chain(x, y, folds, ["a", "b", "c"], np.arange(5, dtype=np.uint64))
+    seen = np.zeros((40, 0))
+    for c in range(3):
+        full = np.hstack([seen, x]).astype(np.float32)
+        assert np.allclose(given[5 * c][0], full, atol=1e-6) and (given[5 * c][1] == y[:, c]).all()
+        held = np.zeros((40, 1))
+        for f in range(4):
+            own = folds != f
+            assert (given[5 * c + 1 + f][0] == given[5 * c][0][own]).all()
+            w = fit(full[own], y[own, c])
+            held[~own, 0] = 1 / (1 + np.exp(-(w[0] + full[~own] @ w[1:])))
+        seen = np.hstack([seen, held])
+    assert [len(w) for w in chain.weights] == [6, 7, 8]
+
+
+def plain_score(net, text):
+    """The network's probability, chunk by chunk and byte by byte."""
+    count = max(1, -(-max(len(text) - quality.CHUNK, 0) // quality.STRIDE) + 1)
+    best = np.full(quality.FILTERS, -np.inf)
+    for i in range(count):
+        own = text[i * quality.STRIDE : i * quality.STRIDE + quality.CHUNK]
+        own = own + bytes(quality.CHUNK - len(own))
+        x = [v for b in own for v in net.embedding[b]] + [sum(own[j] == own[j + lag] for j in range(quality.CHUNK - lag)) / (quality.CHUNK - lag) for lag in range(1, quality.LAGS + 1)]
+        best = np.maximum(best, np.array(x) @ net.filters + net.bias)
+    return 1 / (1 + math.exp(-(np.maximum(best, 0) @ net.output + net.shift)))
+
+
+def test_quality_scores_and_gradients_against_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    shape = lambda *n: rng.normal(0, 0.3, n).astype(np.float32)
+    net = quality.Network(shape(256, quality.WIDTH), shape(quality.CHUNK * quality.WIDTH + quality.LAGS, quality.FILTERS), shape(quality.FILTERS), shape(quality.FILTERS), 0.1)
+    texts = [None, "", "a", "ab" * 40, "é" * 300, "word " * 3_000, "word " * 3_000, "\0\n"]
+    got = quality.quality_scores(table(spark, [*enumerate(texts)]), net).collect()
+    for r in got:
+        text = (texts[r.doc_id] or "").encode()
+        assert abs(r.score - plain_score(net, text)) < 1e-4
+    raw = [b"abc" * 50, b"x" * 20, b"hello world " * 20]
+    data, offsets = textnum.buffers(pa.array([t.decode() for t in raw]))
+    own, again, bounds = quality.chunks(data, offsets)
+    y = np.array([1, 0, 1], np.float32)
+
+    def loss():
+        p = quality.forward(net, own, again, bounds)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + quality.FILTER_DECAY / 2 * (net.filters**2).sum() + quality.OUTPUT_DECAY / 2 * (net.output**2).sum()
+
+    net = quality.Network(*(getattr(net, k).astype(np.float64) for k in ("embedding", "filters", "bias", "output")), net.shift)
+    found = quality.gradients(net, own, again, bounds, y)
+    for name, grad in zip(("embedding", "filters", "bias", "output"), found[:4], strict=True):
+        values, flat = getattr(net, name).reshape(-1), grad.reshape(-1)
+        for i in [*np.argsort(-np.abs(flat))[:4], *rng.integers(0, len(flat), 4)]:
+            old = values[i]
+            values[i] = old + 1e-3
+            high = loss()
+            values[i] = old - 1e-3
+            low = loss()
+            values[i] = old
+            assert abs((high - low) / 2e-3 - flat[i]) < 2e-3
 
 
 def test_quality_network(spark):

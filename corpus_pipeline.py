@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivenry.llm import decontam, exact_dedup, near_dedup, packing, toxicity
-from scrivenry.llm.store import new_path
+from scrivenry.llm.store import bound_batches, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

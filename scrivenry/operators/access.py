@@ -36,16 +36,40 @@ def visible(passages: DataFrame, who: Identity) -> DataFrame:
     return passages.where(F.coalesce(who.predicate(), F.lit(False)))
 
 
+def _signed(names: str, sign: str) -> Column:
+    return F.coalesce(F.transform(names, lambda x: F.concat(F.lit(sign), x)), F.array().cast("array<string>"))
+
+
+def rights_of(users: str = "acl_users", groups: str = "acl_groups") -> Column:
+    """Tokens of whom a passage admits."""
+    return F.concat(_signed(users, "u:"), _signed(groups, "g:"))
+
+
+def tokens_of(user: str = "user_id", groups: str = "groups") -> Column:
+    """Tokens of what a caller is."""
+    return F.array_union(F.array(F.concat(F.lit("u:"), user)), _signed(groups, "g:"))
+
+
 def visible_pairs(passages: DataFrame, principals: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(qid, key) of everything each principal (qid, user_id, groups) may see.
 
-    Rights are exploded into tokens on both sides, so it is an equi-join however many principals there are.
+    Rights are exploded into tokens on both sides, so it is an equi-join however many principals there are. The result is as
+    large as what they see: to filter ranked passages use :func:`admitted`.
     """
-    rights = passages.select(key, F.explode(F.concat(F.transform("acl_users", lambda u: F.concat(F.lit("u:"), u)), F.transform("acl_groups", lambda g: F.concat(F.lit("g:"), g)))).alias("token"))
-    held = principals.select("qid", F.explode(F.array_union(F.array(F.concat(F.lit("u:"), "user_id")), F.transform("groups", lambda g: F.concat(F.lit("g:"), g)))).alias("token"))
+    rights = passages.select(key, F.explode(rights_of()).alias("token"))
+    held = principals.select("qid", F.explode(tokens_of()).alias("token"))
     return rights.join(held, "token").select("qid", key).distinct()
 
 
+def admitted(scored: DataFrame, passages: DataFrame, principals: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The rows of ``scored`` (qid, key, …) whose passage the question's caller may see; passages left out are seen by nobody.
+
+    Rights are looked up for scored rows only, so the work is theirs and not callers times passages.
+    """
+    rows = scored.join(passages.select(key, rights_of().alias("_rights")), key).join(principals.select("qid", tokens_of().alias("_held")), "qid")
+    return rows.where(F.arrays_overlap("_rights", "_held")).select(*scored.columns)
+
+
 def verify_access(df: DataFrame) -> None:
     """Refuse a plan that joins, aggregates, sorts or cuts passages before their access filter.
 

@@ -28,6 +28,21 @@ def parsed(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), e))
 
 
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows with ``turn``, their place from 1 in the order of all rows.
+
+    Rows are dealt by ranges of the order; a range counts from where the ranges before it end, so no task sorts everything.
+    """
+    from ..sources.staging import staged
+
+    keys = [c if isinstance(c, Column) else F.col(c) for c in order]
+    dealt = staged(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.join(sizes.select(F.col("_range").alias("r"), F.col("n").alias("m")), F.col("r") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return dealt.join(F.broadcast(before), "_range").withColumn("turn", (F.col("before") + at).cast("long")).select(*rows.columns, "turn")
+
+
 def key_matches(key: Column, item_id: Column) -> Column:
     return key.eqNullSafe(item_id)
 
@@ -84,6 +99,11 @@ def retried(failed: DataFrame, now: Column, delay: int = 60) -> DataFrame:
     return failed.withColumn("to", to).withColumn("reason", why).withColumn("retries", F.when(to == "retry", count).otherwise(F.col("retry_count"))).withColumn("due_at", F.when(to == "retry", now + delay))
 
 
+def safe_error(kind: Column, message: Column, own: list[str]) -> Column:
+    """What may be stored of an error: its type, and its message only for types whose messages are our own."""
+    return F.when(kind.isin(own) & (F.length(message) > 0), F.concat_ws(": ", kind, message)).otherwise(kind)
+
+
 def is_stale(version: Column, stored: Column) -> Column:
     """Both versions are known and the new one is lower."""
     return F.coalesce(version < stored, F.lit(False))

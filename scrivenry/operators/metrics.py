@@ -102,3 +102,39 @@ def answer_report(outcomes: DataFrame, by: str) -> DataFrame:
         F.round(F.avg("faithfulness"), 4).alias("faithfulness"), F.round(F.avg("relevance"), 4).alias("relevance"), F.round(F.sum("correct") / F.nullif(F.sum("cited"), F.lit(0)), 4).alias("citation_accuracy"),
         F.round(right, 4).alias("not_found_accuracy"), F.round(false, 4).alias("false_refusal"),
     )
+
+
+def load_schedule(queries: DataFrame, rate: float, seconds: float, order: str = "qid") -> DataFrame:
+    """(number, due_s, and the query's columns): an open-loop load of ``rate`` requests a second, whatever the answers take.
+
+    Queries come round in the order of ``order``; the list of them is a stated set, the schedule of any length is made where it
+    is used.
+    """
+    if rate <= 0 or seconds <= 0:
+        raise ValueError("rate and duration must be positive")
+    from .ingest import numbered
+
+    turns = numbered(queries, order)
+    n = turns.count()
+    if not n:
+        raise ValueError("no questions to send")
+    slots = queries.sparkSession.range(int(rate * seconds)).select(F.col("id").alias("number"), (F.col("id") / rate).alias("due_s"), (F.col("id") % n + 1).alias("turn"))
+    return slots.join(turns, "turn").drop("turn")
+
+
+def in_flight(requests: DataFrame, most: int) -> DataFrame:
+    """Requests (number, due_s, took_s) with ``waiting``, how many earlier ones still run when one is due, and ``dropped``.
+
+    A request is dropped when ``most`` or more are running; what would have been dropped before is counted as sent, so
+    the figure is the load's demand.
+    """
+    ends = requests.select(F.col("due_s").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("change"), "number").unionByName(requests.select((F.col("due_s") + F.col("took_s")).alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("change"), "number"))
+    from .ingest import numbered
+
+    # Running totals over ranges: a range begins with the sum of the ranges before it.
+    placed = numbered(ends, "at", "kind", "number").withColumn("block", F.floor((F.col("turn") - 1) / 65_536))
+    sums = placed.groupBy("block").agg(F.sum("change").alias("s"))
+    before = sums.join(sums.select(F.col("block").alias("b"), F.col("s").alias("t")), F.col("b") < F.col("block"), "left").groupBy("block").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("before"))
+    running = F.col("before") + F.sum("change").over(Window.partitionBy("block").orderBy("turn"))
+    found = placed.join(F.broadcast(before), "block").withColumn("waiting", running - 1).where("kind = 1").select("number", "waiting")
+    return requests.join(found, "number").withColumn("dropped", F.col("waiting") >= most)

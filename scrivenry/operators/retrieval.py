@@ -6,7 +6,8 @@ that cuts a list off.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
 
@@ -15,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from . import access
+
 K1, B, RRF_K, CANDIDATES, MOST = 1.2, 0.75, 60, 100, 50
 
 
@@ -69,6 +73,7 @@ def bm25(passages: DataFrame, queries: DataFrame, field: str = "content", key: s
     sized = passages.select(key, tokens(F.col(field)).alias("words")).select(key, "words", F.size("words").alias("length"))
     whole = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     tf = sized.select(key, "length", F.explode("words").alias("term")).join(wanted, "term").groupBy("term", key).agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    tf = staged(tf, "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -83,43 +88,107 @@ def ranked(scored: DataFrame, most: int | None = None, by: str = "qid", key: str
     return out if most is None else out.where(F.col("rank") <= most)
 
 
-def nearest(passages: DataFrame, queries: DataFrame, most: int = CANDIDATES, key: str = "chunk_id") -> DataFrame:
+def query_blocks(queries: DataFrame, size: int) -> Iterator[DataFrame]:
+    """The queries in blocks of about ``size``, by a hash of their id."""
+    n = max(1, math.ceil(queries.count() / size))
+    for i in range(n):
+        yield queries if n == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
+
+
+def nearest(passages: DataFrame, queries: DataFrame, most: int = CANDIDATES, key: str = "chunk_id", block: int = 4_096) -> DataFrame:
     """(qid, key, score, rank): exact cosine neighbours among what each query's caller may see.
 
-    Queries (qid, vector, user_id, groups) are a stated set that is held by every task; each partition keeps its best ``most``
-    per query, so only those are shuffled.
+    Queries (qid, vector, user_id, groups) go to the tasks in blocks of about ``block``, whose size is what the driver and a task
+    hold of them; each task keeps its best ``most`` per query, so only those are shuffled. Queries without a vector find nothing.
     """
-    held = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"), "user_id", "groups").orderBy("qid").collect()
-    names: dict[str, list[int]] = {}
-    for i, q in enumerate(held):
-        for token in {f"u:{q.user_id}", *(f"g:{g}" for g in q.groups)}:
-            names.setdefault(token, []).append(i)
+    out = None
+    for part in query_blocks(queries.where("vector IS NOT NULL"), block):
+        found = _nearest_block(passages, part, most, key)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out.withColumn("score", F.round("score", 6)), most, key=key)
+
+
+def _nearest_block(passages: DataFrame, queries: DataFrame, most: int, key: str) -> DataFrame:
+    held = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"), access.tokens_of().alias("tokens")).orderBy("qid").collect()
     matrix = np.array([q.vector for q in held]).reshape(len(held), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)).T
     ids = np.array([q.qid for q in held])
+    numbers = {t: i for i, t in enumerate(sorted({t for q in held for t in q.tokens}))}
+    holds = np.zeros((len(numbers), len(held)), np.float32)
+    for j, q in enumerate(held):
+        holds[[numbers[t] for t in q.tokens], j] = 1
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf.vector.to_numpy())
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        tokens = pdf.rights.explode().map(numbers).dropna()
+        grants = np.zeros((len(pdf), len(numbers)), np.float32)
+        grants[tokens.index.to_numpy(), tokens.to_numpy(np.int64)] = 1
+        scores = np.where(grants @ holds > 0, v @ matrix, -np.inf)
+        keys = pdf[key].to_numpy()
+        # All that ties with the last place stays, as ties are broken by the key.
+        least = np.partition(scores, -most, axis=0)[-most] if len(pdf) > most else np.full(len(held), -np.inf)
+        i, j = np.nonzero((np.round(scores, 6) >= np.round(least, 6)[None, :]) & np.isfinite(scores))
+        return pd.DataFrame({"qid": ids[j], key: keys[i], "score": scores[i, j]})
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        kept, rows = [], 0
         for pdf in parts:
-            if pdf.empty or not len(held):
-                continue
-            v = np.stack([np.asarray(x, float) for x in pdf.vector])
-            scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ matrix.T
-            seen = np.zeros(scores.shape, bool)
-            for i, row in enumerate(pdf.rights):
-                for token in row:
-                    seen[i, names.get(token, [])] = True
-            for j in range(len(held)):
-                at = np.flatnonzero(seen[:, j])
-                order = np.lexsort((pdf[key].to_numpy()[at], -scores[at, j]))[:most]
-                kept.append(pd.DataFrame({"qid": ids[j], key: pdf[key].to_numpy()[at[order]], "score": scores[at[order], j]}))
-            kept = [pd.concat(kept).sort_values(["qid", "score", key], ascending=[True, False, True]).groupby("qid").head(most)]
-        yield from kept
-
-    rights = F.concat(F.transform("acl_users", lambda u: F.concat(F.lit("u:"), u)), F.transform("acl_groups", lambda g: F.concat(F.lit("g:"), g)))
-    rows = passages.select(key, F.col("vector").cast("array<double>").alias("vector"), rights.alias("rights"))
-    found = rows.mapInPandas(best, f"qid long, {key} string, score double")
-    return ranked(found.withColumn("score", F.round("score", 6)), most, key=key)
+            for at in range(0, len(pdf) if len(held) else 0, 1_024):
+                kept.append(scored(pdf.iloc[at : at + 1_024].reset_index(drop=True)))
+                rows += len(kept[-1])
+            if rows > 4 * most * max(1, len(held)):
+                kept = [first(pd.concat(kept))]
+                rows = len(kept[0])
+        if kept:
+            yield first(pd.concat(kept))
+
+    def first(found: pd.DataFrame) -> pd.DataFrame:
+        order = found.assign(r=found.score.round(6)).sort_values(["qid", "r", key], ascending=[True, False, True])
+        return order.groupby("qid").head(most).drop(columns="r")
+
+    rows = passages.select(key, F.col("vector").cast("array<double>").alias("vector"), access.rights_of().alias("rights"))
+    return rows.mapInPandas(best, f"qid long, {key} {rows.schema[key].dataType.simpleString()}, score double")
+
+
+def search(
+    passages: DataFrame, questions: DataFrame, mode: str = "hybrid", filters: Filters | None = None, top_k: int | None = None,
+    group_by_document: bool = False, rerank: Callable[[DataFrame], Column] | None = None, head: int = 50,
+) -> DataFrame:
+    """(qid, doc_id, chunk_id, score, rank, mode_used): each question's best passages among what its caller may see.
+
+    ``mode`` is hybrid, bm25 or vector. A question (qid, query, vector, user_id, groups) whose vector is null, as its embedding
+    failed, is searched by words alone in hybrid mode and refused in vector mode. ``rerank`` gives the column that scores
+    a passage (columns of both sides); where it is null for some of a question's first ``head`` hits the reranker failed and
+    the order stays. ``mode_used`` says what was done: hybrid, bm25 or knn, with ``+rerank``.
+    """
+    if mode not in ("hybrid", "bm25", "vector"):
+        raise ValueError(f"unknown mode {mode}")
+    if not questions.where("query IS NULL OR trim(query) = ''").isEmpty():
+        raise ValueError("a query needs text")
+    if mode == "vector" and not questions.where("vector IS NULL").isEmpty():
+        raise ValueError("a question without a vector can't be searched by vector")
+    size = page_size(top_k, "x")
+    fetch = max(size, head) if rerank else size
+    allowed = passages.where((filters or Filters()).predicate())
+    legs = {}
+    if mode != "vector":
+        words = bm25(passages, questions).withColumn("score", F.round("score", 6))
+        legs["bm25"] = ranked(access.admitted(words, allowed, questions), max(CANDIDATES, fetch))
+    if mode != "bm25":
+        legs["knn"] = nearest(allowed, questions, max(CANDIDATES, fetch))
+    found = fused(*legs.values(), most=fetch) if len(legs) == 2 else next(iter(legs.values())).where(F.col("rank") <= fetch).select("qid", "chunk_id", "score", "rank")
+    plain = F.when(F.col("vector").isNull(), "bm25").otherwise("hybrid") if mode == "hybrid" else F.lit({"bm25": "bm25", "vector": "knn"}[mode])
+    hits = found.join(questions.select("qid", "query", plain.alias("mode_used")), "qid").join(allowed.select("chunk_id", "doc_id", "content"), "chunk_id")
+    if rerank:
+        whole = Window.partitionBy("qid")
+        hits = hits.withColumn("rerank_score", rerank(hits))
+        hits = hits.withColumn("failed", F.max((F.col("rank") <= head) & F.col("rerank_score").isNull()).over(whole))
+        hits = hits.withColumn("rerank_score", F.when(F.col("failed"), 0.0).otherwise(F.col("rerank_score"))).withColumn("mode_used", F.when(F.col("failed"), F.col("mode_used")).otherwise(F.concat("mode_used", F.lit("+rerank"))))
+        hits = reranked(hits, head)
+    if group_by_document:
+        hits = best_per_document(hits)
+    return hits.where(F.col("rank") <= size).select("qid", "doc_id", "chunk_id", "score", "rank", "mode_used")
 
 
 def fused(*legs: DataFrame, k: int = RRF_K, most: int | None = 10, key: str = "chunk_id") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, normalize
 from ..sources import loaders
+from ..sources.keyed import KeyedTable
 from ..sources.staging import scratch
-from ..sources.tables import VersionedTable
 from ..streaming import assemble, consumer
 from . import fixtures as fx
 from .registry import query
@@ -37,19 +37,19 @@ def k03(spark, sf):
     return c.select("chunk_id", "item_id", F.transform(v, lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query("a16_question_loader", "SELECT 'q' || item_id AS id, substr(text, 1, 40) AS question FROM benchmark WHERE item_id % 2 = 0")
+@query("a16_question_loader", "SELECT 'q' || item_id AS id, text AS question FROM benchmark WHERE item_id % 2 = 0")
 def a16(spark, sf):
+    """The questions of the dev slice; the others are in the test slice."""
     path = scratch(spark, "questions")
-    rows = fx.table(spark, sf, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("id"), F.substring("text", 1, 40).alias("question"), F.expr("if(item_id % 2 = 0, 'dev', 'test')").alias("slice"))
+    rows = fx.table(spark, sf, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("id"), F.col("text").alias("question"), F.expr("if(item_id % 2 = 0, 'dev', 'test')").alias("slice"))
     rows.write.json(path)
     return loaders.load_questions(spark, path).select("id", "question")
 
 
-@query("a17_query_loader", "SELECT item_id, trim(replace(substr(text, 1, 30), chr(10), ' ')) AS question FROM benchmark")
+@query("a17_query_loader", "SELECT item_id, trim(replace(text, chr(10), ' ')) AS question FROM benchmark")
 def a17(spark, sf):
     path = scratch(spark, "queries")
-    short = F.trim(F.translate(F.substring("text", 1, 30), "\n", " "))
-    b = fx.table(spark, sf, "benchmark").select("item_id", short.alias("question"))
+    b = fx.table(spark, sf, "benchmark").select("item_id", F.trim(F.translate("text", "\n", " ")).alias("question"))
     b.select(F.when(F.col("item_id") % 2 == 0, F.to_json(F.struct("question", F.lit("u1").alias("as_user")))).otherwise(F.col("question"))).write.text(path)
     return loaders.load_queries(spark, path).distinct().join(b, "question").select("item_id", "question").distinct()
 
@@ -61,17 +61,49 @@ def i22(spark, sf):
     return assemble.assembled(parts, 3)
 
 
+def live_messages(spark, sf):
+    m = fx.message(spark, sf).where("topic = 'live'")
+    value = F.expr("""if(corrupt, '{"schema', concat('{"schema_version":1,"event_id":"', event_id, '","event_type":"', event_type, '","item_id":"', item_id, '","doc_version":', doc_version, ',"occurred_at":"', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss"), '"}'))""")
+    return m.select("topic", F.col("part").cast("int").alias("part"), "off", "key", value.alias("value"), F.col("retry_count").cast("int").alias("retry_count"), F.col("not_before").cast("long").alias("not_before"), F.lit(None).cast("string").alias("origin"))
+
+
 @query("i01_consumer_stream")
 def i01(spark, sf):
-    """All events through the streaming consumer in a few files; the result is the state table."""
+    """All live events through the streaming consumer in a few files; the result is the state table."""
     base = scratch(spark, "stream")
-    m = fx.message(spark, sf).where("topic = 'live'")
-    value = F.expr("""if(corrupt, '{"schema', concat('{"schema_version":1,"event_id":"', event_id, '","event_type":"', event_type, '","item_id":"', item_id, '","doc_version":', doc_version, ',"occurred_at":"', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss"), '"}'))""")
-    rows = m.select("topic", F.col("part").cast("int").alias("part"), "off", "key", value.alias("value"), F.col("retry_count").cast("int").alias("retry_count"), F.col("not_before").cast("long").alias("not_before"))
-    consumer.send(rows.repartition(2, "key"), f"{base}/live")
-    states = VersionedTable(spark, f"{base}/states")
+    consumer.send(live_messages(spark, sf).repartition(2, "key"), f"{base}/live")
+    states = KeyedTable(spark, f"{base}/states", consumer.STATE, "item_id", order="doc_version")
     states.write(fx.index_state(spark, sf))
     documents = fx.meta(spark, sf).withColumn("usable", F.lit(True))
     worker = consumer.Consumer(spark, documents, states, f"{base}/dlq")
     worker.start(consumer.read_topic(spark, f"{base}/live", 10), f"{base}/checkpoint").awaitTermination()
     return states.read().select("item_id", "status", "doc_version", "attempts")
+
+
+_SENT = """ev AS (SELECT * FROM message WHERE topic = 'live' AND NOT corrupt AND key = item_id),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN v THEN doc_version END, date_trunc('second', occurred_at), off) AS position FROM (SELECT *, bool_and(doc_version IS NOT NULL) OVER (PARTITION BY item_id) AS v FROM ev)),
+ marked AS (SELECT *, max(CASE WHEN event_type = 'DELETE' THEN position END) OVER (PARTITION BY item_id) AS last_del, count(*) OVER (PARTITION BY item_id) AS members, max(retry_count) OVER (PARTITION BY item_id) AS retries FROM placed),
+ w AS (SELECT item_id, event_type, doc_version, retries FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN last_del = members THEN CASE WHEN position = last_del THEN 0 ELSE 9 END WHEN position > coalesce(last_del, 0) AND event_type = 'UPSERT' THEN 0 WHEN position > coalesce(last_del, 0) THEN 1 ELSE 9 END, position DESC) AS r FROM marked) WHERE r = 1),
+ d AS (SELECT item_id, version, true AS present FROM meta WHERE doc_id % 3 <> 0),
+ o AS (SELECT item_id, CASE WHEN event_type = 'DELETE' AND coalesce(version > doc_version, false) THEN 'stale' WHEN event_type = 'DELETE' THEN 'deleted' WHEN present IS NULL AND retries < 5 THEN 'missing' WHEN present IS NULL THEN 'deleted' ELSE 'indexed' END AS outcome FROM w LEFT JOIN d USING (item_id))"""
+
+
+@query("i01_indexed_chunks", fx.sql(f"WITH {_SENT} SELECT chunk_id, doc_type FROM chunk_index WHERE item_id IN (SELECT item_id FROM o WHERE outcome = 'indexed') UNION ALL SELECT 'OLD-' || item_id, 'old' FROM d WHERE item_id NOT IN (SELECT item_id FROM w) OR item_id IN (SELECT item_id FROM o WHERE outcome IN ('stale', 'missing'))", "message", "meta", "chunk_index"))
+def i01_chunks(spark, sf):
+    """The chunk table after all live events in one batch, over a table in which each document has one old chunk."""
+    base = scratch(spark, "stream")
+    rows = live_messages(spark, sf).withColumn("not_before", F.lit(0).cast("long"))
+    consumer.send(rows.coalesce(1), f"{base}/live")
+    states = KeyedTable(spark, f"{base}/states", consumer.STATE, "item_id", order="doc_version")
+    chunks = KeyedTable(spark, f"{base}/chunks", consumer.CHUNK, "chunk_id", bucket_by="item_id")
+    documents = fx.meta(spark, sf).where("doc_id % 3 <> 0").withColumn("usable", F.lit(True))
+    old = documents.select(F.concat(F.lit("OLD-"), "item_id").alias("chunk_id"), "item_id", F.lit("old").alias("doc_type"))
+    chunks.write(old.select(*(F.col(f.name) if f.name in old.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema)))
+
+    def split(pages):
+        return fx.windows_of(pages.select("item_id", "page_no", "page")).withColumn("chunk_id", F.concat_ws(":", "item_id", "chunk_no", F.substring(F.sha2("content", 256), 1, 16))).withColumn("section_title", F.lit(None).cast("string"))
+
+    pages = fx.src_page(spark, sf)
+    worker = consumer.Consumer(spark, documents, states, f"{base}/dlq", f"{base}/retry", chunks, pages, split=split)
+    worker.start(consumer.read_topic(spark, f"{base}/live", 10), f"{base}/checkpoint").awaitTermination()
+    return chunks.read().select("chunk_id", "doc_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context, folds, metrics
+from ..operators import answering, context, folds, ingest, metrics
 from . import fixtures as fx
 from . import search_queries as sq
 from .registry import query
@@ -302,6 +302,25 @@ def k07(spark, sf):
     return context.budgeted(context.select_context(passages(spark, sf)).join(labels, "chunk_id"), 400)
 
 
+@query("k08_answer_prepare")
+def k08_prepare(spark, sf):
+    """Context and prompt of each question; every seventh question's reranker gave low scores."""
+    found = passages(spark, sf).withColumn("mode_used", F.lit("hybrid+rerank")).withColumn("score", F.when(F.col("qid") % 7 == 0, 0.01).otherwise(0.9))
+    hits = found.withColumn("label", text.context_label(F.col("item_id"), F.lit(""), F.col("page_no"), F.col("page_no")))
+    out = answering.prepared(hits, fx.question(spark, sf), "Context:\n{{context}}\n\nQuestion: {{question}}", least=0.1, budget=400)
+    return out.select("qid", F.sha2("prompt", 256).alias("prompt"), F.coalesce(F.size("refs"), F.lit(0)).alias("n_refs"), "reason")
+
+
+@query("k17_load_schedule", "SELECT n AS number, n / 4 AS due_s, qid FROM range(480) r(n) JOIN (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) - 1 AS turn, count(*) OVER () AS size FROM benchmark) ON n % size = turn")
+def k17(spark, sf):
+    return metrics.load_schedule(fx.question(spark, sf).select("qid", "query"), 4.0, 120.0).select("number", "due_s", "qid")
+
+
+@query("h25_safe_error", "SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN event_type || ': ' || user_id ELSE event_type END AS shown FROM events")
+def h25(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", ingest.safe_error(F.col("event_type"), F.col("user_id").cast("string"), ["error", "view"]).alias("shown"))
+
+
 @query("e07_rate_limit")
 def e07(spark, sf):
     return folds.rate_limited(fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("at"), "event_id"), limit=2, window=3600)

@@ -43,12 +43,14 @@ VIEWS: dict[str, str] = {
     "load_sample": """SELECT l_orderkey, l_quantity / 10 AS latency_s, CASE WHEN l_tax < 0.01 THEN 503 WHEN l_tax < 0.02 THEN 0 ELSE 200 END AS status,
  CASE l_linenumber % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'hybrid+rerank' WHEN 2 THEN 'bm25' ELSE 'knn' END AS mode_used, l_discount AS first_byte_s, l_linenumber AS run FROM lineitem""",
     "answer_text": """SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 THEN ' NOT_FOUND. ' ELSE text || ' [' || (turn % 6 + 1) || ']' END AS answer FROM conversations WHERE role = 'assistant'""",
-    "ranked": """SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY h) AS rank FROM (SELECT q.item_id AS qid, d.doc_id, sha256(q.item_id || ':' || d.doc_id) AS h FROM benchmark q
- JOIN documents d ON d.doc_id % 50 = q.item_id % 50 UNION ALL SELECT qid, doc_id, sha256(qid || ':' || doc_id) FROM relevant WHERE doc_id % 50 <> qid % 50)""",
+    "ranked": """WITH w AS (SELECT doc_id, chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunk), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+ qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM question), tf AS (SELECT doc_id, chunk_id, length, term, count(*) AS tf FROM (SELECT doc_id, chunk_id, len(w) AS length, unnest(w) AS term FROM w)
+ WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), bm AS (SELECT qid, doc_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score
+ FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY qid, doc_id, chunk_id) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, doc_id) AS rank FROM bm GROUP BY qid, doc_id QUALIFY rank <= 100""",
 }
 _NEEDS = {
     "src_page": ["src_doc"], "sentences": ["src_page"], "windows": ["sentences"], "numbered": ["windows"], "chunk": ["numbered"], "chunk_index": ["chunk", "src_doc"],
-    "message": ["index_event"], "meta": ["src_doc"], "index_state": ["meta"], "ranked": ["relevant"],
+    "message": ["index_event"], "meta": ["src_doc"], "index_state": ["meta"], "ranked": ["chunk", "question"],
 }
 
 
@@ -82,15 +84,20 @@ def src_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "item_id", F.posexplode(pages).alias("p", "page")).select("doc_id", "item_id", (F.col("p") + 1).alias("page_no"), "page")
 
 
-def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple chunks: five sentences of a page each."""
+def windows_of(pages: DataFrame, *keep: str) -> DataFrame:
+    """Simple chunks of paged documents: five sentences of a page each, numbered from 0."""
     from ..functions.text import sentences
 
-    parts = src_page(spark, sf_dir).withColumn("s", sentences(F.col("page")))
+    parts = pages.withColumn("s", sentences(F.col("page")))
     windows = F.expr("transform(sequence(0, (size(s) - 1) div 5), w -> struct(page_no, w, array_join(slice(s, int(w * 5 + 1), 5), ' ') AS content))")
-    rows = parts.select("doc_id", "item_id", F.explode(windows).alias("x")).groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("doc_id", "item_id", F.posexplode("xs").alias("chunk_no", "x"))
+    rows = parts.select(*keep, "item_id", F.explode(windows).alias("x")).groupBy(*keep, "item_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = rows.select(*keep, "item_id", F.posexplode("xs").alias("chunk_no", "x"))
+    return rows.select(*keep, "item_id", "x.page_no", F.col("chunk_no").cast("long").alias("chunk_no"), "x.content")
+
+
+def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").count()
-    out = rows.select("doc_id", "item_id", "x.page_no", F.col("chunk_no").cast("long").alias("chunk_no"), "x.content").withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
+    out = windows_of(src_page(spark, sf_dir), "doc_id").withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
     return out.withColumn("chunk_id", F.concat_ws(":", "item_id", "chunk_no", "content_hash")).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_no")) % n)
 
 
@@ -109,7 +116,7 @@ def question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    return table(spark, sf_dir, "documents").join(F.broadcast(items), F.contains("text", "item")).select("qid", "doc_id")
+    return table(spark, sf_dir, "documents").join(items, F.contains("text", "item")).select("qid", "doc_id")
 
 
 def index_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +162,9 @@ def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", "item_id % 50 AS m")
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id % 50 AS m")
-    pairs = d.join(F.broadcast(q), "m").select("qid", "doc_id").unionByName(relevant(spark, sf_dir).where("doc_id % 50 <> qid % 50"))
-    return pairs.selectExpr("qid", "doc_id", "bigint(row_number() OVER (PARTITION BY qid ORDER BY sha2(concat_ws(':', qid, doc_id), 256))) AS rank")
+    """(qid, doc_id, rank): the hundred best documents of each question by their best chunk's BM25."""
+    from ..operators import retrieval
+
+    scored = retrieval.bm25(chunk(spark, sf_dir), question(spark, sf_dir)).select("qid", F.expr("bigint(substring(split_part(chunk_id, ':', 1), 5))").alias("doc_id"), F.round("score", 6).alias("score"))
+    best = scored.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    return retrieval.ranked(best, 100, key="doc_id").select("qid", "doc_id", "rank")

@@ -144,7 +144,7 @@ def d05(spark, sf):
 @query("f06_work_priority", fx.sql(f"WITH {_ORDER} SELECT item_id, row_number() OVER (ORDER BY CASE event_type WHEN 'DELETE' THEN 0 WHEN 'ACL_CHANGE' THEN 1 ELSE 2 END, event_id) AS turn FROM w", "index_event"))
 def f06(spark, sf):
     w = work(spark, sf)
-    return w.select("item_id", F.row_number().over(Window.orderBy(ingest.priority(F.col("event_type")), "event_id")).cast("long").alias("turn"))
+    return ingest.numbered(w.select("item_id", ingest.priority(F.col("event_type")).alias("p"), "event_id"), "p", "event_id").select("item_id", "turn")
 
 
 @query("i06_batch_priority", fx.sql(f"WITH {_ORDER} SELECT event_type, count(*) AS n, CASE event_type WHEN 'DELETE' THEN 0 WHEN 'ACL_CHANGE' THEN 1 ELSE 2 END AS priority FROM w GROUP BY event_type", "index_event"))

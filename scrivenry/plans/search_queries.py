@@ -7,9 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import access, retrieval
+from ..sources.staging import staged
 from . import fixtures as fx
 from .registry import query
+from .text_queries import TERMS
 
 ME = access.Identity("u7", ("g1", "g4"))
 _MINE = "(list_contains(acl_users, 'u7') OR list_has_any(acl_groups, ['g1', 'g4']))"
@@ -71,6 +74,24 @@ def a03(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", parsed["page_no"].try_cast("int").alias("page_no"), kept.alias("doc_type"))
 
 
+_RAW = """p AS (SELECT doc_id, item_id, page_no, length(page) AS c, sum(length(page)) OVER (PARTITION BY item_id ORDER BY page_no) AS run FROM src_page),
+ n AS (SELECT item_id, count(*) AS pages, coalesce(min(CASE WHEN page_no > 5 OR run > 6000 THEN page_no END) - 1, count(*)) AS kept FROM p GROUP BY item_id)"""
+
+
+@query("a03_map_source", fx.sql(f"WITH {_RAW} SELECT d.item_id, kept AS n_pages, (SELECT coalesce(sum(c), 0) FROM p WHERE p.item_id = d.item_id AND page_no <= kept) AS n_chars, kept < pages AS truncated, doc_type, version, array_to_string(tags, ',') AS tags, CASE WHEN d.doc_id % 2 = 0 THEN acl_users[1] END AS acl_users FROM src_doc d JOIN n USING (item_id)", "src_doc", "src_page"))
+def a03_map(spark, sf):
+    """Raw JSON of all documents with their pages; every other one names its user in a list, the others with a blank."""
+    from ..sources.mapping import map_source
+
+    pages = fx.src_page(spark, sf).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.col("page").alias("text")))).alias("pages"))
+    d = fx.src_doc(spark, sf).join(pages, "item_id")
+    users = F.when(F.col("doc_id") % 2 == 0, F.col("acl_users")).otherwise(F.array(F.lit(" ")))
+    raw = d.select("item_id", F.to_json(F.struct("pages", F.concat(F.lit(" "), "doc_type").alias("doc_type"), F.col("version").cast("string").alias("version"), "tags", users.alias("acl_users"))).alias("source"))
+    m = map_source(raw, max_pages=5, max_chars=6_000)
+    chars = F.aggregate("pages", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["text"]))
+    return m.select("item_id", F.size("pages").cast("long").alias("n_pages"), chars.alias("n_chars"), "truncated", "doc_type", "version", F.array_join("tags", ",").alias("tags"), F.get("acl_users", F.lit(0)).alias("acl_users"))
+
+
 @query("a04_projection", "SELECT doc_id, lang FROM documents")
 def a04(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", "lang")
@@ -136,13 +157,13 @@ def c13(spark, sf):
     return near_pairs(fx.table(spark, sf, "documents").select("doc_id", "text"), 0.85)
 
 
-@query("c14_query_by_vectors", fx.sql("SELECT qid, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine FROM question q JOIN embeddings v ON v.vec_id = q.vec_id, embeddings e WHERE qid % 5 = 0", "question"))
+@query("c14_query_by_vectors", fx.sql("SELECT qid, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine FROM question q JOIN embeddings v ON v.vec_id = q.vec_id, embeddings e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, e.vec_id) <= 100", "question"))
 def c14(spark, sf):
-    from ..functions import vectors
-
-    q = questions(spark, sf).where("qid % 5 = 0").select("qid", vectors.doubles(F.col("vector")).alias("v"))
-    e = fx.table(spark, sf, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("e"))
-    return e.crossJoin(F.broadcast(q)).select("qid", "vec_id", F.round(vectors.cosine(F.col("e"), F.col("v")), 6).alias("cosine"))
+    """The hundred nearest vectors of each question, whoever asks."""
+    everyone = F.array(F.lit("all"))
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), everyone.alias("acl_users"), F.array().cast("array<string>").alias("acl_groups"))
+    found = retrieval.nearest(e, questions(spark, sf).withColumn("user_id", F.lit("all")), 100, key="vec_id")
+    return found.select("qid", "vec_id", F.col("score").alias("cosine"))
 
 
 _BM25 = """w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunk), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM question),
@@ -156,18 +177,21 @@ _LEGS = f"""{_BM25}, {_SEEN}, l1 AS (SELECT qid, chunk_id, score, row_number() O
 _TOP = "top AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM rrf QUALIFY rank <= {n})"
 
 
-def keyword_leg(spark, sf):
-    scored = retrieval.bm25(fx.chunk(spark, sf), fx.question(spark, sf)).withColumn("score", F.round("score", 6))
-    seen = access.visible_pairs(fx.chunk_index(spark, sf), fx.question(spark, sf))
-    return retrieval.ranked(scored.join(seen, ["qid", "chunk_id"]), retrieval.CANDIDATES)
+def keyword_leg(spark, sf, rows=None):
+    rows = passages(spark, sf) if rows is None else rows
+    q = fx.question(spark, sf)
+    scored = retrieval.bm25(rows, q).withColumn("score", F.round("score", 6))
+    return retrieval.ranked(access.admitted(scored, rows, q), retrieval.CANDIDATES)
 
 
-def vector_leg(spark, sf):
-    return retrieval.nearest(passages(spark, sf), questions(spark, sf))
+def vector_leg(spark, sf, rows=None):
+    return retrieval.nearest(passages(spark, sf) if rows is None else rows, questions(spark, sf))
 
 
-def hybrid(spark, sf, most=10):
-    return retrieval.fused(keyword_leg(spark, sf), vector_leg(spark, sf), most=most)
+def hybrid(spark, sf, most=10, rows=None):
+    """Both legs over passages that are made once."""
+    rows = staged(passages(spark, sf), "passages") if rows is None else rows
+    return retrieval.fused(keyword_leg(spark, sf, rows), vector_leg(spark, sf, rows), most=most)
 
 
 @query("c16_term_postings", fx.sql(f"WITH {_BM25} SELECT chunk_id, term, tf FROM tf", "chunk", "question"))
@@ -194,7 +218,8 @@ def h47(spark, sf):
 
 
 def scored_hits(spark, sf, most):
-    hits = hybrid(spark, sf, most).join(fx.chunk(spark, sf).select("chunk_id", "doc_id", "content"), "chunk_id").join(fx.question(spark, sf).select("qid", "query"), "qid")
+    rows = staged(passages(spark, sf), "passages")
+    hits = hybrid(spark, sf, most, rows).join(rows.select("chunk_id", "doc_id", "content"), "chunk_id").join(fx.question(spark, sf).select("qid", "query"), "qid")
     return hits.withColumn("rerank_score", retrieval.overlap_score(F.col("query"), F.col("content")))
 
 
@@ -220,7 +245,8 @@ def c01(spark, sf):
 
 @query("g01_union_legs", fx.sql(f"WITH {_LEGS} SELECT qid, chunk_id, 'bm25' AS leg FROM l1 UNION ALL SELECT qid, chunk_id, 'knn' FROM l2", "chunk_index", "question"))
 def g01(spark, sf):
-    legs = {"bm25": keyword_leg(spark, sf), "knn": vector_leg(spark, sf)}
+    rows = staged(passages(spark, sf), "passages")
+    legs = {"bm25": keyword_leg(spark, sf, rows), "knn": vector_leg(spark, sf, rows)}
     named = [leg.select("qid", "chunk_id", F.lit(name).alias("leg")) for name, leg in legs.items()]
     return named[0].unionByName(named[1])
 
@@ -235,6 +261,20 @@ def k04(spark, sf):
     return hybrid(spark, sf).select("qid", "chunk_id", "score", "rank")
 
 
+_HIT = f"""hit AS (SELECT qid, chunk_id, trim(content) AS t, list_sort(list_filter(list_transform({TERMS}, lambda w: {{'at': strpos(lower(trim(content)), w), 'term': w}}), lambda x: x.at > 0)) AS f
+ FROM top JOIN (SELECT qid, query FROM question) USING (qid) JOIN (SELECT chunk_id, content FROM chunk) USING (chunk_id)), placed AS (SELECT *, CASE WHEN len(f) > 0 THEN greatest(0, f[1].at - 1 - 60) ELSE 0 END AS st FROM hit)"""
+
+
+@query("h11_local_snippet", fx.sql(f"""WITH {_LEGS}, {_TOP.format(n=10)}, {_HIT} SELECT qid, chunk_id, sha256((CASE WHEN st > 0 THEN '...' ELSE '' END) || trim(substr(t, st + 1, 240)) || (CASE WHEN st + 240 < length(t) THEN '...' ELSE '' END)) AS snippet,
+ array_to_string(list_transform(f, lambda x: x.term), ' ') AS terms FROM placed""", "chunk_index", "question"))
+def h11(spark, sf):
+    """Snippets of each question's hits."""
+    rows = staged(passages(spark, sf), "passages")
+    hits = hybrid(spark, sf, 10, rows).join(rows.select("chunk_id", "content"), "chunk_id").join(fx.question(spark, sf).select("qid", "query"), "qid")
+    found = text.found_terms(F.col("content"), F.col("query"))
+    return hits.select("qid", "chunk_id", F.sha2(text.local_snippet(F.col("content"), F.col("query")), 256).alias("snippet"), F.array_join(F.transform(found, lambda x: x["term"]), " ").alias("terms"))
+
+
 @query("f01_top_by_score", fx.sql("SELECT doc_id, sc AS score FROM (SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS sc FROM ranked GROUP BY doc_id) ORDER BY sc DESC, doc_id LIMIT 10", "ranked"))
 def f01(spark, sf):
     return d03(spark, sf).orderBy(F.col("score").desc(), "doc_id").limit(10)
@@ -263,10 +303,29 @@ def e02(spark, sf):
 @query("k05_search", fx.sql(f"WITH {_RERANKED} SELECT qid, doc_id, chunk_id, final AS rank, mode_used FROM (SELECT qid, doc_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS final, CASE WHEN qid % 3 = 0 THEN 'hybrid' ELSE 'hybrid+rerank' END AS mode_used FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS nth FROM (SELECT qid, doc_id, chunk_id, rank FROM rr WHERE qid % 3 <> 0 UNION ALL SELECT qid, doc_id, chunk_id, rank FROM sc WHERE qid % 3 = 0)) WHERE nth = 1) WHERE final <= 10", "chunk_index", "question"))
 def k05(spark, sf):
     """Every third question stands for one whose reranker failed."""
-    hits = scored_hits(spark, sf, 50)
-    done = retrieval.reranked(hits.where("qid % 3 <> 0"), 20).unionByName(hits.where("qid % 3 = 0"))
-    best = retrieval.best_per_document(done).where("rank <= 10")
-    return best.select("qid", "doc_id", "chunk_id", "rank", F.expr("if(qid % 3 = 0, 'hybrid', 'hybrid+rerank')").alias("mode_used"))
+    rows = staged(passages(spark, sf), "passages")
+    score = lambda hits: F.when(hits["qid"] % 3 != 0, retrieval.overlap_score(hits["query"], hits["content"]))
+    # SQL reranks 20 of the 50 that it fetches.
+    found = retrieval.search(rows, questions(spark, sf), "hybrid", top_k=50, group_by_document=True, rerank=score, head=20)
+    return found.where("rank <= 10").select("qid", "doc_id", "chunk_id", "rank", "mode_used")
+
+
+@query("k05_search_bm25", fx.sql(f"WITH {_LEGS} SELECT qid, doc_id, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, 'bm25' AS mode_used FROM bm JOIN seen USING (qid, chunk_id) JOIN (SELECT chunk_id, doc_id, doc_type FROM chunk_index) USING (chunk_id) WHERE doc_type IN ('src1', 'src2', 'src3', 'src4', 'src5') QUALIFY rank <= 7", "chunk_index", "question"))
+def k05_bm25(spark, sf):
+    only = retrieval.Filters(doc_types=("src1", "src2", "src3", "src4", "src5"))
+    return retrieval.search(staged(passages(spark, sf), "passages"), questions(spark, sf), "bm25", only, 7).select("qid", "doc_id", "chunk_id", "rank", "mode_used")
+
+
+@query("k05_search_vector", fx.sql(f"WITH {_LEGS} SELECT qid, doc_id, chunk_id, rank, 'knn' AS mode_used FROM l2 JOIN (SELECT chunk_id, doc_id FROM chunk) USING (chunk_id) WHERE rank <= 10", "chunk_index", "question"))
+def k05_vector(spark, sf):
+    return retrieval.search(staged(passages(spark, sf), "passages"), questions(spark, sf), "vector").select("qid", "doc_id", "chunk_id", "rank", "mode_used")
+
+
+@query("k05_search_without_vectors", fx.sql(f"WITH {_LEGS}, two AS (SELECT qid, chunk_id, rank FROM l1 UNION ALL SELECT qid, chunk_id, rank FROM l2 WHERE qid % 4 <> 0) SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, CASE WHEN qid % 4 = 0 THEN 'bm25' ELSE 'hybrid' END AS mode_used FROM (SELECT qid, chunk_id, round(sum(1 / (60 + rank)), 9) AS score FROM two GROUP BY qid, chunk_id) QUALIFY rank <= 10", "chunk_index", "question"))
+def k05_fallback(spark, sf):
+    """Every fourth question's embedding failed."""
+    q = questions(spark, sf).withColumn("vector", F.when(F.col("qid") % 4 != 0, F.col("vector")))
+    return retrieval.search(staged(passages(spark, sf), "passages"), q).select("qid", "chunk_id", "rank", "mode_used")
 
 
 @query("c15_rerank_by_position", fx.sql("SELECT r.qid, r.doc_id, s.score FROM ranked r JOIN (SELECT qid, rank, round(1 / (rank + 1), 6) AS score FROM ranked WHERE rank <= 20) s USING (qid, rank)", "ranked"))
@@ -276,9 +335,9 @@ def c15(spark, sf):
     return r.join(scores, ["qid", "rank"]).select("qid", "doc_id", "score")
 
 
-@query("f08_chunk_cap", fx.sql("SELECT chunk_id FROM chunk WHERE chunk_no < 20", "chunk"))
+@query("f08_chunk_cap", fx.sql("SELECT chunk_id FROM chunk WHERE chunk_no < 20000", "chunk"))
 def f08(spark, sf):
-    return fx.chunk(spark, sf).where(F.col("chunk_no") < 20).select("chunk_id")
+    return fx.chunk(spark, sf).where(F.col("chunk_no") < 20_000).select("chunk_id")
 
 
 @query("e10_numbering", fx.sql("SELECT doc_id, chunk_no, chunk_no + 1 AS ref FROM chunk", "chunk"))

@@ -100,26 +100,14 @@ def h07(spark, sf):
     return docs(spark, sf).select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
 
 
-_TERMS = "list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), lambda w: length(w) >= 3)"
+TERMS = "list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), lambda w: length(w) >= 3)"
 
 
-@query("h10_query_terms", fx.sql(f"SELECT qid, array_to_string(list_sort({_TERMS}), ' ') AS terms FROM question", "question"))
+@query("h10_query_terms", fx.sql(f"SELECT qid, array_to_string(list_sort({TERMS}), ' ') AS terms FROM question", "question"))
 def h10(spark, sf):
     return fx.question(spark, sf).select("qid", F.array_join(F.sort_array(text.query_terms(F.col("query"))), " ").alias("terms"))
 
 
-_SNIP = f"""hit AS (SELECT qid, doc_id, trim(text) AS t, list_sort(list_filter(list_transform({_TERMS}, lambda w: {{'at': strpos(lower(trim(text)), w), 'term': w}}), lambda x: x.at > 0)) AS f
- FROM question q JOIN documents d ON d.doc_id % 40 = q.qid % 40), placed AS (SELECT *, CASE WHEN len(f) > 0 THEN greatest(0, f[1].at - 1 - 60) ELSE 0 END AS st FROM hit)"""
-
-
-@query("h11_local_snippet", fx.sql(f"""WITH {_SNIP} SELECT qid, doc_id, sha256((CASE WHEN st > 0 THEN '...' ELSE '' END) || trim(substr(t, st + 1, 240)) || (CASE WHEN st + 240 < length(t) THEN '...' ELSE '' END)) AS snippet,
- array_to_string(list_transform(f, lambda x: x.term), ' ') AS terms FROM placed""", "question"))
-def h11(spark, sf):
-    both = docs(spark, sf).withColumn("m", F.col("doc_id") % 40).join(F.broadcast(fx.question(spark, sf).withColumn("m", F.col("qid") % 40)), "m")
-    found = text.found_terms(F.col("text"), F.col("query"))
-    return both.select("qid", "doc_id", F.sha2(text.local_snippet(F.col("text"), F.col("query")), 256).alias("snippet"), F.array_join(F.transform(found, lambda x: x["term"]), " ").alias("terms"))
-
-
 @query("h12_marked_terms", """SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(m, '(?s)<em>(.*?)</em>', 1), lambda x: lower(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))))), '|') AS terms
  FROM (SELECT doc_id, regexp_replace(text, ' (t[a-z]+)', ' <em>\\1&amp;</em>', 'g') AS m FROM documents)""")
 def h12(spark, sf):
@@ -236,11 +224,12 @@ def h41(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", vectors.vector_problem(vectors.doubles(v), 64).alias("problem"))
 
 
-@query("h42_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id < 10")
+@query("h42_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def h42(spark, sf):
+    """Each vector with the next one."""
     e = fx.table(spark, sf, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("e"))
-    few = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("b"), F.col("e").alias("f")))
-    return e.crossJoin(few).select(F.col("vec_id").alias("a"), "b", F.round(vectors.cosine(F.col("e"), F.col("f")), 6).alias("cosine"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("e").alias("f"))
+    return e.join(after, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(vectors.cosine(F.col("e"), F.col("f")), 6).alias("cosine"))
 
 
 _SH = "list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))"
@@ -280,9 +269,9 @@ def h61(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(text.page_list(F.expr("doc_id % 9 + 1"), F.expr("doc_id % 9 + 1 + doc_id % 70 - 5")), ",").alias("pages"))
 
 
-@query("h62_string_list", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 200), '.'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM documents")
+@query("h62_string_list", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM documents")
 def h62(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(text.string_list(F.split(F.substring("text", 1, 200), "\\.")), "|").alias("parts"))
+    return docs(spark, sf).select("doc_id", F.array_join(text.string_list(F.split("text", "\\.")), "|").alias("parts"))
 
 
 @query("h63_header_number", "SELECT event_id, coalesce(try_cast(CASE event_id % 3 WHEN 0 THEN 'bad' WHEN 1 THEN CAST(event_id % 7 AS VARCHAR) END AS INTEGER), 0) AS retries FROM events")

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..streaming.consumer import send
 from .tables import VersionedTable, upserted
 
+#: A job record's fields, and those that a restart clears.
 JOB = (
     "job_id string, kind string, wave bigint, status string, desired string, cursor string, scanned bigint, published bigint, "
     "skipped_up_to_date bigint, last_error string, started_at timestamp, updated_at timestamp, finished_at timestamp"
@@ -111,17 +112,29 @@ class Backfill:
     model: str = "m@1"
     chunker: str = "v1"
     pages: int = 64
+    parts: int = 16
 
-    def messages(self, items: DataFrame, wave: int | None) -> DataFrame:
+    def messages(self, items: DataFrame, wave: int | None, base: dict[int, int]) -> DataFrame:
         event = F.struct(
             F.lit(1).alias("schema_version"), F.uuid().alias("event_id"), F.lit("UPSERT").alias("event_type"), "item_id",
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("occurred_at"), F.lit("backfill").alias("source"), F.lit("backfill").alias("priority"), F.lit(wave).cast("long").alias("wave"),
         )
-        return items.select(
-            F.lit("backfill").alias("topic"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("off"), F.col("item_id").alias("key"),
-            F.to_json(event).alias("value"), F.lit(0).alias("retry_count"), F.lit(None).cast("long").alias("not_before"),
+        # Offsets go on where the topic's partition ends; ``base`` holds the next one of each.
+        dealt = items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(self.parts)).cast("int").alias("part"))
+        first = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in base.items() for x in pair)), F.col("part")), F.lit(0)) if base else F.lit(0)
+        off = first.cast("long") + F.row_number().over(Window.partitionBy("part").orderBy("item_id")) - 1
+        return dealt.select(
+            F.lit("backfill").alias("topic"), "part", off.cast("long").alias("off"), F.col("item_id").alias("key"), F.to_json(event).alias("value"),
+            F.lit(0).alias("retry_count"), F.lit(None).cast("long").alias("not_before"), F.lit(None).cast("string").alias("origin"),
         )
 
+    def next_offsets(self) -> dict[int, int]:
+        """The offset that follows the last one of each partition of the topic: ``parts`` rows at most."""
+        topic = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.topic)
+        if not topic.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(topic):
+            return {}
+        return {r.part: r.off + 1 for r in self.spark.read.parquet(self.topic).groupBy("part").agg(F.max("off").alias("off")).collect()}
+
     def run(self, job_id: str, items: DataFrame, wave: int | None, restart: bool = False, stop: Callable[[], bool] = lambda: False) -> Row:
         """Scan ``items`` (item_id, unique) from the cursor until done, stopped or asked to pause."""
         record = self.jobs.start(job_id, "backfill", wave, restart)
@@ -136,7 +149,7 @@ class Backfill:
                 todo = part.join(done, "item_id", "left_anti")
                 n, m = part.count(), todo.count()
                 if m:
-                    send(self.messages(todo, wave), self.topic)
+                    send(self.messages(todo, wave, self.next_offsets()), self.topic)
                 low, scanned, published, skipped = high, scanned + n, published + m, skipped + n - m
                 self.jobs.update(job_id, cursor=low, scanned=scanned, published=published, skipped_up_to_date=skipped)
         except Exception as error:

@@ -1,6 +1,8 @@
 """Coalescing against a plain model, versioned tables, streaming replay, folds."""
 
+import json
 import uuid
+from datetime import date
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scrivenry.operators import folds, ingest
-from scrivenry.sources.tables import VersionedTable, updated, upserted
+from scrivenry.sources.keyed import KeyedTable
+from scrivenry.sources.tables import ConflictError, VersionedTable, updated, upserted
 from scrivenry.streaming import assemble, consumer
 
 EVENTS = "event_id long, item_id string, event_type string, doc_version long, occurred_at long, arrival long"
@@ -80,18 +83,136 @@ def test_upsert_and_update(spark):
     assert sorted(map(tuple, updated(old, new, "k").collect())) == [(1, "a"), (2, "B")]
 
 
+def test_pointer_of_two_writers(spark):
+    path = spark.conf.get("spark.checkpoint.dir") + "/t-" + uuid.uuid4().hex
+    t, other = VersionedTable(spark, path), VersionedTable(spark, path)
+    t.write(spark.range(1))
+    number = t.pointer()
+    version = t.write(spark.range(2), switch=False)
+    other.write(spark.range(3))
+    with pytest.raises(ConflictError):
+        t.switch(version, expected=number)
+    assert t.read().count() == 3
+
+    seen = []
+
+    def more(rows):
+        seen.append(rows.count())
+        if len(seen) == 1:
+            other.write(spark.range(7))  # comes first, so the change starts again
+        return rows.union(spark.range(1))
+
+    t.change(more)
+    assert seen == [3, 7] and other.read().count() == 8
+    with pytest.raises(ConflictError):
+        t.change(lambda rows: other.write(rows) and rows, restarts=2)
+    assert len(t.versions()) == len(set(t.versions())) and len(t._pointers()) == 2
+
+
+def test_keyed_table(spark):
+    schema = "k string, item string, v long"
+    t = KeyedTable(spark, spark.conf.get("spark.checkpoint.dir") + "/k-" + uuid.uuid4().hex, schema, "k", bucket_by="item", buckets=4)
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    assert t.read().count() == 0
+    t.write(rows(*((f"k{i}", f"i{i % 5}", i) for i in range(20))))
+    t.write(rows(("k3", "i3", 99), ("n", "i9", 1)), rows(("k4", "i4", 0), ("absent", "i4", 0)).drop("v"))
+    expected = {f"k{i}": i for i in range(20) if i != 4} | {"k3": 99, "n": 1}
+    for _ in range(2):
+        assert {r.k: r.v for r in t.read().collect()} == expected
+        some = t.read(spark.createDataFrame([("i3",), ("i4",), ("none",)], "item string"))
+        assert {r.k for r in some.collect()} == {k for k in expected if k != "n" and int(k[1:]) % 5 in (3, 4)}
+        t.compact()
+        assert len(t.batches()) == 1
+    guarded = KeyedTable(spark, t.path + "-v", schema, "k", order="v")
+    guarded.write(rows(("a", "i", 5)))
+    guarded.write(rows(("a", "late", 3)))
+    assert [tuple(r) for r in guarded.read().collect()] == [("a", "i", 5)]
+
+
+def event(item, kind, version=None, second=0, event_id=None):
+    fields = {"schema_version": 1, "event_type": kind, "item_id": item, "occurred_at": f"2024-01-01T00:00:{second:02}"} | ({"doc_version": version} if version is not None else {}) | ({"event_id": event_id} if event_id else {})
+    return json.dumps(fields)
+
+
+class Setting:
+    """A worker over four documents, with its topics and tables in one folder."""
+
+    def __init__(self, spark, **more):
+        self.spark, self.root, self.at, self.sent = spark, spark.conf.get("spark.checkpoint.dir") + "/w-" + uuid.uuid4().hex, 1_000, 0
+        self.states = KeyedTable(spark, f"{self.root}/states", consumer.STATE, "item_id", order="doc_version", buckets=2)
+        self.chunks = KeyedTable(spark, f"{self.root}/chunks", consumer.CHUNK, "chunk_id", bucket_by="item_id", buckets=2)
+        self.texts = {"a": (1, ["first page of a", "second page of a"]), "b": (1, ["page of b"]), "c": (1, ["..."])}
+        self.groups = ["red"]
+
+    def worker(self, **more):
+        docs = [(i, v, f"t{i}{v}{p}", f"m{i}{self.groups}", i != "d", "type", ["x"], ["u"], self.groups, date(2024, 1, 1)) for i, (v, p) in self.texts.items()]
+        documents = self.spark.createDataFrame(docs, "item_id string, version long, text_hash string, meta_hash string, usable boolean, doc_type string, tags array<string>, acl_users array<string>, acl_groups array<string>, created_at date")
+        pages = self.spark.createDataFrame([(i, n, t) for i, (_, own) in self.texts.items() for n, t in enumerate(own, 1)], "item_id string, page_no long, page string")
+        return consumer.Consumer(self.spark, documents, self.states, f"{self.root}/dlq", f"{self.root}/retry", self.chunks, pages, clock=lambda: self.at, **more)
+
+    def run(self, *values, topic="live", **more):
+        rows = [(topic, 0, self.sent + n, json.loads(v)["item_id"], v, 0, None, None) for n, v in enumerate(values)]
+        self.sent += len(rows)
+        if rows:
+            consumer.send(self.spark.createDataFrame(rows, consumer.MESSAGE), f"{self.root}/{topic}")
+        self.worker(**more).start(consumer.read_topic(self.spark, f"{self.root}/{topic}", 10), f"{self.root}/checkpoint-{topic}").awaitTermination()
+
+    def content(self):
+        return {(r.item_id, r.content) for r in self.chunks.read().collect()}
+
+    def state(self, item):
+        return next((r for r in self.states.read().collect() if r.item_id == item), None)
+
+
+def test_worker_writes_refreshes_and_deletes_chunks(spark):
+    s = Setting(spark)
+    s.run(event("a", "UPSERT"), event("b", "UPSERT"), event("c", "UPSERT"))
+    assert {i for i, _ in s.content()} == {"a", "b"} and s.state("a").status == "INDEXED" and s.state("c").status == "SKIPPED"
+    assert all(len(r.embedding) == 8 and r.embedding_model == "m@1" and r.acl_groups == ["red"] for r in s.chunks.read().collect())
+    before = {r.chunk_id for r in s.chunks.read().collect()}
+    s.groups = ["blue"]
+    s.run(event("a", "ACL_CHANGE"))
+    rows = s.chunks.read().collect()
+    assert {r.chunk_id for r in rows} == before
+    assert {r.item_id: r.acl_groups for r in rows} == {"a": ["blue"], "b": ["red"]} and s.state("a").state_hash == "ma['blue']"
+    s.texts["a"] = (2, ["another text"])
+    s.run(event("a", "UPSERT", 2))
+    assert {c for i, c in s.content() if i == "a"} == {"another text"} and s.state("a").doc_version == 2
+    s.run(event("a", "UPSERT", 1, 1), event("b", "DELETE", 1, 2))  # late for a
+    del s.texts["b"]
+    s.run(event("b", "DELETE", 1, 3))
+    assert {i for i, _ in s.content()} == {"a"} and s.state("b").status == "DELETED"
+
+
+def test_worker_waits_for_a_missing_source(spark):
+    s = Setting(spark)
+    s.run(event("x", "UPSERT", 1, event_id="e1"))
+    retry = lambda: spark.read.schema(consumer.MESSAGE).parquet(f"{s.root}/retry").orderBy("retry_count", "not_before").collect()
+    assert s.state("x") is None
+    assert [(r.retry_count, r.not_before, r.origin, r.key) for r in retry()] == [(1, 1_060, "live/0/0", "x")]
+    s.run(topic="retry")  # not due yet: it comes back as it is
+    assert [(r.retry_count, r.not_before) for r in retry()] == [(1, 1_060), (1, 1_060)]
+    s.at, s.texts["x"] = 2_000, (1, ["text of x"])
+    s.run(topic="retry")
+    assert ("x", "text of x") in s.content() and s.state("x").status == "INDEXED"
+    s.run(event("y", "UPSERT", 1, event_id="e2"))
+    for n in range(ingest.MAX_RETRIES):
+        s.at += 100
+        s.run(topic="retry")
+    assert s.state("y").status == "DELETED"
+    assert max(r.retry_count for r in retry() if r.key == "y") == ingest.MAX_RETRIES
+
+
 def test_one_batch_equals_many(spark):
     documents = spark.createDataFrame([(f"i{i}", 5, f"t{i}", f"m{i}", True) for i in range(6)], "item_id string, version long, text_hash string, meta_hash string, usable boolean")
-    columns = "item_id string, status string, doc_version long, embedding_model string, chunker_version string, state_hash string, content_hash string, wave long, attempts long"
-    start = spark.createDataFrame([("i0", "INDEXED", 9, "m@1", "v1", "m0", "t0", 1, 0), ("i1", "FAILED", 1, None, None, None, None, 2, 3)], columns)
-    event = lambda i, kind, v: f'{{"schema_version":1,"event_type":"{kind}","item_id":"i{i}","doc_version":{v},"occurred_at":"2024-01-01T00:00:{v:02}"}}'
+    start = spark.createDataFrame([("i0", "INDEXED", 9, "m@1", "v1", "m0", "t0", 1, 0), ("i1", "FAILED", 1, None, None, None, None, 2, 3)], consumer.STATE)
     values = [(0, "UPSERT", 3), (1, "UPSERT", 5), (2, "DELETE", 2), (3, "UPSERT", 5), (7, "DELETE", 4), (4, "ACL_CHANGE", 1)]
-    rows = [("live", 0, n, f"i{i}", event(i, k, v), 0, 0) for n, (i, k, v) in enumerate(values)] + [("live", 0, 90, "i9", "{", 0, 0), ("live", 0, 91, "other", event(1, "DELETE", 9), 0, 0)]
+    rows = [("live", 0, n, f"i{i}", event(f"i{i}", k, v, v), 0, 0, None) for n, (i, k, v) in enumerate(values)] + [("live", 0, 90, "i9", "{", 0, 0, None), ("live", 0, 91, "other", event("i1", "DELETE", 9), 0, 0, None)]
     results = []
     for files in (1, 4):
         base = spark.conf.get("spark.checkpoint.dir") + "/s-" + uuid.uuid4().hex
         consumer.send(spark.createDataFrame(rows, consumer.MESSAGE).repartition(files), f"{base}/live")
-        states = VersionedTable(spark, f"{base}/states")
+        states = KeyedTable(spark, f"{base}/states", consumer.STATE, "item_id", order="doc_version", buckets=2)
         states.write(start)
         worker = consumer.Consumer(spark, documents, states, f"{base}/dlq")
         for _ in range(2):  # the second run finds nothing new: a restart changes nothing
@@ -104,6 +225,12 @@ def test_one_batch_equals_many(spark):
     assert ("i2", "PENDING", None, 0) in results[0]  # a delete older than the document
 
 
+def test_numbered_rows(spark):
+    rows = spark.range(1_000).select((F.col("id") * 7919 % 1_000).alias("x"), F.col("id"))
+    got = ingest.numbered(rows, "x").collect()
+    assert sorted(r.turn for r in got) == [*range(1, 1_001)] and all(r.turn == r.x + 1 for r in got)
+
+
 def test_folds(spark):
     rows = [("a", float(t), i, ok) for i, (t, ok) in enumerate([(0, True), (10, False), (20, False), (30, False), (40, True), (99_999, True), (100_000, True)])]
     df = spark.createDataFrame(rows, "key string, at double, event_id long, ok boolean")

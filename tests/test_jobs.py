@@ -45,13 +45,15 @@ def test_backfill(spark):
     assert jobs.request("w7", "backfill", 7).status == "REQUESTED"
     assert [r.job_id for r in jobs.requested().collect()] == ["w7"] and not jobs.ask("none", "PAUSED")
     left = iter([False, False, True])
-    job = Backfill(spark, jobs, states, f"{root}/topic", pages=4)
+    job = Backfill(spark, jobs, states, f"{root}/topic", pages=4, parts=3)
     paused = job.run("w7", items, 7, stop=lambda: next(left))
     assert paused.status == "PAUSED" and 0 < paused.scanned < 20 and paused.finished_at is None
     done = job.run("w7", items, 7)
     assert (done.status, done.scanned, done.published, done.skipped_up_to_date, done.cursor) == ("COMPLETED", 20, 19, 1, "i19")
     sent = ingest.parsed(spark.read.parquet(f"{root}/topic"))
     assert sent.where("reason IS NOT NULL").isEmpty()
+    places = sorted((r.part, r.off) for r in sent.collect())
+    assert len(set(places)) == 19 and all(off == 0 or (part, off - 1) in places for part, off in places)
     assert sorted(r.key for r in sent.collect()) == [f"i{n:02d}" for n in range(20) if n != 3]
     after = {r.item_id: (r.status, r.attempts, r.wave) for r in states.read().collect()}
     assert len(after) == 20 and after["i03"] == ("INDEXED", 0, 7) and after["i04"] == ("INDEXED", 2, 7) and after["i05"] == ("PENDING", 0, 7)

@@ -37,6 +37,45 @@ def test_isolation_in_all_modes(spark, passages, who, expected):
     assert {r.chunk_id for r in retrieval.fused(keyword, vector).collect()} == expected
 
 
+def test_search_modes_and_fallbacks(spark, passages):
+    rows = passages.withColumn("doc_id", F.col("chunk_id")).withColumn("doc_type", F.lit("t")).withColumn("tags", F.array(F.lit("x"))).withColumn("created_at", F.lit(date(2024, 1, 1)))
+    schema = "qid long, query string, user_id string, groups array<string>, vector array<double>"
+    q = spark.createDataFrame([(1, "common words", "zed", ["red", "blue"], [1.0, 3.0]), (2, "common", "ann", [], None)], schema)
+    shown = lambda found: {(r.qid, r.chunk_id, r.mode_used) for r in found.collect()}
+    seen = {(1, "c2"), (1, "c3"), (1, "c5"), (2, "c1")}
+    assert shown(retrieval.search(rows, q)) == {(i, c, "hybrid" if i == 1 else "bm25") for i, c in seen}
+    assert shown(retrieval.search(rows, q, "bm25")) == {(i, c, "bm25") for i, c in seen}
+    assert shown(retrieval.search(rows, q.where("qid = 1"), "vector", top_k=2)) == {(1, "c3", "knn"), (1, "c5", "knn")}
+    assert shown(retrieval.search(rows, q, filters=retrieval.Filters(tags=("y",)))) == set()
+    again = retrieval.search(rows, q, rerank=lambda h: F.when(h["qid"] == 2, F.lit(None)).otherwise((h["chunk_id"] == "c5").cast("double")))
+    assert {(r.qid, r.mode_used) for r in again.collect()} == {(1, "hybrid+rerank"), (2, "bm25")}
+    assert again.where("qid = 1 AND rank = 1").first().chunk_id == "c5"
+    for bad in (lambda: retrieval.search(rows, q, "vector"), lambda: retrieval.search(rows, q, "other"), lambda: retrieval.search(rows, q.withColumn("query", F.lit(" ")))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_nearest_in_blocks_equals_a_plain_scan(spark):
+    rng = random.Random(1)
+    rows = [(f"c{i:03}", [rng.choice([0.0, 1.0]) for _ in range(3)], [f"u{i % 3}"], ["g"] if i % 5 else []) for i in range(300)]
+    queries = [(q, f"u{q % 4}", ["g"] if q % 2 else [], [rng.random() for _ in range(3)]) for q in range(9)]
+    p = spark.createDataFrame(rows, "chunk_id string, vector array<double>, acl_users array<string>, acl_groups array<string>").repartition(3)
+    q = spark.createDataFrame(queries, "qid long, user_id string, groups array<string>, vector array<double>")
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else 0.0
+
+    expected = {}
+    for i, user, groups, v in queries:
+        seen = [(-cosine(v, w), c) for c, w, users, own in rows if user in users or set(groups) & set(own)]
+        expected[i] = [c for _, c in sorted(seen)[:7]]
+    got = {i: [] for i in expected}
+    for r in retrieval.nearest(p, q, 7, block=2).orderBy("qid", "rank").collect():
+        got[r.qid].append(r.chunk_id)
+    assert got == expected
+
+
 def test_closer_forbidden_neighbours_do_not_displace(spark):
     rows = [(f"f{i:02}", [1.0, 0.0], [], ["secret"]) for i in range(30)] + [(f"ok{i}", [0.5, 1.0], [], ["red"]) for i in range(3)]
     p = spark.createDataFrame(rows, "chunk_id string, vector array<double>, acl_users array<string>, acl_groups array<string>")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import unicodedata
 
 import numpy as np
@@ -22,7 +23,7 @@ BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: Endings that the pattern splits off after an apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Most pre-tokens in a worker's cache before it starts again.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 @functools.cache
@@ -119,7 +120,7 @@ class Table:
         if 2 * (self.count + len(codes)) > len(self.values):
             old = np.flatnonzero(self.values >= 0)
             kept = self.codes[old], self.checks[old], self.values[old]
-            self.__init__((4 * (self.count + len(codes))).bit_length())
+            self.__init__((2 * (self.count + len(codes)) - 1).bit_length())
             self.put(*kept)
         self.count += len(codes)
         mask = len(self.values) - 1
@@ -147,6 +148,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, first: Table | None = None, ids: bool = False, cache: int = CACHE):
+        # Spark runs a worker for each core; threads within the library would only get in their way.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.first, self.with_ids, self.cache = first or Table(1), ids, cache

@@ -159,7 +159,8 @@ def _block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     marked = split.withColumn("level", size * 2 + (F.col("component") != F.col("main")).cast("int"))
     counted = marked.groupBy("band", "value", "level").agg(F.count("*").alias("m")).withColumn("deal", F.ceil(F.col("m") / full))
     levels = counted.groupBy("band", "value").agg(F.map_from_entries(F.collect_list(F.struct("level", "deal"))).alias("deals"))
-    dealt = marked.join(levels, ["band", "value"])
+    # Staged, so Spark sees that it's small and leaves the members where they are, however large a bucket is.
+    dealt = marked.join(stage_table(levels, "levels"), ["band", "value"])
     deal = lambda x: F.coalesce(F.col("deals")[x], F.lit(0))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), deal(F.col("level"))).cast("int"))
     name = lambda x, y: x * F.lit(1 << 20) + y

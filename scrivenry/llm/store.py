@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -101,7 +102,6 @@ def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, as long texts come ten thousand at a time else."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "0").lower()
-        plain = int(now) if now.lstrip("-").isdigit() else 0
-        if not 0 < plain <= most:
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
             spark.conf.set(key, str(most))

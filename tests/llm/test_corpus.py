@@ -719,6 +719,25 @@ def test_later_batches_meet_saved_snapshots(spark, corpus):
     assert exact_dedup.seen_before(table(spark, batch), []).count() == 0
 
 
+def test_rows_without_ids_and_repeated_rows_of_texts(spark):
+    """Counting, packing and decontamination take each row as it comes."""
+    rows = [(1, "some words here"), (1, "some words here"), (1, "others"), (None, "no id at all"), (None, None), (2, "")]
+    docs = table(spark, rows)
+    n = lambda t: len(LIBRARY.encode(t or "", add_special_tokens=False).ids)
+    got = token_counts.token_counts(docs, BPE).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((i, n(t)) for i, t in rows), key=str)
+    packed = packing.pack(docs, BPE, capacity=4).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in packed if r.start == 0) == sorted((i or 0, n(t) + 1) for i, t in rows)
+    assert sum(r.length for r in packed) == sum(n(t) + 1 for _, t in rows)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    for (a, x, m), (b, y, _) in itertools.pairwise(places):
+        assert (y == x + m) if a == b else y == 0
+    items = spark.createDataFrame([(7, "words here"), (None, "no id"), (8, None), (8, "others")], "item_id long, text string")
+    found = decontam.contained_items(docs, items).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in found), key=str) == sorted([(1, 7), (1, 7), (1, 8), (None, None)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in decontam.decontaminated(docs, items).collect()), key=str) == [(2, ""), (None, None)]
+
+
 def test_components_raise_when_they_are_cut_short(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     with pytest.raises(RuntimeError):

@@ -58,6 +58,12 @@ def page_size(top_k: int | None, query: str) -> int:
     return min(top_k or 10, MOST)
 
 
+def request_sizes(requests: DataFrame) -> DataFrame:
+    """Requests (query, top_k) with ``size``, how many results to return, and ``problem`` where one is refused."""
+    bad = F.col("query").isNull() | (F.length(F.trim("query")) == 0) | F.coalesce(F.col("top_k") < 1, F.lit(False))
+    return requests.withColumn("size", F.when(~bad, F.least(F.coalesce("top_k", F.lit(10)), F.lit(MOST)))).withColumn("problem", F.when(bad, "a query needs text and a size of 1 or more"))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -67,6 +67,24 @@ def live_messages(spark, sf):
     return m.select("topic", F.col("part").cast("int").alias("part"), "off", "key", value.alias("value"), F.col("retry_count").cast("int").alias("retry_count"), F.col("not_before").cast("long").alias("not_before"), F.lit(None).cast("string").alias("origin"))
 
 
+@query("a10_stream_source", fx.sql("SELECT topic, part, off, key FROM message WHERE topic = 'live'", "message"))
+def a10(spark, sf):
+    """A topic read as a stream and sent on to another one."""
+    base = scratch(spark, "topics")
+    consumer.send(live_messages(spark, sf), f"{base}/live")
+    out = consumer.read_topic(spark, f"{base}/live").writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    out.format("parquet").option("path", f"{base}/copy").start().awaitTermination()
+    return spark.read.schema(consumer.MESSAGE).parquet(f"{base}/copy").select("topic", F.col("part").cast("long").alias("part"), "off", "key")
+
+
+@query("a18_report_sink", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
+def a18(spark, sf):
+    """A report written as one JSON file, read back."""
+    path = scratch(spark, "report")
+    loaders.save_report(fx.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), path)
+    return spark.read.schema("lang string, n long, chars long").json(path)
+
+
 @query("i01_consumer_stream")
 def i01(spark, sf):
     """All live events through the streaming consumer in a few files; the result is the state table."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import parsing, text
 from ..operators import answering, context, folds, ingest, metrics
 from . import fixtures as fx
 from . import search_queries as sq
@@ -210,10 +210,7 @@ def e09(spark, sf):
 def h48(spark, sf):
     said = F.expr("concat('Scores: {\"supported\": ', k % 7, ', \"total\": ', if(k % 5 = 0, 0, 6), ', \"score\": ', k % 6, '}')")
     e = fx.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).withColumn("said", said)
-    got = lambda f: F.get_json_object(F.regexp_extract("said", "(?s)\\{.*?\\}", 0), f"$.{f}").cast("int")
-    faithful = F.when((got("total") > 0) & (got("supported") <= got("total")), got("supported") / got("total"))
-    relevant = F.when(got("score").between(1, 5), (got("score") - 1) / 4)
-    return e.select("event_id", F.round(faithful, 6).alias("faithfulness"), relevant.alias("relevance"))
+    return e.select("event_id", F.round(parsing.faithfulness(F.col("said")), 6).alias("faithfulness"), parsing.relevance(F.col("said")).alias("relevance"))
 
 
 _ANS = "a AS (SELECT conv_id, turn, answer, trim(answer, ' .') = 'NOT_FOUND' AS nf, CAST(regexp_extract(answer, '\\[(\\d{1,3})\\]', 1) AS VARCHAR) AS ref FROM answer_text)"

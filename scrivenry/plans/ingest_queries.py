@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..sources.staging import scratch
+from ..sources.tables import VersionedTable
 from . import fixtures as fx
 from .registry import query
 
@@ -318,6 +320,57 @@ def a15(spark, sf):
     return fx.index_state(spark, sf).join(chosen, "item_id", "full").select("item_id", F.coalesce("status", F.lit("PENDING")).alias("status"), F.coalesce("new", "wave").alias("wave"))
 
 
+@query("a20_alias_switch", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def a20(spark, sf):
+    """The live rows after a switch to a version that was written beside the live one."""
+    t = VersionedTable(spark, scratch(spark, "alias"))
+    d = fx.table(spark, sf, "documents").select("doc_id")
+    t.write(d.where("doc_id % 2 = 0"))
+    t.switch(t.write(d.where("doc_id % 3 <> 0"), switch=False), expected=1)
+    return t.read()
+
+
+@query("a21_drop_old_version", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+def a21(spark, sf):
+    """The live rows once the newer version was left and dropped."""
+    t = VersionedTable(spark, scratch(spark, "drop"))
+    d = fx.table(spark, sf, "documents").select("doc_id")
+    t.write(d.where("doc_id % 2 = 0"))
+    newer = t.write(d)
+    t.switch(t.versions()[0])
+    t.drop(newer, age_days=20)
+    return t.read()
+
+
+@query("i16_two_writers", "SELECT doc_id, doc_id % 2 = 0 AS first, true AS second FROM documents")
+def i16(spark, sf):
+    """A change that another writer comes before starts again from that writer's rows."""
+    t = VersionedTable(spark, scratch(spark, "writers"))
+    t.write(fx.table(spark, sf, "documents").select("doc_id", F.lit(False).alias("first"), F.lit(False).alias("second")))
+    came = []
+
+    def second(rows):
+        if not came:
+            came.append(t.write(rows.withColumn("first", F.col("doc_id") % 2 == 0)))
+        return rows.withColumn("second", F.lit(True))
+
+    t.change(second)
+    return t.read()
+
+
+@query("i20_backfill", fx.sql("SELECT item_id AS key, count(*) OVER (PARTITION BY part ORDER BY item_id) - 1 AS off, part FROM (SELECT d.item_id, 0 AS part FROM src_doc d LEFT JOIN index_state s USING (item_id) WHERE NOT coalesce(s.status = 'INDEXED' AND s.embedding_model = 'm@1' AND s.chunker_version = 'v1', false))", "src_doc", "index_state"))
+def i20(spark, sf):
+    """What a backfill of all documents publishes, in a topic of one partition."""
+    from ..sources.jobs import Backfill, Jobs
+
+    base = scratch(spark, "backfill")
+    states = VersionedTable(spark, f"{base}/states")
+    states.write(fx.index_state(spark, sf))
+    job = Backfill(spark, Jobs(spark, f"{base}/jobs"), states, f"{base}/topic", MODEL, CHUNKER, pages=3, parts=1)
+    job.run("all", fx.src_doc(spark, sf).select("item_id"), None)
+    return spark.read.parquet(f"{base}/topic").select("key", "off", F.col("part").cast("int").alias("part"))
+
+
 @query("a22_snapshot_prune", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r > 14")
 def a22(spark, sf):
     from ..sources.tables import prunable

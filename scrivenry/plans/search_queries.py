@@ -328,6 +328,12 @@ def k05_fallback(spark, sf):
     return retrieval.search(staged(passages(spark, sf), "passages"), q).select("qid", "chunk_id", "rank", "mode_used")
 
 
+@query("f03_result_size", "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND coalesce(k, 1) >= 1 THEN least(coalesce(k, 10), 50) END AS size FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id % 90 - 5 END AS k FROM events)")
+def f03(spark, sf):
+    asked = fx.table(spark, sf, "events").select("event_id", F.expr("if(event_id % 7 = 0, ' ', 'words')").alias("query"), F.expr("if(event_id % 5 <> 0, event_id % 90 - 5, NULL)").alias("top_k"))
+    return retrieval.request_sizes(asked).select("event_id", "size")
+
+
 @query("c15_rerank_by_position", fx.sql("SELECT r.qid, r.doc_id, s.score FROM ranked r JOIN (SELECT qid, rank, round(1 / (rank + 1), 6) AS score FROM ranked WHERE rank <= 20) s USING (qid, rank)", "ranked"))
 def c15(spark, sf):
     r = fx.ranked(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, masking, text, vectors
+from ..functions import hashing, masking, parsing, text, vectors
 from . import fixtures as fx
 from .registry import query
 
@@ -255,13 +255,13 @@ def h49(spark, sf):
 
 @query("h50_backoff", fx.sql("SELECT event_id, least(60, 0.5 * pow(2, retry_count)) AS delay FROM message", "message"))
 def h50(spark, sf):
-    return fx.message(spark, sf).select("event_id", F.least(F.lit(60.0), 0.5 * F.pow(F.lit(2), "retry_count")).alias("delay"))
+    return fx.message(spark, sf).select("event_id", parsing.backoff(F.col("retry_count")).alias("delay"))
 
 
 @query("h60_parse_time", """SELECT o_orderkey, strftime(try_cast(raw AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS raw FROM orders)""")
 def h60(spark, sf):
     raw = F.expr("if(o_orderkey % 5 = 0, 'soon', date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\"))")
-    return fx.table(spark, sf, "orders").select("o_orderkey", F.date_format(F.try_to_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return fx.table(spark, sf, "orders").select("o_orderkey", F.date_format(parsing.parsed_time(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("h61_page_list", "SELECT doc_id, array_to_string(range(doc_id % 9 + 1, least(greatest(doc_id % 9 + 1, doc_id % 9 + 1 + doc_id % 70 - 5), doc_id % 9 + 50) + 1), ',') AS pages FROM documents")
@@ -277,25 +277,24 @@ def h62(spark, sf):
 @query("h63_header_number", "SELECT event_id, coalesce(try_cast(CASE event_id % 3 WHEN 0 THEN 'bad' WHEN 1 THEN CAST(event_id % 7 AS VARCHAR) END AS INTEGER), 0) AS retries FROM events")
 def h63(spark, sf):
     headers = F.expr("CASE event_id % 3 WHEN 0 THEN map('x-retry-count', 'bad') WHEN 1 THEN map('x-retry-count', string(event_id % 7)) ELSE map() END")
-    return fx.table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(headers, F.lit("x-retry-count")).try_cast("int"), F.lit(0)).alias("retries"))
+    return fx.table(spark, sf, "events").select("event_id", parsing.header_number(headers).alias("retries"))
 
 
 @query("h64_json_in_text", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def h64(spark, sf):
-    said = F.concat(F.lit("Score: {not json} then "), "props", F.lit(" {\"k\": 7}"))
-    found = F.filter(F.regexp_extract_all(said, F.lit("(?s)\\{.*?\\}"), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull())
-    return fx.table(spark, sf, "events").select("event_id", F.get_json_object(found[0], "$.k").cast("int").alias("k"))
+    said = F.concat(F.lit("Score: {not json} then {\"in\": {\"s\": \"}\"}, \"p\": "), "props", F.lit("} {\"k\": 7}"))
+    return fx.table(spark, sf, "events").select("event_id", F.get_json_object(parsing.first_json(said), "$.p.k").cast("int").alias("k"))
 
 
 @query("h65_origin", fx.sql("SELECT event_id, CASE WHEN retry_count > 0 THEN 'kept/' || event_id ELSE topic || '/' || part || '/' || off END AS origin FROM message", "message"))
 def h65(spark, sf):
     headers = F.expr("if(retry_count > 0, map('x-origin', concat('kept/', event_id)), map())")
-    return fx.message(spark, sf).select("event_id", F.coalesce(F.try_element_at(headers, F.lit("x-origin")), F.concat_ws("/", "topic", "part", "off")).alias("origin"))
+    return fx.message(spark, sf).select("event_id", parsing.origin(headers, F.col("topic"), F.col("part"), F.col("off")).alias("origin"))
 
 
 @query("h66_age_days", "SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2024-06-01') AS age, date_diff('day', CAST(o_orderdate AS DATE), DATE '2024-06-01') < 14 AS young FROM orders")
 def h66(spark, sf):
-    age = F.datediff(F.lit("2024-06-01").cast("date"), F.col("o_orderdate").cast("date"))
+    age = parsing.age_days(F.col("o_orderdate"), F.lit("2024-06-01"))
     return fx.table(spark, sf, "orders").select("o_orderkey", age.alias("age"), (age < 14).alias("young"))
 
 

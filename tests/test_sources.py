@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from scrivenry.functions import parsing
 from scrivenry.operators import answering, ingest, metrics
 from scrivenry.sources.mapping import map_source
 
@@ -101,3 +102,17 @@ def test_load_schedule(spark):
 def test_safe_errors(spark):
     rows = spark.createDataFrame([("OwnError", "plain words"), ("KeyError", "secret"), ("OwnError", None)], "kind string, message string")
     assert [r[0] for r in rows.select(ingest.safe_error(F.col("kind"), F.col("message"), ["OwnError"])).collect()] == ["OwnError: plain words", "KeyError", "OwnError"]
+
+
+def test_values_out_of_loose_input(spark):
+    said = [('a {"x": {"y": {"z": "}{"}}} {"k": 1}', '{"x": {"y": {"z": "}{"}}}'), ("{no} {also: } { \"k\": [1, {}]}", '{ "k": [1, {}]}'), ("{", None), (None, None), ('{"a": "\\\\" }"}', '{"a": "\\\\" }"}')]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i long, t string")
+    assert {r.i: r.j for r in df.select("i", parsing.first_json(F.col("t")).alias("j")).collect()} == {i: want for i, (_, want) in enumerate(said)}
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(parsing.backoff(F.lit(n))) for n in (0, 1, 9)] == [0.5, 1.0, 60.0]
+    assert one(parsing.backoff(F.lit(2), jitter=F.lit(1.0))) == 1.0
+    headers = F.create_map(F.lit("x-retry-count"), F.lit("3"), F.lit("x-origin"), F.lit("live/1/2"))
+    assert one(parsing.header_number(headers)) == 3 and one(parsing.header_number(headers, "x-origin")) == 0
+    assert one(parsing.origin(headers, F.lit("t"), F.lit(0), F.lit(1))) == "live/1/2"
+    assert one(parsing.faithfulness(F.lit('so: {"supported": 2, "total": 4}'))) == 0.5 and one(parsing.faithfulness(F.lit('{"supported": 5, "total": 4}'))) is None
+    assert one(parsing.relevance(F.lit('{"score": 5}'))) == 1.0 and one(parsing.relevance(F.lit('{"score": 6}'))) is None

@@ -105,7 +105,7 @@ def test_safe_errors(spark):
 
 
 def test_values_out_of_loose_input(spark):
-    said = [('a {"x": {"y": {"z": "}{"}}} {"k": 1}', '{"x": {"y": {"z": "}{"}}}'), ("{no} {also: } { \"k\": [1, {}]}", '{ "k": [1, {}]}'), ("{", None), (None, None), ('{"a": "\\\\" }"}', '{"a": "\\\\" }"}')]
+    said = [('a {"x": {"y": {"z": "}{"}}} {"k": 1}', '{"x": {"y": {"z": "}{"}}}'), ("{no} {also: } { \"k\": [1, {}]}", '{ "k": [1, {}]}'), ("{", None), (None, None), ('{"a": "\\\\" }"}', '{"a": "\\\\" }')]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i long, t string")
     assert {r.i: r.j for r in df.select("i", parsing.first_json(F.col("t")).alias("j")).collect()} == {i: want for i, (_, want) in enumerate(said)}
     one = lambda c: spark.range(1).select(c).first()[0]

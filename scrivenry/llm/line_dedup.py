@@ -234,9 +234,7 @@ def _cut(levels: bytes):
             line = np.repeat(first[:-1], per_text) + number
             sizes = bounds[line + 1] - bounds[line]
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[line], sizes)
-            row = pa.array(np.repeat(np.arange(len(per_text)), per_text))
-            columns = [keys, part.column(0).take(row), part.column(1).take(row), pa.array(number.astype(np.int32)), _lists(tokens[place], sizes)]
-            yield pa.RecordBatch.from_arrays(columns, ["k", *PLACE, "tokens"])
+            yield pa.RecordBatch.from_arrays([keys, _lists(tokens[place], sizes)], ["k", "tokens"])
 
     return run
 
@@ -279,20 +277,26 @@ def matched_lines(texts: DataFrame, percent: int = 80, sizes: tuple[int, int, in
 
     groups = found.where("kind = 1").withColumn("known", F.lit(0)).unionByName(again.where("kind > 0").withColumn("known", F.lit(1))).drop("kind").dropDuplicates(["key", "k"])
     groups = stage_table(groups.join(firsts, "k"), "groups")
-    centres = groups.groupBy("key").agg(F.min(F.struct("place", "k", "size_at", "bits")).alias("c")).select("key", F.col("c.k").alias("ck"), F.col("c.size_at").alias("c_at"), F.col("c.bits").alias("c_bits"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = groups.join(centres, "key").where((F.col("k") != F.col("ck")) & _possible("size_at", "c_at", "bits", "c_bits", percent)).select(*pair("k", "ck"))
-    pairs = found.where("kind = 0").select(*pair("k", "key")).unionByName(again.where("kind = 0").select(*pair("k", "key"))).unionByName(star)
-    pairs = stage_table(pairs.distinct(), "pairs")
-    done = stage_table(_later_of(pairs, lowered, firsts, levels, percent), "done")
-
-    left = groups.join(done, "k", "left_anti").select("key", "k", "size_at", "bits", "known")
-    others = groups.select("key", F.col("k").alias("other"), F.col("size_at").alias("o_at"), F.col("bits").alias("o_bits"))
-    rest = left.join(others, "key").where((F.col("other") != F.col("k")) & _possible("size_at", "o_at", "bits", "o_bits", percent))
-    rest = stage_table(rest.select(*pair("k", "other")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    centres = groups.groupBy("key").agg(F.min(F.struct("place", "k", "size_at", "bits")).alias("c")).select("key", F.col("c.place").alias("before"), F.col("c.k").alias("earlier"), F.col("c.size_at").alias("c_at"), F.col("c.bits").alias("c_bits"))
+    star = groups.join(centres, "key").where((F.col("k") != F.col("earlier")) & _possible("size_at", "c_at", "bits", "c_bits", percent)).select(F.col("k").alias("later"), "earlier", "before")
+    pairs = stage_table(found.where("kind = 0").select("k", "key").unionByName(again.where("kind = 0").select("k", "key")).distinct(), "pairs")
+    where = stage_table(pairs.select(F.explode(F.array("k", "key")).alias("k")).distinct().join(firsts, "k"), "where")
+    placed = pairs.join(where.select("k", F.col("place").alias("p")), "k").join(where.select(F.col("k").alias("key"), F.col("place").alias("q")), "key")
+    turned = F.col("p") < F.col("q")
+    ordered = placed.select(F.when(turned, F.col("key")).otherwise(F.col("k")).alias("later"), F.when(turned, F.col("k")).otherwise(F.col("key")).alias("earlier"), F.least("p", "q").alias("before"))
+    ordered = stage_table(ordered.unionByName(star), "ordered")
+
+    # A line's earliest candidate is most often a match; only lines of which it isn't meet their other candidates.
+    best = stage_table(ordered.groupBy("later").agg(F.min(F.struct("before", "earlier")).alias("c")).select("later", "c.earlier"), "best")
+    done = stage_table(_matching(best, lowered, firsts, levels, percent), "done")
+    left = groups.join(done, groups["k"] == done["later"], "left_anti")
+    others = groups.select("key", F.col("k").alias("earlier"), F.col("place").alias("before"), F.col("size_at").alias("o_at"), F.col("bits").alias("o_bits"))
+    met = left.join(others, "key").where((F.col("before") < F.col("place")) & _possible("size_at", "o_at", "bits", "o_bits", percent)).select(F.col("k").alias("later"), "earlier")
+    rest = ordered.join(done, "later", "left_anti").select("later", "earlier").unionByName(met).distinct()
+    rest = stage_table(rest.join(best, ["later", "earlier"], "left_anti"), "rest")
     if not rest.isEmpty():
-        done = stage_table(done.unionByName(_later_of(rest, lowered, firsts, levels, percent)).distinct(), "later")
-    classes = firsts.join(done.withColumn("matched", F.lit(True)), "k", "left")
+        done = stage_table(done.unionByName(_matching(rest, lowered, firsts, levels, percent)).distinct(), "later")
+    classes = firsts.join(done.select(F.col("later").alias("k"), F.lit(True).alias("matched")), "k", "left")
     out = keyed.select(*PLACE, "n", "k").join(classes, "k")
     return out.select(*PLACE, F.col("n").alias("n_tokens"), (F.coalesce("matched", F.lit(False)) | (F.struct(*PLACE) != F.col("place"))).alias("later"))
 
@@ -306,20 +310,20 @@ def _possible(x: str, y: str, bx: str, by: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ax, ny - ay) + F.col("known") >= need) & (nx + ny - apart >= 2 * need)
 
 
-def _later_of(pairs: DataFrame, lowered: DataFrame, firsts: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """The later class (k) of each pair whose sets reach the threshold; lines are cut out of their documents again.
+def _matching(pairs: DataFrame, lowered: DataFrame, firsts: DataFrame, levels: bytes, percent: int) -> DataFrame:
+    """The later classes of pairs whose sets reach the threshold; lines are cut out of their documents again.
 
     The wanted lines are staged, so Spark knows their size: while it is small they go to the documents, else the texts
     of their documents are shuffled.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(firsts, "k").select("k", "place.*")
+    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("k")).distinct().join(firsts, "k").select("k", "place.*")
     numbers = stage_table(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line_no", "k")).alias("x")).select("doc", "tie", F.col("x.line_no").alias("numbers"), F.col("x.k").alias("ks")), "wanted")
     cut = lowered.join(numbers, ["doc", "tie"]).select("doc", "tie", "text", "numbers", "ks")
-    arrays = stage_table(cut.mapInArrow(_cut(levels), "k long, doc long, tie long, line_no int, tokens array<long>"), "arrays")
-    side = lambda s: arrays.select(F.col("k").alias(s), F.struct(*PLACE).alias(f"x{s}"), F.col("tokens").alias(f"t{s}"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared))
-    return near.select(F.when(F.col("xa") < F.col("xb"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
+    arrays = stage_table(cut.mapInArrow(_cut(levels), "k long, tokens array<long>"), "arrays")
+    side = lambda s: arrays.select(F.col("k").alias(s), F.col("tokens").alias(f"t{s}"))
+    shared = F.size(F.array_intersect("tlater", "tearlier"))
+    near = pairs.join(side("later"), "later").join(side("earlier"), "earlier").where(100 * shared >= percent * (F.size("tlater") + F.size("tearlier") - shared))
+    return near.select("later").distinct()
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -49,22 +49,17 @@ def with_originals(pages: DataFrame, archive_bytes: int = 128 << 20) -> DataFram
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_column(pages, "html").alias("html"))
     rows = rows.select("*", F.expr("octet_length(html)").cast("long").alias("size"), F.sha1("html").alias("digest"), F.xxhash64("html").alias("second"))
     same = ["size", "digest", "second"]
-    ids = rows.select("page_id", *same).distinct()
+    # One key that names a page and its payload, so dealing to archives and finding the response take one shuffle.
+    rows = rows.withColumn("row_key", F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), *same))
+    ids = rows.select("page_id", "row_key", *same).distinct()
     several = ids.groupBy(*same).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(several, same).where(~F.col("page_id").eqNullSafe(F.col("original"))).select(F.col("page_id").alias("own_id"), *(F.col(c).alias(f"own_{c}") for c in same), "original")
+    revisits = ids.join(several, same).where(~F.col("page_id").eqNullSafe(F.col("original"))).select("row_key", "original", F.lit(True).alias("is_revisit"))
     archives = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / archive_bytes))
-    agree = F.col("page_id").eqNullSafe(F.col("own_id"))
-    for c in same:
-        agree &= F.col(c) == F.col(f"own_{c}")
-    out = rows.repartition(archives, "page_id", *same).join(revisits, agree, "left")
-    is_response = F.col("own_digest").isNull()
+    out = rows.repartition(archives, "row_key").join(revisits, "row_key", "left")
+    is_response = F.col("is_revisit").isNull()
     return out.select("page_id", "url", "html", "size", "digest", F.when(is_response, F.col("page_id")).otherwise(F.col("original")).alias("original"), is_response.alias("is_response"))
 
 
-def _header(name: bytes, value: str) -> bytes:
-    return name + b": " + value.replace("\r", "%0D").replace("\n", "%0A").encode() + b"\r\n"
-
-
 def _name(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 

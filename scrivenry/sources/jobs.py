@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -114,13 +114,16 @@ class Backfill:
     pages: int = 64
     parts: int = 16
 
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("item_id"), F.lit(self.parts)).cast("int").alias("part")
+
     def messages(self, items: DataFrame, wave: int | None, base: dict[int, int]) -> DataFrame:
         event = F.struct(
             F.lit(1).alias("schema_version"), F.uuid().alias("event_id"), F.lit("UPSERT").alias("event_type"), "item_id",
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("occurred_at"), F.lit("backfill").alias("source"), F.lit("backfill").alias("priority"), F.lit(wave).cast("long").alias("wave"),
         )
         # Offsets go on where the topic's partition ends; ``base`` holds the next one of each.
-        dealt = items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(self.parts)).cast("int").alias("part"))
+        dealt = items.select("item_id", self._part())
         first = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in base.items() for x in pair)), F.col("part")), F.lit(0)) if base else F.lit(0)
         off = first.cast("long") + F.row_number().over(Window.partitionBy("part").orderBy("item_id")) - 1
         return dealt.select(
@@ -142,14 +145,17 @@ class Backfill:
         try:
             self.states.write(registered(self.states.read(), items.where("item_id IS NOT NULL"), wave))
             done = self.states.read().where(ingest.is_up_to_date(self.model, self.chunker)).select("item_id")
+            base = self.next_offsets()
             for high in ranges(items, low, self.pages):
                 if stop() or self.jobs.get(job_id).desired == "PAUSED":
                     return self.jobs.finish(job_id, "PAUSED")
                 part = items.where(F.col("item_id") <= high) if low is None else items.where((F.col("item_id") > low) & (F.col("item_id") <= high))
                 todo = part.join(done, "item_id", "left_anti")
-                n, m = part.count(), todo.count()
+                dealt = {r.part: r.n for r in todo.groupBy(self._part()).agg(F.count("*").alias("n")).collect()}
+                n, m = part.count(), sum(dealt.values())
                 if m:
-                    send(self.messages(todo, wave, self.next_offsets()), self.topic)
+                    send(self.messages(todo, wave, base), self.topic)
+                    base = {p: base.get(p, 0) + dealt.get(p, 0) for p in {*base, *dealt}}
                 low, scanned, published, skipped = high, scanned + n, published + m, skipped + n - m
                 self.jobs.update(job_id, cursor=low, scanned=scanned, published=published, skipped_up_to_date=skipped)
         except Exception as error:

@@ -35,6 +35,10 @@ _HASH_BITS = 55
 #: A prefix token is shuffled as 48 bits of a hash and, above them, whether it is hot.
 _HOT = 1 << 48
 PLACE = ["doc", "tie", "line_no"]
+#: Words of a line's bitmap: which cells hold an odd number of its tokens. Lines of under WIDE tokens use the first word only,
+#: with cells that are four of the others; all words of either, combined by exclusive or, give those 64 cells.
+BITS, WIDE = ["b0", "b1", "b2", "b3"], 64
+ROW = ["key", "k", "size_at", *BITS]
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +97,16 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def bitmaps(mixed: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The four words of each set's bitmap; sets begin at ``at`` among the scrambled tokens and have ``n`` of them."""
+    if not len(at):
+        return [np.zeros(0, np.uint64)] * 4
+    bit, word = np.uint64(1) << (mixed >> np.uint64(58)), mixed >> np.uint64(56) & np.uint64(3)
+    words = [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at) for w in range(4)]
+    folded = words[0] ^ words[1] ^ words[2] ^ words[3]
+    return [np.where(n < WIDE, folded, words[0]), *(np.where(n < WIDE, np.uint64(0), w) for w in words[1:])]
+
+
 def _keyed(levels: bytes, hot: int, percent: int):
     """Each line with a word: size, fingerprint and bitmap of its set, and the prefix if it can match an unequal set.
 
@@ -112,7 +126,7 @@ def _keyed(levels: bytes, hot: int, percent: int):
             n = sizes[full]
             mixed = textnum.mix(tokens)
             keys = textnum.mix(np.add.reduceat(mixed, at) + n.astype(np.uint64)) if len(at) else mixed
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at) if len(at) else mixed
+            bits = bitmaps(mixed, at, n)
             slots = (keys & np.uint64(len(met) - 1)).astype(np.int64)
             new = np.zeros(len(keys), bool)
             new[np.unique(keys, return_index=True)[1]] = True
@@ -123,14 +137,14 @@ def _keyed(levels: bytes, hot: int, percent: int):
             prefix = (mixed[inside] & np.uint64(_HOT - 1)) | np.where(tokens[inside] >> np.uint64(_HASH_BITS) >= hot, np.uint64(_HOT), np.uint64(0))
             row = np.repeat(np.arange(len(per_text)), per_text)[full]
             number = (np.arange(first[-1]) - np.repeat(first[:-1], per_text))[full]
-            columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(bits.view(np.int64)), _lists(prefix, keep)]
-            yield pa.RecordBatch.from_arrays(columns, [*PLACE, "n", "k", "bits", "prefix"])
+            columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64)), *(pa.array(b.view(np.int64)) for b in bits), _lists(prefix, keep)]
+            yield pa.RecordBatch.from_arrays(columns, [*PLACE, "n", "k", *BITS, "prefix"])
 
     return run
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 18) -> Iterator[tuple[np.ndarray, int | None]]:
-    """Rows (key, k, size_at, bits), sorted by key, in chunks that end with a key, and a key that began in an earlier one.
+    """Rows (key, k, size_at, bitmap), sorted by key, in chunks that end with a key, and a key that began in an earlier one.
 
     Only a key of more than ``room`` rows is parted.
     """
@@ -157,8 +171,9 @@ def candidates(rows: np.ndarray, percent: int, known: int, begun: int | None = N
 
     ``known`` counts the common tokens before the one at the row's place in its line.
     """
-    key, k, size_at, bits = rows
-    bits = bits.view(np.uint64)
+    key, k, size_at = rows[:3]
+    words = rows[3:].view(np.uint64)
+    bits = words[0] ^ words[1] ^ words[2] ^ words[3]
     n, at = size_at >> 32, size_at & 0xFFFFFFFF
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(starts, len(key)))
@@ -169,6 +184,8 @@ def candidates(rows: np.ndarray, percent: int, known: int, begun: int | None = N
         both = n[i] + n[j]
         need = -(-both * percent // (100 + percent))
         # Of a matching pair's common tokens the first, at least, leaves room for the overlap behind both places.
+        wide = np.flatnonzero((n[i] >= WIDE) & (n[j] >= WIDE))
+        apart[wide] = np.maximum(apart[wide], np.bitwise_count(words[:, i[wide]] ^ words[:, j[wide]]).sum(axis=0, dtype=np.int64))
         ok = (k[i] != k[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - at[i], n[j] - at[j]) + known >= need) & (both - apart >= 2 * need)
         return i[ok], j[ok]
 
@@ -211,12 +228,12 @@ def _paired(percent: int, known: int, groups: tuple[int, int, int]):
             pairs, alike, large = candidates(rows, percent, known, begun, groups)
             ends = np.sort(rows[1][pairs], axis=0)
             ends = np.unique(ends, axis=1) if ends.shape[1] else ends
-            none = np.zeros(ends.shape[1], np.int64)
+            none = np.zeros((len(BITS) + 1, ends.shape[1]), np.int64)
             kinds = np.repeat(np.array([0, 1, 2], np.int32), [ends.shape[1], len(alike), len(large)])
             more = rows[:, np.concatenate([alike, large])]
-            columns = [np.concatenate(x) for x in zip((ends[1], ends[0], none, none), more, strict=True)]
+            columns = [np.concatenate(x) for x in zip((ends[1], ends[0], *none), more, strict=True)]
             if len(kinds):
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, columns)], ["kind", "key", "k", "size_at", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, columns)], ["kind", *ROW])
 
     return run
 
@@ -240,9 +257,9 @@ def _cut(levels: bytes):
 
 
 def _meeting(rows: DataFrame, percent: int, known: int, groups: tuple[int, int, int], label: str) -> DataFrame:
-    """Rows (key, k, size_at, bits) dealt by key and paired."""
-    dealt = rows.select("key", "k", "size_at", "bits").repartition("key").sortWithinPartitions("key")
-    return stage_table(dealt.mapInArrow(_paired(percent, known, groups), "kind int, key long, k long, size_at long, bits long"), label)
+    """Rows (key, k, size_at, bitmap) dealt by key and paired."""
+    dealt = rows.select(*ROW).repartition("key").sortWithinPartitions("key")
+    return stage_table(dealt.mapInArrow(_paired(percent, known, groups), "kind int, " + ", ".join(f"{c} long" for c in ROW)), label)
 
 
 def _size_at(at: Column) -> Column:
@@ -258,27 +275,29 @@ def matched_lines(texts: DataFrame, percent: int = 80, sizes: tuple[int, int, in
     """
     lowered = texts.select("doc", "tie", F.lower("text").alias("text"))
     levels, hot = rarity(lowered)
-    keyed = stage_table(lowered.mapInArrow(_keyed(levels, hot, percent), "doc long, tie long, line_no int, n int, k long, bits long, prefix array<long>"), "lines")
+    bitmap = ", ".join(f"{c} long" for c in BITS)
+    keyed = stage_table(lowered.mapInArrow(_keyed(levels, hot, percent), f"doc long, tie long, line_no int, n int, k long, {bitmap}, prefix array<long>"), "lines")
     firsts = stage_table(keyed.groupBy("k").agg(F.min(F.struct(*PLACE)).alias("place")), "firsts")
 
     # The last token of a prefix only serves as a second one.
-    placed = keyed.select("k", "n", "bits", "prefix", F.posexplode(F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("at", "token"))
+    own = ["k", "n", *BITS, "prefix"]
+    placed = keyed.select(*own, F.posexplode(F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0)))).alias("at", "token"))
     is_hot = F.col("token") >= _HOT
-    found = _meeting(placed.where(~is_hot).select(F.col("token").alias("key"), "k", _size_at(F.col("at")), "bits"), percent, 0, sizes, "found")
-    split = placed.where(is_hot).select("k", "n", "bits", "prefix", "at", "token")
+    found = _meeting(placed.where(~is_hot).select(F.col("token").alias("key"), "k", _size_at(F.col("at")), *BITS), percent, 0, sizes, "found")
+    split = placed.where(is_hot).select(*own, "at", "token")
     large = found.where("kind = 2").select("k", F.col("key").alias("token"), F.col("size_at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
     if not large.isEmpty():
         large = stage_table(large.distinct(), "large")
-        own = keyed.where(F.size("prefix") > 0).select("k", "n", "bits", "prefix").join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
-        split = split.unionByName(large.join(own, "k").select(split.columns))
-    second = split.select("k", "n", "bits", "prefix", "token", F.explode(F.sequence(F.col("at") + 1, F.size("prefix") - 1)).alias("next"))
-    second = second.select(F.xxhash64("token", F.col("prefix")[F.col("next")]).alias("key"), "k", _size_at(F.col("next")), "bits")
+        lines = keyed.where(F.size("prefix") > 0).select(*own).join(large.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+        split = split.unionByName(large.join(lines, "k").select(split.columns))
+    second = split.select(*own, "token", F.explode(F.sequence(F.col("at") + 1, F.size("prefix") - 1)).alias("next"))
+    second = second.select(F.xxhash64("token", F.col("prefix")[F.col("next")]).alias("key"), "k", _size_at(F.col("next")), *BITS)
     again = _meeting(second, percent, 1, sizes, "again")
 
     groups = found.where("kind = 1").withColumn("known", F.lit(0)).unionByName(again.where("kind > 0").withColumn("known", F.lit(1))).drop("kind").dropDuplicates(["key", "k"])
     groups = stage_table(groups.join(firsts, "k"), "groups")
-    centres = groups.groupBy("key").agg(F.min(F.struct("place", "k", "size_at", "bits")).alias("c")).select("key", F.col("c.place").alias("before"), F.col("c.k").alias("earlier"), F.col("c.size_at").alias("c_at"), F.col("c.bits").alias("c_bits"))
-    star = groups.join(centres, "key").where((F.col("k") != F.col("earlier")) & _possible("size_at", "c_at", "bits", "c_bits", percent)).select(F.col("k").alias("later"), "earlier", "before")
+    centres = groups.groupBy("key").agg(F.min(F.struct("place", "k", "size_at", *BITS)).alias("c")).select("key", F.col("c.place").alias("before"), F.col("c.k").alias("earlier"), *_other("c", "c."))
+    star = groups.join(centres, "key").where((F.col("k") != F.col("earlier")) & _possible("c", percent)).select(F.col("k").alias("later"), "earlier", "before")
     pairs = stage_table(found.where("kind = 0").select("k", "key").unionByName(again.where("kind = 0").select("k", "key")).distinct(), "pairs")
     where = stage_table(pairs.select(F.explode(F.array("k", "key")).alias("k")).distinct().join(firsts, "k"), "where")
     placed = pairs.join(where.select("k", F.col("place").alias("p")), "k").join(where.select(F.col("k").alias("key"), F.col("place").alias("q")), "key")
@@ -290,8 +309,8 @@ def matched_lines(texts: DataFrame, percent: int = 80, sizes: tuple[int, int, in
     best = stage_table(ordered.groupBy("later").agg(F.min(F.struct("before", "earlier")).alias("c")).select("later", "c.earlier"), "best")
     done = stage_table(_matching(best, lowered, firsts, levels, percent), "done")
     left = groups.join(done, groups["k"] == done["later"], "left_anti")
-    others = groups.select("key", F.col("k").alias("earlier"), F.col("place").alias("before"), F.col("size_at").alias("o_at"), F.col("bits").alias("o_bits"))
-    met = left.join(others, "key").where((F.col("before") < F.col("place")) & _possible("size_at", "o_at", "bits", "o_bits", percent)).select(F.col("k").alias("later"), "earlier")
+    others = groups.select("key", F.col("k").alias("earlier"), F.col("place").alias("before"), *_other("o"))
+    met = left.join(others, "key").where((F.col("before") < F.col("place")) & _possible("o", percent)).select(F.col("k").alias("later"), "earlier")
     rest = ordered.join(done, "later", "left_anti").select("later", "earlier").unionByName(met).distinct()
     rest = stage_table(rest.join(best, ["later", "earlier"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -301,12 +320,20 @@ def matched_lines(texts: DataFrame, percent: int = 80, sizes: tuple[int, int, in
     return out.select(*PLACE, F.col("n").alias("n_tokens"), (F.coalesce("matched", F.lit(False)) | (F.struct(*PLACE) != F.col("place"))).alias("later"))
 
 
-def _possible(x: str, y: str, bx: str, by: str, percent: int) -> Column:
-    """The filters of ``candidates`` for rows of a join."""
-    nx, ny = (F.shiftright(c, 32) for c in (x, y))
-    ax, ay = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in (x, y))
+def _other(name: str, of: str = "") -> list[Column]:
+    """size_at and the bitmap of a join's other side, under names of their own."""
+    return [F.col(f"{of}{c}").alias(f"{name}_{c}") for c in ("size_at", *BITS)]
+
+
+def _possible(other: str, percent: int) -> Column:
+    """The filters of ``candidates`` for the rows of a join."""
+    nx, ny = (F.shiftright(c, 32) for c in ("size_at", f"{other}_size_at"))
+    ax, ay = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in ("size_at", f"{other}_size_at"))
     need = F.ceil((nx + ny) * percent / (100 + percent))
-    apart = F.bit_count(F.col(bx).bitwiseXOR(F.col(by)))
+    words = [F.col(c).bitwiseXOR(F.col(f"{other}_{c}")) for c in BITS]
+    folded = words[0].bitwiseXOR(words[1]).bitwiseXOR(words[2]).bitwiseXOR(words[3])
+    wide = F.when((nx >= WIDE) & (ny >= WIDE), sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))).otherwise(0)
+    apart = F.greatest(F.bit_count(folded), wide)
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ax, ny - ay) + F.col("known") >= need) & (nx + ny - apart >= 2 * need)
 
 

@@ -349,12 +349,31 @@ def test_lines_of_large_groups(spark, monkeypatch, sizes):
     assert {(r.doc, r.line_no) for r in got} == {(d, n) for d, own in plain_matches(docs).items() for n in own}
 
 
+def test_bitmaps_never_overstate_how_far_sets_are_apart(spark):
+    """Of sets around the size from which bitmaps are wide, in numpy and in the join's filter."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[a : a + size], rng.integers(0, 2**63, extra).astype(np.uint64)])) for size in (5, 50, 58, 62, 64, 66, 90, 200) for a in (0, 1, 3) for extra in (0, 1, 4)]
+    n = np.array([len(x) for x in sets])
+    words = line_dedup.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    rows = np.stack([np.zeros(len(sets), np.int64), np.arange(len(sets)), n.astype(np.int64) << 32, *(w.view(np.int64) for w in words)])
+    both = lambda a, b: len(np.intersect1d(a, b))
+    true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * both(sets[i], sets[j]) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    for most in (10, 1_000):
+        found = line_dedup.candidates(rows, 80, 0, None, (1_000, most, 1_000))[0]
+        assert true <= {tuple(sorted(p)) for p in found.T.tolist()} and len(found.T) < 1.3 * len(true)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in rows.T], ", ".join(f"{c} long" for c in line_dedup.ROW)).withColumn("known", F.lit(0))
+    other = df.select(F.col("k").alias("j"), *line_dedup._other("o"))
+    joined = df.join(other, F.col("k") < F.col("j")).where(line_dedup._possible("o", 80)).select("k", "j").collect()
+    assert {tuple(r) for r in joined} == {tuple(sorted(p)) for p in found.T.tolist()}
+
+
 def test_candidates_of_chunks():
     """Keys that are parted by chunks are large in all of them."""
     rng = np.random.default_rng(3)
     key = np.sort(np.concatenate([rng.integers(0, 50, 500), np.full(900, 20)]))
-    rows = np.stack([key, np.arange(len(key)), np.full(len(key), 10 << 32), rng.integers(0, 2**62, len(key))])
-    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, a : a + 70]], ["key", "k", "size_at", "bits"]) for a in range(0, len(key), 70)]
+    rows = np.stack([key, np.arange(len(key)), np.full(len(key), 10 << 32), *rng.integers(0, 2**62, (4, len(key)))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, a : a + 70]], line_dedup.ROW) for a in range(0, len(key), 70)]
     found = [*line_dedup._chunks(iter(batches), 200)]
     assert (np.concatenate([x for x, _ in found], axis=1) == rows).all()
     large = np.concatenate([x[1][line_dedup.candidates(x, 80, 0, begun, (100, 5, 2))[2]] for x, begun in found])

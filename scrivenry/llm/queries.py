@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -40,7 +41,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    """The numbers of the lines to remove, joined by commas."""
+    out = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return out.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +86,27 @@ si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lamb
 n AS (SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id)
 SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
 FROM si JOIN ds USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
+""",
+    "op5_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM d),
+t AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w FROM l),
+c AS (SELECT row_number() OVER () AS k, w, len(w) AS n, min((doc_id, line_no)) AS place FROM t WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT k, n, unnest(w) AS word FROM c),
+f AS (SELECT word, count(*) AS often FROM x GROUP BY word),
+p AS (SELECT k, n, word FROM x JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY k ORDER BY often, word) <= n - ceil(0.8 * n) + 1),
+cand AS (SELECT DISTINCT a.k AS a, b.k AS b FROM p a JOIN p b USING (word) WHERE a.k <> b.k AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+m AS (SELECT DISTINCT b FROM cand JOIN c ca ON ca.k = a JOIN c cb ON cb.k = b WHERE ca.place < cb.place AND 100 * len(list_intersect(ca.w, cb.w)) >= 80 * (ca.n + cb.n - len(list_intersect(ca.w, cb.w)))),
+gone AS (SELECT doc_id, line_no FROM t JOIN c USING (w) WHERE (doc_id, line_no) <> place OR k IN (SELECT b FROM m))
+SELECT d.doc_id, len(l) AS n_lines, count(g.line_no) AS n_removed, coalesce(string_agg(g.line_no::VARCHAR, ',' ORDER BY g.line_no), '') AS removed_lines FROM d LEFT JOIN gone g USING (doc_id) GROUP BY d.doc_id, l
+""",
+    "op7_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM s),
+e AS (SELECT doc_id, n_shingles, unnest(s) AS g FROM s JOIN n USING (doc_id)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 85 * (a.n_shingles + b.n_shingles - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT doc_id, n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n_shingles
 """,
 }

@@ -116,7 +116,10 @@ def nearest(passages: DataFrame, queries: DataFrame, most: int = CANDIDATES, key
 
 def _nearest_block(passages: DataFrame, queries: DataFrame, most: int, key: str) -> DataFrame:
     held = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"), access.tokens_of().alias("tokens")).orderBy("qid").collect()
-    matrix = np.array([q.vector for q in held]).reshape(len(held), -1)
+    schema = f"qid long, {key} {passages.schema[key].dataType.simpleString()}, score double"
+    if not held:
+        return passages.sparkSession.createDataFrame([], schema)
+    matrix = np.array([q.vector for q in held])
     matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)).T
     ids = np.array([q.qid for q in held])
     numbers = {t: i for i, t in enumerate(sorted({t for q in held for t in q.tokens}))}
@@ -140,10 +143,10 @@ def _nearest_block(passages: DataFrame, queries: DataFrame, most: int, key: str)
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, rows = [], 0
         for pdf in parts:
-            for at in range(0, len(pdf) if len(held) else 0, 1_024):
+            for at in range(0, len(pdf), 1_024):
                 kept.append(scored(pdf.iloc[at : at + 1_024].reset_index(drop=True)))
                 rows += len(kept[-1])
-            if rows > 4 * most * max(1, len(held)):
+            if rows > 4 * most * len(held):
                 kept = [first(pd.concat(kept))]
                 rows = len(kept[0])
         if kept:
@@ -154,7 +157,7 @@ def _nearest_block(passages: DataFrame, queries: DataFrame, most: int, key: str)
         return order.groupby("qid").head(most).drop(columns="r")
 
     rows = passages.select(key, F.col("vector").cast("array<double>").alias("vector"), access.rights_of().alias("rights"))
-    return rows.mapInPandas(best, f"qid long, {key} {rows.schema[key].dataType.simpleString()}, score double")
+    return rows.mapInPandas(best, schema)
 
 
 def search(

@@ -86,7 +86,9 @@ def line_tokens(data: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tu
     line = np.repeat(np.arange(len(starts) - 1), np.diff(bounds))
     level = levels[(hashes & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     tokens = (level << np.uint64(_HASH_BITS)) | (hashes & np.uint64((1 << _HASH_BITS) - 1))
-    order = np.lexsort((tokens, line))
+    order = np.argsort(tokens)
+    # Line numbers of a slice mostly fit 16 bits, which numpy sorts by radix.
+    order = order[np.argsort(line[order].astype(np.uint16 if len(starts) <= 1 << 16 else np.int64), kind="stable")]
     tokens, line = tokens[order], line[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
@@ -204,13 +206,17 @@ def candidates(rows: np.ndarray, percent: int, known: int, begun: int | None = N
     for g in np.flatnonzero((sizes > all_of) & ~large).tolist():
         a, size = int(starts[g]), int(sizes[g])
         own = []
-        for low in range(a, a + size, 256):
-            high = min(low + 256, a + size)
-            apart = np.bitwise_count(bits[low:high, None] ^ bits[None, low : a + size])
-            x, y = np.nonzero(apart * np.uint16(100 + percent) <= ((n[low:high, None] + n[None, low : a + size]) * (100 - percent)))
+        by_size = a + np.argsort(n[a : a + size], kind="stable")
+        lengths, maps = n[by_size], bits[by_size]
+        for low in range(0, size, 256):
+            high = min(low + 256, size)
+            # Only sizes from percent% on can match; the block's widest bound comes before each pair's own.
+            last = int(np.searchsorted(lengths, lengths[high - 1] * 100 // percent, "right"))
+            apart = np.bitwise_count(maps[low:high, None] ^ maps[None, low:last])
+            x, y = np.nonzero(apart <= min(64, int((lengths[high - 1] + lengths[last - 1]) * (100 - percent) // (100 + percent))))
             later = y > x
             x, y = x[later], y[later]
-            own.append(possible(low + x, low + y, apart[x, y].astype(np.int64)))
+            own.append(possible(by_size[low + x], by_size[low + y], apart[x, y].astype(np.int64)))
             if sum(len(i) for i, _ in own) > dense * size:
                 alike.append(np.arange(a, a + size))
                 own = []
@@ -244,13 +250,21 @@ def _cut(levels: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels, np.uint8)
         for part, data, offsets in textnum.slices(batches, "text"):
-            first, tokens, bounds = line_tokens(data, offsets, table)
             numbers, keys = part.column(3), part.column(4).flatten()
             per_text = np.diff(numbers.offsets.to_numpy())
-            number = numbers.flatten().to_numpy()
-            line = np.repeat(first[:-1], per_text) + number
-            sizes = bounds[line + 1] - bounds[line]
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[line], sizes)
+            breaks = np.flatnonzero(data == 0x0A)
+            # Lines of a slice are numbered through: a text's first line is one more than the breaks and texts before it.
+            first = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+            line = np.repeat(first[:-1], per_text) + numbers.flatten().to_numpy()
+            begins = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+            ends = np.append(begins[1:], len(data))
+            sizes = ends[line] - begins[line]
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            wanted = data[np.repeat(begins[line] - at[:-1], sizes) + np.arange(at[-1])]
+            # A line's break, which the piece may still end with, is white space to its words.
+            wanted[wanted == 0x0A] = 0x20
+            _, tokens, bounds = line_tokens(wanted, at, table)
+            sizes, place = np.diff(bounds), slice(None)
             yield pa.RecordBatch.from_arrays([keys, _lists(tokens[place], sizes)], ["k", "tokens"])
 
     return run

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.staging import staged
 from . import text
 
 
@@ -94,6 +95,7 @@ def normalised_pages(pages: DataFrame) -> DataFrame:
     ascii_only = ~F.col("page").rlike("[^\\x00-\\x7f]")
     composed = pages.withColumn("page", F.when(ascii_only, F.col("page")).otherwise(_composed("page")))
     cut = composed.withColumn("lines", F.split(text.clean_characters(F.col("page")), "\n")).withColumn("edge", edge_positions(F.col("lines")))
+    cut = staged(cut.drop("page"), "pages")
     joined = cut.join(running_keys(cut), "doc_id", "left")
     kept = F.filter("lines", lambda x, i: ~(F.array_contains("edge", i) & F.coalesce(F.array_contains("gone", text.edge_key(x)), F.lit(False))))
 

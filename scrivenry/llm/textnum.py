@@ -87,10 +87,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and fingerprints of all words, and each text's first word number (one more entry than texts).
 
-    A word is a run of bytes that ``outside`` doesn't mark; A-Z count as lower case.
+    A word is a run of bytes that ``outside`` doesn't mark; with ``fold`` A-Z count as lower case.
     """
     inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -101,7 +101,7 @@ def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) ->
     now[:-1] = inside
     starts = np.flatnonzero(now & (~before | edge))
     ends = np.flatnonzero(before & (~now | edge))
-    return starts, ends, slice_hashes(LOWER[data], starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, slice_hashes(LOWER[data] if fold else data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def short_salt(n: int) -> np.uint64:

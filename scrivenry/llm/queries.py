@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, exact_dedup, line_dedup, near_dedup, packing, pii, quality, runs, token_counts, toxicity, treaps, warc
+from . import decontam, exact_dedup, line_dedup, near_dedup, packing, passages, pii, quality, runs, token_counts, toxicity, treaps, warc
 from .store import bound_batches, new_path
 
 BPE = "byte_bpe_50k"
@@ -72,12 +72,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_report(passages.without_repeated_passages(table(spark, sf_dir, "documents"), length=50))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(runs.periodic_runs(runs.spliced(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_counts, op4_decontamination, op5_line_dedup, op6_pii, op7_near_dedup, op8_toxicity, op9_packing, op10_quality, op11_ranked_search, op13_periodic_runs)
+    f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_counts, op4_decontamination, op5_line_dedup, op6_pii, op7_near_dedup, op8_toxicity, op9_packing, op10_quality, op11_ranked_search, op12_repeated_passages, op13_periodic_runs)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
@@ -125,5 +129,16 @@ p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, u
 f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, n_docs),
 x AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM i JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10
+""",
+    "op12_repeated_passages": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, (2 * i + 1)::BIGINT, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+o AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s),
+m AS (SELECT doc_id, i, i > lag(i, 1, -51) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS fresh FROM g JOIN o USING (s) WHERE doc_id > first_id),
+k AS (SELECT doc_id, i, count_if(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m),
+sp AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, span),
+p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM sp),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS rest, string_agg(substr(h, (2 * since + 1)::BIGINT, (2 * (a - since))::BIGINT), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(rest, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
 """,
 }

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from scrivenry.llm import runs, treaps
+from scrivenry.llm import passages, rindex, runs, treaps
 
 DOCS = "doc_id long, text string, lang string, source string, row int, h string, w string, part int, low int, item_id int"
 ITEMS = "item_id long, text string, doc_id string, row int, size int"
@@ -181,3 +181,95 @@ def test_collapsed_texts_keep_words_as_they_are(spark):
     assert [(r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in rows] == [(10, [(1, 8, 2)], "É a b z"), (7, [(0, 6, 1)], "x y")]
     with pytest.raises(ValueError, match="two periods"):
         runs.periodic_runs(table(spark, []), 6, 1)
+
+
+# --- repeated passages
+
+
+def plain_passages(docs, length):
+    raw = [(i, (t or "").encode()) for i, t in docs]
+    first = {}
+    for i, x in raw:
+        for p in range(len(x) - length + 1):
+            g = x[p : p + length]
+            first[g] = min(first.get(g, math.inf), math.inf if i is None else i)
+    out = []
+    for i, x in raw:
+        gone = [False] * len(x)
+        for p in range(len(x) - length + 1):
+            if (math.inf if i is None else i) > first[x[p : p + length]]:
+                gone[p : p + length] = [True] * length
+        spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[g] for g in gone))]
+        out.append((i, len(x), spans, bytes(b for b, g in zip(x, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def passage_docs():
+    rng = random.Random(8)
+    piece = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    shared = [piece(rng.choice([20, 30, 48, 49, 50, 51, 90, 300])) for _ in range(12)] + ["x" * 120, "xy" * 80]
+    docs = [(i, "".join(rng.choice([piece(rng.randrange(80)), rng.choice(shared)]) for _ in range(rng.randrange(7)))) for i in range(120)]
+    docs += [(rng.randrange(120), docs[3][1]), (300, docs[7][1]), (None, docs[8][1]), (None, shared[5] * 2), (301, None), (302, ""), (303, "x" * 50), (304, "x" * 49)]
+    docs += [(-5, shared[6] + "z" + shared[7]), (305, piece(200_000) + shared[7] + piece(70_000))]
+    docs += [(400 + i, docs[5][1] + shared[7]) for i in range(150)]
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("length, chunk, hot", [(50, 4 << 20, 256), (50, 3000, 256), (50, 3000, 0), (28, 20_000, 2)])
+def test_passages_equal_brute_force(spark, monkeypatch, passage_docs, length, chunk, hot):
+    monkeypatch.setattr(passages, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(passages, "FILES", 8)
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(passages, "BUCKET_ANCHORS", 100)
+    monkeypatch.setattr(passages, "HOT", hot)
+    found = passages.without_repeated_passages(table(spark, passage_docs), length)
+    wanted = plain_passages(passage_docs, length)
+    same([(r.doc_id, r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) for r in found.collect()], wanted)
+
+
+def test_passage_report(spark):
+    docs = [(2, "é" * 30 + "tail"), (1, "é" * 26)]
+    found = passages.passage_report(passages.without_repeated_passages(table(spark, docs)))
+    assert [t for _, t in found.dtypes] == ["bigint"] * 4 + ["string"]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    same([tuple(r) for r in found.collect()], [(1, 52, 0, 0, digest("é" * 26)), (2, 64, 60, 1, digest("tail"))])
+    assert passages.without_repeated_passages(table(spark, [])).collect() == []
+    with pytest.raises(ValueError, match="bytes or more"):
+        passages.without_repeated_passages(table(spark, docs), 20)
+
+
+def test_index_finds_longest_matches_and_first_owners():
+    rng = random.Random(9)
+    cat = lambda xs: (np.frombuffer(b"".join(xs), np.uint8), np.cumsum([0, *map(len, xs)]))
+    for depth in [8, 9, 12, 16, 20] * 40:
+        texts = [bytes(rng.choice(b"ab\xf4\x00") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 8))]
+        texts += [x[rng.randrange(3) :] + x for x in texts]
+        owners = np.array([rng.randrange(10) for _ in texts])
+        asked_for = [bytes(rng.choice(b"ab\xf4\x00c") for _ in range(rng.randrange(30))) for _ in range(5)] + [x[7:] + x[:9] for x in texts]
+        index = rindex.RunLengthIndex(*cat(texts), owners, depth)
+        lengths, places = index.statistics(*cat(asked_for))
+        first = index.earliest(lengths, places, 99)
+        at = [(x, p) for x in asked_for for p in range(len(x))]
+        assert lengths.tolist() == [max(k for k in range(len(x) - p + 1) if any(x[p : p + k] in t for t in texts)) for x, p in at]
+        assert first.tolist() == [min((o for t, o in zip(texts, owners, strict=True) if x[p : p + depth] in t), default=99) if p + depth <= len(x) else 99 for x, p in at]
+
+
+def test_index_is_smaller_for_copies():
+    rng = np.random.default_rng(10)
+    text = rng.integers(97, 101, 3000, dtype=np.uint8)
+    one = rindex.RunLengthIndex(text, np.array([0, 3000]), np.zeros(1, np.int64), 50)
+    many = rindex.RunLengthIndex(np.tile(text, 40), np.arange(41) * 3000, np.zeros(40, np.int64), 50)
+    assert len(many.starts) <= len(one.starts) + 2
+    assert len(rindex.RunLengthIndex(np.zeros(0, np.uint8), np.array([0, 0]), np.zeros(1, np.int64), 50).statistics(text, np.array([0, 3000]))[0]) == 3000
+
+
+def test_windows_of_a_text_longer_than_a_block(monkeypatch):
+    rng = np.random.default_rng(11)
+    data, offsets = rng.integers(97, 99, 5000, dtype=np.uint8), np.array([0, 30, 30, 4000, 4060, 5000])
+    whole = [np.concatenate(x) for x in zip(*passages.windows(data, offsets, 50), strict=True)]
+    monkeypatch.setattr(passages, "_WINDOWS", 64)
+    parts = [np.concatenate(x) for x in zip(*passages.windows(data, offsets, 50), strict=True)]
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+    assert whole[0].tolist() == [p for b, e in zip(offsets, offsets[1:], strict=False) for p in range(b, e - 49)]

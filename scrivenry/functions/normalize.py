@@ -23,16 +23,6 @@ def edge_lines(pages: DataFrame, edges: int = 2) -> DataFrame:
     return rows.where((F.col("line_no") < width) | (F.col("line_no") >= F.col("n") - width)).select("doc_id", "page_no", "line_no", "line")
 
 
-def repeated_edges(pages: DataFrame, edges: int = 1, share: float = 0.4, least_pages: int = 4) -> DataFrame:
-    """(doc_id, key, n): edge lines that are the same, digits aside, on at least 40% and two of a document's pages."""
-    many = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    lines = pages.select("doc_id", "page_no", F.split("page", "\n").alias("l"))
-    ends = lines.select("doc_id", "page_no", F.explode(F.concat(F.slice("l", 1, edges), F.reverse(F.slice(F.reverse("l"), 1, edges)))).alias("line"))
-    keyed = ends.select("doc_id", "page_no", text.edge_key(F.col("line")).alias("key"))
-    counted = keyed.groupBy("doc_id", "key").agg(F.countDistinct("page_no").alias("n")).join(many, "doc_id")
-    return counted.where(F.col("n") >= F.greatest(F.lit(2), share * F.col("pages"))).select("doc_id", "key", "n")
-
-
 def edge_positions(lines: Column, edges: int = 3) -> Column:
     """Indexes in ``lines`` of the first and last non-empty ones, ``edges`` each but at most a third of them."""
     filled = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("(?U)\\S"), i)), lambda i: i.isNotNull())
@@ -40,12 +30,17 @@ def edge_positions(lines: Column, edges: int = 3) -> Column:
     return F.filter(filled, lambda x, i: (i < width) | (i >= F.size(filled) - width))
 
 
-def running_keys(pages: DataFrame, share: float = 0.4, least_pages: int = 4) -> DataFrame:
-    """(doc_id, gone): keys of the edge lines that are on at least 40% and two of a document's pages; ``pages`` has lines and edge."""
+def repeated_edges(pages: DataFrame, share: float = 0.4, least_pages: int = 4) -> DataFrame:
+    """(doc_id, key, n): keys of the edge lines that are on at least 40% and two of a document's pages; ``pages`` has lines and edge."""
     many = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     keys = F.array_distinct(F.transform("edge", lambda i: text.edge_key(F.get("lines", i))))
     counted = pages.select("doc_id", F.explode(keys).alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(many, "doc_id")
-    return counted.where(F.col("n") >= F.greatest(F.lit(2), share * F.col("pages"))).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+    return counted.where(F.col("n") >= F.greatest(F.lit(2), share * F.col("pages"))).select("doc_id", "key", "n")
+
+
+def with_edges(pages: DataFrame, edges: int = 3) -> DataFrame:
+    """The pages with their lines, and the indexes of those at the edges."""
+    return pages.withColumn("lines", F.split("page", "\n")).withColumn("edge", edge_positions(F.col("lines"), edges))
 
 
 _HYPHEN = re.compile(r"[^\W\d_]-$")
@@ -96,7 +91,8 @@ def normalised_pages(pages: DataFrame) -> DataFrame:
     composed = pages.withColumn("page", F.when(ascii_only, F.col("page")).otherwise(_composed("page")))
     cut = composed.withColumn("lines", F.split(text.clean_characters(F.col("page")), "\n")).withColumn("edge", edge_positions(F.col("lines")))
     cut = staged(cut.drop("page"), "pages")
-    joined = cut.join(running_keys(cut), "doc_id", "left")
+    running = repeated_edges(cut).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+    joined = cut.join(running, "doc_id", "left")
     kept = F.filter("lines", lambda x, i: ~(F.array_contains("edge", i) & F.coalesce(F.array_contains("gone", text.edge_key(x)), F.lit(False))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,9 +7,10 @@ that cuts a list off.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from datetime import date
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,13 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 from . import access
 
+if TYPE_CHECKING:
+    from .ann import VectorIndex
+    from .keyword import KeywordIndex
+
 K1, B, RRF_K, CANDIDATES, MOST = 1.2, 0.75, 60, 100, 50
+#: Fields of keyword search and what each counts; a passage has the score of its best field.
+BM25_FIELDS = {"content": 1.0, "section_title": 2.0}
 
 
 @dataclass(frozen=True)
@@ -87,6 +94,18 @@ def bm25(passages: DataFrame, queries: DataFrame, field: str = "content", key: s
     return weighed.withColumn("part", part).join(terms, "term").groupBy("qid", key).agg(F.sum("part").alias("score"))
 
 
+def best_field(passages: DataFrame, queries: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: str = "chunk_id") -> DataFrame:
+    """(qid, key, score) of every passage that shares a term with a query in some field: the best of its fields' weighted BM25.
+
+    It scores everything; :mod:`keyword` finds the best of it without reading all postings.
+    """
+    out = None
+    for field, weight in fields.items():
+        own = bm25(passages.where(F.size(tokens(F.coalesce(F.col(field), F.lit("")))) > 0), queries, field, key).withColumn("score", weight * F.col("score"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("qid", key).agg(F.max("score").alias("score"))
+
+
 def ranked(scored: DataFrame, most: int | None = None, by: str = "qid", key: str = "chunk_id") -> DataFrame:
     """Scores with their rank from 1 in each query, the first ``most`` of them."""
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col(key))
@@ -162,14 +181,15 @@ def _nearest_block(passages: DataFrame, queries: DataFrame, most: int, key: str)
 
 def search(
     passages: DataFrame, questions: DataFrame, mode: str = "hybrid", filters: Filters | None = None, top_k: int | None = None,
-    group_by_document: bool = False, rerank: Callable[[DataFrame], Column] | None = None, head: int = 50,
+    group_by_document: bool = False, rerank: Callable[[DataFrame], Column] | None = None, head: int = 50, index: KeywordIndex | None = None, vectors: VectorIndex | None = None,
 ) -> DataFrame:
     """(qid, doc_id, chunk_id, score, rank, mode_used): each question's best passages among what its caller may see.
 
     ``mode`` is hybrid, bm25 or vector. A question (qid, query, vector, user_id, groups) whose vector is null, as its embedding
     failed, is searched by words alone in hybrid mode and refused in vector mode. ``rerank`` gives the column that scores
     a passage (columns of both sides); where it is null for some of a question's first ``head`` hits the reranker failed and
-    the order stays. ``mode_used`` says what was done: hybrid, bm25 or knn, with ``+rerank``.
+    the order stays. ``index`` is a keyword index of all passages; without one it is built. With ``vectors``,
+    an approximate index of all passages, the vector leg probes it; without, it is exact. ``mode_used`` says what was done: hybrid, bm25 or knn, with ``+rerank``.
     """
     if mode not in ("hybrid", "bm25", "vector"):
         raise ValueError(f"unknown mode {mode}")
@@ -182,10 +202,17 @@ def search(
     allowed = passages.where((filters or Filters()).predicate())
     legs = {}
     if mode != "vector":
-        words = bm25(passages, questions).withColumn("score", F.round("score", 6))
-        legs["bm25"] = ranked(access.admitted(words, allowed, questions), max(CANDIDATES, fetch))
+        from . import keyword
+
+        legs["bm25"] = keyword.top(index or keyword.build(passages), questions, allowed, max(CANDIDATES, fetch))
     if mode != "bm25":
-        legs["knn"] = nearest(allowed, questions, max(CANDIDATES, fetch))
+        most = max(CANDIDATES, fetch)
+        if vectors is None:
+            legs["knn"] = nearest(allowed, questions, most)
+        else:
+            from . import ann
+
+            legs["knn"] = ann.nearest(vectors, questions, most, (filters or Filters()).predicate())
     found = fused(*legs.values(), most=fetch) if len(legs) == 2 else next(iter(legs.values())).where(F.col("rank") <= fetch).select("qid", "chunk_id", "score", "rank")
     plain = F.when(F.col("vector").isNull(), "bm25").otherwise("hybrid") if mode == "hybrid" else F.lit({"bm25": "bm25", "vector": "knn"}[mode])
     hits = found.join(questions.select("qid", "query", plain.alias("mode_used")), "qid").join(allowed.select("chunk_id", "doc_id", "content"), "chunk_id")

@@ -190,13 +190,13 @@ def d22(spark, sf):
     return fx.table(spark, sf, "conversations").groupBy("role").agg(F.sum(F.ceil(F.length("text") / 4)).alias("tokens"))
 
 
-@query("d06_repeated_edges", fx.sql("""WITH l AS (SELECT doc_id, page_no, unnest([string_split(page, chr(10))[1], string_split(page, chr(10))[-1]]) AS line FROM src_page), n AS (SELECT doc_id, count(*) AS pages FROM src_page GROUP BY doc_id)
- SELECT doc_id, sha256(k) AS digest, count(DISTINCT page_no) AS n FROM (SELECT doc_id, page_no, regexp_replace(lower(regexp_replace(trim(line), '\\s+', ' ', 'g')), '\\d+', '#', 'g') AS k FROM l) JOIN n USING (doc_id) WHERE pages >= 4 GROUP BY doc_id, k, pages HAVING count(DISTINCT page_no) >= greatest(2, 0.4 * pages)""", "src_page"))
+@query("d06_repeated_edges", fx.sql("""WITH f AS (SELECT doc_id, page_no, list_filter(string_split(page, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM src_page), i AS (SELECT doc_id, page_no, l, len(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM f),
+ e AS (SELECT doc_id, page_no, regexp_replace(lower(regexp_replace(trim(l[i]), '\\s+', ' ', 'g')), '\\d+', '#', 'g') AS k FROM i WHERE i <= least(3, n // 3) OR i > n - least(3, n // 3)), n AS (SELECT doc_id, count(*) AS pages FROM src_page GROUP BY doc_id)
+ SELECT doc_id, sha256(k) AS digest, count(DISTINCT page_no) AS n FROM e JOIN n USING (doc_id) WHERE pages >= 4 GROUP BY doc_id, k, pages HAVING count(DISTINCT page_no) >= greatest(2, 0.4 * pages)""", "src_page"))
 def d06(spark, sf):
-    from ..functions.normalize import repeated_edges
+    from ..functions.normalize import repeated_edges, with_edges
 
-    found = repeated_edges(fx.src_page(spark, sf), edges=1)
-    return found.select("doc_id", F.sha2("key", 256).alias("digest"), "n")
+    return repeated_edges(with_edges(fx.src_page(spark, sf))).select("doc_id", F.sha2("key", 256).alias("digest"), "n")
 
 
 @query("e09_edge_lines", fx.sql("SELECT doc_id, page_no, i - 1 AS line_no FROM (SELECT doc_id, page_no, len(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, page_no, list_filter(string_split(page, chr(10)), lambda x: trim(x) <> '') AS l FROM src_page)) WHERE i <= least(2, n // 3) OR i > n - least(2, n // 3)", "src_page"))

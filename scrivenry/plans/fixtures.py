@@ -18,12 +18,12 @@ VIEWS: dict[str, str] = {
     "src_page": """SELECT d.doc_id, d.item_id, p AS page_no, array_to_string(l[(p - 1) * 10 + 1:p * 10], chr(10)) AS page FROM (SELECT *, string_split(text, chr(10)) AS l FROM src_doc) d,
  unnest(range(1, (len(l) - 1) // 10 + 2)) AS t(p)""",
     "sentences": """SELECT doc_id, item_id, page_no, string_split(regexp_replace(page, '([.!?])\\s+(["''(\\[]?[A-Z0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31)) AS s FROM src_page""",
-    "windows": """SELECT doc_id, item_id, page_no, w, array_to_string(s[(w - 1) * 5 + 1:w * 5], ' ') AS content FROM sentences, unnest(range(1, (len(s) - 1) // 5 + 2)) AS t(w)""",
+    "windows": """SELECT doc_id, item_id, page_no, w, array_to_string(s[(w - 1) * 5 + 1:w * 5], ' ') AS content, s[1] AS section_title FROM sentences, unnest(range(1, (len(s) - 1) // 5 + 2)) AS t(w)""",
     "numbered": """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, w) - 1 AS chunk_no, substr(sha256(content), 1, 16) AS content_hash FROM windows""",
-    "chunk": """SELECT doc_id, item_id, page_no, chunk_no, content, content_hash, item_id || ':' || chunk_no || ':' || content_hash AS chunk_id,
+    "chunk": """SELECT doc_id, item_id, page_no, chunk_no, content, section_title, content_hash, item_id || ':' || chunk_no || ':' || content_hash AS chunk_id,
  (doc_id * 31 + chunk_no) % (SELECT count(*) FROM embeddings) AS vec_id FROM numbered""",
     "chunk_index": """SELECT c.*, d.doc_type, d.tags, d.created_at, d.acl_users, d.acl_groups FROM chunk c JOIN src_doc d USING (doc_id)""",
-    "question": """SELECT item_id AS qid, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:8], ' ') AS query, item_id % (SELECT count(*) FROM embeddings) AS vec_id,
+    "question": """SELECT item_id AS qid, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS query, item_id % (SELECT count(*) FROM embeddings) AS vec_id,
  'u' || (item_id % 50) AS user_id, ['g' || (item_id % 7), 'g' || ((item_id + 3) % 7)] AS groups FROM benchmark""",
     "relevant": """SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
     "index_event": """SELECT event_id, 'DOC-' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS item_id,
@@ -43,10 +43,11 @@ VIEWS: dict[str, str] = {
     "load_sample": """SELECT l_orderkey, l_quantity / 10 AS latency_s, CASE WHEN l_tax < 0.01 THEN 503 WHEN l_tax < 0.02 THEN 0 ELSE 200 END AS status,
  CASE l_linenumber % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'hybrid+rerank' WHEN 2 THEN 'bm25' ELSE 'knn' END AS mode_used, l_discount AS first_byte_s, l_linenumber AS run FROM lineitem""",
     "answer_text": """SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 THEN ' NOT_FOUND. ' ELSE text || ' [' || (turn % 6 + 1) || ']' END AS answer FROM conversations WHERE role = 'assistant'""",
-    "ranked": """WITH w AS (SELECT doc_id, chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunk), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
- qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM question), tf AS (SELECT doc_id, chunk_id, length, term, count(*) AS tf FROM (SELECT doc_id, chunk_id, len(w) AS length, unnest(w) AS term FROM w)
- WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), bm AS (SELECT qid, doc_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score
- FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY qid, doc_id, chunk_id) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, doc_id) AS rank FROM bm GROUP BY qid, doc_id QUALIFY rank <= 100""",
+    "ranked": """WITH w AS (SELECT doc_id, chunk_id, 'c' AS f, 1.0 AS boost, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunk UNION ALL SELECT doc_id, chunk_id, 't', 2.0, regexp_extract_all(lower(section_title), '[a-z0-9]+') FROM chunk),
+ st AS (SELECT f, count(*) AS n, avg(len(w)) AS mean FROM w WHERE len(w) > 0 GROUP BY f), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM question), tf AS (SELECT doc_id, chunk_id, f, boost, length, term, count(*) AS tf FROM (SELECT doc_id, chunk_id, f, boost, len(w) AS length, unnest(w) AS term FROM w)
+ WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT f, term, count(*) AS df FROM tf GROUP BY f, term), bf AS (SELECT qid, doc_id, chunk_id, f, boost * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))) AS score
+ FROM tf JOIN df USING (f, term) JOIN qt USING (term) JOIN st USING (f) GROUP BY qid, doc_id, chunk_id, f, boost), bm AS (SELECT qid, doc_id, chunk_id, round(max(score), 6) AS score FROM bf GROUP BY ALL)
+ SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, doc_id) AS rank FROM bm GROUP BY qid, doc_id QUALIFY rank <= 100""",
 }
 _NEEDS = {
     "src_page": ["src_doc"], "sentences": ["src_page"], "windows": ["sentences"], "numbered": ["windows"], "chunk": ["numbered"], "chunk_index": ["chunk", "src_doc"],
@@ -85,14 +86,14 @@ def src_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows_of(pages: DataFrame, *keep: str) -> DataFrame:
-    """Simple chunks of paged documents: five sentences of a page each, numbered from 0."""
+    """Simple chunks of paged documents: five sentences of a page each, numbered from 0, with the page's first sentence as title."""
     from ..functions.text import sentences
 
     parts = pages.withColumn("s", sentences(F.col("page")))
-    windows = F.expr("transform(sequence(0, (size(s) - 1) div 5), w -> struct(page_no, w, array_join(slice(s, int(w * 5 + 1), 5), ' ') AS content))")
+    windows = F.expr("transform(sequence(0, (size(s) - 1) div 5), w -> struct(page_no, w, array_join(slice(s, int(w * 5 + 1), 5), ' ') AS content, s[0] AS section_title))")
     rows = parts.select(*keep, "item_id", F.explode(windows).alias("x")).groupBy(*keep, "item_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     rows = rows.select(*keep, "item_id", F.posexplode("xs").alias("chunk_no", "x"))
-    return rows.select(*keep, "item_id", "x.page_no", F.col("chunk_no").cast("long").alias("chunk_no"), "x.content")
+    return rows.select(*keep, "item_id", "x.page_no", F.col("chunk_no").cast("long").alias("chunk_no"), "x.content", "x.section_title")
 
 
 def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +110,17 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").count()
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("qid"), F.expr("array_join(slice(regexp_extract_all(lower(text), '[a-z0-9]+', 0), 1, 8), ' ')").alias("query"), (F.col("item_id") % n).alias("vec_id"),
+        F.col("item_id").alias("qid"), F.expr("array_join(regexp_extract_all(lower(text), '[a-z0-9]+', 0), ' ')").alias("query"), (F.col("item_id") % n).alias("vec_id"),
         F.expr("concat('u', item_id % 50)").alias("user_id"), F.expr("array(concat('g', item_id % 7), concat('g', (item_id + 3) % 7))").alias("groups"),
     )
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold a question's whole text."""
+    from ..operators.context import holding
+
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    return table(spark, sf_dir, "documents").join(items, F.contains("text", "item")).select("qid", "doc_id")
+    return holding(table(spark, sf_dir, "documents").select("doc_id", "text"), items).select("qid", "doc_id")
 
 
 def index_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +168,8 @@ def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, doc_id, rank): the hundred best documents of each question by their best chunk's BM25."""
     from ..operators import retrieval
+    from ..sources.staging import staged
 
-    scored = retrieval.bm25(chunk(spark, sf_dir), question(spark, sf_dir)).select("qid", F.expr("bigint(substring(split_part(chunk_id, ':', 1), 5))").alias("doc_id"), F.round("score", 6).alias("score"))
+    scored = retrieval.best_field(staged(chunk(spark, sf_dir), "chunks"), question(spark, sf_dir)).select("qid", F.expr("bigint(substring(split_part(chunk_id, ':', 1), 5))").alias("doc_id"), F.round("score", 6).alias("score"))
     best = scored.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
     return retrieval.ranked(best, 100, key="doc_id").select("qid", "doc_id", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import access, retrieval
+from ..operators import access, ann, keyword, retrieval
 from ..sources.staging import staged
 from . import fixtures as fx
 from .registry import query
@@ -149,12 +149,15 @@ def c12(spark, sf):
     return access.visible_pairs(fx.src_doc(spark, sf), fx.question(spark, sf), "doc_id")
 
 
-@query("c13_near_pairs", """WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) > 0),
- e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.85 * (a.n + b.n - count(*))""")
+@query("c13_near_pairs", """WITH s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) > 0),
+ c AS (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM s GROUP BY s), e AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM c),
+ l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.85 * (a.n + b.n - count(*))), k AS (SELECT a AS rep, count(*) AS links FROM l GROUP BY a)
+ SELECT doc_id, rep, copies, coalesce(links, 0) AS links FROM s JOIN c USING (s) LEFT JOIN k USING (rep)""")
 def c13(spark, sf):
-    from ..operators.context import near_pairs
+    """Each document's class of equal shingle sets, its size, and the other classes that it is near to."""
+    from ..operators.context import near_membership
 
-    return near_pairs(fx.table(spark, sf, "documents").select("doc_id", "text"), 0.85)
+    return near_membership(fx.table(spark, sf, "documents").select("doc_id", "text"), 0.85)
 
 
 @query("c14_query_by_vectors", fx.sql("SELECT qid, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine FROM question q JOIN embeddings v ON v.vec_id = q.vec_id, embeddings e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, e.vec_id) <= 100", "question"))
@@ -166,9 +169,11 @@ def c14(spark, sf):
     return found.select("qid", "vec_id", F.col("score").alias("cosine"))
 
 
-_BM25 = """w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunk), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM question),
- tf AS (SELECT chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
- bm AS (SELECT qid, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY qid, chunk_id)"""
+_BM25 = """w AS (SELECT chunk_id, 'content' AS field, 1.0 AS boost, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunk UNION ALL SELECT chunk_id, 'section_title', 2.0, regexp_extract_all(lower(section_title), '[a-z0-9]+') FROM chunk),
+ st AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM w WHERE len(w) > 0 GROUP BY field), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM question),
+ tf AS (SELECT chunk_id, field, boost, length, term, count(*) AS tf FROM (SELECT chunk_id, field, boost, len(w) AS length, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY field, term),
+ bf AS (SELECT qid, chunk_id, field, boost * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))) AS score FROM tf JOIN df USING (field, term) JOIN qt USING (term) JOIN st USING (field) GROUP BY qid, chunk_id, field, boost),
+ bm AS (SELECT qid, chunk_id, round(max(score), 6) AS score FROM bf GROUP BY qid, chunk_id)"""
 _SEEN = "seen AS (SELECT qid, chunk_id, vec_id AS cv FROM (SELECT qid, user_id, groups FROM question) q, chunk_index WHERE list_contains(acl_users, user_id) OR list_has_any(acl_groups, groups))"
 _LEGS = f"""{_BM25}, {_SEEN}, l1 AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM bm JOIN seen USING (qid, chunk_id) QUALIFY rank <= 100),
  cs AS (SELECT q.qid, e.vec_id AS cv, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM question q JOIN embeddings v ON v.vec_id = q.vec_id, embeddings e),
@@ -178,10 +183,9 @@ _TOP = "top AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid
 
 
 def keyword_leg(spark, sf, rows=None):
-    rows = passages(spark, sf) if rows is None else rows
+    rows = staged(passages(spark, sf), "passages") if rows is None else rows
     q = fx.question(spark, sf)
-    scored = retrieval.bm25(rows, q).withColumn("score", F.round("score", 6))
-    return retrieval.ranked(access.admitted(scored, rows, q), retrieval.CANDIDATES)
+    return keyword.top(keyword.build(rows), q, rows, retrieval.CANDIDATES)
 
 
 def vector_leg(spark, sf, rows=None):
@@ -194,16 +198,25 @@ def hybrid(spark, sf, most=10, rows=None):
     return retrieval.fused(keyword_leg(spark, sf, rows), vector_leg(spark, sf, rows), most=most)
 
 
-@query("c16_term_postings", fx.sql(f"WITH {_BM25} SELECT chunk_id, term, tf FROM tf", "chunk", "question"))
+@query("c16_term_postings", fx.sql(f"WITH {_BM25} SELECT chunk_id, field, term, tf FROM tf", "chunk", "question"))
 def c16(spark, sf):
-    wanted = fx.question(spark, sf).select(F.explode(retrieval.tokens(F.col("query"))).alias("term")).distinct()
-    words = fx.chunk(spark, sf).select("chunk_id", F.explode(retrieval.tokens(F.col("content"))).alias("term"))
-    return words.join(wanted, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    wanted = keyword.asked_terms(fx.question(spark, sf)).select("term").distinct()
+    of = lambda field: F.struct(F.lit(field).alias("field"), retrieval.tokens(F.col(field)).alias("words"))
+    fields = fx.chunk(spark, sf).select("chunk_id", F.explode(F.array(*map(of, retrieval.BM25_FIELDS))).alias("x"))
+    words = fields.select("chunk_id", "x.field", F.explode("x.words").alias("term"))
+    return words.join(wanted, "term").groupBy("chunk_id", "field", "term").agg(F.count("*").alias("tf"))
 
 
 @query("h45_bm25", fx.sql(f"WITH {_BM25} SELECT qid, chunk_id, score FROM bm", "chunk", "question"))
 def h45(spark, sf):
-    return retrieval.bm25(fx.chunk(spark, sf), fx.question(spark, sf)).withColumn("score", F.round("score", 6))
+    return retrieval.best_field(staged(fx.chunk(spark, sf), "chunks"), fx.question(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query("h45_postings_read")
+def h45_read(spark, sf):
+    """How many postings the search for each question's best passages reads, of those that its terms have."""
+    rows = staged(passages(spark, sf), "passages")
+    return keyword.postings_read(keyword.build(rows), fx.question(spark, sf), rows, retrieval.CANDIDATES)
 
 
 @query("h46_term_overlap", fx.sql(f"WITH {_BM25} SELECT qid, chunk_id, sum(tf) AS score FROM tf JOIN qt USING (term) GROUP BY qid, chunk_id", "chunk", "question"))
@@ -238,6 +251,15 @@ def k04v(spark, sf):
     return vector_leg(spark, sf).select("qid", "chunk_id", "score", "rank")
 
 
+@query("k04_vector_recall")
+def k04_recall(spark, sf):
+    """Of each question's ten nearest passages, how many the approximate index finds."""
+    rows, q = staged(passages(spark, sf), "passages"), staged(questions(spark, sf), "questions")
+    want = retrieval.nearest(rows, q, 10).select("qid", "chunk_id")
+    got = ann.nearest(ann.build(rows), q, 10).select("qid", "chunk_id", F.lit(1).alias("hit"))
+    return want.join(got, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+
+
 @query("c01_rrf_merge", fx.sql(f"WITH {_LEGS} SELECT qid, chunk_id, score FROM rrf", "chunk_index", "question"))
 def c01(spark, sf):
     return hybrid(spark, sf, None).select("qid", "chunk_id", "score")
@@ -275,9 +297,10 @@ def h11(spark, sf):
     return hits.select("qid", "chunk_id", F.sha2(text.local_snippet(F.col("content"), F.col("query")), 256).alias("snippet"), F.array_join(F.transform(found, lambda x: x["term"]), " ").alias("terms"))
 
 
-@query("f01_top_by_score", fx.sql("SELECT doc_id, sc AS score FROM (SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS sc FROM ranked GROUP BY doc_id) ORDER BY sc DESC, doc_id LIMIT 10", "ranked"))
+@query("f01_top_by_score", fx.sql(f"WITH {_LEGS} SELECT qid, chunk_id, score FROM rrf QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 7", "chunk_index", "question"))
 def f01(spark, sf):
-    return d03(spark, sf).orderBy(F.col("score").desc(), "doc_id").limit(10)
+    """The seven best of each question by fused score, then by passage."""
+    return hybrid(spark, sf, 7).select("qid", "chunk_id", "score")
 
 
 _RERANKED = f"""{_LEGS}, {_TOP.format(n=50)}, c AS (SELECT chunk_id, doc_id, content FROM chunk), qw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM question),

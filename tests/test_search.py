@@ -1,5 +1,6 @@
 """Access isolation in every mode, rank fusion, filters, context selection."""
 
+import math
 import random
 import re
 from datetime import date
@@ -7,7 +8,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from scrivenry.operators import access, context, retrieval
+from scrivenry.operators import access, ann, context, keyword, retrieval
+from scrivenry.sources.staging import staged
 
 PASSAGES = [
     ("c1", ["ann"], []), ("c2", [], ["red"]), ("c3", [], ["blue"]), ("c4", [], []), ("c5", ["bob"], ["red", "blue"]), ("c6", ["anna"], []),
@@ -30,15 +32,16 @@ def test_isolation_in_all_modes(spark, passages, who, expected):
     q = spark.createDataFrame([(1, "common", user, list(groups), [1.0, 0.0])], "qid long, query string, user_id string, groups array<string>, vector array<double>")
     seen = access.visible_pairs(passages, q)
     assert {r.chunk_id for r in seen.collect()} == expected
-    keyword = retrieval.ranked(retrieval.bm25(passages, q).join(seen, ["qid", "chunk_id"]), 100)
+    passages = passages.withColumn("section_title", F.lit("titles"))
+    words = keyword.top(keyword.build(passages), q, passages, 100)
     vector = retrieval.nearest(passages, q, 100)
-    assert {r.chunk_id for r in keyword.collect()} == expected
+    assert {r.chunk_id for r in words.collect()} == expected
     assert {r.chunk_id for r in vector.collect()} == expected
-    assert {r.chunk_id for r in retrieval.fused(keyword, vector).collect()} == expected
+    assert {r.chunk_id for r in retrieval.fused(words, vector).collect()} == expected
 
 
 def test_search_modes_and_fallbacks(spark, passages):
-    rows = passages.withColumn("doc_id", F.col("chunk_id")).withColumn("doc_type", F.lit("t")).withColumn("tags", F.array(F.lit("x"))).withColumn("created_at", F.lit(date(2024, 1, 1)))
+    rows = passages.withColumn("doc_id", F.col("chunk_id")).withColumn("doc_type", F.lit("t")).withColumn("tags", F.array(F.lit("x"))).withColumn("created_at", F.lit(date(2024, 1, 1))).withColumn("section_title", F.lit(None).cast("string"))
     schema = "qid long, query string, user_id string, groups array<string>, vector array<double>"
     q = spark.createDataFrame([(1, "common words", "zed", ["red", "blue"], [1.0, 3.0]), (2, "common", "ann", [], None)], schema)
     shown = lambda found: {(r.qid, r.chunk_id, r.mode_used) for r in found.collect()}
@@ -155,8 +158,14 @@ def test_near_pairs_of_copies_and_near_copies(spark):
         w = re.findall("[a-z0-9]+", (text or "").lower())
         return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
-    expected = {(a, b, len(grams(x) & grams(y))) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and grams(x) and len(grams(x) & grams(y)) >= 0.85 * len(grams(x) | grams(y))}
-    got = context.near_pairs(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 0.85).collect()
+    classes = {}
+    for i, t in enumerate(texts):
+        if grams(t):
+            classes.setdefault(frozenset(grams(t)), []).append(i)
+    near = lambda x, y: len(x & y) >= 0.85 * len(x | y)
+    links = {x: sum(near(x, y) for y in classes if y != x) for x in classes}
+    expected = {(i, min(own), len(own), links[x]) for x, own in classes.items() for i in own}
+    got = context.near_membership(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 0.85).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
@@ -171,3 +180,110 @@ def test_budget_cuts_the_last_passage(spark):
 def test_best_per_document_keeps_order(spark):
     hits = spark.createDataFrame([(1, "a1", "a", 1), (1, "b1", "b", 2), (1, "a2", "a", 3), (1, "c1", "c", 4)], "qid long, chunk_id string, doc_id string, rank long")
     assert [(r.chunk_id, r["rank"]) for r in retrieval.best_per_document(hits).orderBy(F.col("rank")).collect()] == [("a1", 1), ("b1", 2), ("c1", 3)]
+
+
+# --- keyword index, approximate vectors, texts that hold items
+
+
+def plain_bm25(rows, query, fields):
+    """Scores of everything by the best of the fields."""
+    toks = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    best = {}
+    for name, weight in fields.items():
+        own = [(r["chunk_id"], toks(r[name])) for r in rows if toks(r[name])]
+        mean = sum(len(w) for _, w in own) / max(1, len(own))
+        for t in set(toks(query)):
+            df = sum(t in w for _, w in own)
+            for c, w in own:
+                if t in w:
+                    tf = w.count(t)
+                    part = math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                    best.setdefault((c, name), []).append(weight * part)
+    out = {}
+    for (c, _), parts in best.items():
+        out[c] = max(out.get(c, 0), math.fsum(parts))
+    return out
+
+
+@pytest.fixture(scope="module")
+def library(spark):
+    rng = random.Random(12)
+    words = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(4000)]
+    rows = [
+        {"chunk_id": f"c{i:04}", "doc_id": f"d{i // 3}", "content": " ".join(rng.choices(words, k=rng.randint(0, 60))), "section_title": rng.choice([None, "", " ".join(rng.choices(words, k=3))]), "vector": [rng.gauss(m, 0.4) for m in ((i % 7), (i % 3), 1 + i % 5, -(i % 2))],
+         "acl_users": [f"u{i % 4}"], "acl_groups": [f"g{i % 9}"], "doc_type": f"t{i % 2}", "tags": ["x"], "created_at": date(2024, 1, 1)} for i in range(900)
+    ]
+    asked = [(q, " ".join(rng.choices(words, k=rng.choice([1, 4, 30]))), f"u{q % 5}", [f"g{q}", f"g{(q * 5) % 9}"], [rng.gauss(2, 2) for _ in range(4)]) for q in range(12)]
+    schema = "chunk_id string, doc_id string, content string, section_title string, vector array<double>, acl_users array<string>, acl_groups array<string>, doc_type string, tags array<string>, created_at date"
+    passages = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    questions = spark.createDataFrame([*asked, (50, "unknown", "u1", [], None), (51, "w1", "nobody", [], None)], "qid long, query string, user_id string, groups array<string>, vector array<double>")
+    return rows, asked + [(50, "unknown", "u1", [], None), (51, "w1", "nobody", [], None)], staged(passages, "library"), questions
+
+
+def may_see(r, user, groups):
+    return user in r["acl_users"] or bool(set(groups) & set(r["acl_groups"]))
+
+
+@pytest.mark.parametrize("most, block", [(5, 16), (40, 256), (2000, 256)])
+def test_pruned_keyword_search_equals_scoring_everything(spark, monkeypatch, library, most, block):
+    monkeypatch.setattr(keyword, "BLOCK", block)
+    rows, asked, passages, questions = library
+    found = {}
+    for r in keyword.top(keyword.build(passages), questions, passages, most).collect():
+        found.setdefault(r.qid, []).append((r["rank"], r.chunk_id, r.score))
+    for qid, query, user, groups, _ in asked:
+        scores = plain_bm25(rows, query, retrieval.BM25_FIELDS)
+        seen = sorted((-round(scores[r["chunk_id"]], 6), r["chunk_id"]) for r in rows if r["chunk_id"] in scores and may_see(r, user, groups))[:most]
+        assert [(c, pytest.approx(-s, abs=2e-6)) for s, c in seen] == [(c, s) for _, c, s in sorted(found.get(qid, []))]
+
+
+def test_common_terms_are_hardly_read(spark):
+    """Nine in ten postings are of a term that all passages have: what only it brings is not read beyond its best blocks."""
+    rng = random.Random(13)
+    rows = [(f"c{i:05}", "the of " * rng.randint(1, 30) + " ".join(f"x{rng.randrange(300)}" for _ in range(3)), "", ["all"], []) for i in range(6000)]
+    passages = staged(spark.createDataFrame(rows, "chunk_id string, content string, section_title string, acl_users array<string>, acl_groups array<string>"), "many")
+    questions = spark.createDataFrame([(q, f"the of x{q} x{q + 9}", "all", []) for q in range(5)], "qid long, query string, user_id string, groups array<string>")
+    index = keyword.build(passages)
+    for r in keyword.postings_read(index, questions, passages, 10).collect():
+        assert r.read < 0.3 * r.postings
+    plain = retrieval.ranked(retrieval.best_field(passages, questions).withColumn("score", F.round("score", 6)), 10)
+    assert sorted(map(tuple, keyword.top(index, questions, passages, 10).select("qid", "rank", "chunk_id").collect())) == sorted(map(tuple, plain.select("qid", "rank", "chunk_id").collect()))
+
+
+def test_approximate_vectors_keep_rights_filters_and_recall(spark, library):
+    rows, asked, passages, questions = library
+    index = ann.build(passages, cells=30)
+    exact = {(r.qid, r.chunk_id): r.score for r in retrieval.nearest(passages, questions, 10).collect()}
+    found = {(r.qid, r.chunk_id): r.score for r in ann.nearest(index, questions, 10).collect()}
+    assert len(set(exact) & set(found)) >= 0.9 * len(exact)
+    assert all(found[k] == pytest.approx(exact[k], abs=1e-6) for k in set(exact) & set(found))
+    people = {q: (user, groups) for q, _, user, groups, _ in asked}
+    by_id = {r["chunk_id"]: r for r in rows}
+    assert all(may_see(by_id[c], *people[q]) for q, c in found)
+    only = retrieval.Filters(doc_types=("t1",))
+    few = ann.nearest(index, questions, 10, only.predicate()).collect()
+    assert few and all(by_id[r.chunk_id]["doc_type"] == "t1" for r in few)
+    # All cells probed, all rows rescored: the exact result.
+    assert {(r.qid, r.chunk_id) for r in ann.nearest(index, questions, 400, probes=30).collect()} == {(r.qid, r.chunk_id) for r in retrieval.nearest(passages, questions, 400).collect()}
+    hits = retrieval.search(passages, questions.where("qid < 12"), index=keyword.build(passages), vectors=index)
+    assert {r.qid for r in hits.collect()} == set(range(12)) and hits.columns == ["qid", "doc_id", "chunk_id", "score", "rank", "mode_used"]
+
+
+def test_index_of_few_vectors(spark, library):
+    *_, passages, questions = library
+    assert ann.nearest(ann.build(passages.limit(0)), questions, 3).collect() == []
+    one = passages.where("chunk_id = 'c0001'").withColumn("acl_users", F.array(F.lit("u1")))
+    assert [(r.qid, r.chunk_id) for r in ann.nearest(ann.build(one), questions.where("user_id = 'u1' AND vector IS NOT NULL AND qid = 1"), 3).collect()] == [(1, "c0001")]
+
+
+def test_documents_that_hold_an_item(spark):
+    rng = random.Random(14)
+    word = lambda: rng.choice(["ab", "b", "cab", "d.", "é"])
+    docs = [(i, rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randrange(40)))) for i in range(80)] + [(100, None), (101, "")]
+    items = [(q, " ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6])))) for q in range(60)] + [(70, docs[3][1]), (71, "ab  b"), (72, "x" * 30)]
+    found = context.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(80, " "), (81, None)], "qid long, item string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(d, q) for d, t in docs for q, x in items if t and x.strip() and x in t}
+    assert context.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "qid long, item string")).collect() == []

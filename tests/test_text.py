@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scrivenry.functions import chunking, masking, normalize, text, vectors
+from scrivenry.functions import masking, normalize, text, vectors
 
 
 def one(spark, column, **values):
@@ -33,7 +33,6 @@ def test_masking(spark, given_text, expected):
 @pytest.mark.parametrize(("line", "title"), [("INTRODUCTION", True), ("2.1 Scope of work", True), ("A sentence.", False), ("Plain words", False), ("AB", False), ("X" * 81, False)])
 def test_titles(spark, line, title):
     assert one(spark, text.is_title(F.col("t")), t=line) is title
-    assert chunking.is_title(line) is title
 
 
 def test_sentences(spark):
@@ -59,21 +58,6 @@ def test_shingles(spark):
 
 
 WORDS = st.lists(st.sampled_from(["alpha", "beta.", "gamma", "Delta", "x1", "end!", "co-", "TITLE LINE", "a | b | c", ""]), max_size=8)
-PAGES = st.lists(st.lists(WORDS.map(" ".join), max_size=6).map("\n".join), min_size=1, max_size=4)
-
-
-@settings(max_examples=150, deadline=None)
-@given(PAGES)
-def test_chunks_lose_nothing_and_keep_limits(pages):
-    sizes = chunking.Sizes(20, 30, 6, 5)
-    numbered = list(enumerate(pages, 1))
-    found = list(chunking.chunks(numbered, sizes))
-    assert [c["chunk_no"] for c in found] == list(range(len(found)))
-    assert all(c["token_count"] <= sizes.most and 1 <= c["page_start"] <= c["page_end"] <= len(pages) for c in found)
-    have = " ".join(c["content"] for c in found)
-    for word in re.findall(r"[A-Za-z0-9]+", " ".join(pages)):
-        assert word in have
-    assert found == list(chunking.chunks(numbered, sizes))
 
 
 @settings(max_examples=150, deadline=None)

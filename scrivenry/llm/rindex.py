@@ -36,31 +36,35 @@ def suffix_order(codes: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.nd
     """
     n = len(codes)
     keys = _first_eight(codes, room)
-    order = np.argsort(keys)
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
     del keys
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    places = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, places, 0))
     h, kept = 8, rank.copy() if depth == 8 else None
+    last = np.ones(n, bool)
     while True:
-        last = np.ones(n, bool)
         last[:-1] = fresh[1:]
-        ties = np.flatnonzero(~(fresh & last))
+        ties = np.flatnonzero(~(fresh & last)).astype(np.int32)
         own = order[ties]
         more = room[own] > h
-        follow = np.where(more, rank[np.minimum(own + h, n - 1)] + 1, 0)
         if not more.any():
             # Equal up to their texts' ends: by place.
-            order[ties] = own[np.lexsort((own, rank[own]))]
+            order[ties] = own[np.argsort(rank[own].astype(U64) << U64(32) | own.astype(U64), kind="stable")]
             return order, kept if kept is not None else rank
-        move = np.argsort((rank[own].astype(U64) << U64(32)) | follow.astype(U64), kind="stable")
-        own, follow = own[move], follow[move]
+        own_rank = rank[own]
+        follow = np.where(more, rank[np.minimum(own + np.int32(h), n - 1)] + np.int32(1), 0)
+        both = own_rank.astype(U64) << U64(32) | follow.astype(U64)
+        move = np.argsort(both, kind="stable")
+        own, both = own[move], both[move]
         order[ties] = own
         new = np.ones(len(ties), bool)
-        new[1:] = (rank[own[1:]] != rank[own[:-1]]) | (follow[1:] != follow[:-1])
+        np.not_equal(both[1:], both[:-1], out=new[1:])
         fresh[ties] = new
-        rank[own] = ties[np.maximum.accumulate(np.where(new, np.arange(len(ties)), 0))]
+        rank[own] = ties[np.maximum.accumulate(np.where(new, places[: len(ties)], 0))]
         h *= 2
         if h == depth:
             kept = rank.copy()
@@ -72,7 +76,7 @@ class RunLengthIndex:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, owners: np.ndarray, depth: int):
         codes, starts = _coded(data, offsets)
         n, sizes = len(codes), np.diff(offsets)
-        room = np.repeat(starts + sizes, sizes + 1) - np.arange(n)
+        room = (np.repeat(starts + sizes, sizes + 1) - np.arange(n)).astype(np.int32)
         half = 8
         while half * 2 <= depth:
             half *= 2
@@ -85,20 +89,23 @@ class RunLengthIndex:
         self.starts = np.flatnonzero(fresh)
         self.heads = before[self.starts]
         self.lengths = np.diff(np.append(self.starts, n))
-        self.first, self.last = order[self.starts], order[self.starts + self.lengths - 1]
+        self.first, self.last = order[self.starts].astype(np.int64), order[self.starts + self.lengths - 1].astype(np.int64)
         by_byte = np.argsort(self.heads, kind="stable")
         done = np.cumsum(self.lengths[by_byte]) - self.lengths[by_byte]
         self.leads = np.empty(len(by_byte), np.int64)
         self.leads[by_byte] = done
         self.by_byte = by_byte
+        #: The run of each position, while texts stream, and how far its positions move.
+        self.run_of = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.lengths)
+        self.shifts = self.leads - self.starts
         self.byte_keys = self.heads[by_byte].astype(np.int64) * len(by_byte) + by_byte
         #: Ranges of suffixes that agree in ``depth`` bytes, and the least owner in each.
         deep = room[order] >= depth
-        rest = np.minimum(order + (depth - half), n - 1)
+        head, rest = rank[order], rank[np.minimum(order + np.int32(depth - half), n - 1)]
         apart = np.ones(n, bool)
-        apart[1:] = ~(deep[1:] & deep[:-1]) | (rank[order[1:]] != rank[order[:-1]]) | (rank[rest[1:]] != rank[rest[:-1]])
-        self.groups = np.flatnonzero(apart)
-        self.least = np.minimum.reduceat(np.repeat(owners, sizes + 1)[order], self.groups) if n else owners
+        apart[1:] = ~(deep[1:] & deep[:-1]) | (head[1:] != head[:-1]) | (rest[1:] != rest[:-1])
+        self.group_of = np.cumsum(apart, dtype=np.int32) - np.int32(1)
+        self.least = np.minimum.reduceat(np.repeat(owners, sizes + 1)[order], np.flatnonzero(apart)) if n else owners
         self.depth = depth
 
     def _agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -116,10 +123,10 @@ class RunLengthIndex:
 
     def _step(self, byte: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One byte further to the left: position in the transform, in the texts, and length of the match."""
-        run = np.searchsorted(self.starts, at, "right") - 1
-        at, place, size = at.copy(), place.copy(), size.copy()
+        run = self.run_of[at]
         off = np.flatnonzero(self.heads[run] != byte)
         if len(off):
+            at, place, size = at.copy(), place.copy(), size.copy()
             key = byte[off].astype(np.int64) * len(self.by_byte) + run[off]
             up = np.searchsorted(self.byte_keys, key)
             below, above = up - 1, np.minimum(up, len(self.byte_keys) - 1)
@@ -132,9 +139,10 @@ class RunLengthIndex:
             place[off] = np.where(down, *suffix)
             at[off] = np.where(down, self.starts[other[0]] + self.lengths[other[0]] - 1, self.starts[other[1]])
             size[off] = np.maximum(*long)
-        lost = size < 0
-        at, place, size = self.leads[run] + at - self.starts[run], place - 1, size + 1
-        at[lost], place[lost], size[lost] = 0, self.first[0], 0
+        lost = size < 0 if len(off) else None
+        at, place, size = self.shifts[run] + at, place - 1, size + 1
+        if lost is not None:
+            at[lost], place[lost], size[lost] = 0, self.first[0], 0
         return at, place, size
 
     def statistics(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,5 +165,5 @@ class RunLengthIndex:
         """The least owner of the ``depth`` bytes at each position, ``none`` where they don't occur."""
         out = np.full(len(lengths), none, np.int64)
         has = lengths >= self.depth
-        out[has] = self.least[np.searchsorted(self.groups, places[has], "right") - 1]
+        out[has] = self.least[self.group_of[places[has]]]
         return out

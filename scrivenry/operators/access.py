@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 class AccessDeniedError(ValueError):
     """No identity, or a plan that reads passages without its filter."""
@@ -96,3 +98,41 @@ def verify_access(df: DataFrame) -> None:
             walk(guarded)
 
     walk(False)
+
+
+@dataclass(frozen=True)
+class RightsIndex:
+    """(key, number) of the passages and (token, bucket, bits): which numbers of a bucket each token opens."""
+
+    numbers: DataFrame
+    bitmaps: DataFrame
+    key: str
+
+
+def rights_index(passages: DataFrame, key: str = "chunk_id") -> RightsIndex:
+    """Number the passages and keep a bitmap of 32,768 of them for each token and bucket of numbers in which it opens some."""
+    numbers = staged(passages.select(key, rights_of().alias("rights")).withColumn("number", F.monotonically_increasing_id()), "numbers")
+    opened = numbers.select("number", F.explode(F.array_distinct("rights")).alias("token"))
+    bits = opened.groupBy("token", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    return RightsIndex(numbers.select(key, "number"), staged(bits, "bitmaps"), key)
+
+
+def opened_to(index: RightsIndex, principals: DataFrame) -> DataFrame:
+    """(qid, bucket, bits) of what each principal (qid, user_id, groups) may see: the union of the bitmaps of its tokens."""
+    held = principals.select("qid", F.explode(tokens_of()).alias("token"))
+    return held.join(index.bitmaps, "token").groupBy("qid", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def visible_counts(index: RightsIndex, principals: DataFrame) -> DataFrame:
+    """(qid, n): how many passages each principal may see, counted on bitmaps alone."""
+    counts = opened_to(index, principals).groupBy("qid").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    return principals.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def admitted_by_index(rows: DataFrame, index: RightsIndex, principals: DataFrame) -> DataFrame:
+    """The rows (qid, key, …) whose passage the question's caller may see, as :func:`admitted` finds them, by the caller's bit."""
+    placed = rows.join(index.numbers, index.key).withColumn("bucket", F.bitmap_bucket_number("number"))
+    at = F.bitmap_bit_position("number").cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(number) div 8) + 1, 1)")), 16, 10).cast("int")
+    is_open = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+    return placed.join(opened_to(index, principals), ["qid", "bucket"]).where(is_open).select(*rows.columns)

@@ -138,3 +138,30 @@ def in_flight(requests: DataFrame, most: int) -> DataFrame:
     running = F.col("before") + F.sum("change").over(Window.partitionBy("block").orderBy("turn"))
     found = placed.join(F.broadcast(before), "block").withColumn("waiting", running - 1).where("kind = 1").select("number", "waiting")
     return requests.join(found, "number").withColumn("dropped", F.col("waiting") >= most)
+
+
+def counter_rates(samples: DataFrame, over: int, step: int, by: list[str]) -> DataFrame:
+    """(by…, start, samples, increase, rate) of counters in windows of ``over`` seconds, one every ``step``.
+
+    ``samples`` has the columns of ``by``, ``at`` in seconds and ``value``. A value below the one before it is a reset: the counter began
+    again at 0. What the first and the last sample leave open towards the window's edges is extrapolated by the mean distance of
+    samples: all of it where it is less than 1.1 of that distance, half of the distance otherwise, and never further back than where the
+    counter would have been 0. Windows with fewer than two samples are left out; of samples at one time the highest counts. A window's
+    samples meet in one row: there are as many as ``over`` holds, however long a series is.
+    """
+    if over < step or over % step:
+        raise ValueError("a window is a whole number of steps")
+    first = (F.floor(F.col("at") / step) * step).cast("long")
+    starts = F.sequence(first - (over - step), first, F.lit(step).cast("long"))
+    once = samples.groupBy(*by, "at").agg(F.max("value").cast("double").alias("value"))
+    held = once.select(*by, F.explode(starts).alias("start"), F.col("at").cast("double").alias("at"), "value").groupBy(*by, "start").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("s"))
+    resets = F.aggregate("s", F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("lost")), lambda a, x: F.struct(x["value"].alias("last"), (a["lost"] + F.when(x["value"] < a["last"], a["last"]).otherwise(0.0)).alias("lost")), lambda a: a["lost"])
+    head, tail = F.get("s", F.lit(0)), F.element_at("s", -1)
+    raw = held.where(F.size("s") > 1).select(*by, "start", F.size("s").cast("long").alias("samples"), head["at"].alias("t0"), head["value"].alias("v0"), tail["at"].alias("t1"), (tail["value"] - head["value"] + resets).alias("grown"))
+    spread = F.col("t1") - F.col("t0")
+    mean = spread / (F.col("samples") - 1)
+    edge = lambda gap: F.when(gap < 1.1 * mean, gap).otherwise(mean / 2)
+    to_zero = F.when(F.col("grown") > 0, spread * F.col("v0") / F.col("grown"))
+    before = F.least(edge(F.col("t0") - F.col("start")), F.coalesce(to_zero, F.lit(float("inf"))))
+    increase = F.col("grown") * (spread + before + edge(F.col("start") + over - F.col("t1"))) / spread
+    return raw.select(*by, "start", "samples", increase.alias("increase"), (increase / over).alias("rate"))

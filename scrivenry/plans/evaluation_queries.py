@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..operators import answering, context, folds, ingest, metrics
+from ..operators import answering, context, folds, ingest, metrics, retrieval
+from ..operators import experiments as experiments_of
+from ..operators.experiments import Config
+from ..sources.staging import staged
 from . import fixtures as fx
 from . import search_queries as sq
 from .registry import query
@@ -116,15 +120,37 @@ def d21(spark, sf):
     return metrics.comparison(experiments(spark, sf), "run1", "value")
 
 
-_RUNS = "rk AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY c.name, qid ORDER BY (rank * c.f) % 101, rank) AS rank, c.name, c.idx FROM ranked, (VALUES ('asis', 1, 0), ('mixed', 7, 1), ('other', 13, 2)) AS c(name, f, idx))"
+_CONFIGS = [
+    Config("hybrid"), Config("bm25", ("bm25",)), Config("knn", ("knn",)), Config("hybrid_k1", k=1), Config("hybrid_documents", by_document=True), Config("hybrid_reranked", rerank=20, by_document=True),
+]
 
 
-@query("k14_experiment_matrix", _s(f"WITH {_RUNS}, x AS (SELECT name, idx, qid, min(rank) AS first FROM rk JOIN relevant USING (qid, doc_id) GROUP BY ALL), v AS (SELECT name, idx, round(avg(1 / first), 4) AS value FROM x GROUP BY name, idx) SELECT name, value, round(value - (SELECT value FROM v WHERE name = 'asis'), 4) AS delta, name = (SELECT name FROM v ORDER BY value DESC, idx LIMIT 1) AS best FROM v"))
+def _configs_sql() -> str:
+    def score(c: Config) -> str:
+        return " + ".join(f"coalesce(1 / ({c.k} + r_{leg}), 0)" for leg in c.legs)
+
+    rows = " UNION ALL ".join(
+        f"SELECT qid, chunk_id, doc_id, w, '{c.name}' AS name, {i} AS idx, round({score(c)}, 9) AS score, {c.by_document} AS one, {c.rerank} AS head FROM b WHERE coalesce({', '.join(f'r_{leg}' for leg in c.legs)}) IS NOT NULL" for i, c in enumerate(_CONFIGS)
+    )
+    return f"""b AS (SELECT qid, chunk_id, doc_id, x.rank AS r_bm25, y.rank AS r_knn, len(list_intersect(q.w, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')))) / len(q.w) AS w FROM (SELECT qid, chunk_id, rank FROM l1) x FULL JOIN (SELECT qid, chunk_id, rank FROM l2) y USING (qid, chunk_id)
+ JOIN (SELECT chunk_id, doc_id, content FROM chunk) USING (chunk_id) JOIN (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM question) q USING (qid)), e AS ({rows}),
+ f AS (SELECT *, row_number() OVER (PARTITION BY name, qid ORDER BY score DESC, chunk_id) AS r FROM e), g AS (SELECT *, row_number() OVER (PARTITION BY name, qid ORDER BY CASE WHEN r > head THEN 1 ELSE 0 END, CASE WHEN r <= head THEN -w ELSE 0 END, r) AS s FROM f),
+ h AS (SELECT *, row_number() OVER (PARTITION BY name, qid, doc_id ORDER BY s) AS nth FROM g), k AS (SELECT name, idx, qid, doc_id, row_number() OVER (PARTITION BY name, qid ORDER BY s) AS rank FROM h WHERE NOT one OR nth = 1),
+ z AS (SELECT count(DISTINCT qid) AS n FROM relevant), u AS (SELECT name, qid, min(rank) AS first FROM k JOIN relevant USING (qid, doc_id) WHERE rank <= 10 GROUP BY name, qid), v AS (SELECT k.name, k.idx, round(coalesce(max(t.total), 0) / max(n), 4) AS value FROM (SELECT DISTINCT name, idx FROM k) k LEFT JOIN (SELECT name, sum(1 / first) AS total FROM u GROUP BY name) t ON t.name = k.name, z GROUP BY k.name, k.idx)"""
+
+
+@query("k14_experiment_matrix", fx.sql(f"WITH {sq._LEGS}, {_configs_sql()} SELECT name, value, round(value - (SELECT value FROM v WHERE name = 'hybrid'), 4) AS delta, name = (SELECT name FROM v ORDER BY value DESC, idx LIMIT 1) AS best FROM v", "chunk_index", "question", "relevant"))
 def k14(spark, sf):
-    runs = spark.createDataFrame([("asis", 1, 0), ("mixed", 7, 1), ("other", 13, 2)], "name string, f int, idx int")
-    ranked = fx.ranked(spark, sf).crossJoin(F.broadcast(runs)).selectExpr("name", "idx", "qid", "doc_id", "row_number() OVER (PARTITION BY name, qid ORDER BY (rank * f) % 101, rank) AS rank")
-    first = ranked.join(fx.relevant(spark, sf), ["qid", "doc_id"]).groupBy("name", "idx", "qid").agg(F.min("rank").alias("first"))
-    return metrics.comparison(first.groupBy("name", "idx").agg(F.round(F.avg(1 / F.col("first")), 4).alias("value")), "asis", "value")
+    """Six ways to search, from two legs, by the rank of the first document that holds the question's text."""
+    rows = staged(sq.passages(spark, sf), "passages")
+    q = fx.question(spark, sf)
+    legs = {"bm25": staged(sq.keyword_leg(spark, sf, rows), "bm25"), "knn": staged(sq.vector_leg(spark, sf, rows), "knn")}
+    documents = rows.select("chunk_id", "doc_id", "content")
+    asked = {leg: found.join(q.select("qid", "query"), "qid") for leg, found in legs.items()}
+    pairs = asked["bm25"].select("qid", "chunk_id", "query").unionByName(asked["knn"].select("qid", "chunk_id", "query")).distinct()
+    scores = pairs.join(documents, "chunk_id").select("qid", "chunk_id", retrieval.overlap_score(F.col("query"), F.col("content")).alias("overlap"))
+    hits = experiments_of.ranked_by(legs, _CONFIGS, documents.select("chunk_id", "doc_id"), scores)
+    return experiments_of.matrix(staged(hits, "hits"), staged(fx.relevant(spark, sf), "relevant"), q, "hybrid")
 
 
 _SUMMARY = """summary AS (SELECT run, count(*) AS requests, round(count(*) / 60, 2) AS rps, round(count(*) FILTER (WHERE status <> 200) / count(*), 4) AS error_rate, round(count(*) FILTER (WHERE status = 200 AND string_split(mode_used, '+')[1] IN ('bm25', 'knn')) / count(*) FILTER (WHERE status = 200), 4) AS fallback_rate,
@@ -180,6 +206,27 @@ def d16r(spark, sf):
     return e.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "error_ratio")
 
 
+_SAMPLES = """raw AS (SELECT user_id % 40 AS series, floor(epoch(ts))::BIGINT AS sec, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 9 AS up, event_id % 50 = 0 AS again FROM events),
+ samples AS (SELECT series, sec, event_id, sum(up) OVER (PARTITION BY series, lives ORDER BY event_id) AS value FROM (SELECT *, sum(again::INT) OVER (PARTITION BY series ORDER BY event_id) AS lives FROM raw))"""
+
+
+def counter_samples(spark, sf):
+    """Counters made of events, one for each of 40 groups of users; every fiftieth event has its counter start again."""
+    raw = fx.table(spark, sf, "events").selectExpr("user_id % 40 AS series", "bigint(unix_timestamp(cast(ts AS timestamp))) AS at", "event_id", "bigint(get_json_object(props, '$.k')) % 9 AS up", "event_id % 50 = 0 AS again")
+    lives = raw.withColumn("lives", F.sum(F.col("again").cast("int")).over(Window.partitionBy("series").orderBy("event_id")))
+    return lives.withColumn("value", F.sum("up").over(Window.partitionBy("series", "lives").orderBy("event_id"))).select("series", "at", "value")
+
+
+@query("d16_counter_rates", f"""WITH {_SAMPLES}, once AS (SELECT series, sec, max(value)::DOUBLE AS value FROM samples GROUP BY series, sec), w AS (SELECT series, sec, value, unnest(range(sec // 43200 * 43200 - 43200, sec // 43200 * 43200 + 1, 43200)) AS start FROM once),
+ p AS (SELECT *, lag(value) OVER (PARTITION BY series, start ORDER BY sec) AS last FROM w), g AS (SELECT series, start, count(*) AS n, min(sec)::DOUBLE AS t0, max(sec)::DOUBLE AS t1, arg_min(value, sec) AS v0, arg_max(value, sec) - arg_min(value, sec) + sum(CASE WHEN value < last THEN last ELSE 0 END) AS grown FROM p GROUP BY series, start HAVING count(*) > 1),
+ m AS (SELECT *, t1 - t0 AS spread, (t1 - t0) / (n - 1) AS mean FROM g), e AS (SELECT *, least(CASE WHEN t0 - start < 1.1 * mean THEN t0 - start ELSE mean / 2 END, CASE WHEN grown > 0 THEN spread * v0 / grown ELSE 'inf'::DOUBLE END) AS low, CASE WHEN start + 86400 - t1 < 1.1 * mean THEN start + 86400 - t1 ELSE mean / 2 END AS high FROM m)
+ SELECT series, start, n AS samples, round(grown * (spread + low + high) / spread, 4) AS increase, round(grown * (spread + low + high) / spread / 86400, 8) AS rate FROM e""")
+def d16_rates(spark, sf):
+    """Increase and rate of the counters over a day, every twelve hours."""
+    found = metrics.counter_rates(counter_samples(spark, sf), 86_400, 43_200, ["series"])
+    return found.select("series", "start", "samples", F.round("increase", 4).alias("increase"), F.round("rate", 8).alias("rate"))
+
+
 @query("d19_histogram_buckets", fx.sql(f"SELECT edge, count(*) AS n FROM (SELECT {_BUCKETS} AS edge FROM (SELECT latency_s AS x FROM load_sample)) WHERE edge <> 'inf'::DOUBLE GROUP BY edge", "load_sample"))
 def d19(spark, sf):
     return fx.load_sample(spark, sf).groupBy(metrics.bucket(F.col("latency_s")).alias("edge")).agg(F.count("*").alias("n")).where(F.col("edge") < float("inf"))

@@ -273,6 +273,14 @@ def k11(spark, sf):
     return ingest.reconciled(fx.meta(spark, sf), fx.index_state(spark, sf), MODEL, CHUNKER)
 
 
+@query("k11_reconcile_digests", fx.sql(f"WITH {_DIFF} SELECT * FROM rec", "meta", "index_state"))
+def k11_digests(spark, sf):
+    """The same by digests of key ranges: only ranges that differ are joined row by row."""
+    from ..sources.staging import staged
+
+    return ingest.reconciled_by_digest(staged(fx.meta(spark, sf).select("item_id", "version", "meta_hash"), "meta"), staged(fx.index_state(spark, sf), "states"), MODEL, CHUNKER)
+
+
 @query("d18_reconcile_counts", fx.sql(f"WITH {_DIFF} SELECT kind, count(*) AS n FROM rec GROUP BY kind", "meta", "index_state"))
 def d18(spark, sf):
     return k11(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))

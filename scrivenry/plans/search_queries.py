@@ -149,6 +149,20 @@ def c12(spark, sf):
     return access.visible_pairs(fx.src_doc(spark, sf), fx.question(spark, sf), "doc_id")
 
 
+@query("c12_rights_counts", fx.sql("SELECT qid, count(item_id) AS n FROM question LEFT JOIN (SELECT item_id, acl_users, acl_groups FROM src_doc) d ON list_contains(acl_users, user_id) OR list_has_any(acl_groups, groups) GROUP BY qid", "question", "src_doc"))
+def c12_counts(spark, sf):
+    """How many documents each asker may see, from bitmaps of rights."""
+    index = access.rights_index(fx.src_doc(spark, sf).select("doc_id", "acl_users", "acl_groups"), "doc_id")
+    return access.visible_counts(index, fx.question(spark, sf))
+
+
+@query("b01_rights_bitmap", fx.sql("SELECT qid, doc_id, rank FROM ranked JOIN question USING (qid) JOIN src_doc USING (doc_id) WHERE list_contains(acl_users, user_id) OR list_has_any(acl_groups, groups)", "ranked", "question", "src_doc").replace("ranked JOIN question", "ranked JOIN (SELECT qid, user_id, groups FROM question) q").replace("JOIN src_doc USING", "JOIN (SELECT doc_id, acl_users, acl_groups FROM src_doc) d USING"))
+def b01_bitmap(spark, sf):
+    """The ranked documents that each asker may see, by the asker's bit."""
+    index = access.rights_index(fx.src_doc(spark, sf).select("doc_id", "acl_users", "acl_groups"), "doc_id")
+    return access.admitted_by_index(fx.ranked(spark, sf), index, fx.question(spark, sf)).select("qid", "doc_id", "rank")
+
+
 @query("c13_near_pairs", """WITH s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) > 0),
  c AS (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM s GROUP BY s), e AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM c),
  l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.85 * (a.n + b.n - count(*))), k AS (SELECT a AS rep, count(*) AS links FROM l GROUP BY a)

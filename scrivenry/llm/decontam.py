@@ -145,10 +145,15 @@ def _verified(items: Items, part: pa.RecordBatch, column: int, data: np.ndarray,
                 yield i, j, len(wanted), both
 
 
-def item_blocks(items: DataFrame, block_items: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_items``, one block at a time on the driver."""
+#: Bytes of item texts in a block, about: what the driver and each task hold of them.
+BLOCK_BYTES = 16 << 20
+
+
+def item_blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_items`` and ``BLOCK_BYTES``, one block at a time on the driver."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_column(items).alias("text")).distinct()
-    n = max(1, math.ceil(rows.count() / block_items))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = max(1, math.ceil(count / block_items), math.ceil(size / BLOCK_BYTES))
     for i in range(n):
         yield [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
 
@@ -160,7 +165,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, least: float
     that the document has; ``least`` or more counts. An item of fewer words is one shingle of its own length. Items
     without words, and null or wordless documents, match nothing; an item_id with several texts is searched for each of
     them, and so is an item without an id; a repeated document row repeats its rows; other columns are ignored; empty tables give an empty result. Items are
-    broadcast in blocks of ``block_items``, each of which is searched in all documents.
+    broadcast in blocks of ``block_items`` and ``BLOCK_BYTES`` of text, each of which is searched in all documents.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretok, textnum
-from .store import text_column
+from .store import stage_table, text_column
 from .worker import held
 
 
@@ -81,12 +81,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
     A document is its ids followed by ``end_id``, so a null or empty text is one id; each id lies in exactly one
     piece and each sequence holds ``capacity`` ids at most, gapless from offset 0. The pieces of about ``group_docs``
-    documents are dealt to one group at random (a hash of the piece, so one long document spreads too) and each group
-    is packed by itself; sequence ids are unique across groups and the same in every run. Repeated
+    documents are dealt to one group at random (a hash of the piece's row, so one long document spreads, and equal pieces too) and
+    each group is packed by itself; sequence ids are unique across groups. Repeated
     rows are packed as often as they come, null ids like others; an empty table gives an empty one; other columns are ignored.
     """
-    groups = max(1, math.ceil(docs.count() / group_docs))
-    cut = pieces(docs, tokenizer, capacity, end_id).withColumn("piece_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # Rows are numbered in a staged table, so that a piece has one number whatever is run again.
+    staged = stage_table(pieces(docs, tokenizer, capacity, end_id).withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
+    # As many groups as documents make, and more where they are longer than a sequence.
+    n = staged.agg(F.count_if(F.col("start") == 0), F.count("*")).first()
+    groups = max(1, math.ceil(n[0] / group_docs), math.ceil(n[1] / (8 * group_docs)))
+    cut = staged.withColumn("piece_group", F.pmod(F.xxhash64("piece_row"), F.lit(groups))).drop("piece_row")
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)

@@ -768,3 +768,73 @@ def test_rows_that_repeat(spark, corpus):
     assert near_dedup.near_duplicates(table(spark, rows)).count() == 8
     assert exact_dedup.exact_duplicates(table(spark, rows)).where(F.col("doc_id") == rows[0][0]).count() == 2
     assert token_counts.token_counts(table(spark, rows), BPE).count() == 8
+
+
+def test_equal_pieces_spread_over_groups(spark):
+    """20,000 rows without id and text: one piece each, ten groups of about as many."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    packed = packing.pack(docs, BPE)
+    sizes = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1.2 * min(sizes) and sum(sizes) == 20_000
+    full = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("places"))
+    assert full.where("n > 1024 OR n <> places").count() == 0 and full.count() == sum(-(-n // 1024) for n in sizes)
+
+
+def test_items_in_blocks_of_bytes(spark, corpus, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join((t or "").split()[:30])) for i, t in corpus[:40]], "item_id long, text string")
+    whole = sorted(map(tuple, decontam.contained_items(table(spark, corpus), items).collect()), key=str)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2_000)
+    assert len(list(decontam.item_blocks(items, 20_000))) > 2
+    assert sorted(map(tuple, decontam.contained_items(table(spark, corpus), items).collect()), key=str) == whole
+
+
+@pytest.fixture()
+def pipeline_tables(spark):
+    """Writes the tables of a pipeline run; documents have more columns, whose names stages use themselves."""
+
+    def write(rows, items=(), labels=()):
+        base = spark.conf.get("spark.checkpoint.dir") + "/sf-" + uuid.uuid4().hex
+        table(spark, rows).write.parquet(f"{base}/documents.parquet")
+        spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+        spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+        return base
+
+    return write
+
+
+def test_pipeline_of_odd_rows(spark, pipeline_tables):
+    """Nulls, empties, repeats, rows without ids, a very long text, and columns whose names clash."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    long = " ".join(words(rng, 40_000))
+    item = " ".join(words(rng, 25))
+    clean = [(100 + i, " ".join(words(rng, 30))) for i in range(20)]
+    rows = [*clean, clean[0], (1, None), (2, ""), (None, None), (None, "lone row without id"), (3, long), (4, long + " end"), (5, item), (6, clean[3][1].replace(" ", "\n"))]
+    base = pipeline_tables(rows, [(1, item), (None, None)], [(100, None, 0), (101, 1, 0), (None, 1, 1), (102, 0, None)])
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    toxic_out = corpus_pipeline.toxicity_stage(spark, docs, base)
+    assert toxic_out.columns == docs.columns and toxic_out.count() == len(rows)
+    assert corpus_pipeline.exact_stage(spark, docs, base).columns == docs.columns
+    out = corpus_pipeline.run(spark, base)
+    kept = sorted(((r.doc_id, r.doc_tokens) for r in out.where("start = 0").collect()), key=str)
+    n = lambda t: len(LIBRARY.encode(t or "", add_special_tokens=False).ids) + 1
+    # Null and empty texts are equal, and so is 6, white space aside: the one with the smallest id stays.
+    expected = [(i, n(t)) for i, t in clean if i != 103] + [(1, 1), (6, n(rows[-1][1])), (None, n("lone row without id")), (3, n(long))]
+    assert kept == sorted(expected, key=str)
+
+
+def test_pipeline_of_empty_tables(spark, pipeline_tables):
+    import corpus_pipeline
+
+    base = pipeline_tables([])
+    assert corpus_pipeline.run(spark, base).count() == 0
+    base = pipeline_tables([(1, "only one"), (1, "only one")])
+    assert [(r.doc_id, r.start) for r in corpus_pipeline.run(spark, base).collect()] == [(1, 0)]
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = table(spark, [(1, "kind words"), (2, None), (3, ""), (None, None), (1, "kind words"), (4, "w " * 60_000)])
+    chain = toxicity.train(docs, spark.createDataFrame([(1, 1, 0), (2, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxicity.without_toxic(docs, chain).count() == 6 and toxicity.score(docs, chain).count() == 6
+    assert toxicity.without_toxic(docs.limit(0), chain).collect() == []

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 import unicodedata
-from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,49 +40,40 @@ def with_edges(pages: DataFrame, edges: int = 3) -> DataFrame:
     return pages.withColumn("lines", F.split("page", "\n")).withColumn("edge", edge_positions(F.col("lines"), edges))
 
 
-_HYPHEN = re.compile(r"[^\W\d_]-$")
-_LIST = re.compile(text.LIST_MARKER)
-_TABLE = re.compile(text.TABLE_LINE)
-_BLANKS = re.compile(text.SPACES)
+def reflowed(lines: Column, short: int = 50) -> Column:
+    """The lines as a text in which those of a paragraph are joined; tables, headings and list items keep their own lines.
 
+    A hyphen at a line's end goes when a letter stands before it and the next line begins in lower case. A paragraph
+    ends with a heading, or with a sentence while all of it is shorter than ``short``. Between blocks one blank line stays.
+    """
 
-def _heading(line: str) -> bool:
-    letters = [c for c in line if c.isalpha()]
-    return line.endswith(":") or (len(line) <= 80 and len(letters) >= 3 and all(c.isupper() for c in letters))
-
+    def known(raw: Column) -> Column:
+        row = text.is_table_line(raw)
+        line = F.regexp_replace(F.when(row, raw).otherwise(text.collapse_spaces(raw)), "(?U)^\\s+|\\s+$", "")
+        return F.struct(line.alias("line"), (F.length(line) == 0).alias("blank"), row.alias("row"), (row | text.is_list_item(line) | text.is_heading(line)).alias("own"))
 
-def _paragraphs(lines: Iterable[str], short: int) -> list[str]:
-    """The lines of a block between blank lines, those of a paragraph joined; table rows stay as they are."""
-    out: list[str] = []
-    closed = True
-    for raw in lines:
-        row = bool(_TABLE.search(raw))
-        line = (raw if row else _BLANKS.sub(" ", raw)).strip()
-        if closed or row or _LIST.match(line) or _heading(line):
-            out.append(line)
-        elif _HYPHEN.search(out[-1]) and line[:1].islower():
-            out[-1] = out[-1][:-1] + line
-        else:
-            out[-1] += " " + line
-        last = out[-1]
-        closed = bool(row or _TABLE.search(last) or _heading(last) or (last.endswith((".", "!", "?")) and len(last) < short))
-    return out
+    def step(s: Column, x: Column) -> Column:
+        gap = s["gap"] | s["closed"] | x["own"]
+        hyphen = s["last"].rlike("\\p{L}-$") & x["line"].rlike("^\\p{Ll}")
+        joined = F.when(hyphen, F.concat(F.substring(s["last"], F.lit(1), F.length(s["last"]) - 1), x["line"])).otherwise(F.concat(s["last"], F.lit(" "), x["line"]))
+        last = F.when(s["last"].isNull() | gap, x["line"]).otherwise(joined)
+        out = F.when(s["last"].isNull() | ~gap, s["out"]).otherwise(F.concat(s["out"], s["last"], F.when(s["gap"], "\n\n").otherwise("\n")))
 
+        def next_state(last: Column) -> Column:
+            closed = x["row"] | text.is_table_line(last) | text.ends_paragraph(last, short)
+            return F.struct(out.alias("out"), last.alias("last"), closed.alias("closed"), F.lit(False).alias("gap"))
 
-def reflow(page: str, short: int = 50) -> str:
-    """The page with the lines of a paragraph joined; tables, headings and list items keep their own lines.
+        following = F.get(F.transform(F.array(last), next_state), F.lit(0))
+        return F.when(x["blank"], s.withField("gap", s["last"].isNotNull())).otherwise(following)
 
-    A hyphen at a line's end goes when a letter stands before it and the next line begins in lower case. A paragraph
-    ends with a heading, or with a sentence while all of it is shorter than ``short``. Between blocks one blank line stays.
-    """
-    blocks = itertools.groupby(page.split("\n"), lambda line: bool(line.strip()))
-    return "\n\n".join("\n".join(_paragraphs(own, short)) for filled, own in blocks if filled)
+    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("closed"), F.lit(False).alias("gap"))
+    return F.aggregate(F.transform(lines, known), start, step, lambda s: F.concat(s["out"], F.coalesce(s["last"], F.lit(""))))
 
 
 def normalised_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, page): normal form C, characters cleaned, repeated edges dropped, lines reflowed.
 
-    Clean-up and edge detection are native. Normal form and reflow, a fold over a page's lines, run on Arrow batches.
+    All of it is native but normal form, which Spark lacks: pages beyond ASCII go through Arrow batches once for it.
     """
     ascii_only = ~F.col("page").rlike("[^\\x00-\\x7f]")
     composed = pages.withColumn("page", F.when(ascii_only, F.col("page")).otherwise(_composed("page")))
@@ -95,11 +83,7 @@ def normalised_pages(pages: DataFrame) -> DataFrame:
     joined = cut.join(running, "doc_id", "left")
     kept = F.filter("lines", lambda x, i: ~(F.array_contains("edge", i) & F.coalesce(F.array_contains("gone", text.edge_key(x)), F.lit(False))))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pdf.assign(page=[reflow(p) for p in pdf.page])
-
-    return joined.select("doc_id", "page_no", F.array_join(kept, "\n").alias("page")).mapInPandas(run, "doc_id long, page_no long, page string")
+    return joined.select("doc_id", "page_no", reflowed(kept).alias("page"))
 
 
 @F.pandas_udf(StringType())

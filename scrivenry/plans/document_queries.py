@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, normalize
 from ..sources import loaders
 from ..sources.keyed import KeyedTable
-from ..sources.staging import scratch
+from ..sources.staging import scratch, staged
 from ..streaming import assemble, consumer
 from . import fixtures as fx
 from .registry import query
@@ -61,18 +61,25 @@ def i22(spark, sf):
     return assemble.assembled(parts, 3)
 
 
-def live_messages(spark, sf):
-    m = fx.message(spark, sf).where("topic = 'live'")
+def messages(spark, sf):
+    m = fx.message(spark, sf)
     value = F.expr("""if(corrupt, '{"schema', concat('{"schema_version":1,"event_id":"', event_id, '","event_type":"', event_type, '","item_id":"', item_id, '","doc_version":', doc_version, ',"occurred_at":"', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss"), '"}'))""")
     return m.select("topic", F.col("part").cast("int").alias("part"), "off", "key", value.alias("value"), F.col("retry_count").cast("int").alias("retry_count"), F.col("not_before").cast("long").alias("not_before"), F.lit(None).cast("string").alias("origin"))
 
 
-@query("a10_stream_source", fx.sql("SELECT topic, part, off, key FROM message WHERE topic = 'live'", "message"))
+def put(spark, sf, base):
+    """Each topic's messages in a folder of its own."""
+    own = staged(messages(spark, sf), "messages")
+    for topic in ("live", "backfill"):
+        consumer.send(own.where(F.col("topic") == topic), f"{base}/topics/{topic}")
+
+
+@query("a10_stream_source", fx.sql("SELECT topic, part, off, key FROM message", "message"))
 def a10(spark, sf):
-    """A topic read as a stream and sent on to another one."""
+    """The topics read as a stream and sent on to another one."""
     base = scratch(spark, "topics")
-    consumer.send(live_messages(spark, sf), f"{base}/live")
-    out = consumer.read_topic(spark, f"{base}/live").writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    put(spark, sf, base)
+    out = consumer.read_topic(spark, f"{base}/topics/*", 1_000).writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     out.format("parquet").option("path", f"{base}/copy").start().awaitTermination()
     return spark.read.schema(consumer.MESSAGE).parquet(f"{base}/copy").select("topic", F.col("part").cast("long").alias("part"), "off", "key")
 
@@ -85,33 +92,39 @@ def a18(spark, sf):
     return spark.read.schema("lang string, n long, chars long").json(path)
 
 
-@query("i01_consumer_stream")
+_SENT = """ev AS (SELECT * FROM message WHERE NOT corrupt AND key = item_id),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN v THEN doc_version END, date_trunc('second', occurred_at), off) AS position FROM (SELECT *, bool_and(doc_version IS NOT NULL) OVER (PARTITION BY item_id) AS v FROM ev)),
+ marked AS (SELECT *, max(CASE WHEN event_type = 'DELETE' THEN position END) OVER (PARTITION BY item_id) AS last_del, count(*) OVER (PARTITION BY item_id) AS members, max(retry_count) OVER (PARTITION BY item_id) AS retries FROM placed),
+ w AS (SELECT item_id, event_type, doc_version, retries FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN last_del = members THEN CASE WHEN position = last_del THEN 0 ELSE 9 END WHEN position > coalesce(last_del, 0) AND event_type = 'UPSERT' THEN 0 WHEN position > coalesce(last_del, 0) THEN 1 ELSE 9 END, position DESC) AS r FROM marked) WHERE r = 1),
+ d AS (SELECT item_id, version, true AS present FROM meta WHERE doc_id % 3 <> 0),
+ o AS (SELECT item_id, CASE WHEN event_type = 'DELETE' AND coalesce(version > doc_version, false) THEN 'stale' WHEN event_type = 'DELETE' THEN 'deleted' WHEN present IS NULL AND retries < 5 THEN 'missing' WHEN present IS NULL THEN 'deleted' ELSE 'indexed' END AS outcome FROM w LEFT JOIN d USING (item_id))"""
+
+
+_STATES = _SENT[: _SENT.index(" d AS (SELECT")] + """ r AS (SELECT item_id, CASE WHEN event_type = 'DELETE' THEN w.doc_version ELSE coalesce(m.version, w.doc_version) END AS v, CASE WHEN event_type = 'DELETE' AND coalesce(m.version > w.doc_version, false) THEN 'stale'
+  WHEN event_type = 'DELETE' OR m.version IS NULL THEN CASE WHEN coalesce(w.doc_version < s.doc_version, false) THEN 'stale' ELSE 'deleted' END WHEN coalesce(coalesce(m.version, w.doc_version) < s.doc_version, false) THEN 'stale'
+  WHEN coalesce(status = 'INDEXED' AND s.content_hash = m.text_hash AND embedding_model = 'm@1' AND chunker_version = 'v1', false) THEN CASE WHEN s.state_hash = m.meta_hash THEN 'unchanged' ELSE 'metadata_refreshed' END ELSE 'indexed' END AS outcome
+  FROM w LEFT JOIN (SELECT item_id, version, text_hash, meta_hash FROM meta) m USING (item_id) LEFT JOIN index_state s USING (item_id))"""
+
+
+@query("i01_consumer_stream", fx.sql(f"""WITH {_STATES} SELECT item_id, CASE WHEN outcome IN ('indexed', 'unchanged', 'metadata_refreshed') THEN 'INDEXED' WHEN outcome = 'deleted' THEN 'DELETED' ELSE coalesce(status, 'PENDING') END AS status,
+ CASE WHEN outcome IN ('indexed', 'deleted') THEN greatest(v, doc_version) ELSE doc_version END AS doc_version, CASE WHEN outcome IN ('indexed', 'deleted') THEN 0 ELSE coalesce(attempts, 0) END AS attempts FROM index_state FULL JOIN r USING (item_id)""", "message", "meta", "index_state"))
 def i01(spark, sf):
-    """All live events through the streaming consumer in a few files; the result is the state table."""
+    """All events of both topics through the streaming consumer in a batch; the result is the state table."""
     base = scratch(spark, "stream")
-    consumer.send(live_messages(spark, sf).repartition(2, "key"), f"{base}/live")
+    put(spark, sf, base)
     states = KeyedTable(spark, f"{base}/states", consumer.STATE, "item_id", order="doc_version")
     states.write(fx.index_state(spark, sf))
     documents = fx.meta(spark, sf).withColumn("usable", F.lit(True))
     worker = consumer.Consumer(spark, documents, states, f"{base}/dlq")
-    worker.start(consumer.read_topic(spark, f"{base}/live", 10), f"{base}/checkpoint").awaitTermination()
+    worker.start(consumer.read_topic(spark, f"{base}/topics/*", 1_000), f"{base}/checkpoint").awaitTermination()
     return states.read().select("item_id", "status", "doc_version", "attempts")
 
 
-_SENT = """ev AS (SELECT * FROM message WHERE topic = 'live' AND NOT corrupt AND key = item_id),
- placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN v THEN doc_version END, date_trunc('second', occurred_at), off) AS position FROM (SELECT *, bool_and(doc_version IS NOT NULL) OVER (PARTITION BY item_id) AS v FROM ev)),
- marked AS (SELECT *, max(CASE WHEN event_type = 'DELETE' THEN position END) OVER (PARTITION BY item_id) AS last_del, count(*) OVER (PARTITION BY item_id) AS members, max(retry_count) OVER (PARTITION BY item_id) AS retries FROM placed),
- w AS (SELECT item_id, event_type, doc_version, retries FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN last_del = members THEN CASE WHEN position = last_del THEN 0 ELSE 9 END WHEN position > coalesce(last_del, 0) AND event_type = 'UPSERT' THEN 0 WHEN position > coalesce(last_del, 0) THEN 1 ELSE 9 END, position DESC) AS r FROM marked) WHERE r = 1),
- d AS (SELECT item_id, version, true AS present FROM meta WHERE doc_id % 3 <> 0),
- o AS (SELECT item_id, CASE WHEN event_type = 'DELETE' AND coalesce(version > doc_version, false) THEN 'stale' WHEN event_type = 'DELETE' THEN 'deleted' WHEN present IS NULL AND retries < 5 THEN 'missing' WHEN present IS NULL THEN 'deleted' ELSE 'indexed' END AS outcome FROM w LEFT JOIN d USING (item_id))"""
-
-
 @query("i01_indexed_chunks", fx.sql(f"WITH {_SENT} SELECT chunk_id, doc_type FROM chunk_index WHERE item_id IN (SELECT item_id FROM o WHERE outcome = 'indexed') UNION ALL SELECT 'OLD-' || item_id, 'old' FROM d WHERE item_id NOT IN (SELECT item_id FROM w) OR item_id IN (SELECT item_id FROM o WHERE outcome IN ('stale', 'missing'))", "message", "meta", "chunk_index"))
 def i01_chunks(spark, sf):
-    """The chunk table after all live events in one batch, over a table in which each document has one old chunk."""
+    """The chunk table after all events of both topics in one batch, over a table in which each document has one old chunk."""
     base = scratch(spark, "stream")
-    rows = live_messages(spark, sf).withColumn("not_before", F.lit(0).cast("long"))
-    consumer.send(rows.coalesce(1), f"{base}/live")
+    put(spark, sf, base)
     states = KeyedTable(spark, f"{base}/states", consumer.STATE, "item_id", order="doc_version")
     chunks = KeyedTable(spark, f"{base}/chunks", consumer.CHUNK, "chunk_id", bucket_by="item_id")
     documents = fx.meta(spark, sf).where("doc_id % 3 <> 0").withColumn("usable", F.lit(True))
@@ -123,5 +136,5 @@ def i01_chunks(spark, sf):
 
     pages = fx.src_page(spark, sf)
     worker = consumer.Consumer(spark, documents, states, f"{base}/dlq", f"{base}/retry", chunks, pages, split=split)
-    worker.start(consumer.read_topic(spark, f"{base}/live", 10), f"{base}/checkpoint").awaitTermination()
+    worker.start(consumer.read_topic(spark, f"{base}/topics/*", 1_000), f"{base}/checkpoint").awaitTermination()
     return chunks.read().select("chunk_id", "doc_type")

@@ -11,6 +11,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException, ParseException, PySparkException, PySparkTypeError, PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,6 +46,18 @@ def hash_embeddings(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("embedding", hashing.hash_vector(text.embedding_text(F.col("section_title"), F.col("content")), 8))
 
 
+#: Java classes whose errors come again however often a batch is tried: wrong plans, casts and arguments.
+PERMANENT = ("AnalysisException", "ParseException", "IllegalArgumentException", "ArithmeticException", "DateTimeException", "NumberFormatException", "ArrayIndexOutOfBoundsException", "UnsupportedOperationException")
+
+
+def is_permanent(error: Exception) -> bool:
+    """Whether trying again is of no use: an error of the plan or the data, not of storage, network or a lost executor."""
+    if isinstance(error, (AnalysisException, ParseException, IllegalArgumentException, ArithmeticException, NumberFormatException, PySparkTypeError, PySparkValueError)):
+        return True
+    java = getattr(error, "java_exception", None)
+    return java is not None and java.getClass().getSimpleName() in PERMANENT
+
+
 @dataclass
 class Consumer:
     """One consumer group: where it reads sources, keeps states and chunks, and sends what fails.
@@ -66,16 +80,17 @@ class Consumer:
     attempts: int = 3
     delay: int = 60
     clock: Callable[[], float] = field(default=time.time)
+    pause: Callable[[float], None] = field(default=time.sleep)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch; a failing write is tried again, then fails the batch, which will be run again."""
+        """One micro-batch; what fails for a passing reason is tried again, then fails the batch, which will be run again."""
         for attempt in range(self.attempts):
             try:
                 return self._process(batch, batch_id)
-            except OSError:
-                if attempt + 1 == self.attempts:
+            except (OSError, PySparkException, Py4JError) as error:
+                if attempt + 1 == self.attempts or is_permanent(error):
                     raise
-                time.sleep(min(30, 2**attempt))
+                self.pause(min(30, 2**attempt))
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         now = int(self.clock())
@@ -136,7 +151,12 @@ class Consumer:
             full = full.withColumn(name, F.when(F.col("h").isNotNull(), value).otherwise(F.col(name)))
         self.states.write(full)
 
-    def start(self, topic: DataFrame, checkpoint: str, name: str | None = None) -> StreamingQuery:
-        """Run until the topic has nothing new; live, retry and backfill topics are queries with their own checkpoints."""
+    def start(self, topic: DataFrame, checkpoint: str, name: str | None = None, pool: str | None = None) -> StreamingQuery:
+        """Run until the topic has nothing new; live, retry and backfill topics are queries with their own checkpoints.
+
+        ``pool`` is the scheduler pool of the query's jobs, so that a backfill leaves live work its share; how many files a batch takes
+        is for each topic to say.
+        """
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         out = topic.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
         return (out.queryName(name) if name else out).start()

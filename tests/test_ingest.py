@@ -1,15 +1,18 @@
 """Coalescing against a plain model, versioned tables, streaming replay, folds."""
 
 import json
+import random
 import uuid
 from datetime import date
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkRuntimeError
 from pyspark.sql import functions as F
 
-from scrivenry.operators import folds, ingest
+from scrivenry.operators import access, folds, ingest, metrics
 from scrivenry.sources.keyed import KeyedTable
 from scrivenry.sources.tables import ConflictError, VersionedTable, updated, upserted
 from scrivenry.streaming import assemble, consumer
@@ -244,3 +247,95 @@ def test_folds(spark):
 def test_answer_stream():
     assert assemble.released(["NOT_", "FOUND", "."], 2) == ["", "", "", ""]
     assert "".join(assemble.released(["One [1", "]. Two [9]", ". Three"], 2)) == "One [1]. Two . Three"
+
+
+@pytest.mark.parametrize(("error", "times", "calls"), [(OSError("gone"), 2, 3), (PySparkRuntimeError("lost"), 2, 3), (Py4JError("connection"), 1, 2), (OSError("gone"), 9, 3), (AnalysisException("no such column"), 9, 1), (ValueError("bug"), 9, 1)])
+def test_passing_errors_are_tried_again(spark, tmp_path, error, times, calls):
+    done, waits = [], []
+    worker = consumer.Consumer(spark, None, None, str(tmp_path), pause=waits.append)
+
+    def process(batch, batch_id):
+        done.append(batch_id)
+        if len(done) <= times:
+            raise error
+
+    worker._process = process
+    if times < calls:
+        worker.handle(None, 7)
+    else:
+        with pytest.raises(type(error)):
+            worker.handle(None, 7)
+    assert done == [7] * calls and waits == [2**i for i in range(calls - 1)]
+
+
+def test_errors_of_spark_are_told_apart(spark, tmp_path):
+    with pytest.raises(Exception) as missing:
+        spark.read.schema("a int").parquet(str(tmp_path / "none")).count()
+    assert consumer.is_permanent(missing.value)
+    (tmp_path / "file").write_text("not a folder")
+    with pytest.raises(Exception) as failing:
+        spark.range(5).write.mode("append").parquet(str(tmp_path / "file" / "x"))
+    assert not consumer.is_permanent(failing.value)
+
+
+def test_reconcile_by_digests_joins_few_rows(spark):
+    n = 3000
+    documents = spark.range(n).selectExpr("concat('D', id) AS item_id", "id % 5 + 1 AS version", "concat('m', id) AS meta_hash")
+    states = documents.selectExpr("item_id", "'INDEXED' AS status", "version AS doc_version", "'m@1' AS embedding_model", "'v1' AS chunker_version", "meta_hash AS state_hash")
+    assert ingest.differing_ranges(documents, states, "m@1", "v1", 50).count() == 0
+    changed = states.where("item_id NOT IN ('D7', 'D8')").withColumn("state_hash", F.when(F.col("item_id") == "D9", "old").otherwise(F.col("state_hash")))
+    gone = spark.createDataFrame([("X1", "INDEXED", 1, "m@1", "v1", "x"), ("X2", "DELETED", 1, "m@1", "v1", "x")], states.schema)
+    changed = changed.unionByName(gone)
+    assert ingest.differing_ranges(documents, changed, "m@1", "v1", 50).count() <= 4
+    got = {tuple(r) for r in ingest.reconciled_by_digest(documents, changed, "m@1", "v1").collect()}
+    assert got == {tuple(r) for r in ingest.reconciled(documents, changed, "m@1", "v1").collect()}
+    assert {r[1] for r in got} == {"missing_state", "permission_mismatch", "orphan"}
+    assert ingest.reconciled_by_digest(documents.limit(0), gone, "m@1", "v1").count() == 1
+
+
+def plain_rate(samples, start, over):
+    """Increase by the rules, one window at a time."""
+    s = sorted((t, v) for t, v in samples if start <= t < start + over)
+    if len(s) < 2:
+        return None
+    grown = s[-1][1] - s[0][1] + sum(a[1] for a, b in zip(s, s[1:], strict=False) if b[1] < a[1])
+    spread = s[-1][0] - s[0][0]
+    mean = spread / (len(s) - 1)
+    before, after = s[0][0] - start, start + over - s[-1][0]
+    before, after = (x if x < 1.1 * mean else mean / 2 for x in (before, after))
+    if grown > 0:
+        before = min(before, spread * s[0][1] / grown)
+    return grown * (spread + before + after) / spread
+
+
+def test_counter_rates_with_resets(spark):
+    rng = random.Random(16)
+    rows = []
+    for series in range(6):
+        value, at = 0, rng.randrange(60)
+        while at < 2000:
+            rows.append((series, at, float(value)))
+            at += rng.choice([15, 15, 16, 200])
+            value = 0 if rng.random() < 0.1 else value + rng.randrange(4)
+    found = {(r.series, r.start): (r.samples, r.increase, r.rate) for r in metrics.counter_rates(spark.createDataFrame([*rows, rows[0]], "series int, at long, value double"), 300, 60, ["series"]).collect()}
+    for series in range(6):
+        own = [(t, v) for s, t, v in rows if s == series]
+        for start in range(-240, 2040, 60):
+            wanted = plain_rate(own, start, 300)
+            assert (found.get((series, start)) is None) == (wanted is None)
+            if wanted is not None:
+                assert found[series, start][1:] == (pytest.approx(wanted), pytest.approx(wanted / 300))
+    with pytest.raises(ValueError):
+        metrics.counter_rates(spark.createDataFrame([], "at long, value double"), 100, 60, [])
+
+
+def test_rights_bitmaps_equal_lists(spark):
+    rng = random.Random(17)
+    rows = [(f"c{i}", [f"u{rng.randrange(9)}"] if rng.random() < 0.5 else None, [f"g{rng.randrange(5)}" for _ in range(rng.randrange(3))]) for i in range(500)]
+    passages = spark.createDataFrame(rows, "chunk_id string, acl_users array<string>, acl_groups array<string>").repartition(3)
+    people = spark.createDataFrame([(q, f"u{q}", [f"g{q % 5}"] * (q % 2)) for q in range(8)] + [(50, "nobody", [])], "qid long, user_id string, groups array<string>")
+    index = access.rights_index(passages)
+    seen = {(r.qid, r.chunk_id) for r in access.visible_pairs(passages, people).collect()}
+    everything = people.select("qid").crossJoin(passages.select("chunk_id"))
+    assert {tuple(r) for r in access.admitted_by_index(everything, index, people).collect()} == seen
+    assert {r.qid: r.n for r in access.visible_counts(index, people).collect()} == {q: sum(a == q for a, _ in seen) for q in [*range(8), 50]}

@@ -47,11 +47,11 @@ def build(passages: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: s
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # One row for each field.
-    weighed = tf.join(df, ["field", "term"]).join(F.broadcast(whole), "field").select("field", "term", key, part.alias("impact"), (F.col("weight") * idf * (K1 + 1)).alias("most"))
-    weighed = staged(weighed.withColumn("level", F.floor(F.col("impact") / F.col("most") * LEVELS).cast("int")), "impacts")
-    many = weighed.groupBy("field", "term", "level").agg(F.ceil(F.count("*") / BLOCK).alias("deal"))
-    dealt = weighed.join(many, ["field", "term", "level"]).withColumn("part", F.pmod(F.xxhash64(key), F.col("deal")))
-    blocks = dealt.groupBy("field", "term", "level", "part").agg(F.max("impact").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct(F.col(key), F.col("impact"))).alias("x"))
+    weighed = tf.join(df, ["field", "term"]).join(F.broadcast(whole), "field").select("field", "term", key, "df", part.alias("impact"), (F.col("weight") * idf * (K1 + 1)).alias("most"))
+    # A term has as many parts as its postings would fill a quarter of their levels with.
+    deal = F.ceil(4 * F.col("df") / (BLOCK * LEVELS))
+    weighed = staged(weighed.withColumn("level", F.floor(F.col("impact") / F.col("most") * LEVELS).cast("int")).withColumn("part", F.pmod(F.xxhash64(key), deal)), "impacts")
+    blocks = weighed.groupBy("field", "term", "level", "part").agg(F.max("impact").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct(F.col(key), F.col("impact"))).alias("x"))
     forward = weighed.groupBy(key).agg(F.collect_list(F.struct("field", "term", "impact")).alias("words"))
     return KeywordIndex(staged(blocks.select("field", "term", "level", "part", "bound", "n", F.col(f"x.{key}").alias("keys"), F.col("x.impact").alias("impacts")), "blocks"), staged(forward, "forward"), key)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import access, ann, keyword, retrieval
-from ..sources.staging import staged
+from ..sources.staging import scratch, staged
 from . import fixtures as fx
 from .registry import query
 from .text_queries import TERMS
@@ -65,15 +65,6 @@ def a02(spark, sf):
     return fx.src_doc(spark, sf).join(wanted, "item_id", "left_semi").select("item_id", "doc_type", "version")
 
 
-@query("a03_source_mapping", """SELECT event_id, try_cast(k AS INTEGER) AS page_no, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS doc_type FROM
- (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE json_extract_string(props, '$.k') END AS k FROM events)""")
-def a03(spark, sf):
-    raw = F.expr("""concat('{"page_no":"', if(event_id % 4 = 0, 'x', get_json_object(props, '$.k')), '","doc_type":', if(event_id % 3 = 0, '[1]', concat('"', event_type, '"')), '}')""")
-    parsed = F.from_json(raw, "page_no string, doc_type string")
-    kept = F.when(~F.startswith(parsed["doc_type"], F.lit("[")), parsed["doc_type"])
-    return fx.table(spark, sf, "events").select("event_id", parsed["page_no"].try_cast("int").alias("page_no"), kept.alias("doc_type"))
-
-
 _RAW = """p AS (SELECT doc_id, item_id, page_no, length(page) AS c, sum(length(page)) OVER (PARTITION BY item_id ORDER BY page_no) AS run FROM src_page),
  n AS (SELECT item_id, count(*) AS pages, coalesce(min(CASE WHEN page_no > 5 OR run > 6000 THEN page_no END) - 1, count(*)) AS kept FROM p GROUP BY item_id)"""
 
@@ -104,6 +95,26 @@ def a05(spark, sf):
     return page(fx.src_doc(spark, sf), "item_id", after="DOC-00000020", size=500).select("item_id", "version")
 
 
+@query("a05_keyset_page_by_files", fx.sql("SELECT item_id, version FROM src_doc WHERE item_id > 'DOC-00000100' ORDER BY item_id LIMIT 50", "src_doc"))
+def a05_files(spark, sf):
+    """A page by key from a table laid out by ranges of it: two or three of its 32 files are opened."""
+    from ..sources import layout
+
+    path = scratch(spark, "laid")
+    layout.lay_out(fx.src_doc(spark, sf).select("item_id", "version", "doc_type"), path, "item_id", 32)
+    return layout.page_read(spark, path, "item_id", "DOC-00000100", 50).select("item_id", "version")
+
+
+@query("a02_multi_get_by_files", fx.sql("SELECT item_id, doc_type, version FROM src_doc WHERE item_id IN ('DOC-00000007', 'DOC-00000123', 'DOC-00000124', 'DOC-99999999')", "src_doc"))
+def a02_files(spark, sf):
+    """Four keys, one of them absent, from the files whose ranges can hold them."""
+    from ..sources import layout
+
+    path = scratch(spark, "laid")
+    layout.lay_out(fx.src_doc(spark, sf).select("item_id", "version", "doc_type"), path, "item_id", 32)
+    return layout.point_read(spark, path, "item_id", ["DOC-00000007", "DOC-00000123", "DOC-00000124", "DOC-99999999"]).select("item_id", "doc_type", "version")
+
+
 @query("a06_wave_scope", fx.sql("SELECT item_id FROM src_doc WHERE doc_type IN ('src0', 'src5') AND created_at BETWEEN DATE '2024-01-10' AND DATE '2024-12-01'", "src_doc"))
 def a06(spark, sf):
     scope = retrieval.Filters(doc_types=("src0", "src5"), created_from=date(2024, 1, 10), created_to=date(2024, 12, 1))
@@ -371,11 +382,13 @@ def f03(spark, sf):
     return retrieval.request_sizes(asked).select("event_id", "size")
 
 
-@query("c15_rerank_by_position", fx.sql("SELECT r.qid, r.doc_id, s.score FROM ranked r JOIN (SELECT qid, rank, round(1 / (rank + 1), 6) AS score FROM ranked WHERE rank <= 20) s USING (qid, rank)", "ranked"))
+@query("c15_rerank_by_position", fx.sql(f"WITH {_RERANKED} SELECT qid, chunk_id, round(s, 6) AS score FROM sc WHERE rank <= 20", "chunk_index", "question"))
 def c15(spark, sf):
-    r = fx.ranked(spark, sf)
-    scores = r.where("rank <= 20").select("qid", "rank", F.round(1 / (F.col("rank") + 1), 6).alias("score"))
-    return r.join(scores, ["qid", "rank"]).select("qid", "doc_id", "score")
+    """The reranker sees texts and answers with scores by position; they meet the first twenty hits again by it."""
+    hits = staged(scored_hits(spark, sf, 20), "hits")
+    scores = hits.select("qid", (F.col("rank") - 1).alias("index"), "rerank_score")
+    placed = hits.select("qid", (F.col("rank") - 1).alias("index"), "chunk_id")
+    return placed.join(scores, ["qid", "index"]).select("qid", "chunk_id", F.round("rerank_score", 6).alias("score"))
 
 
 @query("f08_chunk_cap", fx.sql("SELECT chunk_id FROM chunk WHERE chunk_no < 20000", "chunk"))

@@ -221,3 +221,17 @@ def reconciled_by_digest(documents: DataFrame, states: DataFrame, model: str, ch
     differ = differing_ranges(documents, states, model, chunker, ranges)
     within = lambda rows: rows.join(differ, F.pmod(F.xxhash64("item_id"), F.lit(ranges)) == differ["range"], "left_semi")
     return reconciled(within(documents), within(states), model, chunker)
+
+
+def to_replay(dead: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The dead letters (event_id, key, item_id, …) that may go back to their topic: whole messages under their own key, once each.
+
+    ``ledger`` has the event_id of every letter that was replayed before; what is replayed now belongs in it.
+    """
+    whole = dead.where(~F.col("corrupt") & key_matches(F.col("key"), F.col("item_id")))
+    return whole.join(ledger.select("event_id").distinct(), "event_id", "left_anti").dropDuplicates(["event_id"])
+
+
+def missing_sources(events: DataFrame, documents: DataFrame, tries: int = MAX_RETRIES) -> DataFrame:
+    """(item_id, seen, exhausted) of events' items without a source document: after ``tries`` events the item counts as deleted."""
+    return events.join(documents, "item_id", "left_anti").groupBy("item_id").agg(F.count("*").alias("seen")).withColumn("exhausted", F.col("seen") >= tries)

@@ -165,3 +165,8 @@ def counter_rates(samples: DataFrame, over: int, step: int, by: list[str]) -> Da
     before = F.least(edge(F.col("t0") - F.col("start")), F.coalesce(to_zero, F.lit(float("inf"))))
     increase = F.col("grown") * (spread + before + edge(F.col("start") + over - F.col("t1"))) / spread
     return raw.select(*by, "start", "samples", increase.alias("increase"), (increase / over).alias("rate"))
+
+
+def usage_totals(rows: DataFrame, by: str, content: str = "text") -> DataFrame:
+    """(by, tokens): the estimated tokens of all texts, a token for each four characters or what is left of them; null texts have none."""
+    return rows.groupBy(by).agg(F.sum(F.ceil(F.coalesce(F.length(content), F.lit(0)) / 4)).alias("tokens"))

@@ -243,7 +243,7 @@ def d19_observed(spark, sf):
 
 @query("d22_usage_totals", "SELECT role, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM conversations GROUP BY role")
 def d22(spark, sf):
-    return fx.table(spark, sf, "conversations").groupBy("role").agg(F.sum(F.ceil(F.length("text") / 4)).alias("tokens"))
+    return metrics.usage_totals(fx.table(spark, sf, "conversations"), "role")
 
 
 @query("d06_repeated_edges", fx.sql("""WITH f AS (SELECT doc_id, page_no, list_filter(string_split(page, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM src_page), i AS (SELECT doc_id, page_no, l, len(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM f),

@@ -106,7 +106,7 @@ def d17(spark, sf):
 @query("i11_dlq_replay", fx.sql("SELECT event_id FROM message WHERE NOT corrupt AND key = item_id AND event_id % 10 = 0 AND event_id NOT IN (SELECT event_id FROM message WHERE event_id % 30 = 0)", "message"))
 def i11(spark, sf):
     m = fx.message(spark, sf)
-    return m.where("NOT corrupt AND key = item_id AND event_id % 10 = 0").join(m.where("event_id % 30 = 0"), "event_id", "left_anti").select("event_id")
+    return ingest.to_replay(m.where("event_id % 10 = 0"), m.where("event_id % 30 = 0")).select("event_id")
 
 
 _ORDER = """placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN v THEN doc_version END, occurred_at, arrival) AS position FROM (SELECT *, bool_and(doc_version IS NOT NULL) OVER (PARTITION BY item_id) AS v FROM index_event)),
@@ -194,7 +194,7 @@ def i12(spark, sf):
 @query("i13_missing_source", fx.sql("SELECT item_id, count(*) >= 60 AS exhausted FROM index_event WHERE item_id NOT IN (SELECT item_id FROM src_doc WHERE doc_id % 2 = 0) GROUP BY item_id", "index_event", "src_doc"))
 def i13(spark, sf):
     present = fx.src_doc(spark, sf).where("doc_id % 2 = 0")
-    return fx.index_event(spark, sf).join(present, "item_id", "left_anti").groupBy("item_id").agg((F.count("*") >= 60).alias("exhausted"))
+    return ingest.missing_sources(fx.index_event(spark, sf), present, 60).select("item_id", "exhausted")
 
 
 @query("i15_state_transitions", fx.sql(f"""WITH {_OUT} SELECT item_id, CASE WHEN outcome IN ('indexed', 'unchanged', 'metadata_refreshed') THEN 'INDEXED' WHEN outcome = 'deleted' THEN 'DELETED' WHEN outcome = 'skipped' THEN 'SKIPPED' ELSE coalesce(status, 'PENDING') END AS status,

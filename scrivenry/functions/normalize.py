@@ -54,7 +54,7 @@ def reflowed(lines: Column, short: int = 50) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         gap = s["gap"] | s["closed"] | x["own"]
-        hyphen = s["last"].rlike("\\p{L}-$") & x["line"].rlike("^\\p{Ll}")
+        hyphen = F.endswith(s["last"], F.lit("-")) & s["last"].rlike("\\p{L}-$") & x["line"].rlike("^\\p{Ll}")
         joined = F.when(hyphen, F.concat(F.substring(s["last"], F.lit(1), F.length(s["last"]) - 1), x["line"])).otherwise(F.concat(s["last"], F.lit(" "), x["line"]))
         last = F.when(s["last"].isNull() | gap, x["line"]).otherwise(joined)
         out = F.when(s["last"].isNull() | ~gap, s["out"]).otherwise(F.concat(s["out"], s["last"], F.when(s["gap"], "\n\n").otherwise("\n")))
@@ -75,6 +75,8 @@ def normalised_pages(pages: DataFrame) -> DataFrame:
 
     All of it is native but normal form, which Spark lacks: pages beyond ASCII go through Arrow batches once for it.
     """
+    # One shuffle before the work on lines, so that it has all cores however few row groups the pages come in.
+    pages = pages.repartition("doc_id", "page_no")
     ascii_only = ~F.col("page").rlike("[^\\x00-\\x7f]")
     composed = pages.withColumn("page", F.when(ascii_only, F.col("page")).otherwise(_composed("page")))
     cut = composed.withColumn("lines", F.split(text.clean_characters(F.col("page")), "\n")).withColumn("edge", edge_positions(F.col("lines")))

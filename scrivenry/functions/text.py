@@ -62,7 +62,7 @@ def is_title(line: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    return (shouting(line) & (F.length(line) <= 80)) | F.endswith(line, F.lit(":"))
+    return F.endswith(line, F.lit(":")) | ((F.length(line) <= 80) & shouting(line))
 
 
 def is_list_item(line: Column) -> Column:
@@ -74,7 +74,7 @@ def is_table_line(line: Column) -> Column:
 
 
 def ends_paragraph(line: Column, short: int = 50) -> Column:
-    return is_heading(line) | (line.rlike("[.!?]$") & (F.length(line) < short))
+    return is_heading(line) | ((F.length(line) < short) & line.rlike("[.!?]$"))
 
 
 def edge_key(line: Column) -> Column:

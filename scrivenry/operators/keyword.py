@@ -25,10 +25,11 @@ SLACK = 1e-5
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """(field, term, bound, n, keys, impacts) in blocks, and (key, words) with a passage's (field, term, impact)."""
+    """(field, term, level, part, bound, n, numbers, impacts) in blocks, (number, words) with a passage's (field, term, impact), and (key, number)."""
 
     blocks: DataFrame
     forward: DataFrame
+    numbers: DataFrame
     key: str
 
 
@@ -36,24 +37,26 @@ def build(passages: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: s
     """Index the passages' fields (name -> weight). A passage without words in a field doesn't count for that field's statistics.
 
     Impacts hold everything but the question: they are final for this set of passages. Postings are dealt to blocks by level
-    of impact and, where a level has many, by a hash of the key, so no term's postings meet in one task.
+    of impact and, where a term has many, by a hash of the passage, so no term's postings meet in one task. Inside the index
+    passages go by a number.
     """
+    numbered = staged(passages.select(F.col(key).alias("key"), *fields).withColumn("number", F.monotonically_increasing_id()), "numbered")
     words = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f, w in fields.items())))
-    sized = passages.select(key, words.alias("x")).select(key, "x.*").where(F.size("words") > 0).withColumn("length", F.size("words"))
+    sized = numbered.select("number", words.alias("x")).select("number", "x.*").where(F.size("words") > 0).withColumn("length", F.size("words"))
     whole = sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = sized.select(key, "field", "weight", "length", F.explode("words").alias("term")).groupBy("field", "term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("weight").alias("weight"))
+    tf = sized.select("number", "field", "weight", "length", F.explode("words").alias("term")).groupBy("field", "term", "number").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("weight").alias("weight"))
     tf = staged(tf, "postings")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # One row for each field.
-    weighed = tf.join(df, ["field", "term"]).join(F.broadcast(whole), "field").select("field", "term", key, "df", part.alias("impact"), (F.col("weight") * idf * (K1 + 1)).alias("most"))
+    weighed = tf.join(df, ["field", "term"]).join(F.broadcast(whole), "field").select("field", "term", "number", "df", part.alias("impact"), (F.col("weight") * idf * (K1 + 1)).alias("most"))
     # A term has as many parts as its postings would fill a quarter of their levels with.
     deal = F.ceil(4 * F.col("df") / (BLOCK * LEVELS))
-    weighed = staged(weighed.withColumn("level", F.floor(F.col("impact") / F.col("most") * LEVELS).cast("int")).withColumn("part", F.pmod(F.xxhash64(key), deal)), "impacts")
-    blocks = weighed.groupBy("field", "term", "level", "part").agg(F.max("impact").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct(F.col(key), F.col("impact"))).alias("x"))
-    forward = weighed.groupBy(key).agg(F.collect_list(F.struct("field", "term", "impact")).alias("words"))
-    return KeywordIndex(staged(blocks.select("field", "term", "level", "part", "bound", "n", F.col(f"x.{key}").alias("keys"), F.col("x.impact").alias("impacts")), "blocks"), staged(forward, "forward"), key)
+    weighed = staged(weighed.withColumn("level", F.floor(F.col("impact") / F.col("most") * LEVELS).cast("int")).withColumn("part", F.pmod(F.xxhash64("number"), deal)), "impacts")
+    blocks = weighed.groupBy("field", "term", "level", "part").agg(F.max("impact").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct("number", "impact")).alias("x"))
+    forward = weighed.groupBy("number").agg(F.collect_list(F.struct("field", "term", "impact")).alias("words"))
+    return KeywordIndex(staged(blocks.select("field", "term", "level", "part", "bound", "n", F.col("x.number").alias("numbers"), F.col("x.impact").alias("impacts")), "blocks"), staged(forward, "forward"), numbered.select(F.col("key").alias(key), "number"), key)
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -62,10 +65,10 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 
 def exact(index: KeywordIndex, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, key, score) of the given (qid, key): the best field's sum of impacts, rounded to six decimals."""
-    found = pairs.join(index.forward, index.key).select("qid", index.key, F.explode("words").alias("w")).select("qid", index.key, "w.field", "w.term", "w.impact").join(terms, ["qid", "term"])
-    by_field = found.groupBy("qid", index.key, "field").agg(F.sum("impact").alias("score"))
-    return by_field.groupBy("qid", index.key).agg(F.round(F.max("score"), 6).alias("score"))
+    """(qid, number, score) of the given (qid, number): the best field's sum of impacts, rounded to six decimals."""
+    found = pairs.join(index.forward, "number").select("qid", "number", F.explode("words").alias("w")).select("qid", "number", "w.field", "w.term", "w.impact").join(terms, ["qid", "term"])
+    by_field = found.groupBy("qid", "number", "field").agg(F.sum("impact").alias("score"))
+    return by_field.groupBy("qid", "number").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def top(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most: int) -> DataFrame:
@@ -84,7 +87,8 @@ def postings_read(index: KeywordIndex, queries: DataFrame, passages: DataFrame,
 
 
 def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    key = index.key
+    key = "number"
+    passages = passages.select(index.key, "acl_users", "acl_groups").join(index.numbers, index.key).drop(index.key)
     terms = staged(asked_terms(queries), "terms")
     known = terms.join(index.blocks.select("field", "term", "level", "part", "bound", "n"), "term")
     # The levels a question reads first: from the top down until they hold some hits, for each term.
@@ -112,10 +116,10 @@ def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most
     worth = seen.where(F.col("reach").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("reach"))).select("qid", key).distinct()
     others = access.admitted(worth.join(met, ["qid", key], "left_anti"), passages, queries, key)
     scores = met.unionByName(exact(index, others, terms))
-    return ranked(scores, most, key=key), known, chosen.join(known, ["qid", "field", "term", "level"])
+    return ranked(scores.join(index.numbers, "number").select("qid", index.key, "score"), most, key=index.key), known, chosen.join(known, ["qid", "field", "term", "level"])
 
 
 def _read(index: KeywordIndex, levels: DataFrame) -> DataFrame:
-    """(qid, key, field, impact) of the postings in the given levels of terms."""
-    rows = levels.join(index.blocks.select("field", "term", "level", "keys", "impacts"), ["field", "term", "level"])
-    return rows.select("qid", "field", F.explode(F.arrays_zip("keys", "impacts")).alias("x")).select("qid", F.col("x.keys").alias(index.key), "field", F.col("x.impacts").alias("impact"))
+    """(qid, number, field, impact) of the postings in the given levels of terms."""
+    rows = levels.join(index.blocks.select("field", "term", "level", "numbers", "impacts"), ["field", "term", "level"])
+    return rows.select("qid", "field", F.explode(F.arrays_zip("numbers", "impacts")).alias("x")).select("qid", F.col("x.numbers").alias("number"), "field", F.col("x.impacts").alias("impact"))

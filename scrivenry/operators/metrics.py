@@ -95,11 +95,16 @@ def comparison(experiments: DataFrame, baseline: str, metric: str) -> DataFrame:
 
 
 def answer_report(outcomes: DataFrame, by: str) -> DataFrame:
-    """Per group: mean faithfulness and relevance, micro citation accuracy, right and false refusals; null where nothing is measured."""
+    """Per group: mean faithfulness and relevance, micro citation accuracy, right and false refusals; null where nothing is measured.
+
+    The first three are of answers to answerable questions that weren't refused.
+    """
+    answered = F.col("answerable") & ~F.col("refused")
+    of = lambda c: F.when(answered, F.col(c))
     right = F.avg(F.when(~F.col("answerable"), F.col("refused").cast("int")))
     false = F.avg(F.when(F.col("answerable"), F.col("refused").cast("int")))
     return outcomes.groupBy(by).agg(
-        F.round(F.avg("faithfulness"), 4).alias("faithfulness"), F.round(F.avg("relevance"), 4).alias("relevance"), F.round(F.sum("correct") / F.nullif(F.sum("cited"), F.lit(0)), 4).alias("citation_accuracy"),
+        F.round(F.avg(of("faithfulness")), 4).alias("faithfulness"), F.round(F.avg(of("relevance")), 4).alias("relevance"), F.round(F.sum(of("correct")) / F.nullif(F.sum(of("cited")), F.lit(0)), 4).alias("citation_accuracy"),
         F.round(right, 4).alias("not_found_accuracy"), F.round(false, 4).alias("false_refusal"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..operators import answering, context, folds, ingest, metrics, retrieval
+from ..operators import answering, context, evaluation, folds, ingest, metrics, retrieval
 from ..operators import experiments as experiments_of
 from ..operators.collectors import Collectors
 from ..operators.experiments import Config
@@ -276,13 +276,6 @@ def answers(spark, sf):
     return fx.answer_text(spark, sf)
 
 
-@query("c10_citation_context", fx.sql(f"WITH {_ANS} SELECT conv_id, turn, CAST(ref AS BIGINT) AS ref, CAST(ref AS BIGINT) <= 3 AS known FROM a WHERE NOT nf", "answer_text"))
-def c10(spark, sf):
-    context_refs = spark.range(1, 4).withColumnRenamed("id", "ref").withColumn("known", F.lit(True))
-    cited = answers(spark, sf).select("conv_id", "turn", F.explode(text.citation_refs(F.col("answer"))).alias("ref")).withColumn("ref", F.col("ref").cast("long"))
-    return cited.join(F.broadcast(context_refs), "ref", "left").select("conv_id", "turn", "ref", F.coalesce("known", F.lit(False)).alias("known"))
-
-
 @query("k09_citation_check", fx.sql(f"WITH {_ANS} SELECT conv_id, turn, sha256(trim(regexp_replace(CASE WHEN CAST(nullif(ref, '') AS INTEGER) > 3 THEN replace(answer, '[' || ref || ']', '') ELSE answer END, '[ \\t]{{2,}}', ' ', 'g'))) AS digest, coalesce(CAST(nullif(ref, '') AS INTEGER) > 3, false) AS invalid, nf OR CAST(nullif(ref, '') AS INTEGER) > 3 AS uncited FROM a", "answer_text"))
 def k09(spark, sf):
     refs = text.citation_refs(F.col("answer"))
@@ -306,48 +299,106 @@ def b16(spark, sf):
     return top.select("qid", answering.passes_gate(F.col("mode_used"), F.col("score"), 0.6).alias("passes"))
 
 
-@query("c11_cited_relevant", _s("SELECT r.qid, r.doc_id, coalesce(bool_or(w.doc_id IS NOT NULL AND (w.doc_id % 4 = 0 OR r.doc_id % 5 = 0 OR (r.doc_id % 3) = (w.doc_id % 3))), false) AS correct FROM ranked r LEFT JOIN relevant w USING (qid, doc_id) WHERE r.rank <= 8 GROUP BY r.qid, r.doc_id"))
-def c11(spark, sf):
-    cited = fx.ranked(spark, sf).where("rank <= 8").withColumn("pages", F.expr("if(doc_id % 5 = 0, cast(array() AS array<bigint>), array(doc_id % 3 + 1))"))
-    j = cited.join(wanted(spark, sf).withColumnRenamed("pages", "wanted"), ["qid", "doc_id"], "left")
-    hit = F.col("wanted").isNotNull() & ((F.size("wanted") == 0) | (F.size("pages") == 0) | F.arrays_overlap("pages", "wanted"))
-    return j.groupBy("qid", "doc_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("correct"))
+def passages(spark, sf):
+    return sq.hybrid(spark, sf, 24).join(fx.chunk(spark, sf).select("chunk_id", "doc_id", "item_id", "page_no", "content"), "chunk_id")
+
+
+_CONTEXT = f"""{sq._LEGS}, {sq._TOP.format(n=24)}, hc AS (SELECT qid, rank, doc_id, chunk_id, page_no, content, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM top JOIN (SELECT chunk_id, doc_id, page_no, content FROM chunk) USING (chunk_id)),
+ sh AS (SELECT qid, rank, doc_id, chunk_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM hc),
+ nr AS (SELECT a.qid, a.rank, a.doc_id, list(b.rank) FILTER (WHERE a.rank <> b.rank AND len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.85e0) AS near FROM sh a JOIN sh b USING (qid) GROUP BY a.qid, a.rank, a.doc_id),
+ ls AS (SELECT qid, list([{{'rank': rank, 'doc_id': doc_id, 'near': coalesce(near, [])}}] ORDER BY rank) AS h FROM nr GROUP BY qid),
+ f1 AS (SELECT qid, h, list_reduce(h, lambda a, x: CASE WHEN list_contains(list_transform(a, lambda t: t.doc_id), x[1].doc_id) OR list_has_any(list_transform(a, lambda t: t.rank), x[1].near) THEN a ELSE list_concat(a, x) END) AS a FROM ls),
+ f2 AS (SELECT qid, list_sort(list_reduce(list_concat([a], h), lambda a, x: CASE WHEN len(a) >= 8 OR list_contains(list_transform(a, lambda t: t.rank), x[1].rank) OR len(list_filter(a, lambda t: t.doc_id = x[1].doc_id)) >= 3 OR list_has_any(list_transform(a, lambda t: t.rank), x[1].near) THEN a ELSE list_concat(a, x) END)[1:8]) AS a FROM f1),
+ ctx AS (SELECT qid, ref, rank, doc_id, chunk_id, page_no, content, w FROM (SELECT qid, unnest(range(1, len(a) + 1)) AS ref, unnest(list_transform(a, lambda t: t.rank)) AS rank FROM f2) JOIN hc USING (qid, rank))"""
+
+
+@query("k06_context_selection", fx.sql(f"WITH {_CONTEXT} SELECT qid, ref, chunk_id FROM ctx", "chunk_index", "question"))
+def k06(spark, sf):
+    return context.select_context(passages(spark, sf)).select("qid", "ref", "chunk_id")
+
+
+#: Prompts to compare, as what the stand-in for a model makes of them: the least share of the question's words for a passage to be used, how
+#: many passages are, and whether they are cited by their number in the context or by their rank among the hits.
+_PROMPTS = [("p0", 0.3, 8, False), ("p1", 0.6, 8, False), ("p2", 0.3, 1, False), ("p3", 0.3, 8, True)]
 
 
-_OUTCOMES = "oc AS (SELECT conv_id % 4 AS variant, turn % 3 <> 0 AS answerable, trim(answer, ' .') = 'NOT_FOUND' AS refused, 1 AS cited, CASE WHEN turn % 6 < 3 THEN 1 ELSE 0 END AS correct, CASE WHEN turn % 5 = 0 THEN NULL ELSE (turn % 5) / 4 END AS faithfulness, (turn % 4) / 3 AS relevance FROM answer_text)"
-_REPORT = "round(avg(faithfulness), 4) AS faithfulness, round(avg(relevance), 4) AS relevance, round(sum(correct) / nullif(sum(cited), 0), 4) AS citation_accuracy, round(avg(CASE WHEN NOT answerable THEN refused::INT END), 4) AS not_found_accuracy, round(avg(CASE WHEN answerable THEN refused::INT END), 4) AS false_refusal"
+def contexts(spark, sf):
+    """The numbered passages of each question, with the share of the question's words that they hold."""
+    hits = staged(passages(spark, sf), "hits")
+    chosen = context.select_context(hits).join(hits.select("qid", "chunk_id", "page_no"), ["qid", "chunk_id"]).join(fx.question(spark, sf).select("qid", "query"), "qid")
+    return staged(chosen.select("qid", "ref", "rank", "doc_id", F.array("page_no").alias("pages"), "content", retrieval.overlap_score(F.col("query"), F.col("content")).alias("share")), "contexts")
 
 
-def answer_outcomes(spark, sf):
-    return answers(spark, sf).select(
-        (F.col("conv_id") % 4).alias("variant"), (F.col("turn") % 3 != 0).alias("answerable"), text.is_not_found(F.col("answer")).alias("refused"), F.lit(1).alias("cited"), F.expr("if(turn % 6 < 3, 1, 0)").alias("correct"),
-        F.expr("if(turn % 5 = 0, NULL, (turn % 5) / 4)").alias("faithfulness"), F.expr("(turn % 4) / 3").alias("relevance"),
+def written_answers(spark, sf, ctx):
+    """(name, qid, answer, said): what each prompt's stand-in writes from a context, extracts with references, and what a judge by word overlap says of it."""
+    prompts = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(least).alias("least"), F.lit(most).alias("most"), F.lit(by_rank).alias("by_rank")) for n, least, most, by_rank in _PROMPTS)))
+    used = ctx.select("*", prompts.alias("p")).select("*", "p.*").where("share >= least").withColumn("nth", F.row_number().over(Window.partitionBy("name", "qid").orderBy("ref"))).where("nth <= most")
+    extract = F.expr("concat(trim(substring(content, 1, 80)), ' [', if(by_rank, rank, ref), ']')")
+    told = used.groupBy("name", "qid").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", extract.alias("x")))), lambda x: x["x"]), " ").alias("text"), F.count(F.when(F.col("share") >= 0.5, 1)).alias("supported"), F.count("*").alias("total"),
+        (1 + F.floor(4 * F.max("share"))).alias("score"),
     )
+    asked = fx.question(spark, sf).select("qid", prompts.alias("p")).select("qid", "p.name")
+    said = F.expr("""concat('The scores: {"supported": ', supported, ', "total": ', total, ', "score": ', score, '}')""")
+    return asked.join(told, ["name", "qid"], "left").select("name", "qid", F.coalesce("text", F.lit("NOT_FOUND")).alias("answer"), said.alias("said"))
 
 
-@query("d11_answer_report", fx.sql(f"WITH {_OUTCOMES} SELECT 'all' AS variant, {_REPORT} FROM oc", "answer_text"))
-def d11(spark, sf):
-    return metrics.answer_report(answer_outcomes(spark, sf).withColumn("variant", F.lit("all")), "variant")
+def relevant_pages(spark, sf):
+    """(qid, doc_id, pages): the documents that hold a question's text, and those of their pages that hold all of it."""
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    pages = fx.relevant(spark, sf).join(fx.src_page(spark, sf).select("doc_id", "page_no", "page"), "doc_id").join(items, "qid")
+    return pages.groupBy("qid", "doc_id").agg(F.collect_list(F.when(F.contains("page", "text"), F.col("page_no"))).alias("pages"))
 
 
-@query("k13_answer_evaluation", fx.sql(f"WITH {_OUTCOMES} SELECT variant, {_REPORT} FROM oc GROUP BY variant", "answer_text"))
-def k13(spark, sf):
-    return metrics.answer_report(answer_outcomes(spark, sf), "variant")
+_WRITTEN = f"""{_CONTEXT}, qw AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM question), cs2 AS (SELECT c.qid, ref, rank, doc_id, page_no, content, CASE WHEN len(q.w) = 0 THEN 0 ELSE len(list_intersect(q.w, list_distinct(c.w))) / len(q.w) END AS share FROM ctx c JOIN qw q USING (qid)),
+ pr(name, least, most, by_rank) AS (VALUES {", ".join(f"('{n}', {least}e0, {most}, {by_rank})" for n, least, most, by_rank in _PROMPTS)}),
+ used AS (SELECT *, row_number() OVER (PARTITION BY name, qid ORDER BY ref) AS nth FROM cs2, pr WHERE share >= least QUALIFY nth <= most),
+ told AS (SELECT name, qid, string_agg(trim(substr(content, 1, 80)) || ' [' || CASE WHEN by_rank THEN rank ELSE ref END || ']', ' ' ORDER BY ref) AS x, count(*) FILTER (WHERE share >= 0.5e0) AS supported, count(*) AS total, 1 + floor(4 * max(share)) AS score FROM used GROUP BY name, qid),
+ ans AS (SELECT pr.name, q.qid, coalesce(x, 'NOT_FOUND') AS answer, supported / total AS faithfulness, (score - 1) / 4 AS relevance FROM question q CROSS JOIN pr LEFT JOIN told t ON t.name = pr.name AND t.qid = q.qid),
+ cited AS (SELECT DISTINCT name, a.qid, r AS ref, c.ref IS NOT NULL AS known, doc_id, page_no FROM (SELECT name, qid, unnest(regexp_extract_all(answer, '\\[(\\d{{1,3}})\\]', 1))::BIGINT AS r FROM ans) a LEFT JOIN ctx c ON c.qid = a.qid AND c.ref = a.r)"""
+_CORRECT = f"""{_WRITTEN}, rp AS (SELECT r.qid, r.doc_id, coalesce(list(p.page_no) FILTER (WHERE contains(p.page, b.text)), []) AS pages FROM relevant r JOIN benchmark b ON b.item_id = r.qid JOIN (SELECT doc_id, page_no, page FROM src_page) p ON p.doc_id = r.doc_id GROUP BY r.qid, r.doc_id),
+ judged AS (SELECT name, c.qid, ref, c.doc_id, rp.qid IS NOT NULL AND (len(rp.pages) = 0 OR list_contains(rp.pages, page_no)) AS correct FROM cited c LEFT JOIN rp ON rp.qid = c.qid AND rp.doc_id = c.doc_id WHERE known)"""
+_OUTCOMES = f"""{_CORRECT}, oc AS (SELECT a.name, a.qid, a.qid IN (SELECT qid FROM relevant) AS answerable, trim(answer, ' .') = 'NOT_FOUND' OR coalesce(n, 0) = 0 AS refused, coalesce(n, 0) AS cited, coalesce(good, 0) AS correct, faithfulness, relevance
+ FROM ans a LEFT JOIN (SELECT name, qid, count(*) AS n, count(*) FILTER (WHERE correct) AS good FROM judged GROUP BY name, qid) j ON j.name = a.name AND j.qid = a.qid)"""
+_REPORT = "round(avg(faithfulness) FILTER (WHERE answerable AND NOT refused), 4) AS faithfulness, round(avg(relevance) FILTER (WHERE answerable AND NOT refused), 4) AS relevance, round(sum(correct) FILTER (WHERE answerable AND NOT refused) / nullif(sum(cited) FILTER (WHERE answerable AND NOT refused), 0), 4) AS citation_accuracy, round(avg(CASE WHEN NOT answerable THEN refused::INT END), 4) AS not_found_accuracy, round(avg(CASE WHEN answerable THEN refused::INT END), 4) AS false_refusal"
 
 
-@query("k15_prompt_comparison", fx.sql(f"WITH {_OUTCOMES}, v AS (SELECT 'p' || variant AS name, variant AS idx, round(sum(correct) / nullif(sum(cited), 0), 4) AS value FROM oc GROUP BY variant) SELECT name, value, round(value - (SELECT value FROM v WHERE name = 'p0'), 4) AS delta, name = (SELECT name FROM v ORDER BY value DESC, idx LIMIT 1) AS best FROM v", "answer_text"))
-def k15(spark, sf):
-    r = metrics.answer_report(answer_outcomes(spark, sf), "variant").select(F.concat(F.lit("p"), "variant").alias("name"), F.col("variant").alias("idx"), F.col("citation_accuracy").alias("value"))
-    return metrics.comparison(r, "p0", "value")
+def _a(body: str) -> str:
+    return fx.sql(body, "chunk_index", "question", "relevant")
 
 
-def passages(spark, sf):
-    return sq.hybrid(spark, sf, 24).join(fx.chunk(spark, sf).select("chunk_id", "doc_id", "item_id", "page_no", "content"), "chunk_id")
+@query("c10_citation_context", _a(f"WITH {_WRITTEN} SELECT name, qid, ref, known FROM cited"))
+def c10(spark, sf):
+    """References of each prompt's answers against the contexts that they were written from."""
+    ctx = contexts(spark, sf)
+    return evaluation.cited_sources(written_answers(spark, sf, ctx), ctx).select("name", "qid", "ref", "known")
 
 
-@query("k06_context_selection")
-def k06(spark, sf):
-    return context.select_context(passages(spark, sf)).select("qid", "ref", "chunk_id")
+@query("c11_cited_relevant", _a(f"WITH {_CORRECT} SELECT name, qid, ref, doc_id, correct FROM judged"))
+def c11(spark, sf):
+    ctx = contexts(spark, sf)
+    return evaluation.correct_citations(evaluation.cited_sources(written_answers(spark, sf, ctx), ctx), relevant_pages(spark, sf))
+
+
+def outcomes(spark, sf):
+    ctx = contexts(spark, sf)
+    return evaluation.answer_outcomes(written_answers(spark, sf, ctx), ctx, relevant_pages(spark, sf))
+
+
+@query("d11_answer_report", _a(f"WITH {_OUTCOMES} SELECT 'all' AS name, {_REPORT} FROM oc"))
+def d11(spark, sf):
+    return metrics.answer_report(outcomes(spark, sf).withColumn("name", F.lit("all")), "name")
+
+
+@query("k13_answer_evaluation", _a(f"WITH {_OUTCOMES} SELECT name, {_REPORT} FROM oc GROUP BY name"))
+def k13(spark, sf):
+    return metrics.answer_report(outcomes(spark, sf), "name")
+
+
+@query("k15_prompt_comparison", _a(f"WITH {_OUTCOMES}, v AS (SELECT name, right(name, 1)::INT AS idx, citation_accuracy AS value FROM (SELECT name, {_REPORT} FROM oc GROUP BY name)) SELECT name, value, round(value - (SELECT value FROM v WHERE name = 'p0'), 4) AS delta, name = (SELECT name FROM v ORDER BY value DESC, idx LIMIT 1) AS best FROM v"))
+def k15(spark, sf):
+    r = metrics.answer_report(outcomes(spark, sf), "name").select("name", F.expr("int(right(name, 1))").alias("idx"), F.col("citation_accuracy").alias("value"))
+    return metrics.comparison(r, "p0", "value")
 
 
 @query("k07_context_budget")
@@ -358,10 +409,11 @@ def k07(spark, sf):
 
 @query("k08_answer_prepare")
 def k08_prepare(spark, sf):
-    """Context and prompt of each question; every seventh question's reranker gave low scores."""
-    found = passages(spark, sf).withColumn("mode_used", F.lit("hybrid+rerank")).withColumn("score", F.when(F.col("qid") % 7 == 0, 0.01).otherwise(0.9))
+    """Context and prompt of each question from its reranked hits; where the best of them has little to do with the question there is none."""
+    found = retrieval.reranked(sq.scored_hits(spark, sf, 24), 24).join(fx.chunk(spark, sf).select("chunk_id", "item_id", "page_no"), "chunk_id")
+    found = found.withColumn("mode_used", F.lit("hybrid+rerank")).withColumn("score", F.col("rerank_score"))
     hits = found.withColumn("label", text.context_label(F.col("item_id"), F.lit(""), F.col("page_no"), F.col("page_no")))
-    out = answering.prepared(hits, fx.question(spark, sf), "Context:\n{{context}}\n\nQuestion: {{question}}", least=0.1, budget=400)
+    out = answering.prepared(hits, fx.question(spark, sf), "Context:\n{{context}}\n\nQuestion: {{question}}", least=0.6, budget=400)
     return out.select("qid", F.sha2("prompt", 256).alias("prompt"), F.coalesce(F.size("refs"), F.lit(0)).alias("n_refs"), "reason")
 
 

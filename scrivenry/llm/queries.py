@@ -28,7 +28,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archives(spark, path, payloads=False)
+    read = warc.sound_records(warc.read_archives(spark, path, payloads=False))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -239,3 +239,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(read, RECORD)
+
+
+def sound_records(records: DataFrame) -> DataFrame:
+    """The records without ``error``; one that isn't sound fails the job and says why, so that a page can't be lost unseen."""
+    sound = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("archive record: "), "error")).cast("boolean"))
+    return records.where(sound).drop("error")

@@ -247,6 +247,18 @@ def test_warc_round_trip(spark):
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == body
 
 
+def test_warc_unsound_records_fail_the_job(spark):
+    ok, bad = (1, None), (None, "payload differs")
+    schema = "page_id long, error string"
+    assert [tuple(r) for r in warc.sound_records(spark.createDataFrame([ok], schema)).collect()] == [(1,)]
+    assert warc.sound_records(spark.createDataFrame([], schema)).count() == 0
+    with pytest.raises(Exception, match="archive record: payload differs"):
+        warc.sound_records(spark.createDataFrame([ok, bad], schema)).collect()
+    path = new_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([(1, "u", "some page")], "page_id long, url string, html string"), path)
+    assert [r.page_id for r in warc.sound_records(warc.read_archives(spark, path, payloads=False)).collect()] == [1]
+
+
 def test_warc_checks_headers_and_lengths():
     good = warc.record(1, "u", b"body", 4, base64.b32encode(hashlib.sha1(b"body").digest()).decode(), 1)
     assert warc.parse_record(good)["payload"] == b"body"

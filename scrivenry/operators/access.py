@@ -72,6 +72,16 @@ def admitted(scored: DataFrame, passages: DataFrame, principals: DataFrame, key:
     return rows.where(F.arrays_overlap("_rights", "_held")).select(*scored.columns)
 
 
+def only_admitted(hits: DataFrame, rights: str = "_rights", held: str = "_held") -> DataFrame:
+    """``hits`` without its columns of the passage's and the caller's tokens; a row whose caller may not see its passage fails the job.
+
+    It is a second look at what was filtered before, on rows that are joined anyway: an index that is out of date or a
+    leg without its filter can't leak a passage. Missing lists admit nobody.
+    """
+    seen = F.coalesce(F.arrays_overlap(rights, held), F.lit(False))
+    return hits.where(F.when(seen, F.lit(True)).otherwise(F.raise_error(F.lit("access denied: a hit that its caller may not see")).cast("boolean"))).drop(rights, held)
+
+
 def verify_access(df: DataFrame) -> None:
     """Refuse a plan that joins, aggregates, sorts or cuts passages before their access filter.
 

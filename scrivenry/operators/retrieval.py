@@ -189,7 +189,8 @@ def search(
     failed, is searched by words alone in hybrid mode and refused in vector mode. ``rerank`` gives the column that scores
     a passage (columns of both sides); where it is null for some of a question's first ``head`` hits the reranker failed and
     the order stays. ``index`` is a keyword index of all passages; without one it is built. With ``vectors``,
-    an approximate index of all passages, the vector leg probes it; without, it is exact. ``mode_used`` says what was done: hybrid, bm25 or knn, with ``+rerank``.
+    an approximate index of all passages, the vector leg probes it; without, it is exact. A hit that its question's caller may not see,
+    whatever leg or index brought it, fails the search. ``mode_used`` says what was done: hybrid, bm25 or knn, with ``+rerank``.
     """
     if mode not in ("hybrid", "bm25", "vector"):
         raise ValueError(f"unknown mode {mode}")
@@ -215,7 +216,8 @@ def search(
             legs["knn"] = ann.nearest(vectors, questions, most, (filters or Filters()).predicate())
     found = fused(*legs.values(), most=fetch) if len(legs) == 2 else next(iter(legs.values())).where(F.col("rank") <= fetch).select("qid", "chunk_id", "score", "rank")
     plain = F.when(F.col("vector").isNull(), "bm25").otherwise("hybrid") if mode == "hybrid" else F.lit({"bm25": "bm25", "vector": "knn"}[mode])
-    hits = found.join(questions.select("qid", "query", plain.alias("mode_used")), "qid").join(allowed.select("chunk_id", "doc_id", "content"), "chunk_id")
+    asked = questions.select("qid", "query", plain.alias("mode_used"), access.tokens_of().alias("_held"))
+    hits = access.only_admitted(found.join(asked, "qid").join(allowed.select("chunk_id", "doc_id", "content", access.rights_of().alias("_rights")), "chunk_id"))
     if rerank:
         whole = Window.partitionBy("qid")
         hits = hits.withColumn("rerank_score", rerank(hits))

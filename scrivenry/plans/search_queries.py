@@ -83,6 +83,21 @@ def a03_map(spark, sf):
     return m.select("item_id", F.size("pages").cast("long").alias("n_pages"), chars.alias("n_chars"), "truncated", "doc_type", "version", F.array_join("tags", ",").alias("tags"), F.get("acl_users", F.lit(0)).alias("acl_users"))
 
 
+@query("a19_strict_mapping", fx.sql("""SELECT doc_id, CASE WHEN ok THEN item_id END AS item_id, CASE WHEN ok THEN version END AS version, CASE WHEN ok THEN array_to_string(tags, ',') END AS tags, CASE WHEN ok AND length(doc_type) <= 4 THEN doc_type END AS doc_type, nullif(concat_ws(', ', CASE WHEN doc_id % 7 = 0 THEN 'unplanned owner' END, CASE WHEN doc_id % 10 = 0 THEN 'bad version' END), '') AS problem
+ FROM (SELECT *, doc_id % 7 <> 0 AND doc_id % 10 <> 0 AS ok FROM src_doc)""", "src_doc"))
+def a19(spark, sf):
+    """All documents as JSON against a strict mapping; every seventh has a field more, every tenth a version that is no number."""
+    from ..sources.templates import Template, strictly_mapped
+
+    template = Template("documents_v*", {"item_id": "keyword", "content": "text", "version": "long", "tags": "keywords", "created_at": "date"})
+    short = Template("documents_v*", {"doc_type": "keyword"}, longest=4)
+    d = fx.src_doc(spark, sf)
+    raw = F.to_json(F.struct("item_id", F.col("text").alias("content"), F.expr("if(doc_id % 10 = 0, concat('v', version), string(version))").alias("version"), "tags", F.col("created_at").cast("string").alias("created_at"), F.expr("if(doc_id % 7 = 0, 'x', NULL)").alias("owner")))
+    rows = strictly_mapped(d.select("doc_id", raw.alias("source"), F.to_json(F.struct("doc_type")).alias("kind")), template)
+    rows = strictly_mapped(rows.withColumnRenamed("problem", "reason"), short, "kind")
+    return rows.select("doc_id", "item_id", "version", F.array_join("tags", ",").alias("tags"), F.when(F.col("reason").isNull(), F.col("doc_type")).alias("doc_type"), F.col("reason").alias("problem"))
+
+
 @query("a04_projection", "SELECT doc_id, lang FROM documents")
 def a04(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", "lang")

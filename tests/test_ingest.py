@@ -132,6 +132,26 @@ def test_keyed_table(spark):
     assert [tuple(r) for r in guarded.read().collect()] == [("a", "i", 5)]
 
 
+def test_compaction_keeps_each_rows_place_and_leaves_files_to_readers(spark):
+    schema = "k string, item string, v long"
+    t = KeyedTable(spark, spark.conf.get("spark.checkpoint.dir") + "/k-" + uuid.uuid4().hex, schema, "k", bucket_by="item", buckets=2)
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    first = t.write(rows(("a", "i", 1), ("c", "i", 1)))
+    late = f"_batch={int(first[7:27]) + 1:020d}-late"
+    t.write(rows(("b", "i", 1)), rows(("c", "i", 0)).drop("v"))
+    reading = t.read()
+    t.compact()
+    assert len(t.batches()) == 1 and len(t._finished()) == 3
+    assert {(r.k, r.v) for r in reading.collect()} == {("a", 1), ("b", 1)}  # its files are still there
+    # A batch that began after the first one and ends after the compaction: newer than the row of a, older than the deletion of c.
+    t._fs.rename(t._at(t.write(rows(("a", "i", 2), ("c", "i", 2)))), t._at(late))
+    assert {(r.k, r.v) for r in t.read().collect()} == {("a", 2), ("b", 1)}
+    for _ in range(2):
+        t.compact(keep=0)
+        assert {(r.k, r.v) for r in t.read().collect()} == {("a", 2), ("b", 1)}
+        assert len(t._finished()) == 1
+
+
 def event(item, kind, version=None, second=0, event_id=None):
     fields = {"schema_version": 1, "event_type": kind, "item_id": item, "occurred_at": f"2024-01-01T00:00:{second:02}"} | ({"doc_version": version} if version is not None else {}) | ({"event_id": event_id} if event_id else {})
     return json.dumps(fields)

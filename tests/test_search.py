@@ -40,6 +40,26 @@ def test_isolation_in_all_modes(spark, passages, who, expected):
     assert {r.chunk_id for r in retrieval.fused(words, vector).collect()} == expected
 
 
+def test_a_hit_that_its_caller_may_not_see_fails_the_search(spark):
+    hits = lambda *rows: access.only_admitted(spark.createDataFrame(list(rows), "qid long, _rights array<string>, _held array<string>"))
+    good = (1, ["u:ann", "g:red"], ["u:zed", "g:red"])
+    assert [tuple(r) for r in hits(good).collect()] == [(1,)]
+    for bad in ((2, ["u:ann"], ["u:zed"]), (2, [], ["u:zed"]), (2, None, ["u:zed"]), (2, ["u:ann"], None), (2, ["g:zed"], ["u:zed"])):
+        with pytest.raises(Exception, match="access denied"):
+            hits(good, bad).collect()
+
+
+def test_search_with_an_index_that_is_out_of_date_fails_closed(spark, passages, monkeypatch):
+    rows = passages.withColumn("doc_id", F.col("chunk_id")).withColumn("doc_type", F.lit("t")).withColumn("tags", F.array(F.lit("x"))).withColumn("created_at", F.lit(date(2024, 1, 1))).withColumn("section_title", F.lit(None).cast("string"))
+    q = spark.createDataFrame([(1, "common", "ann", [], None)], "qid long, query string, user_id string, groups array<string>, vector array<double>")
+    index = keyword.build(rows)
+    assert {r.chunk_id for r in retrieval.search(rows, q, "bm25", index=index).collect()} == {"c1"}
+    # A leg that has lost its filter.
+    monkeypatch.setattr(keyword, "top", lambda index, questions, allowed, most: retrieval.ranked(retrieval.bm25(allowed, questions), most))
+    with pytest.raises(Exception, match="access denied"):
+        retrieval.search(rows, q, "bm25", index=index).collect()
+
+
 def test_search_modes_and_fallbacks(spark, passages):
     rows = passages.withColumn("doc_id", F.col("chunk_id")).withColumn("doc_type", F.lit("t")).withColumn("tags", F.array(F.lit("x"))).withColumn("created_at", F.lit(date(2024, 1, 1))).withColumn("section_title", F.lit(None).cast("string"))
     schema = "qid long, query string, user_id string, groups array<string>, vector array<double>"

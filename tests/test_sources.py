@@ -116,3 +116,23 @@ def test_values_out_of_loose_input(spark):
     assert one(parsing.origin(headers, F.lit("t"), F.lit(0), F.lit(1))) == "live/1/2"
     assert one(parsing.faithfulness(F.lit('so: {"supported": 2, "total": 4}'))) == 0.5 and one(parsing.faithfulness(F.lit('{"supported": 5, "total": 4}'))) is None
     assert one(parsing.relevance(F.lit('{"score": 5}'))) == 1.0 and one(parsing.relevance(F.lit('{"score": 6}'))) is None
+
+
+def test_strict_mapping(spark):
+    from scrivenry.sources.templates import Template, physical_name, strictly_mapped
+
+    t = Template("chunks_v*", {"id": "keyword", "no": "integer", "n": "long", "body": "text", "tags": "keywords", "at": "date", "table": "boolean", "vec": "vector:2"}, longest=5)
+    assert t.matches(physical_name("chunks", "v1", "BGE-m3")) and not t.matches("other_v1") and physical_name("chunks", "v1", "BGE-m3") == "chunks_v1_bgem3"
+    good = '{"id": "a", "no": 3, "n": "9000000000", "body": "text", "tags": ["x", "longer than five"], "at": "2024-01-01", "table": true, "vec": [1, 0.5]}'
+    cases = {
+        1: (good, None), 2: ('{"id": "longer", "tags": "one", "no": null}', None), 3: ("{}", None), 4: ('{"id": 7, "z": 1, "b": {"no": 1}}', "unplanned b, unplanned z"), 5: ('{"no": 9000000000, "n": 1.5, "body": 4}', "bad no, bad n, bad body"),
+        6: ('{"id": ["a"], "tags": {"a": 1}, "at": "soon", "table": "true"}', "bad id, bad tags, bad at, bad table"), 7: ('{"vec": [1]}', "bad vec"), 8: ('{"vec": [0, 0]}', "bad vec"), 9: ('{"vec": [1, "x"], "q": null}', "unplanned q, bad vec"), 10: ("[1]", "no object"), 11: ("{broken", "no object"), 12: (None, "no object"), 13: ("", "no object"),
+    }
+    out = {r["row"]: r for r in strictly_mapped(spark.createDataFrame([(i, s) for i, (s, _) in cases.items()], "row int, source string"), t).collect()}
+    assert {i: r.problem for i, r in out.items()} == {i: p for i, (_, p) in cases.items()}
+    r = out[1]
+    assert (r.id, r.no, r.n, r.body, r.tags, r["at"].year, r.table, r.vec) == ("a", 3, 9_000_000_000, "text", ["x"], 2024, True, [1.0, 0.5])
+    assert (out[2].id, out[2].tags, out[2].no, out[4].id) == (None, ["one"], None, None)
+    assert strictly_mapped(spark.createDataFrame([], "row int, source string"), t).count() == 0
+    with pytest.raises(ValueError, match="columns already"):
+        strictly_mapped(spark.createDataFrame([], "id int, source string"), t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chunking, normalize
-from ..sources import loaders
+from ..sources import loaders, topics
 from ..sources.keyed import KeyedTable
 from ..sources.staging import scratch, staged
 from ..streaming import assemble, consumer
@@ -84,6 +84,24 @@ def a10(spark, sf):
     return spark.read.schema(consumer.MESSAGE).parquet(f"{base}/copy").select("topic", F.col("part").cast("long").alias("part"), "off", "key")
 
 
+@query("a11_topic_sink", fx.sql("SELECT topic, key, count(*) AS n, 0 AS gaps FROM message GROUP BY topic, key", "message"))
+def a11(spark, sf):
+    """Both topics written to topics with offsets and read back: messages of each key, and offsets of its partition that lack or repeat."""
+    spark.dataSource.register(topics.Topics)
+    base = scratch(spark, "topics")
+    put(spark, sf, base)
+    out = None
+    for topic in ("live", "backfill"):
+        sent = consumer.read_topic(spark, f"{base}/topics/{topic}", 1_000).selectExpr(*topics.WRITTEN).writeStream.format("topic").option("path", f"{base}/log/{topic}")
+        sent.option("parts", 4).option("writer", "copy").option("checkpointLocation", f"{base}/sent-{topic}").trigger(availableNow=True).start().awaitTermination()
+        read = spark.readStream.format("topic").option("path", f"{base}/log/{topic}").load().writeStream.format("parquet").option("path", f"{base}/read/{topic}")
+        read.option("checkpointLocation", f"{base}/read-{topic}").trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema(topics.READ).parquet(f"{base}/read/{topic}").withColumn("topic", F.lit(topic))
+        out = rows if out is None else out.unionByName(rows)
+    gaps = out.groupBy("topic", "part").agg((F.max("off") + 1 - F.count("*")).alias("lacking"), (F.count("*") - F.countDistinct("off")).alias("again")).select("topic", "part", (F.abs("lacking") + F.col("again")).alias("gaps"))
+    return out.groupBy("topic", "part", "key").agg(F.count("*").alias("n")).join(gaps, ["topic", "part"]).groupBy("topic", "key").agg(F.sum("n").alias("n"), F.sum("gaps").alias("gaps"))
+
+
 @query("a18_report_sink", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
 def a18(spark, sf):
     """A report written as one JSON file, read back."""

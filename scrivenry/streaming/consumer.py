@@ -157,6 +157,11 @@ class Consumer:
         ``pool`` is the scheduler pool of the query's jobs, so that a backfill leaves live work its share; how many files a batch takes
         is for each topic to say.
         """
-        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         out = topic.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        return (out.queryName(name) if name else out).start()
+        # A query takes over its starter's properties; the starter's own jobs stay in their pool.
+        before = self.spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            return (out.queryName(name) if name else out).start()
+        finally:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import uuid
 from datetime import date
 
@@ -12,6 +13,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkRuntimeError
 from pyspark.sql import functions as F
 
+from scrivenry.functions import chunking
 from scrivenry.operators import access, folds, ingest, metrics
 from scrivenry.sources.keyed import KeyedTable
 from scrivenry.sources.tables import ConflictError, VersionedTable, updated, upserted
@@ -359,3 +361,31 @@ def test_rights_bitmaps_equal_lists(spark):
     everything = people.select("qid").crossJoin(passages.select("chunk_id"))
     assert {tuple(r) for r in access.admitted_by_index(everything, index, people).collect()} == seen
     assert {r.qid: r.n for r in access.visible_counts(index, people).collect()} == {q: sum(a == q for a, _ in seen) for q in [*range(8), 50]}
+
+
+def test_live_work_finishes_while_a_backfill_is_under_way(spark):
+    """Two loops in one application, each with its pool and its share of files; both write the same tables."""
+    s = Setting(spark)
+    s.texts |= {f"old{i}": (1, [f"page of old{i}"]) for i in range(6)}
+    pools, ended = {}, {}
+
+    def loop(name, pause):
+        def split(pages):
+            pools[name] = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+            time.sleep(pause)
+            return chunking.chunked(pages)
+
+        return s.worker(split=split)
+
+    for i in range(6):
+        consumer.send(spark.createDataFrame([("backfill", 0, i, f"old{i}", event(f"old{i}", "UPSERT", 1), 0, None, None)], consumer.MESSAGE).coalesce(1), f"{s.root}/backfill")
+    consumer.send(spark.createDataFrame([("live", 0, 0, "a", event("a", "UPSERT", 1), 0, None, None)], consumer.MESSAGE).coalesce(1), f"{s.root}/live")
+    slow = loop("backfill", 4).start(consumer.read_topic(spark, f"{s.root}/backfill", 1), f"{s.root}/c-backfill", pool="backfill")
+    fast = loop("live", 0).start(consumer.read_topic(spark, f"{s.root}/live", 100), f"{s.root}/c-live", pool="live")
+    assert fast.awaitTermination(120)
+    ended["live"] = slow.isActive
+    slow.awaitTermination(240)
+    assert ended["live"], "the backfill was over before the live event was done"
+    assert pools == {"backfill": "backfill", "live": "live"} and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    assert {r.item_id: r.status for r in s.states.read().collect()} == {i: "INDEXED" for i in ("a", *(f"old{i}" for i in range(6)))}
+    assert {r.item_id for r in s.chunks.read().collect()} == {"a", *(f"old{i}" for i in range(6))}

@@ -143,7 +143,7 @@ def _configs_sql() -> str:
 @query("k14_experiment_matrix", fx.sql(f"WITH {sq._LEGS}, {_configs_sql()} SELECT name, value, round(value - (SELECT value FROM v WHERE name = 'hybrid'), 4) AS delta, name = (SELECT name FROM v ORDER BY value DESC, idx LIMIT 1) AS best FROM v", "chunk_index", "question", "relevant"))
 def k14(spark, sf):
     """Six ways to search, from two legs, by the rank of the first document that holds the question's text."""
-    rows = staged(sq.passages(spark, sf), "passages")
+    rows = staged(fx.chunk_index(spark, sf), "chunks")
     q = fx.question(spark, sf)
     legs = {"bm25": staged(sq.keyword_leg(spark, sf, rows), "bm25"), "knn": staged(sq.vector_leg(spark, sf, rows), "knn")}
     documents = rows.select("chunk_id", "doc_id", "content")
@@ -300,7 +300,8 @@ def b16(spark, sf):
 
 
 def passages(spark, sf):
-    return sq.hybrid(spark, sf, 24).join(fx.chunk(spark, sf).select("chunk_id", "doc_id", "item_id", "page_no", "content"), "chunk_id")
+    rows = staged(fx.chunk_index(spark, sf), "chunks")
+    return sq.hybrid(spark, sf, 24, rows).join(rows.select("chunk_id", "doc_id", "item_id", "page_no", "content"), "chunk_id")
 
 
 _CONTEXT = f"""{sq._LEGS}, {sq._TOP.format(n=24)}, hc AS (SELECT qid, rank, doc_id, chunk_id, page_no, content, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM top JOIN (SELECT chunk_id, doc_id, page_no, content FROM chunk) USING (chunk_id)),

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scrivenry.operators import access, retrieval
+from scrivenry.functions import text
+from scrivenry.operators import access, context, retrieval
 from scrivenry.plans import fixtures as fx
+from scrivenry.plans import search_queries as sq
 from scrivenry.sources.staging import staged
 
 
@@ -59,3 +61,34 @@ def test_chunks_in_a_row_are_those_of_pages(spark, tmp_path):
     found = fx.chunk_index(spark, str(tmp_path))
     assert sorted(map(tuple, found.select(*cols).collect())) == sorted(map(tuple, want.collect()))
     assert plan(found).count("Exchange") == 1
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "b", "c"],), (["x"],), ([],), (None,)], "w array<string>")
+    got = [r.t for r in rows.select(text.counted(F.col("w")).alias("t")).collect()]
+    assert [t if t is None else [tuple(x) for x in t] for t in got] == [[("a", 1), ("b", 3), ("c", 1)], [("x", 1)], [], None]
+
+
+def test_term_postings_are_not_shuffled(spark):
+    """Only texts are, to spread the work, and the questions' terms, to have them once."""
+    found = plan(sq.c16(spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(chunk_id" not in found and "hashpartitioning(doc_id" in found
+
+
+def test_near_classes_by_prefixes_lose_no_link(spark):
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    base = [pick.choices(words, k=pick.randrange(1, 60)) for _ in range(25)]
+    texts = [" ".join(w if pick.random() > 0.02 else "z" for w in pick.choice(base)) for _ in range(160)]
+    rows = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "texts")
+    members, links = context.near_classes(rows, 0.85)
+    sets = {i: frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) for i, w in ((i, t.split()) for i, t in enumerate(texts))}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    assert {(r.doc_id, r.rep) for r in members.collect()} == {(i, first[s]) for i, s in sets.items()}
+    heads = sorted(first.values())
+    want = {(a, b, len(sets[a] & sets[b])) for a in heads for b in heads if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in links.collect()} == want and len(want) > 20
+    hashed = spark.createDataFrame([(1, [5, 7, 9], 3), (2, [], 0)], "doc_id long, s array<bigint>, n int")
+    assert "Exchange" not in plan(context._prefixes(hashed, 0.85))

@@ -48,9 +48,10 @@ def reflowed(lines: Column, short: int = 50) -> Column:
     """
 
     def known(raw: Column) -> Column:
-        row = text.is_table_line(raw)
-        line = F.regexp_replace(F.when(row, raw).otherwise(text.collapse_spaces(raw)), "(?U)^\\s+|\\s+$", "")
-        return F.struct(line.alias("line"), (F.length(line) == 0).alias("blank"), row.alias("row"), (row | text.is_list_item(line) | text.is_heading(line)).alias("own"))
+        # Each a lambda's variable, so that it is found once and not for every use.
+        return text.once(text.is_table_line(raw), lambda row: text.once(F.when(row, raw).otherwise(text.collapse_spaces(raw)), lambda one: text.once(text.trimmed(one), lambda line: F.struct(
+            line.alias("line"), (F.length(line) == 0).alias("blank"), row.alias("row"), (row | text.is_list_item(line) | text.is_heading(line)).alias("own"),
+        ))))
 
     def step(s: Column, x: Column) -> Column:
         gap = s["gap"] | s["closed"] | x["own"]

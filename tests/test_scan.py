@@ -92,3 +92,12 @@ def test_near_classes_by_prefixes_lose_no_link(spark):
     assert {tuple(r) for r in links.collect()} == want and len(want) > 20
     hashed = spark.createDataFrame([(1, [5, 7, 9], 3), (2, [], 0)], "doc_id long, s array<bigint>, n int")
     assert "Exchange" not in plan(context._prefixes(hashed, 0.85))
+
+
+def test_lines_are_what_their_patterns_say(spark):
+    pick = random.Random(11)
+    lines = ["".join(pick.choices("ab \t| 　 \u0085x", k=pick.randrange(12))) for _ in range(3_000)] + [None, ""]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.col("x").rlike(text.TABLE_LINE).alias("t"), F.regexp_replace("x", text.SPACES, " ").alias("s"), F.regexp_replace("x", "(?U)^\\s+|\\s+$", "").alias("e"))
+    x = F.col("x")
+    wrong = rows.where(~(text.is_table_line(x).eqNullSafe(F.col("t")) & text.collapse_spaces(x).eqNullSafe(F.col("s")) & text.trimmed(x).eqNullSafe(F.col("e"))))
+    assert wrong.count() == 0

@@ -75,7 +75,7 @@ def build(passages: DataFrame, key: str = "chunk_id", cells: int | None = None)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop("v").schema) + ", cell int, scale double, code binary"
     cell_rows = staged(kept.mapInPandas(coded, schema).repartitionByRange("cell", key).sortWithinPartitions("cell"), "cells")
     counts = staged(cell_rows.select("cell", F.explode("rights").alias("token")).groupBy("cell", "token").count(), "counts")
-    return VectorIndex(centres, cell_rows, counts, staged(rows.select(key, F.col("vector").cast("array<double>").alias("vector")), "vectors"), key)
+    return VectorIndex(centres, cell_rows, counts, staged(rows.select(key, "vector"), "vectors").select(key, F.col("vector").cast("array<double>").alias("vector")), key)
 
 
 def nearest(index: VectorIndex, queries: DataFrame, most: int = CANDIDATES, allowed=None, probes: int = PROBES, block: int = 4_096) -> DataFrame:

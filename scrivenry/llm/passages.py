@@ -26,7 +26,8 @@ PIECE = 20
 CHUNK_BYTES, BUCKET_BYTES, BUCKET_ANCHORS, FILES = 4 << 20, 4 << 20, 500_000, 10_000
 #: Anchors in more chunks than this are split by where in the window they stand, ``SHIFTS`` places together.
 HOT, SHIFTS = 256, 4
-_WINDOWS = 1 << 22
+#: Windows of a block: its arrays stay in a core's cache.
+_WINDOWS = 1 << 18
 #: Stands for no document, and for a row without id, whose text counts as later than all.
 NONE = np.iinfo(np.int64).max
 
@@ -135,7 +136,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, anchors: np.nda
     """
     parts = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, U64)] * 2]
     for start, place, found in windows(data, offsets, length):
-        has, at = _in(anchors, found)
+        # Windows in a row mostly have one anchor, which is looked up once.
+        head = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        has, at = (np.repeat(x, np.diff(np.append(head, len(place)))) for x in _in(anchors, found[head]))
         start, place, found, at = start[has], place[has], found[has], at[has]
         if not len(start):
             continue

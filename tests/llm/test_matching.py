@@ -256,6 +256,22 @@ def test_index_finds_longest_matches_and_first_owners():
         assert first.tolist() == [min((o for t, o in zip(texts, owners, strict=True) if x[p : p + depth] in t), default=99) if p + depth <= len(x) else 99 for x, p in at]
 
 
+def test_suffixes_are_sorted_in_blocks_of_groups(monkeypatch):
+    rng = random.Random(12)
+    for block in [1, 3, 64] * 20:
+        monkeypatch.setattr(rindex, "_BLOCK", block)
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(60))) for _ in range(4)] + [b"a" * 70, b"ab" * 30, b"ab" * 30]
+        offsets = np.cumsum([0, *map(len, texts)])
+        codes, starts = rindex._coded(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        room = (np.repeat(starts + np.diff(offsets), np.diff(offsets) + 1) - np.arange(len(codes))).astype(np.int32)
+        depth = rindex._first_bytes(len(codes)) * 4
+        order, rank = rindex.suffix_order(codes, room, depth)
+        suffix = [bytes(codes[i : i + room[i]]) for i in range(len(codes))]
+        assert order.tolist() == sorted(range(len(codes)), key=lambda i: (suffix[i], i))
+        cut = [x[:depth] for x in suffix]
+        assert all((rank[i] == rank[j]) == (cut[i] == cut[j]) for i, j in zip(order, order[1:], strict=False))
+
+
 def test_index_is_smaller_for_copies():
     rng = np.random.default_rng(10)
     text = rng.integers(97, 101, 3000, dtype=np.uint8)

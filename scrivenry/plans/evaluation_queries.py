@@ -21,21 +21,22 @@ def hits(spark, sf):
     return fx.ranked(spark, sf).withColumn("pages", F.expr("sequence(doc_id % 3 + 1, doc_id % 3 + 1 + doc_id % 2)"))
 
 
-def wanted(spark, sf):
-    return fx.relevant(spark, sf).withColumn("pages", F.expr("if(doc_id % 4 = 0, cast(array() AS array<bigint>), array(doc_id % 3 + 1))"))
+def wanted(spark, sf, relevant=None):
+    return (fx.relevant(spark, sf) if relevant is None else relevant).withColumn("pages", F.expr("if(doc_id % 4 = 0, cast(array() AS array<bigint>), array(doc_id % 3 + 1))"))
 
 
-def questions(spark, sf):
-    n = fx.relevant(spark, sf).groupBy("qid").agg(F.countDistinct("doc_id").alias("n_relevant"))
+def questions(spark, sf, relevant):
+    n = relevant.groupBy("qid").agg(F.countDistinct("doc_id").alias("n_relevant"))
     return fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(n, "qid", "left").select("qid", F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
 
 
-def judged(spark, sf):
-    return metrics.correct_hits(hits(spark, sf), wanted(spark, sf))
+def judged(spark, sf, relevant=None):
+    return metrics.correct_hits(hits(spark, sf), wanted(spark, sf, relevant))
 
 
 def measured(spark, sf):
-    return metrics.question_metrics(judged(spark, sf), questions(spark, sf))
+    relevant = staged(fx.relevant(spark, sf), "relevant")
+    return metrics.question_metrics(judged(spark, sf, relevant), questions(spark, sf, relevant))
 
 
 _JUDGED = """hits AS (SELECT *, range(doc_id % 3 + 1, doc_id % 3 + 2 + doc_id % 2) AS pages FROM ranked), wanted AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN [] ELSE [doc_id % 3 + 1] END AS pages FROM relevant),
@@ -347,7 +348,8 @@ def written_answers(spark, sf, ctx):
 def relevant_pages(spark, sf):
     """(qid, doc_id, pages): the documents that hold a question's text, and those of their pages that hold all of it."""
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    pages = fx.relevant(spark, sf).join(fx.src_page(spark, sf).select("doc_id", "page_no", "page"), "doc_id").join(items, "qid")
+    # Which documents these are is written, so that its size is known: while they are few, they go to the pages.
+    pages = staged(fx.relevant(spark, sf), "relevant").join(fx.src_page(spark, sf).select("doc_id", "page_no", "page"), "doc_id").join(items, "qid")
     return pages.groupBy("qid", "doc_id").agg(F.collect_list(F.when(F.contains("page", "text"), F.col("page_no"))).alias("pages"))
 
 

@@ -144,10 +144,10 @@ def _configs_sql() -> str:
 @query("k14_experiment_matrix", fx.sql(f"WITH {sq._LEGS}, {_configs_sql()} SELECT name, value, round(value - (SELECT value FROM v WHERE name = 'hybrid'), 4) AS delta, name = (SELECT name FROM v ORDER BY value DESC, idx LIMIT 1) AS best FROM v", "chunk_index", "question", "relevant"))
 def k14(spark, sf):
     """Six ways to search, from two legs, by the rank of the first document that holds the question's text."""
-    rows = staged(fx.chunk_index(spark, sf), "chunks")
+    rows = sq.words(spark, sf)
     q = fx.question(spark, sf)
-    legs = {"bm25": staged(sq.keyword_leg(spark, sf, rows), "bm25"), "knn": staged(sq.vector_leg(spark, sf, rows), "knn")}
-    documents = rows.select("chunk_id", "doc_id", "content")
+    legs = {"bm25": staged(sq.keyword_leg(spark, sf, rows), "bm25"), "knn": staged(sq.vector_leg(spark, sf, rows.rows), "knn")}
+    documents = sq.texts_of(spark, sf, legs["bm25"].select("chunk_id").unionByName(legs["knn"].select("chunk_id")), rows).select("chunk_id", "doc_id", "content")
     asked = {leg: found.join(q.select("qid", "query"), "qid") for leg, found in legs.items()}
     pairs = asked["bm25"].select("qid", "chunk_id", "query").unionByName(asked["knn"].select("qid", "chunk_id", "query")).distinct()
     scores = pairs.join(documents, "chunk_id").select("qid", "chunk_id", retrieval.overlap_score(F.col("query"), F.col("content")).alias("overlap"))
@@ -301,8 +301,7 @@ def b16(spark, sf):
 
 
 def passages(spark, sf):
-    rows = staged(fx.chunk_index(spark, sf), "chunks")
-    return sq.hybrid(spark, sf, 24, rows).join(rows.select("chunk_id", "doc_id", "item_id", "page_no", "content"), "chunk_id")
+    return sq.hybrid_texts(spark, sf, 24, "doc_id", "item_id", "page_no", "content")
 
 
 _CONTEXT = f"""{sq._LEGS}, {sq._TOP.format(n=24)}, hc AS (SELECT qid, rank, doc_id, chunk_id, page_no, content, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM top JOIN (SELECT chunk_id, doc_id, page_no, content FROM chunk) USING (chunk_id)),

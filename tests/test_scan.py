@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivenry.functions import text
 from scrivenry.operators import access, context, retrieval
+from scrivenry.plans import QUERIES
 from scrivenry.plans import fixtures as fx
 from scrivenry.plans import search_queries as sq
 from scrivenry.sources.staging import staged
@@ -51,6 +52,35 @@ def test_best_words_are_the_first_of_all_scores(passages, questions):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_words_by_number_give_the_scores_of_texts(spark, passages, questions):
+    words = retrieval.words_of(passages, questions, ["chunk_id", "doc_id", "acl_users", "acl_groups"])
+    assert words.terms == sorted({"ab", "gh", "copy", "nothing", "cd", "x1"}) and "content" not in words.rows.columns
+    for only in (None, F.col("doc_id") % 2 == 0):
+        for block in (1_024, 2):
+            want = retrieval.best_words(passages, questions, 7, among=only).collect()
+            assert want and sorted(map(tuple, retrieval.best_words(words, questions, 7, among=only, block=block).collect())) == sorted(map(tuple, want))
+    scored = lambda rows: sorted((r.qid, r.chunk_id, round(r.score, 9)) for r in retrieval.best_field(rows, questions).collect())
+    assert scored(words) == scored(passages)
+    blank = questions.where("qid = 3")
+    assert retrieval.best_words(passages, blank).isEmpty() and retrieval.best_words(retrieval.words_of(passages, blank, ["chunk_id"]), blank).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["c01_rrf_merge", "d03_reciprocal_rank_sum", "f02_candidates", "f05_rerank_head_tail"])
+def test_no_chunk_text_is_written(spark, monkeypatch, name):
+    """All chunks with their texts were staged before, as much as the documents have."""
+    seen = []
+
+    def recorded(rows, label):
+        seen.append((label, set(rows.columns)))
+        return staged(rows, label)
+
+    for module in (retrieval, sq):
+        monkeypatch.setattr(module, "staged", recorded, raising=False)
+    monkeypatch.setattr("scrivenry.sources.staging.staged", recorded)
+    assert not QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
+    assert "words" in dict(seen) and not any({"content", "section_title", "text"} & columns for _, columns in seen)
+
+
 def test_chunks_in_a_row_are_those_of_pages(spark, tmp_path):
     texts = ["", "One. Two. Three.", None, "\n".join(f"Line {i}. Next {i}! no break? Yes" for i in range(47)), "a" * 50, "\n" * 35, "Äh. 1 Two\n.. B"]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]

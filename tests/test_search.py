@@ -334,6 +334,14 @@ def test_all_pairs_of_copies_and_near_copies(spark, monkeypatch, tile):
     assert got.columns == ["a", "b", "shared"] and sorted(map(tuple, got.collect())) == expected
 
 
+def test_query_of_near_pairs_tells_which_documents(spark, tmp_path):
+    """A row for each pair: the number of links alone doesn't say which documents are near."""
+    from scrivenry.plans import QUERIES
+
+    spark.createDataFrame([(3, "a b c d"), (1, "a b c d"), (2, "a B c d"), (4, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["c13_near_pairs"](spark, str(tmp_path)).collect())) == [(1, 2, 2), (1, 3, 2), (2, 3, 2)]
+
+
 def test_sets_of_shingles_are_not_written(spark):
     """What near classes write is less than half of the hashes of all shingles, which don't compress."""
     import os

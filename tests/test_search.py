@@ -356,3 +356,22 @@ def test_sets_of_shingles_are_not_written(spark):
     links = context.near_classes(rows, 0.85)[1]
     assert [tuple(r) for r in links.collect()] == [(5, 999, 1998)]
     assert used() - before < 0.5 * 8 * 1998 * len(texts)
+
+
+def test_overlap_shuffles_no_pairs(spark, library):
+    """Words shared with each question, title and content together; a key's rows count as one, and only such pairs are grouped."""
+    rows, asked, passages, questions = library
+    twice = staged(passages.unionByName(passages.where("chunk_id < 'c0020'")), "twice")
+    toks = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    expected = {}
+    for r in [*rows, *(r for r in rows if r["chunk_id"] < "c0020")]:
+        for qid, query, *_ in asked:
+            n = sum(w in set(toks(query)) for w in toks(r["content"]) + toks(r["section_title"]))
+            if n:
+                expected[qid, r["chunk_id"]] = expected.get((qid, r["chunk_id"]), 0) + n
+    found = retrieval.overlaps(retrieval.words_of(twice, questions, ["chunk_id"]), questions, block=5)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(expected) and {(q, c): s for q, c, s in got} == expected
+    once = retrieval.overlaps(retrieval.words_of(passages, questions, ["chunk_id"]), questions)
+    once.collect()
+    assert once.count() and "hashpartitioning(_key" not in once._jdf.queryExecution().executedPlan().toString()

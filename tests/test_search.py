@@ -375,3 +375,23 @@ def test_overlap_shuffles_no_pairs(spark, library):
     once = retrieval.overlaps(retrieval.words_of(passages, questions, ["chunk_id"]), questions)
     once.collect()
     assert once.count() and "hashpartitioning(_key" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows, group", [(4_096, 1 << 20), (50, 100), (7, 3)])
+def test_ranks_of_all_pairs_without_shuffling_them(spark, monkeypatch, library, rows, group):
+    """The ranks of a window over all scored pairs, with many ties, however passages lie in blocks and scores in groups; no window over pairs is planned."""
+    monkeypatch.setattr(retrieval, "ROWS", rows)
+    monkeypatch.setattr(retrieval, "GROUP", group)
+    *_, passages, questions = library
+    many = staged(passages.unionByName(passages.where("chunk_id < 'c0300'").withColumn("chunk_id", F.concat("chunk_id", F.lit("b")))), "many")
+    plain = retrieval.ranked(retrieval.best_field(many, questions).withColumn("score", F.round("score", 6))).select("qid", "chunk_id", "rank").collect()
+    found = retrieval.field_ranks(retrieval.words_of(many, questions, ["chunk_id"]), questions, size=7)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["qid", "chunk_id", "rank"] and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain))
+    nobody = questions.where("qid = 50").withColumn("query", F.lit(""))
+    assert retrieval.field_ranks(retrieval.words_of(many, nobody, ["chunk_id"]), nobody).collect() == []
+
+
+def test_packed_numbers():
+    for values in ([], [5], [9, 9, 3, 0], [2**40, 7, -3]):
+        assert retrieval.unpacked(retrieval.packed(retrieval.np.array(values, "int64")), len(values)).tolist() == values

@@ -7,56 +7,138 @@ reach. Blocks whose greatest impact can't bring a passage there, with all that t
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.staging import staged
 from . import access
 from .retrieval import BM25_FIELDS, B, K1, ranked, tokens
 
-#: Postings of a block, steps of impact in a term's range, and how many times the wanted hits are scored to find what to reach.
-BLOCK, LEVELS, LEAD = 256, 32, 2
+#: Postings that a task gathers by term, steps of impact in a term's range, and how many times the wanted hits are scored to find what to reach.
+BLOCK, LEVELS, LEAD = 1 << 22, 32, 2
 #: Scores are compared after rounding to six decimals.
 SLACK = 1e-5
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """(field, term, level, part, bound, n, numbers, impacts) in blocks, (number, words) with a passage's (field, term, impact), and (key, number)."""
+    """(field, term, level, bound, n, unit, mean, numbers, tfs, lengths) in blocks, (field, term, unit, mean) of terms, and (key, number) with a passage's words: of each field ``_n`` counts them, ``_w`` has the distinct ones, ``_t`` how often."""
 
     blocks: DataFrame
-    forward: DataFrame
+    terms: DataFrame
     numbers: DataFrame
     key: str
+    fields: tuple[str, ...]
 
 
-def build(passages: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: str = "chunk_id") -> KeywordIndex:
+def build(passages: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: str = "chunk_id", keep: Sequence[str] = ()) -> KeywordIndex:
     """Index the passages' fields (name -> weight). A passage without words in a field doesn't count for that field's statistics.
 
-    Impacts hold everything but the question: they are final for this set of passages. Postings are dealt to blocks by level
-    of impact and, where a term has many, by a hash of the passage, so no term's postings meet in one task. Inside the index
-    passages go by a number.
+    Texts are read once; what is written of them are their distinct words. Postings are gathered by term inside of a task, so that a term
+    is shuffled once for many of them, and dealt to blocks by level of impact and task, so no term's postings meet in one task. A block has the
+    counts and lengths that impacts come from, with all but the question. Inside the index passages go by a number; columns to ``keep`` lie beside it.
     """
-    numbered = staged(passages.select(F.col(key).alias("key"), *fields).withColumn("number", F.monotonically_increasing_id()), "numbered")
-    words = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f, w in fields.items())))
-    sized = numbered.select("number", words.alias("x")).select("number", "x.*").where(F.size("words") > 0).withColumn("length", F.size("words"))
-    whole = sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = sized.select("number", "field", "weight", "length", F.explode("words").alias("term")).groupBy("field", "term", "number").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("weight").alias("weight"))
-    tf = staged(tf, "postings")
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    number = F.monotonically_increasing_id().alias("number")
+    schema = T.StructType([passages.schema[key], *(passages.schema[c] for c in keep), T.StructField("number", T.LongType())])
+    for i in range(len(fields)):
+        schema.add(f"_n{i}", T.IntegerType()).add(f"_w{i}", T.ArrayType(T.StringType())).add(f"_t{i}", T.ArrayType(T.IntegerType()))
+    words = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_w{i}") for i, f in enumerate(fields)]
+    numbered = staged(passages.select(key, *keep, number, *words).mapInArrow(_counted([key, *keep, "number"], len(fields)), schema), "numbered")
+    each = lambda *columns: F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), *(F.col(f"_{c}{i}").alias(c) for c in columns)) for i, (f, w) in enumerate(fields.items()))))
+    whole = numbered.select(each("n").alias("x")).select("x.*").where("n > 0").groupBy("field", "weight").agg(F.count("*").alias("all"), F.avg("n").alias("mean"))
+    df = numbered.select(each("w").alias("x")).select("x.field", F.explode("x.w").alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # One row for each field.
-    weighed = tf.join(df, ["field", "term"]).join(F.broadcast(whole), "field").select("field", "term", "number", "df", part.alias("impact"), (F.col("weight") * idf * (K1 + 1)).alias("most"))
-    # A term has as many parts as its postings would fill a quarter of their levels with.
-    deal = F.ceil(4 * F.col("df") / (BLOCK * LEVELS))
-    weighed = staged(weighed.withColumn("level", F.floor(F.col("impact") / F.col("most") * LEVELS).cast("int")).withColumn("part", F.pmod(F.xxhash64("number"), deal)), "impacts")
-    blocks = weighed.groupBy("field", "term", "level", "part").agg(F.max("impact").alias("bound"), F.count("*").alias("n"), F.collect_list(F.struct("number", "impact")).alias("x"))
-    forward = weighed.groupBy("number").agg(F.collect_list(F.struct("field", "term", "impact")).alias("words"))
-    return KeywordIndex(staged(blocks.select("field", "term", "level", "part", "bound", "n", F.col("x.number").alias("numbers"), F.col("x.impact").alias("impacts")), "blocks"), staged(forward, "forward"), numbered.select(F.col("key").alias(key), "number"), key)
+    terms = staged(df.join(F.broadcast(whole), "field").select("field", "term", (F.col("weight") * idf * (K1 + 1)).alias("unit"), "mean"), "terms")
+    lists = "numbers array<bigint>, tfs array<int>, lengths array<int>"
+    gathered = numbered.select("number", *(f"_{x}{i}" for i in range(len(fields)) for x in "nwt")).mapInArrow(_gathered([*fields]), f"field string, term string, {lists}")
+    blocks = gathered.join(terms, ["field", "term"]).select("field", "term", "unit", "mean", "numbers", "tfs", "lengths").mapInArrow(_levels, f"field string, term string, unit double, mean double, level int, bound double, n bigint, {lists}")
+    return KeywordIndex(staged(blocks, "blocks"), terms, numbered, key, tuple(fields))
+
+
+def _counted(keep: Sequence[str], n_fields: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words to distinct words and how often they come, row by row."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, names = [batch.column(c) for c in keep], [*keep]
+            for i in range(n_fields):
+                lists = batch.column(f"_w{i}")
+                n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                size = max(1, len(coded.dictionary))
+                pair, tf = np.unique(np.repeat(np.arange(len(batch)), n) * size + coded.indices.to_numpy(), return_counts=True)
+                starts = pa.array(np.searchsorted(pair, np.arange(len(batch) + 1) * size), pa.int32())
+                out += [pa.array(n, pa.int32()), pa.ListArray.from_arrays(starts, coded.dictionary.take(pa.array(pair % size))), pa.ListArray.from_arrays(starts, pa.array(tf, pa.int32()))]
+                names += [f"_{x}{i}" for x in "nwt"]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return counted
+
+
+def _gathered(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(field, term, numbers, tfs, lengths) of some ``BLOCK`` postings at a time."""
+
+    def emit(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, f in enumerate(fields):
+            lists = [b.column(f"_w{i}") for b in kept]
+            coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            each = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists])
+            codes = coded.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            number, length = (np.repeat(np.concatenate([b.column(c).to_numpy() for b in kept]), each)[order] for c in ("number", f"_n{i}"))
+            tf = np.concatenate([b.column(f"_t{i}").flatten().to_numpy() for b in kept])[order]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
+            for at in range(0, len(coded.dictionary), 8_192):
+                cut = starts[at : at + 8_193]
+                own = slice(cut[0], cut[-1])
+                ends = pa.array(cut - cut[0], pa.int32())
+                terms = coded.dictionary.slice(at, 8_192)
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(terms)), terms, *(pa.ListArray.from_arrays(ends, pa.array(x[own], k)) for x, k in ((number, pa.int64()), (tf, pa.int32()), (length, pa.int32())))], ["field", "term", "numbers", "tfs", "lengths"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            kept.append(batch)
+            held += sum(len(batch.column(f"_w{i}").flatten()) for i in range(len(fields)))
+            if held >= BLOCK:
+                yield from emit(kept)
+                kept, held = [], 0
+        if kept:
+            yield from emit(kept)
+
+    return gathered
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's postings by level of impact, with the greatest impact of a level."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        each = pc.list_value_length(batch.column("numbers")).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(batch)), each)
+        number, tf, length = (batch.column(c).flatten().to_numpy() for c in ("numbers", "tfs", "lengths"))
+        unit, mean = (batch.column(c).to_numpy()[row] for c in ("unit", "mean"))
+        share = tf / (tf + K1 * (1 - B + B * length / mean))
+        key = row * LEVELS + np.minimum(np.floor(share * LEVELS).astype(np.int64), LEVELS - 1)
+        order = np.argsort(key, kind="stable")
+        begins = np.nonzero(np.diff(key[order], prepend=-1))[0]
+        of, ends = key[order][begins], np.append(begins, len(order))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[order], k)) for x, k in ((number, pa.int64()), (tf, pa.int32()), (length, pa.int32()))]
+        own = batch.select(["field", "term", "unit", "mean"]).take(pa.array(of // LEVELS))
+        made = [pa.array(of % LEVELS, pa.int32()), pa.array(np.maximum.reduceat((unit * share)[order], begins)), pa.array(np.diff(ends))]
+        yield pa.RecordBatch.from_arrays([*own.columns, *made, *lists], ["field", "term", "unit", "mean", "level", "bound", "n", "numbers", "tfs", "lengths"])
+
+
+def _impact(tf: str, length: str) -> Column:
+    return F.col("unit") * F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("mean")))
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -64,9 +146,15 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def exact(index: KeywordIndex, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, number, score) of the given (qid, number): the best field's sum of impacts, rounded to six decimals."""
-    found = pairs.join(index.forward, "number").select("qid", "number", F.explode("words").alias("w")).select("qid", "number", "w.field", "w.term", "w.impact").join(terms, ["qid", "term"])
+def exact(index: KeywordIndex, pairs: DataFrame, terms: DataFrame, few: bool = False) -> DataFrame:
+    """(qid, number, score) of the given (qid, number): the best field's sum of impacts, rounded to six decimals. Of ``few`` pairs, some of each question, the passages are found without a shuffle of all."""
+    words = index.numbers.select("number", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("length"), F.arrays_zip(F.col(f"_w{i}").alias("term"), F.col(f"_t{i}").alias("tf")).alias("x")) for i, f in enumerate(index.fields)))).alias("w"))
+    if few:
+        words = words.join(F.broadcast(pairs.select("number").distinct()), "number", "left_semi")
+    words = words.select("number", "w.field", "w.length", F.explode("w.x").alias("x")).select("number", "field", "length", "x.term", "x.tf")
+    asked = F.broadcast(terms.select("term").distinct())
+    words = words.join(asked, "term", "left_semi").join(index.terms.join(asked, "term", "left_semi"), ["field", "term"])
+    found = pairs.join(words.select("number", "field", "term", _impact("tf", "length").alias("impact")), "number").join(terms, ["qid", "term"])
     by_field = found.groupBy("qid", "number", "field").agg(F.sum("impact").alias("score"))
     return by_field.groupBy("qid", "number").agg(F.round(F.max("score"), 6).alias("score"))
 
@@ -80,17 +168,20 @@ def top(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most: int)
     return _searched(index, queries, passages, most)[0]
 
 
-def postings_read(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most: int) -> DataFrame:
-    """(qid, postings, read): how many postings each question's terms have, and how many the search reads."""
+def postings_read(index: KeywordIndex, queries: DataFrame, passages: DataFrame | None, most: int) -> DataFrame:
+    """(qid, postings, read): how many postings each question's terms have, and how many the search reads. Without ``passages`` it is among all of an index that keeps their rights."""
     _, known, taken = _searched(index, queries, passages, most)
     return known.groupBy("qid").agg(F.sum("n").alias("postings")).join(taken.groupBy("qid").agg(F.sum("n").alias("read")), "qid")
 
 
-def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = "number"
-    passages = passages.select(index.key, "acl_users", "acl_groups").join(index.numbers, index.key).drop(index.key)
+    rights = ["acl_users", "acl_groups"]
+    passages = index.numbers.select(key, *rights) if passages is None else passages.select(index.key, *rights).join(index.numbers.select(index.key, key), index.key).drop(index.key)
     terms = staged(asked_terms(queries), "terms")
-    known = terms.join(index.blocks.select("field", "term", "level", "part", "bound", "n"), "term")
+    # The distinct words of a stated set of questions.
+    own = index.blocks.select("field", "term", "level", "bound", "n").join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    known = terms.join(own.groupBy("field", "term", "level").agg(F.max("bound").alias("bound"), F.sum("n").alias("n")), "term")
     # The levels a question reads first: from the top down until they hold some hits, for each term.
     level = known.groupBy("qid", "field", "term", "level").agg(F.sum("n").alias("n"), F.max("bound").alias("bound"))
     down = Window.partitionBy("qid", "field", "term").orderBy(F.desc("level"))
@@ -100,7 +191,7 @@ def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most
     first = _read(index, lead)
     by_field = first.groupBy("qid", key, "field").agg(F.sum("impact").alias("score"))
     least = access.admitted(by_field.groupBy("qid", key).agg(F.max("score").alias("score")), passages, queries, key)
-    met = staged(exact(index, ranked(least, LEAD * most, key=key).select("qid", key), terms), "met")
+    met = staged(exact(index, staged(ranked(least, LEAD * most, key=key).select("qid", key), "lead"), terms, few=True), "met")
     reach = ranked(met, most, key=key).where(F.col("rank") == most).select("qid", (F.col("score") - SLACK).alias("reach"))
     # A level is worth reading if its best impact, and the most of all other terms of the field, come to what is to be reached; of
     # the terms with the smallest impacts, those that together stay below it need no reading at all: what has only those is beaten.
@@ -116,10 +207,11 @@ def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame, most
     worth = seen.where(F.col("reach").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("reach"))).select("qid", key).distinct()
     others = access.admitted(worth.join(met, ["qid", key], "left_anti"), passages, queries, key)
     scores = met.unionByName(exact(index, others, terms))
-    return ranked(scores.join(index.numbers, "number").select("qid", index.key, "score"), most, key=index.key), known, chosen.join(known, ["qid", "field", "term", "level"])
+    return ranked(scores.join(index.numbers.select(index.key, "number"), "number").select("qid", index.key, "score"), most, key=index.key), known, chosen.join(known, ["qid", "field", "term", "level"])
 
 
 def _read(index: KeywordIndex, levels: DataFrame) -> DataFrame:
     """(qid, number, field, impact) of the postings in the given levels of terms."""
-    rows = levels.join(index.blocks.select("field", "term", "level", "numbers", "impacts"), ["field", "term", "level"])
-    return rows.select("qid", "field", F.explode(F.arrays_zip("numbers", "impacts")).alias("x")).select("qid", F.col("x.numbers").alias("number"), "field", F.col("x.impacts").alias("impact"))
+    own = index.blocks.join(F.broadcast(levels.select("field", "term", "level").distinct()), ["field", "term", "level"], "left_semi")
+    rows = levels.join(own, ["field", "term", "level"]).select("qid", "field", "unit", "mean", F.explode(F.arrays_zip("numbers", "tfs", "lengths")).alias("x"))
+    return rows.select("qid", F.col("x.numbers").alias("number"), "field", "unit", "mean", F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length")).select("qid", "number", "field", _impact("tf", "length").alias("impact"))

@@ -29,7 +29,7 @@ SLACK = 1e-5
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """(field, term, level, bound, n, unit, mean, numbers, tfs, lengths) in blocks, (field, term, unit, mean) of terms, and (key, number) with a passage's words: of each field ``_n`` counts them, ``_w`` has the distinct ones, ``_t`` how often."""
+    """(field, term, level, share, n, base, offsets, tfs, lengths) in blocks, (field, term, unit, mean) of terms, and (key, number) with a passage's words: of each field ``_n`` counts them, ``_w`` has the distinct ones, ``_t`` how often."""
 
     blocks: DataFrame
     terms: DataFrame
@@ -41,9 +41,9 @@ class KeywordIndex:
 def build(passages: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: str = "chunk_id", keep: Sequence[str] = ()) -> KeywordIndex:
     """Index the passages' fields (name -> weight). A passage without words in a field doesn't count for that field's statistics.
 
-    Texts are read once; what is written of them are their distinct words. Postings are gathered by term inside of a task, so that a term
-    is shuffled once for many of them, and dealt to blocks by level of impact and task, so no term's postings meet in one task. A block has the
-    counts and lengths that impacts come from, with all but the question. Inside the index passages go by a number; columns to ``keep`` lie beside it.
+    Texts are read once; what is written of them are their distinct words. Postings are gathered by term and level of impact inside of a task, so
+    none is shuffled and no term's postings meet in one task. An impact is a term's ``unit`` times a share that comes from how often the passage has it and from
+    its length, which blocks hold; the share alone makes the level. Inside the index passages go by a number; columns to ``keep`` lie beside it.
     """
     number = F.monotonically_increasing_id().alias("number")
     schema = T.StructType([passages.schema[key], *(passages.schema[c] for c in keep), T.StructField("number", T.LongType())])
@@ -57,9 +57,9 @@ def build(passages: DataFrame, fields: Mapping[str, float] = BM25_FIELDS, key: s
     idf = F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # One row for each field.
     terms = staged(df.join(F.broadcast(whole), "field").select("field", "term", (F.col("weight") * idf * (K1 + 1)).alias("unit"), "mean"), "terms")
-    lists = "numbers array<bigint>, tfs array<int>, lengths array<int>"
-    gathered = numbered.select("number", *(f"_{x}{i}" for i in range(len(fields)) for x in "nwt")).mapInArrow(_gathered([*fields]), f"field string, term string, {lists}")
-    blocks = gathered.join(terms, ["field", "term"]).select("field", "term", "unit", "mean", "numbers", "tfs", "lengths").mapInArrow(_levels, f"field string, term string, unit double, mean double, level int, bound double, n bigint, {lists}")
+    means = {r.field: r["mean"] for r in whole.collect()}
+    own = [(f, i, means[f]) for i, f in enumerate(fields) if f in means]
+    blocks = numbered.select("number", *(f"_{x}{i}" for i in range(len(fields)) for x in "nwt")).mapInArrow(_gathered(own), "field string, term string, level int, share double, n bigint, base bigint, offsets array<bigint>, tfs array<int>, lengths array<int>")
     return KeywordIndex(staged(blocks, "blocks"), terms, numbered, key, tuple(fields))
 
 
@@ -83,31 +83,36 @@ def _counted(keep: Sequence[str], n_fields: int) -> Callable[[Iterator[pa.Record
     return counted
 
 
-def _gathered(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(field, term, numbers, tfs, lengths) of some ``BLOCK`` postings at a time."""
+def _gathered(fields: Sequence[tuple[str, int, float]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of some ``BLOCK`` postings at a time: a term's of one level, with the greatest share among them. ``fields`` have a place and a mean length."""
 
     def emit(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, f in enumerate(fields):
+        for f, i, mean in fields:
             lists = [b.column(f"_w{i}") for b in kept]
             coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
             each = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists])
-            codes = coded.indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            number, length = (np.repeat(np.concatenate([b.column(c).to_numpy() for b in kept]), each)[order] for c in ("number", f"_n{i}"))
-            tf = np.concatenate([b.column(f"_t{i}").flatten().to_numpy() for b in kept])[order]
-            starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
-            for at in range(0, len(coded.dictionary), 8_192):
-                cut = starts[at : at + 8_193]
-                own = slice(cut[0], cut[-1])
-                ends = pa.array(cut - cut[0], pa.int32())
-                terms = coded.dictionary.slice(at, 8_192)
-                yield pa.RecordBatch.from_arrays([pa.array([f] * len(terms)), terms, *(pa.ListArray.from_arrays(ends, pa.array(x[own], k)) for x, k in ((number, pa.int64()), (tf, pa.int32()), (length, pa.int32())))], ["field", "term", "numbers", "tfs", "lengths"])
+            number, length = (np.repeat(np.concatenate([b.column(c).to_numpy() for b in kept]), each) for c in ("number", f"_n{i}"))
+            tf = np.concatenate([b.column(f"_t{i}").flatten().to_numpy() for b in kept])
+            share = tf / (tf + K1 * (1 - B + B * length / mean))
+            key = coded.indices.to_numpy().astype(np.int64) * LEVELS + np.minimum(np.floor(share * LEVELS).astype(np.int64), LEVELS - 1)
+            order = np.argsort(key, kind="stable")
+            begins = np.nonzero(np.diff(key[order], prepend=-1))[0]
+            ends, of = np.append(begins, len(order)), key[order][begins]
+            number, length, tf, share = (x[order] for x in (number, length, tf, share))
+            base = number[begins]
+            for at in range(0, len(begins), 16_384):
+                cut = ends[at : at + 16_385]
+                own, some = slice(cut[0], cut[-1]), slice(at, at + len(cut) - 1)
+                listed = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(x, k)) for x, k in ((number[own] - np.repeat(base[some], np.diff(cut)), pa.int64()), (tf[own], pa.int32()), (length[own], pa.int32()))]
+                terms = coded.dictionary.take(pa.array(of[some] // LEVELS))
+                made = [pa.array(of[some] % LEVELS, pa.int32()), pa.array(np.maximum.reduceat(share[own], cut[:-1] - cut[0])), pa.array(np.diff(cut)), pa.array(base[some])]
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(terms)), terms, *made, *listed], ["field", "term", "level", "share", "n", "base", "offsets", "tfs", "lengths"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
         for batch in batches:
             kept.append(batch)
-            held += sum(len(batch.column(f"_w{i}").flatten()) for i in range(len(fields)))
+            held += sum(len(batch.column(f"_w{i}").flatten()) for _, i, _ in fields)
             if held >= BLOCK:
                 yield from emit(kept)
                 kept, held = [], 0
@@ -117,26 +122,6 @@ def _gathered(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return gathered
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's postings by level of impact, with the greatest impact of a level."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        each = pc.list_value_length(batch.column("numbers")).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(batch)), each)
-        number, tf, length = (batch.column(c).flatten().to_numpy() for c in ("numbers", "tfs", "lengths"))
-        unit, mean = (batch.column(c).to_numpy()[row] for c in ("unit", "mean"))
-        share = tf / (tf + K1 * (1 - B + B * length / mean))
-        key = row * LEVELS + np.minimum(np.floor(share * LEVELS).astype(np.int64), LEVELS - 1)
-        order = np.argsort(key, kind="stable")
-        begins = np.nonzero(np.diff(key[order], prepend=-1))[0]
-        of, ends = key[order][begins], np.append(begins, len(order))
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[order], k)) for x, k in ((number, pa.int64()), (tf, pa.int32()), (length, pa.int32()))]
-        own = batch.select(["field", "term", "unit", "mean"]).take(pa.array(of // LEVELS))
-        made = [pa.array(of % LEVELS, pa.int32()), pa.array(np.maximum.reduceat((unit * share)[order], begins)), pa.array(np.diff(ends))]
-        yield pa.RecordBatch.from_arrays([*own.columns, *made, *lists], ["field", "term", "unit", "mean", "level", "bound", "n", "numbers", "tfs", "lengths"])
-
-
 def _impact(tf: str, length: str) -> Column:
     return F.col("unit") * F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("mean")))
 
@@ -180,8 +165,10 @@ def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame | Non
     passages = index.numbers.select(key, *rights) if passages is None else passages.select(index.key, *rights).join(index.numbers.select(index.key, key), index.key).drop(index.key)
     terms = staged(asked_terms(queries), "terms")
     # The distinct words of a stated set of questions.
-    own = index.blocks.select("field", "term", "level", "bound", "n").join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    known = terms.join(own.groupBy("field", "term", "level").agg(F.max("bound").alias("bound"), F.sum("n").alias("n")), "term")
+    asked = F.broadcast(terms.select("term").distinct())
+    own = index.blocks.select("field", "term", "level", "share", "n").join(asked, "term", "left_semi").groupBy("field", "term", "level").agg(F.max("share").alias("share"), F.sum("n").alias("n"))
+    own = own.join(index.terms.join(asked, "term", "left_semi"), ["field", "term"]).withColumn("bound", F.col("unit") * F.col("share"))
+    known = staged(terms.join(own.select("field", "term", "level", "bound", "n"), "term"), "known")
     # The levels a question reads first: from the top down until they hold some hits, for each term.
     level = known.groupBy("qid", "field", "term", "level").agg(F.sum("n").alias("n"), F.max("bound").alias("bound"))
     down = Window.partitionBy("qid", "field", "term").orderBy(F.desc("level"))
@@ -189,8 +176,8 @@ def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame | Non
     level = staged(level, "levels")
     lead = level.where(F.col("before") < most).select("qid", "field", "term", "level")
     first = _read(index, lead)
-    by_field = first.groupBy("qid", key, "field").agg(F.sum("impact").alias("score"))
-    least = access.admitted(by_field.groupBy("qid", key).agg(F.max("score").alias("score")), passages, queries, key)
+    best = F.array_max(F.array(*(F.sum(F.when(F.col("field") == f, F.col("impact"))) for f in index.fields)))
+    least = access.admitted(first.groupBy("qid", key).agg(best.alias("score")), passages, queries, key)
     met = staged(exact(index, staged(ranked(least, LEAD * most, key=key).select("qid", key), "lead"), terms, few=True), "met")
     reach = ranked(met, most, key=key).where(F.col("rank") == most).select("qid", (F.col("score") - SLACK).alias("reach"))
     # A level is worth reading if its best impact, and the most of all other terms of the field, come to what is to be reached; of
@@ -212,6 +199,8 @@ def _searched(index: KeywordIndex, queries: DataFrame, passages: DataFrame | Non
 
 def _read(index: KeywordIndex, levels: DataFrame) -> DataFrame:
     """(qid, number, field, impact) of the postings in the given levels of terms."""
-    own = index.blocks.join(F.broadcast(levels.select("field", "term", "level").distinct()), ["field", "term", "level"], "left_semi")
-    rows = levels.join(own, ["field", "term", "level"]).select("qid", "field", "unit", "mean", F.explode(F.arrays_zip("numbers", "tfs", "lengths")).alias("x"))
-    return rows.select("qid", F.col("x.numbers").alias("number"), "field", "unit", "mean", F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length")).select("qid", "number", "field", _impact("tf", "length").alias("impact"))
+    wanted = F.broadcast(levels.select("field", "term", "level").distinct())
+    units = index.terms.join(F.broadcast(levels.select("field", "term").distinct()), ["field", "term"], "left_semi")
+    own = index.blocks.join(wanted, ["field", "term", "level"], "left_semi").join(F.broadcast(units), ["field", "term"])
+    rows = levels.join(own, ["field", "term", "level"]).select("qid", "field", "unit", "mean", "base", F.explode(F.arrays_zip("offsets", "tfs", "lengths")).alias("x"))
+    return rows.select("qid", (F.col("base") + F.col("x.offsets")).alias("number"), "field", "unit", "mean", F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length")).select("qid", "number", "field", _impact("tf", "length").alias("impact"))

@@ -395,3 +395,12 @@ def test_ranks_of_all_pairs_without_shuffling_them(spark, monkeypatch, library,
 def test_packed_numbers():
     for values in ([], [5], [9, 9, 3, 0], [2**40, 7, -3]):
         assert retrieval.unpacked(retrieval.packed(retrieval.np.array(values, "int64")), len(values)).tolist() == values
+
+
+def test_index_keeps_rights_and_makes_blocks_without_a_shuffle(spark, library):
+    """An index that keeps rights needs no second table of passages, and no posting is shuffled to make it: blocks hold them as they lie in tasks."""
+    *_, passages, questions = library
+    index = keyword.build(passages, keep=("acl_users", "acl_groups"))
+    assert {"offsets", "tfs", "lengths"} <= set(index.blocks.columns) and "content" not in index.numbers.columns
+    read = lambda rows: sorted(map(tuple, keyword.postings_read(index, questions, rows, 10).collect()))
+    assert read(None) == read(passages) != []
